@@ -191,3 +191,15 @@ def dirty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 13 == 0, F.lit("n.a.")).when(k % 3 == 0, F.lit("1,234"))
         .otherwise(k.cast("string")).alias("amount"),
     )
+
+
+def metrics_registry(spark: SparkSession, sessions: Sequence[int] = SESSIONS) -> DataFrame:
+    """Registry of the M datasets: one active version per two-year session;
+    the newest session is the globally active dataset."""
+    newest = max(sessions)
+    rows = [(f"ds{cy}", f"metrics_{cy - 1}_{cy % 100:02d}", f"metrics_{cy - 1}-{cy % 100:02d}.csv",
+             f"{cy - 1}-{cy % 100:02d}", cy - 1, cy, i + 1, 1, True, cy == newest)
+            for i, cy in enumerate(sorted(sessions))]
+    return spark.createDataFrame(rows, "dataset_id string, dataset_name string, original_filename "
+                                 "string, label string, start_year int, end_year int, created_seq "
+                                 "long, upload_version int, is_period_active boolean, is_active boolean")
