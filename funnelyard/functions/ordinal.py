@@ -41,22 +41,22 @@ def ordinal_within(df: DataFrame, group_cols: Sequence[str],
     laid_out = df.orderBy(*sort_keys).checkpoint(eager=True)
 
     mid = F.monotonically_increasing_id()
-    t = laid_out.select("*", F.shiftright(mid, 33).alias("_pid"),
-                        mid.bitwiseAND(F.lit(_POS_MASK)).alias("_pos"))
+    t = laid_out.select("*", F.shiftright(mid, 33).alias("__oq_pid"),
+                        mid.bitwiseAND(F.lit(_POS_MASK)).alias("__oq_pos"))
 
-    per_part_group = t.groupBy("_pid", *group_cols).agg(
-        F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    per_part_group = t.groupBy("__oq_pid", *group_cols).agg(
+        F.min("__oq_pos").alias("__oq_first"), F.count(F.lit(1)).alias("__oq_n"))
     # One row per partition: bounded by the partition count, safe to broadcast.
-    offsets = (per_part_group.groupBy("_pid").agg(F.sum("_n").alias("_n"))
-               .select("_pid", (F.sum("_n").over(
-                   Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-                   .alias("_off")))
-    offsets = offsets.select("_pid", F.coalesce("_off", F.lit(0)).cast("long").alias("_off"))
-    gkeys = [f"_g{i}" for i in range(len(group_cols))]
-    group_start = (per_part_group.join(F.broadcast(offsets), "_pid")
+    offsets = (per_part_group.groupBy("__oq_pid").agg(F.sum("__oq_n").alias("__oq_n"))
+               .select("__oq_pid", (F.sum("__oq_n").over(
+                   Window.orderBy("__oq_pid").rowsBetween(Window.unboundedPreceding, -1)))
+                   .alias("__oq_off")))
+    offsets = offsets.select("__oq_pid", F.coalesce("__oq_off", F.lit(0)).cast("long").alias("__oq_off"))
+    gkeys = [f"__oq_g{i}" for i in range(len(group_cols))]
+    group_start = (per_part_group.join(F.broadcast(offsets), "__oq_pid")
                    .groupBy(*[F.col(g).alias(k) for g, k in zip(group_cols, gkeys)])
-                   .agg(F.min(F.col("_off") + F.col("_first")).alias("_start")))
-    with_off = t.join(F.broadcast(offsets), "_pid")
+                   .agg(F.min(F.col("__oq_off") + F.col("__oq_first")).alias("__oq_start")))
+    with_off = t.join(F.broadcast(offsets), "__oq_pid")
     if group_cols:
         cond = None
         for g, k in zip(group_cols, gkeys):
@@ -64,6 +64,6 @@ def ordinal_within(df: DataFrame, group_cols: Sequence[str],
             cond = c if cond is None else cond & c
         joined = with_off.join(group_start, cond, "inner").drop(*gkeys)
     else:
-        joined = with_off.withColumn("_start", F.lit(0).cast("long"))
-    return (joined.withColumn(name, (F.col("_off") + F.col("_pos") - F.col("_start") + 1).cast("long"))
-            .drop("_pid", "_pos", "_off", "_start"))
+        joined = with_off.withColumn("__oq_start", F.lit(0).cast("long"))
+    return (joined.withColumn(name, (F.col("__oq_off") + F.col("__oq_pos") - F.col("__oq_start") + 1).cast("long"))
+            .drop("__oq_pid", "__oq_pos", "__oq_off", "__oq_start"))

@@ -1 +1,190 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered catalog, column-mapping and relationship queries."""
+
+from __future__ import annotations
+
+from funnelyard.operators import catalog as Cat
+from funnelyard.operators import ingest as A
+from funnelyard.plans.oracle_views import with_views
+from funnelyard.plans.registry import register
+from funnelyard.sources import bindings as B
+from funnelyard.sources.tables import TABLES, read_table
+
+_TYPE_MAP = ("case data_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' "
+             "when 'VARCHAR' then 'string' when 'TIMESTAMP' then 'timestamp_ntz' when 'FLOAT[]' then 'array<float>' "
+             "else lower(data_type) end")
+_CATALOG = ("cat", "select table_schema, table_name, column_name, " + _TYPE_MAP + " as data_type, "
+                   "is_nullable = 'YES' as is_nullable, ordinal_position::int as position "
+                   "from information_schema.columns where table_name in ("
+            + ", ".join(f"'{t}'" for t in TABLES) + ")")
+
+
+def _catalog(spark, sf_dir):
+    return Cat.catalog_from_tables(spark, {t: read_table(spark, sf_dir, t) for t in TABLES})
+
+
+# ---------------------------------------------------------------- C7
+@register("catalog_from_tables", with_views("select * from cat", extra=[_CATALOG]))
+def q_catalog(spark, sf_dir):
+    return _catalog(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- C1
+def _rules_sql():
+    rows = [(0, i, k, c, conf) for i, (k, c, conf) in enumerate(Cat.EXACT_RULES)]
+    rows += [(1, i, k, c, round(conf - Cat.PARTIAL_PENALTY, 2)) for i, (k, c, conf) in enumerate(Cat.EXACT_RULES)]
+    rows += [(2, i * 100 + j, kw, c, conf) for i, (kws, c, conf) in enumerate(Cat.KEYWORD_RULES)
+             for j, kw in enumerate(kws)]
+    vals = ", ".join(f"({t}, {o}, '{k}', '{c}', {conf}::double)" for t, o, k, c, conf in rows)
+    return ("rules", f"select * from (values {vals}) as r(tier, rule_order, rule_key, canonical_field, confidence)")
+
+
+_MAPPED = ("mapped", """
+select table_name, original_column, w.canonical_field as canonical_field, coalesce(w.confidence, 0.0) as confidence,
+  w.tier is null as is_ambiguous,
+  case w.tier when 0 then 'exact_rule' when 1 then 'partial_rule' when 2 then 'keyword' else 'unmapped' end as method
+from (select table_name, original_column, arg_min(struct_pack(tier := tier, canonical_field := canonical_field,
+        confidence := confidence), [tier, rule_order]) as w, count(tier) as n
+      from (select c.table_name, c.column_name as original_column, r.* from (
+              select *, lower(trim(column_name)) as cl, trim(regexp_replace(lower(trim(column_name)), '[-_]', ' ', 'g')) as sp
+              from cat) c
+            left join rules r on (r.tier = 0 and c.cl = r.rule_key)
+              or (r.tier = 1 and (contains(c.cl, r.rule_key) or contains(r.rule_key, c.cl)))
+              or (r.tier = 2 and contains(c.sp, r.rule_key))) j
+      group by 1, 2) g""")
+
+
+@register("map_columns", with_views("select * from mapped", extra=[_CATALOG, _rules_sql(), _MAPPED]))
+def q_map_columns(spark, sf_dir):
+    return Cat.map_columns(_catalog(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- C2
+@register("resolve_canonical", with_views("""
+select table_name, canonical_field, arg_min(original_column, (-confidence, original_column)) as original_column,
+  max(confidence) as confidence, count(*) as candidates,
+  case when arg_min(is_ambiguous, (-confidence, original_column)) then 'ambiguous' else 'resolved' end as status
+from mapped where canonical_field is not null group by 1, 2""", extra=[_CATALOG, _rules_sql(), _MAPPED]))
+def q_resolve_canonical(spark, sf_dir):
+    return Cat.resolve_canonical(Cat.map_columns(_catalog(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- C5
+@register("column_role", with_views("""
+select *, case when contains(n, 'date') or contains(n, 'time') then 'date'
+  when contains(n, 'status') or n in ('exam status', 'admission status', 'lead status') then 'status'
+  when n = 'id' then 'technical_identifier'
+  when ends_with(n, ' id') or ends_with(n, ' code') then 'identifier'
+  when n in ('program', 'program name', 'campus', 'campus name', 'cluster', 'state', 'state name', 'city',
+             'district', 'country', 'source', 'main source', 'lead type', 'owner') then 'dimension'
+  when starts_with(data_type, 'tinyint') or starts_with(data_type, 'smallint') or starts_with(data_type, 'int')
+    or starts_with(data_type, 'bigint') or starts_with(data_type, 'float') or starts_with(data_type, 'double')
+    or starts_with(data_type, 'decimal') then 'numeric'
+  else 'attribute' end as role
+from (select *, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(column_name)), '[_-]', ' ', 'g'),
+        '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) as normalized_name,
+        trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(column_name)), '[_-]', ' ', 'g'),
+        '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) as n from cat) x
+""".replace("select *, case", "select table_schema, table_name, column_name, data_type, is_nullable, position, "
+            "normalized_name, case"), extra=[_CATALOG]))
+def q_column_role(spark, sf_dir):
+    return Cat.column_role(_catalog(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- C4
+def _list_str(x):
+    return f"array_to_string(list_transform({x}, lambda v: coalesce(v, 'NULL')), '|')"
+
+
+@register("build_catalog", with_views(f"""
+select dataset_id, column_name, coalesce(arg_min(kind, case when value is not null then row_number end), 'unknown')
+    as data_type,
+  {_list_str('list(value order by row_number)[1:20]')} as samples,
+  {_list_str('list(value order by row_number)[1:5]')} as sample_values
+from (select dataset_id, row_number, k as column_name, v as value,
+        case when regexp_full_match(v, '-?\\d+') then 'int' when regexp_full_match(v, '-?\\d+\\.\\d+') then 'float'
+             when v in ('true', 'false') then 'bool' else 'str' end as kind
+      from (select dataset_id, row_number, unnest(['row_number', 'name', 'email', 'segment', 'amount']) as k,
+              unnest([cast(rn0 as varchar), name, email, segment, amount]) as v
+            from (select *, row_number as rn0, row_number() over (partition by dataset_id order by row_number) as rnk
+                  from (select {'coalesce(nullif(trim(segment), ' + chr(39) * 2 + '), ' + chr(39) + 'BLANK' + chr(39) + ')'} as dataset_id, * from C) c0) c1
+            where rnk <= 1000) kv0
+      ) kv
+group by 1, 2""".replace("select dataset_id, row_number, unnest", "select dataset_id, rnk as row_number, unnest"), "C"))
+def q_build_catalog(spark, sf_dir):
+    from pyspark.sql import functions as F
+    c = B.dirty_records(spark, sf_dir)
+    ds = F.coalesce(F.nullif(F.trim("segment"), F.lit("")), F.lit("BLANK"))
+    out = Cat.build_catalog(A.stage_records(c, ds, ["row_number"]))
+    return out.select("dataset_id", "column_name", "data_type",
+                      F.array_join("samples", "|", "NULL").alias("samples"),
+                      F.array_join("sample_values", "|", "NULL").alias("sample_values"))
+
+
+# ---------------------------------------------------------------- C8
+def _view_catalog(spark, sf_dir):
+    views = {"e_leads": B.lead_events(spark, sf_dir), "e_registrations": B.registration_events(spark, sf_dir),
+             "e_admissions": B.admission_events(spark, sf_dir), "turns": B.turns(spark, sf_dir),
+             "dirty_records": B.dirty_records(spark, sf_dir)}
+    return Cat.catalog_from_tables(spark, views)
+
+
+_VIEW_PAIRS = """
+select * from (values ('main', 'e_admissions', 'lead_id', 'main', 'e_leads', 'lead_id', 'lead_id', 0.9::double),
+  ('main', 'e_admissions', 'lead_id', 'main', 'e_registrations', 'lead_id', 'lead_id', 0.9::double),
+  ('main', 'e_leads', 'lead_id', 'main', 'e_registrations', 'lead_id', 'lead_id', 0.9::double))
+  as p(left_schema, left_table, left_column, right_schema, right_table, right_column, relationship_key, confidence)"""
+
+
+@register("discover_relationships", with_views(_VIEW_PAIRS + " where exists (select 1 from orders)"))
+def q_discover_relationships(spark, sf_dir):
+    return Cat.discover_relationships(_view_catalog(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- C9
+_PAIRS = (("orders_customer", "orders", "o_custkey", "customer", "c_custkey"),
+          ("lineitem_orders", "lineitem", "l_orderkey", "orders", "o_orderkey"),
+          ("lineitem_part", "lineitem", "l_partkey", "part", "p_partkey"),
+          ("lineitem_supplier", "lineitem", "l_suppkey", "supplier", "s_suppkey"),
+          ("customer_nation", "customer", "c_nationkey", "nation", "n_nationkey"),
+          ("nation_region", "nation", "n_regionkey", "region", "r_regionkey"),
+          ("supplier_customer_key", "supplier", "s_suppkey", "customer", "c_custkey"))
+
+
+def _validate_sql(pid, lt, lc, rt, rc):
+    return f"""
+select '{pid}' as pair, (select count(*) from {lt}) as left_row_count, (select count(*) from {rt}) as right_row_count,
+  ld as left_distinct, rd as right_distinct, m as matching_values, ld - m as left_unmatched, rd - m as right_unmatched,
+  cast(s4 as double) / 10000 as validation_score,
+  case when s4 >= 8000 then 'verified' when s4 >= 5000 then 'possible' else 'rejected' end as status
+from (select ld, rd, m, case when least(ld, rd) = 0 then 0
+        else least(10000, (m * 20000 + least(ld, rd)) // (2 * least(ld, rd))) end as s4
+      from (select (select count(distinct {lc}) from {lt}) as ld, (select count(distinct {rc}) from {rt}) as rd,
+                   (select count(*) from (select distinct {lc} as v from {lt} where {lc} is not null) l
+                    join (select distinct {rc} as v from {rt} where {rc} is not null) r using (v)) as m) a) b"""
+
+
+@register("validate_relationships", "\nunion all\n".join(_validate_sql(*p) for p in _PAIRS))
+def q_validate_relationships(spark, sf_dir):
+    out = None
+    for pid, lt, lc, rt, rc in _PAIRS:
+        v = Cat.validate_relationship(read_table(spark, sf_dir, lt), lc, read_table(spark, sf_dir, rt), rc, pid)
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
+@register("validate_discovered_relationships", with_views("\nunion all\n".join(
+    _validate_sql(f"{a}_{b}", v1, "lead_id", v2, "lead_id")
+    for a, b, v1, v2 in (("e_admissions", "e_leads", "E_adm", "E_leads"),
+                         ("e_admissions", "e_registrations", "E_adm", "E_reg"),
+                         ("e_leads", "e_registrations", "E_leads", "E_reg"))), "E_leads", "E_reg", "E_adm"))
+def q_validate_discovered(spark, sf_dir):
+    views = {"e_leads": B.lead_events(spark, sf_dir), "e_registrations": B.registration_events(spark, sf_dir),
+             "e_admissions": B.admission_events(spark, sf_dir)}
+    pairs = Cat.discover_relationships(_view_catalog(spark, sf_dir))
+    # The candidate list is metadata (a handful of rows); each candidate is validated as one job branch.
+    out = None
+    for r in pairs.collect():
+        v = Cat.validate_relationship(views[r["left_table"]], r["left_column"], views[r["right_table"]],
+                                      r["right_column"], f"{r['left_table']}_{r['right_table']}")
+        out = v if out is None else out.unionByName(v)
+    return out

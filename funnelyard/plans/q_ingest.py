@@ -1 +1,118 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered staging / normalisation / upsert / fingerprint queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from funnelyard.operators import ingest as A
+from funnelyard.plans.oracle_views import with_views
+from funnelyard.plans.registry import register
+from funnelyard.sources import bindings as B
+from funnelyard.sources.tables import read_table
+
+_DS = "coalesce(nullif(trim(segment), ''), 'BLANK')"
+_STAGED_C = ("st", f"select {_DS} as dataset_id, row_number() over (partition by {_DS} order by row_number) as row_number, "
+                   "to_json(struct_pack(row_number := row_number, name := name, email := email, segment := segment, "
+                   "amount := amount)) as raw_data, 'pending' as cleaning_status from C")
+
+
+def _staged_c(spark, sf_dir):
+    c = B.dirty_records(spark, sf_dir)
+    ds = F.coalesce(F.nullif(F.trim("segment"), F.lit("")), F.lit("BLANK"))
+    return A.stage_records(c, ds, ["row_number"])
+
+
+# ---------------------------------------------------------------- A2
+@register("stage_records", with_views("select * from st", "C", extra=[_STAGED_C]))
+def q_stage_records(spark, sf_dir):
+    return _staged_c(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- A3
+@register("expand_staged_events", with_views(
+    "select event_type as dataset_id, row_number() over (partition by event_type order by event_id) as row_number, "
+    "json_extract_string(props, '$.k') as k_value, json_extract_string(props, '$.missing') as absent from events"))
+def q_expand_staged(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    from funnelyard.functions.ordinal import ordinal_within
+    staged = ordinal_within(ev.select(F.col("event_type").alias("dataset_id"), "event_id",
+                                      F.col("props").alias("raw_data")), ["dataset_id"], ["event_id"])
+    return A.expand_staged(staged, {"k_value": "k", "absent": "missing"})
+
+
+# ---------------------------------------------------------------- A4
+_MAP = {"owner": "name", "source": "segment", "cy_leads": "amount", "py_leads": "row_number"}
+
+
+def _num(x):
+    return (f"cast(round(try_cast(replace(trim({x}), ',', '') as decimal(38,6)), 0) as bigint)")
+
+
+@register("normalise_metrics", with_views(f"""
+select dataset_id, row_number, null::varchar as cluster, null::varchar as lead_type, null::varchar as main_source,
+  nullif(trim(json_extract_string(raw_data, '$.name')), '') as owner,
+  nullif(trim(json_extract_string(raw_data, '$.segment')), '') as source,
+  null::varchar as campus_name, null::varchar as state, null::varchar as program_name,
+  coalesce({_num("nullif(trim(json_extract_string(raw_data, '$.amount')), '')")}, 0) as cy_leads,
+  0::bigint as cy_registration, 0::bigint as cy_admission,
+  coalesce({_num("nullif(trim(json_extract_string(raw_data, '$.row_number')), '')")}, 0) as py_leads,
+  0::bigint as py_registration, 0::bigint as py_admission,
+  array_to_string(list_filter([case when nullif(trim(json_extract_string(raw_data, '$.amount')), '') is not null
+      and {_num("nullif(trim(json_extract_string(raw_data, '$.amount')), '')")} is null then 'cy_leads' end,
+    case when nullif(trim(json_extract_string(raw_data, '$.row_number')), '') is not null
+      and {_num("nullif(trim(json_extract_string(raw_data, '$.row_number')), '')")} is null then 'py_leads' end],
+    lambda x: x is not null), '|') as rejects
+from st""", "C", extra=[_STAGED_C]))
+def q_normalise_metrics(spark, sf_dir):
+    out = A.normalise_metrics(_staged_c(spark, sf_dir), _MAP)
+    return out.withColumn("rejects", F.array_join("rejects", "|")).drop("rejected")
+
+
+# ---------------------------------------------------------------- A6
+def _li(spark, sf_dir):
+    return read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax", "l_linestatus", "l_shipdate")
+
+
+def _upsert_q(keep_old):
+    def q(spark, sf_dir):
+        li = _li(spark, sf_dir)
+        base = (li.filter(F.col("l_linestatus") == "O").groupBy("l_orderkey", "l_linenumber")
+                .agg(F.max_by(F.struct("l_quantity", "l_tax"), F.struct("l_shipdate", "l_partkey")).alias("b"))
+                .select("l_orderkey", "l_linenumber", "b.l_quantity", "b.l_tax"))
+        upd = li.filter(F.col("l_linestatus") == "F").select(
+            "l_orderkey", "l_linenumber", "l_quantity", F.nullif("l_tax", F.lit(0.0)).alias("l_tax"),
+            F.struct("l_shipdate", "l_partkey").alias("_ord"))
+        return A.upsert(base, upd, ["l_orderkey", "l_linenumber"], "_ord", keep_old_if_null=keep_old)
+    return q
+
+
+def _upsert_sql(keep_old):
+    tax = "coalesce(u.l_tax, b.l_tax)" if keep_old else "u.l_tax"
+    return f"""
+with b as (select l_orderkey, l_linenumber, w.q as l_quantity, w.t as l_tax from (
+             select l_orderkey, l_linenumber, arg_max(struct_pack(q := l_quantity, t := l_tax), (l_shipdate, l_partkey)) as w
+             from lineitem where l_linestatus = 'O' group by 1, 2) b0),
+u as (select l_orderkey, l_linenumber, w.q as l_quantity, w.t as l_tax, true as has_u from (
+        select l_orderkey, l_linenumber, arg_max(struct_pack(q := l_quantity, t := nullif(l_tax, 0.0)),
+               (l_shipdate, l_partkey)) as w
+        from lineitem where l_linestatus = 'F' group by 1, 2) u0)
+select coalesce(b.l_orderkey, u.l_orderkey) as l_orderkey, coalesce(b.l_linenumber, u.l_linenumber) as l_linenumber,
+  case when u.has_u then u.l_quantity else b.l_quantity end as l_quantity,
+  case when u.has_u then {tax} else b.l_tax end as l_tax,
+  case when b.l_orderkey is null then 'inserted' when u.has_u then 'updated' else 'base' end as _source
+from b full outer join u on b.l_orderkey = u.l_orderkey and b.l_linenumber = u.l_linenumber"""
+
+
+register("upsert_last_write_wins", _upsert_sql(False))(_upsert_q(False))
+register("upsert_keep_old_if_null", _upsert_sql(True))(_upsert_q(True))
+
+
+# ---------------------------------------------------------------- A7
+@register("find_duplicate_documents", """
+select doc_id, digest, prev_id is not null as is_duplicate, prev_id as duplicate_of from (
+  select doc_id, sha256(text) as digest,
+         lag(doc_id) over (partition by sha256(text) order by doc_id) as prev_id from documents) d""")
+def q_find_duplicates(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return A.find_duplicates(docs, "doc_id", "text", "doc_id")
