@@ -27,15 +27,18 @@ NUMBER_FIELDS = ("cy_leads", "cy_registration", "cy_admission", "py_leads", "py_
 
 
 # ---------------------------------------------------------------------- A2
-def stage_records(df: DataFrame, dataset_id: str | Column, order_by: Sequence[str]) -> DataFrame:
+def stage_records(df: DataFrame, dataset_id: str | Column, order_by: Sequence[str | Column],
+                  payload: Sequence[str] | None = None) -> DataFrame:
     """A2 — one JSON document per row (nulls kept as ``null``), a dense
     1-based ``row_number`` per dataset in ``order_by`` order, status
-    ``pending``."""
+    ``pending``.  ``payload`` limits the JSON to some columns (default all)."""
     ds = F.lit(dataset_id) if isinstance(dataset_id, str) else dataset_id
-    raw = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
-    staged = df.select(ds.alias("dataset_id"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)],
+    cols = list(payload) if payload is not None else df.columns
+    raw = F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})
+    keys = [F.col(o) if isinstance(o, str) else o for o in order_by]
+    staged = df.select(ds.alias("dataset_id"), *[k.alias(f"_o{i}") for i, k in enumerate(keys)],
                        raw.alias("raw_data"))
-    numbered = ordinal_within(staged, ["dataset_id"], [f"_o{i}" for i in range(len(order_by))])
+    numbered = ordinal_within(staged, ["dataset_id"], [f"_o{i}" for i in range(len(keys))])
     return numbered.select("dataset_id", "row_number", "raw_data",
                            F.lit("pending").alias("cleaning_status"))
 

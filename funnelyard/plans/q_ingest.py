@@ -116,3 +116,37 @@ select doc_id, digest, prev_id is not null as is_duplicate, prev_id as duplicate
 def q_find_duplicates(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return A.find_duplicates(docs, "doc_id", "text", "doc_id")
+
+
+# ---------------------------------------------------------------- A10
+@register("incremental_ingest", with_views(f"""
+select dataset_id, row_number, null::varchar as cluster, null::varchar as lead_type, null::varchar as main_source,
+  nullif(trim(name), '') as owner, nullif(trim(segment), '') as source,
+  null::varchar as campus_name, null::varchar as state, null::varchar as program_name,
+  coalesce({_num("nullif(trim(amount), '')")}, 0) as cy_leads, 0::bigint as cy_registration,
+  0::bigint as cy_admission, coalesce({_num("nullif(trim(cast(rn0 as varchar)), '')")}, 0) as py_leads,
+  0::bigint as py_registration, 0::bigint as py_admission,
+  array_to_string(list_filter([case when nullif(trim(amount), '') is not null and {_num("nullif(trim(amount), '')")} is null
+    then 'cy_leads' end], lambda x: x is not null), '|') as rejects
+from (select {_DS} as dataset_id, row_number() over (partition by {_DS} order by row_number) as row_number,
+        row_number as rn0, name, segment, amount from C) s""", "C"))
+def q_incremental_ingest(spark, sf_dir):
+    """Writes the dirty records as one CSV folder per dataset into the shared
+    checkpoint folder, ingests them with an availableNow streaming query and
+    reads the resulting metrics table back."""
+    import uuid
+    from funnelyard.session import ensure_checkpoint_dir
+    from funnelyard.streaming.ingest_stream import ingest_stream
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/funnelyard-ingest-{uuid.uuid4().hex}"
+    c = B.dirty_records(spark, sf_dir)
+    c = c.withColumn("ds", F.coalesce(F.nullif(F.trim("segment"), F.lit("")), F.lit("BLANK")))
+    (c.select("row_number", "name", "email", "segment", "amount", "ds").write.partitionBy("ds")
+     .option("header", "true").option("ignoreLeadingWhiteSpace", "false")
+     .option("ignoreTrailingWhiteSpace", "false").csv(f"{root}/in"))
+    q = ingest_stream(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint",
+                      ["row_number", "name", "email", "segment", "amount"], _MAP,
+                      order_by=[F.col("row_number").cast("long")])
+    q.awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.select("dataset_id", "row_number", *A.TEXT_FIELDS, *A.NUMBER_FIELDS,
+                      F.array_join("rejects", "|").alias("rejects"))
