@@ -72,26 +72,49 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+METRICS_PATH_CONF = "funnelyard.metrics.path"
+
+
 def metrics(spark: SparkSession, sf_dir: str, sessions: Sequence[int] = SESSIONS,
             blanks: bool = False) -> DataFrame:
     """M: each fact row lands in every session whose end year (cy) is its year
     or the year after.  Done with a per-row ``explode`` of at most two
-    candidates, so no join against the session list is needed."""
+    candidates, so no join against the session list is needed.
+
+    When the session conf ``funnelyard.metrics.path`` names a stored metrics
+    table (written by :func:`materialize_metrics`, partitioned by
+    ``dataset_id``) it is read instead, and dataset filters prune partitions.
+    """
+    stored = spark.conf.get(METRICS_PATH_CONF, None)
+    if stored:
+        m = spark.read.parquet(stored).select("dataset_id", *DIMENSIONS, *MEASURES)
+    else:
+        m = derive_metrics(spark, sf_dir, sessions)
+    if blanks:
+        m = m.select("dataset_id", *[F.nullif(F.col(d), F.lit(BLANKED[d])).alias(d) if d in BLANKED
+                                     else F.col(d) for d in DIMENSIONS], *MEASURES)
+    return m
+
+
+def derive_metrics(spark: SparkSession, sf_dir: str, sessions: Sequence[int] = SESSIONS) -> DataFrame:
     f = fact(spark, sf_dir)
     known = F.array(*[F.lit(int(s)) for s in sessions])
     f = f.withColumn("cy", F.explode(F.filter(F.array(F.col("yr"), F.col("yr") + 1),
                                               lambda c: F.array_contains(known, c))))
     cur, prev = F.col("yr") == F.col("cy"), F.col("yr") == F.col("cy") - 1
-    dims = [F.col(d) for d in DIMENSIONS]
-    if blanks:
-        dims = [F.nullif(F.col(d), F.lit(v)).alias(d) if d in BLANKED else F.col(d)
-                for d in DIMENSIONS for v in [BLANKED.get(d)]]
     measures = []
     for prefix, cond in (("cy", cur), ("py", prev)):
         for s in STAGES:
             measures.append(F.when(cond, F.col(s)).otherwise(0).cast("long").alias(f"{prefix}_{s}"))
     return f.select(F.concat(F.lit("ds"), F.col("cy").cast("string")).alias("dataset_id"),
-                    *dims, *measures)
+                    *[F.col(d) for d in DIMENSIONS], *measures)
+
+
+def materialize_metrics(spark: SparkSession, sf_dir: str, path: str,
+                        sessions: Sequence[int] = SESSIONS) -> None:
+    """Ingest step: derive M once and store it partitioned by dataset_id."""
+    from funnelyard.sources.sinks import write_metrics
+    write_metrics(derive_metrics(spark, sf_dir, sessions), path)
 
 
 # Members turned into NULL in the "blank" variant of M (edge cases for blank handling).
