@@ -188,3 +188,139 @@ def q_validate_discovered(spark, sf_dir):
                                       r["right_column"], f"{r['left_table']}_{r['right_table']}")
         out = v if out is None else out.unionByName(v)
     return out
+
+
+# ---------------------------------------------------------------- C3
+from funnelyard.operators import semantics as S  # noqa: E402
+
+_VIEW_COLUMNS = {
+    "metrics": ("dataset_id",) + tuple(B.DIMENSIONS) + tuple(B.MEASURES),
+    "dirty_records": ("row_number", "name", "email", "segment", "amount"),
+    "turns": ("message_id", "conv_id", "turn", "question", "answer", "eval_status", "eval_error_category"),
+}
+
+
+def _semantic_catalog(spark, sf_dir):
+    tables = {t: read_table(spark, sf_dir, t) for t in TABLES}
+    tables.update({"metrics": B.metrics(spark, sf_dir), "dirty_records": B.dirty_records(spark, sf_dir),
+                   "turns": B.turns(spark, sf_dir)})
+    return Cat.catalog_from_tables(spark, tables)
+
+
+def _norm_sql(x):
+    return (f"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({x})), '[_-]', ' ', 'g'), "
+            f"'[^a-z0-9% ]+', ' ', 'g'), '\\s+', ' ', 'g'))")
+
+
+def _tok_sql(x):
+    return f"list_distinct(list_filter(string_split({x}, ' '), lambda t: length(t) > 1))"
+
+
+def _c3_sql():
+    syn = ", ".join(f"({i}, '{k}', '{d}', '{c}', '{S.ROLE_OF_CATEGORY.get(c, 'unknown')}', '{s}')"
+                    for i, (k, d, c, syns) in enumerate(S.CONCEPTS) for s in syns)
+    cols = ("select table_name, column_name from information_schema.columns where table_name in ("
+            + ", ".join(f"'{t}'" for t in TABLES) + ") union all select * from (values "
+            + ", ".join(f"('{t}', '{c}')" for t, cs in _VIEW_COLUMNS.items() for c in cs) + ") v(table_name, column_name)")
+    rule = ("case when regexp_matches(r, '\\bcy\\b') and contains(r, 'lead') and contains(r, 'admission') and contains(r, '%') "
+            "then 'lead_admission_rate|current_year' "
+            "when regexp_matches(r, '\\bcy\\b') and contains(r, 'lead') and contains(r, 'cucet') and contains(r, '%') "
+            "then 'lead_cucet_rate|current_year' "
+            "when regexp_matches(r, '\\bcy\\b') and contains(r, 'cucet') and contains(r, 'admission') and contains(r, '%') "
+            "then 'cucet_admission_rate|current_year' "
+            "when contains(r, 'lead') and regexp_matches(r, '\\bpy\\b') then 'leads|previous_year' "
+            "when contains(r, 'lead') and regexp_matches(r, '\\bcy\\b') then 'leads|current_year' "
+            "when contains(r, 'cucet') and regexp_matches(r, '\\bpy\\b') then 'cucet|previous_year' "
+            "when contains(r, 'cucet') and regexp_matches(r, '\\bcy\\b') then 'cucet|current_year' "
+            "when (contains(r, 'admission') or regexp_matches(r, '\\badm\\b')) and regexp_matches(r, '\\bpy\\b') "
+            "then 'admission|previous_year' "
+            "when (contains(r, 'admission') or regexp_matches(r, '\\badm\\b')) and regexp_matches(r, '\\bcy\\b') "
+            "then 'admission|current_year' end")
+    tctx = ("case when regexp_matches(r, '\\bpy\\b') then 'previous_year' when regexp_matches(r, '\\bcy\\b') "
+            "then 'current_year' when regexp_extract(r, '\\b(20\\d{2})\\b', 1) <> '' "
+            "then regexp_extract(r, '\\b(20\\d{2})\\b', 1) end")
+    score = ("case when c.n = s.sn then 1.0 when len(s.st) > 0 and list_has_all(c.tok, s.st) then "
+             "(case when len(s.st) > 1 then 0.95 else 0.90 end) when len(c.tok) > 0 and len(s.st) > 0 and "
+             "len(list_intersect(c.tok, s.st)) / len(s.st) >= 0.5 then len(list_intersect(c.tok, s.st)) / len(s.st) * 0.70 "
+             "else 0.0 end")
+    return with_views(f"""
+select table_name, column_name, concept_key, display_name, category, data_role, score, time_context, rank from (
+  select c.table_name, c.column_name, k.concept_key, k.display_name, k.category, 'metric' as data_role, 1.0::double as score,
+         split_part(c.rule, '|', 2) as time_context, 1 as rank
+  from cc c join (select distinct concept_key, display_name, category from syn) k on k.concept_key = split_part(c.rule, '|', 1)
+  where c.rule is not null
+  union all
+  select table_name, column_name, concept_key, display_name, category, data_role, round(score, 4), time_context, rank from (
+    select *, row_number() over (partition by table_name, column_name order by score desc, concept_order) as rank,
+           max(case when score = 1.0 then 1 else 0 end) over (partition by table_name, column_name) as ex from (
+      select c.table_name, c.column_name, c.tctx as time_context, s.concept_order, s.concept_key, s.display_name,
+             s.category, s.data_role, max({score})::double as score
+      from cc c, (select *, {_norm_sql('synonym')} as sn, {_tok_sql(_norm_sql('synonym'))} as st from syn) s
+      where c.rule is null group by all) x where score >= 0.70) y
+  where (ex = 1 and rank = 1) or (ex = 0 and rank <= 5)) z
+""", extra=[("syn", f"select * from (values {syn}) as s(concept_order, concept_key, display_name, category, data_role, synonym)"),
+            ("cat0", cols),
+            ("cc", f"select table_name, column_name, r, n, {_tok_sql('n')} as tok, {rule} as rule, {tctx} as tctx from ("
+                   f"select table_name, column_name, lower(trim(column_name)) as r, {_norm_sql('column_name')} as n from cat0) q")])
+
+
+@register("infer_semantics", _c3_sql())
+def q_infer_semantics(spark, sf_dir):
+    return S.infer_semantics(_semantic_catalog(spark, sf_dir)).drop("data_type")
+
+
+# ---------------------------------------------------------------- C6
+_PHYS_TABLES = {"enquiries": (("lead_id", "bigint"), ("main_source", "string"), ("source", "string"),
+                              ("event_date", "date")),
+                "cucet_registrations": (("lead_id", "bigint"), ("event_date", "date")),
+                "admissions": (("lead_id", "bigint"), ("event_date", "date")),
+                "uploaded_metrics": (("dataset_id", "string"),) + tuple((d, "string") for d in B.DIMENSIONS)
+                + tuple((m, "bigint") for m in B.MEASURES)}
+
+
+def _c6_sql():
+    cat = ", ".join(f"('{t}', '{c}', '{ty}', {i + 1})" for t, cs in _PHYS_TABLES.items()
+                    for i, (c, ty) in enumerate(cs))
+    prof = ", ".join(f"('{c}', '{k}', '{n}')" for c, p in S.PHYSICAL_PROFILES.items() for k, ns in p.items() for n in ns)
+    nn = ("trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({x})), '[_-]', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), "
+          "' +', ' ', 'g'))")
+    role = ("case when contains(nc, 'date') or contains(nc, 'time') then 'date' "
+            "when contains(nc, 'status') or nc in ('exam status', 'admission status', 'lead status') then 'status' "
+            "when nc = 'id' then 'technical_identifier' when ends_with(nc, ' id') or ends_with(nc, ' code') then 'identifier' "
+            "when nc in ('program', 'program name', 'campus', 'campus name', 'cluster', 'state', 'state name', 'city', "
+            "'district', 'country', 'source', 'main source', 'lead type', 'owner') then 'dimension' "
+            "when data_type in ('bigint', 'int', 'smallint', 'tinyint', 'double', 'float') then 'numeric' "
+            "else 'attribute' end")
+    return with_views(f"""
+select concept_key, table_schema, table_name, column_name, column_role, data_type, confidence, rank from (
+  select *, row_number() over (partition by concept_key order by confidence desc,
+     case column_role when 'entity' then 3 when 'date' then 2 when 'status' then 1 else 0 end desc,
+     table_name, position, column_role) as rank
+  from (select distinct concept_key, table_schema, table_name, column_name, column_role, data_type, position,
+          round(least(1.0, (case when tmatch then 0.5 else 0.0 end) +
+                (case when exists (select 1 from prof p where p.concept_key = x.concept_key and p.kind =
+                  (case when x.column_role in ('entity', 'date', 'status') then x.column_role else 'columns' end)
+                  and p.name = x.nc) then 0.5 else 0.0 end)), 4)::double as confidence
+        from (
+          select p.concept_key, 'main' as table_schema, c.table_name, c.column_name, c.data_type, c.position, c.nc,
+                 r.role as column_role, true as tmatch
+          from cat c join prof p on p.kind = 'table' and p.name = c.nt
+            and p.concept_key in ('leads', 'cucet', 'admission')
+          cross join (values ('entity'), ('date'), ('status')) r(role)
+          union all
+          select k.concept_key, 'main', c.table_name, c.column_name, c.data_type, c.position, c.nc, c.inferred,
+                 exists (select 1 from prof p where p.kind = 'table' and p.concept_key = k.concept_key and p.name = c.nt)
+          from cat c cross join (values ('program'), ('campus'), ('state')) k(concept_key)) x) y
+  where confidence >= 0.5) z where rank <= 10
+""", extra=[("prof0", f"select * from (values {prof}) as p(concept_key, kind, name0)"),
+            ("prof", f"select distinct concept_key, kind, {nn.format(x='name0')} as name from prof0"),
+            ("cat1", f"select * from (values {cat}) as c(table_name, column_name, data_type, position)"),
+            ("cat", f"select *, {role} as inferred from (select *, {nn.format(x='table_name')} as nt, "
+                    f"{nn.format(x='column_name')} as nc from cat1) q")])
+
+
+@register("map_physical", _c6_sql())
+def q_map_physical(spark, sf_dir):
+    views = {"enquiries": B.lead_events(spark, sf_dir), "cucet_registrations": B.registration_events(spark, sf_dir),
+             "admissions": B.admission_events(spark, sf_dir), "uploaded_metrics": B.metrics(spark, sf_dir)}
+    return S.map_physical(Cat.catalog_from_tables(spark, views))
