@@ -132,3 +132,13 @@ def flag_by_zero(leads: str | Column, admissions: str | Column,
 def ci_equals(c: str | Column, value: str) -> Column:
     """Case-insensitive equality with a literal."""
     return F.lower(col(c)) == F.lit(value.lower())
+
+
+def bounded_rows(df, limit: int, what: str = "rows") -> list:
+    """Read a small metadata result (e.g. the datasets a request resolves
+    to) on the driver, refusing if it exceeds ``limit`` rows.  Used only to
+    turn request parameters into static partition filters; never for data."""
+    got = df.limit(limit + 1).collect()
+    if len(got) > limit:
+        raise ValueError(f"{what}: more than {limit} rows; refusing to read them on the driver")
+    return got

@@ -186,19 +186,24 @@ def discover_relationships(catalog: DataFrame, keys: Sequence[str] = RELATIONSHI
 
 
 # ---------------------------------------------------------------------- C9
-def validate_relationship(left: DataFrame, left_col: str, right: DataFrame, right_col: str,
-                          pair_id: str = "pair") -> DataFrame:
-    """C9 — value overlap of one candidate join.  Both sides' distinct
-    non-null values are unioned and grouped once by value; the counts of
-    rows, distinct values and matches come out of the same job.
-    ``score = matches / min(distinct)`` (4 decimals): verified >= 0.80,
-    possible >= 0.50, else rejected."""
-    lv = left.select(F.col(left_col).cast("string").alias("v"), F.lit(1).alias("s"))
-    rv = right.select(F.col(right_col).cast("string").alias("v"), F.lit(2).alias("s"))
-    rows = lv.unionByName(rv)
-    per_value = rows.groupBy("v").agg(F.count_if(F.col("s") == 1).alias("nl"),
-                                      F.count_if(F.col("s") == 2).alias("nr"))
-    t = per_value.agg(
+def validate_relationships(pairs: Sequence[tuple]) -> DataFrame:
+    """C9 for many candidates in ONE job: ``pairs`` is a list of
+    ``(pair_id, left_df, left_col, right_df, right_col)``.  All key values
+    are unioned as ``(pair, side, value)`` and grouped once by
+    ``(pair, value)`` (map-side combined, so a hot value is collapsed per
+    partition), then once by pair."""
+    parts = []
+    for pid, left, lcol, right, rcol in pairs:
+        parts.append(left.select(F.lit(pid).alias("pair"), F.col(lcol).cast("string").alias("v"),
+                                 F.lit(1).alias("s")))
+        parts.append(right.select(F.lit(pid).alias("pair"), F.col(rcol).cast("string").alias("v"),
+                                  F.lit(2).alias("s")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    per_value = rows.groupBy("pair", "v").agg(F.count_if(F.col("s") == 1).alias("nl"),
+                                              F.count_if(F.col("s") == 2).alias("nr"))
+    t = per_value.groupBy("pair").agg(
         F.coalesce(F.sum("nl"), F.lit(0)).cast("long").alias("left_row_count"),
         F.coalesce(F.sum("nr"), F.lit(0)).cast("long").alias("right_row_count"),
         F.count_if(F.col("v").isNotNull() & (F.col("nl") > 0)).alias("left_distinct"),
@@ -209,12 +214,18 @@ def validate_relationship(left: DataFrame, left_col: str, right: DataFrame, righ
     s4 = F.when(small == 0, F.lit(0).cast("long")).otherwise(
         F.least(F.lit(10000).cast("long"),
                 F.call_function("div", F.col("matching_values") * 20000 + small, small * 2)))
-    score = s4.cast("double") / 10000
-    return t.select(F.lit(pair_id).alias("pair"), "left_row_count", "right_row_count", "left_distinct",
-                    "right_distinct", "matching_values",
+    return t.select("pair", "left_row_count", "right_row_count", "left_distinct", "right_distinct",
+                    "matching_values",
                     (F.col("left_distinct") - F.col("matching_values")).alias("left_unmatched"),
                     (F.col("right_distinct") - F.col("matching_values")).alias("right_unmatched"),
-                    score.alias("validation_score"),
+                    (s4.cast("double") / 10000).alias("validation_score"),
                     F.when(s4 >= int(VERIFIED * 10000), "verified").when(s4 >= int(POSSIBLE * 10000), "possible")
                     .otherwise("rejected").alias("status"))
 
+
+def validate_relationship(left: DataFrame, left_col: str, right: DataFrame, right_col: str,
+                          pair_id: str = "pair") -> DataFrame:
+    """C9 — value overlap of one candidate join: distinct non-null values
+    each side, matches, ``score = matches / min(distinct)`` (4 decimals):
+    verified >= 0.80, possible >= 0.50, else rejected; unmatched counts."""
+    return validate_relationships([(pair_id, left, left_col, right, right_col)])

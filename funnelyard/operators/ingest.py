@@ -90,29 +90,35 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], order_col:
     """A6 — insert or overwrite rows by key.
 
     When ``updates`` repeats a key, the row with the largest ``order_col``
-    wins (``max_by``).  With ``keep_old_if_null`` an update's null field
-    keeps the existing value (COALESCE-style upsert).  Output has every base
-    and update key once, plus ``_source`` = base / inserted / updated.
+    wins.  With ``keep_old_if_null`` an update's null field keeps the
+    existing value (COALESCE-style upsert).  Output has every base and
+    update key once, plus ``_source`` = base / inserted / updated.
+
+    Plan: base and updates are unioned and grouped once by key; ``max_by``
+    picks the latest update and the base row (combined map-side, so a key
+    repeated many times never meets in one task as raw rows).  One shuffle,
+    no join between the two large inputs.
     """
     values = [c for c in base.columns if c not in keys]
     oc = F.col(order_col) if isinstance(order_col, str) else order_col
-    latest = (updates.groupBy(*keys)
-              .agg(F.max_by(F.struct(*[F.col(c) for c in values]), oc).alias("_u"))
-              .select(*keys, *[F.col(f"_u.{c}").alias(f"_new_{c}") for c in values],
-                      F.lit(True).alias("_has_u")))
-    b = base.select(*keys, *values, F.lit(True).alias("_has_b"))
-    j = b.join(latest, list(keys), "full")
+    payload = F.struct(*[F.col(c) for c in values])
+    b = base.select(*keys, payload.alias("_v"), F.lit(None).cast(updates.select(oc.alias("o")).schema[0].dataType)
+                    .alias("_ord"), F.lit(0).alias("_side"))
+    u = updates.select(*keys, F.struct(*[F.col(c) for c in values]).alias("_v"), oc.alias("_ord"),
+                       F.lit(1).alias("_side"))
+    g = b.unionByName(u).groupBy(*keys).agg(
+        F.max_by("_v", F.when(F.col("_side") == 1, F.col("_ord"))).alias("_new"),
+        F.max_by("_v", F.when(F.col("_side") == 0, F.lit(1))).alias("_old"),
+        F.max("_side").alias("_has_u"), F.min("_side").alias("_has_b0"))
+    has_u = F.col("_has_u") == 1
     outs = []
     for c in values:
-        new = F.col(f"_new_{c}")
-        if keep_old_if_null:
-            val = F.when(F.col("_has_u").isNotNull(), F.coalesce(new, F.col(c))).otherwise(F.col(c))
-        else:
-            val = F.when(F.col("_has_u").isNotNull(), new).otherwise(F.col(c))
+        new, old = F.col(f"_new.{c}"), F.col(f"_old.{c}")
+        val = F.when(has_u, F.coalesce(new, old) if keep_old_if_null else new).otherwise(old)
         outs.append(val.alias(c))
-    src = (F.when(F.col("_has_b").isNull(), F.lit("inserted"))
-           .when(F.col("_has_u").isNotNull(), F.lit("updated")).otherwise(F.lit("base")))
-    return j.select(*keys, *outs, src.alias("_source"))
+    src = (F.when(F.col("_has_b0") == 1, F.lit("inserted"))
+           .when(has_u, F.lit("updated")).otherwise(F.lit("base")))
+    return g.select(*keys, *outs, src.alias("_source"))
 
 
 # ---------------------------------------------------------------------- A7

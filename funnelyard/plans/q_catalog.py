@@ -165,11 +165,8 @@ from (select ld, rd, m, case when least(ld, rd) = 0 then 0
 
 @register("validate_relationships", "\nunion all\n".join(_validate_sql(*p) for p in _PAIRS))
 def q_validate_relationships(spark, sf_dir):
-    out = None
-    for pid, lt, lc, rt, rc in _PAIRS:
-        v = Cat.validate_relationship(read_table(spark, sf_dir, lt), lc, read_table(spark, sf_dir, rt), rc, pid)
-        out = v if out is None else out.unionByName(v)
-    return out
+    return Cat.validate_relationships([(pid, read_table(spark, sf_dir, lt), lc, read_table(spark, sf_dir, rt), rc)
+                                       for pid, lt, lc, rt, rc in _PAIRS])
 
 
 @register("validate_discovered_relationships", with_views("\nunion all\n".join(
@@ -180,14 +177,13 @@ def q_validate_relationships(spark, sf_dir):
 def q_validate_discovered(spark, sf_dir):
     views = {"e_leads": B.lead_events(spark, sf_dir), "e_registrations": B.registration_events(spark, sf_dir),
              "e_admissions": B.admission_events(spark, sf_dir)}
-    pairs = Cat.discover_relationships(_view_catalog(spark, sf_dir))
-    # The candidate list is metadata (a handful of rows); each candidate is validated as one job branch.
-    out = None
-    for r in pairs.collect():
-        v = Cat.validate_relationship(views[r["left_table"]], r["left_column"], views[r["right_table"]],
-                                      r["right_column"], f"{r['left_table']}_{r['right_table']}")
-        out = v if out is None else out.unionByName(v)
-    return out
+    # The candidate list is catalog metadata (schemas, not data): it is read on
+    # the driver to decide which columns to scan; all candidates are then
+    # validated in one job.
+    pairs = Cat.discover_relationships(_view_catalog(spark, sf_dir)).collect()
+    return Cat.validate_relationships([(f"{r['left_table']}_{r['right_table']}", views[r["left_table"]],
+                                        r["left_column"], views[r["right_table"]], r["right_column"])
+                                       for r in pairs])
 
 
 # ---------------------------------------------------------------- C3
