@@ -334,3 +334,80 @@ def q_restrict_to(spark, sf_dir):
     return rows.groupBy("program_name", "state").agg(
         F.coalesce(F.sum("cy_leads"), F.lit(0)).cast("long").alias("leads"))
 
+
+
+# ---------------------------------------------------------------- B7 / B9 / E1 / E2 / E4-E6 (explicit)
+from funnelyard.functions.core import blank_label  # noqa: E402
+from funnelyard.operators import compare as Cmp  # noqa: E402
+from funnelyard.operators.funnel import norm_level  # noqa: E402
+from funnelyard.plans.sqlfrag import blank  # noqa: E402
+
+
+@register("blank_label_members", with_views(
+    f"select {blank('source')} as source_label, {blank('state')} as state_label, count(*) as rows "
+    "from MB where dataset_id = 'ds2024' group by all", "MB"))
+def q_blank_label(spark, sf_dir):
+    m = B.metrics(spark, sf_dir, blanks=True)
+    return (Mx.for_dataset(m, "ds2024").groupBy(blank_label("source").alias("source_label"),
+                                                 blank_label("state").alias("state_label"))
+            .agg(F.count(F.lit(1)).alias("rows")))
+
+
+def _lvl(c, level):
+    from funnelyard.plans.q_funnel import _lvl_sql
+    return _lvl_sql(c, level)
+
+
+@register("hierarchy_labels", with_views(
+    f"select {_lvl('lead_type', 1)} as l1, {_lvl('source', 2)} as l2, {_lvl('main_source', 3)} as l3, "
+    "count(*) as rows from MB where dataset_id = 'ds2026' group by all", "MB"))
+def q_hierarchy_labels(spark, sf_dir):
+    m = B.metrics(spark, sf_dir, blanks=True)
+    return (Mx.for_dataset(m, "ds2026").groupBy(norm_level("lead_type", 1).alias("l1"),
+                                                 norm_level("source", 2).alias("l2"),
+                                                 norm_level("main_source", 3).alias("l3"))
+            .agg(F.count(F.lit(1)).alias("rows")))
+
+
+@register("member_filter", with_views(
+    f"select program_name, {lsum('cy_leads')} as leads from M where dataset_id = 'ds2026' "
+    "and lower(campus_name) = 'asia' group by 1", "M"))
+def q_member_filter(spark, sf_dir):
+    d = Mx.member_filter(Mx.for_dataset(B.metrics(spark, sf_dir), "ds2026"),
+                         {"campus": "asia", "state": "ALL", "source": "  "}, Mx.DASHBOARD_FILTERS)
+    return d.groupBy("program_name").agg(F.coalesce(F.sum("cy_leads"), F.lit(0)).cast("long").alias("leads"))
+
+
+@register("member_filter_blank", with_views(
+    f"select source, {lsum('cy_leads')} as leads from MB where dataset_id = 'ds2024' "
+    f"and lower({blank('state')}) = 'unspecified' group by 1", "MB"))
+def q_member_filter_blank(spark, sf_dir):
+    d = Mx.member_filter(Mx.for_dataset(B.metrics(spark, sf_dir, blanks=True), "ds2024"),
+                         {"state": "unspecified"}, blank="Unspecified")
+    return d.groupBy("source").agg(F.coalesce(F.sum("cy_leads"), F.lit(0)).cast("long").alias("leads"))
+
+
+@register("change_filter_increased", with_views(
+    "select * from ws where absolute_change > 0", extra=[("ws", "select * from (" + __import__(
+        "funnelyard.plans.q_compare", fromlist=["_WS"])._WS + ") w")]))
+def q_change_filter(spark, sf_dir):
+    ws = Cmp.period_workspace(B.metrics(spark, sf_dir), Cmp.PeriodRef("ds2022"), Cmp.PeriodRef("ds2024"))
+    return Cmp.change_filter(ws, "increased", "absolute_change")
+
+
+def _yoy_state_sql(where: str) -> str:
+    from funnelyard.plans.q_compare import _member_yoy_cte
+    return with_views(where, "M", extra=[("c", _member_yoy_cte("M", "ds2026", "state"))])
+
+
+@register("direction_filter", _yoy_state_sql("""
+select * from c where case when (select count(*) from c where rate_change > 0) > 0 then rate_change > 0
+  when (select count(*) from c where admission_change > 0) > 0 then admission_change > 0 else true end"""))
+def q_direction_filter(spark, sf_dir):
+    return Mx.direction_filter(Cmp.member_yoy(B.metrics(spark, sf_dir), "ds2026", "state"), "increase")
+
+
+@register("contains_filter_fallback", _yoy_state_sql("""
+select * from c where contains(lower(member), 'zzz') or (select count(*) from c where contains(lower(member), 'zzz')) = 0"""))
+def q_contains_filter(spark, sf_dir):
+    return Mx.contains_filter(Cmp.member_yoy(B.metrics(spark, sf_dir), "ds2026", "state"), "member", "ZZZ")
