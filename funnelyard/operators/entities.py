@@ -98,42 +98,56 @@ def choose_dimension(matched: DataFrame, names: DataFrame,
 
 
 # ---------------------------------------------------------------------- H2
+def _first_tier(cands: DataFrame) -> DataFrame:
+    """Candidates of the first tier that has any hit, per name."""
+    first = cands.groupBy("name").agg(F.min("tier").alias("tier"))
+    return cands.join(first, ["name", "tier"]).dropDuplicates(["name", "dimension", "member"])
+
+
 def _decide(cands: DataFrame) -> DataFrame:
     """From (name, tier, dimension, member, prefix) candidates: the first tier
     with a hit decides; one distinct candidate resolves, several are
-    ambiguous (tier 4 prefers a unique prefix match)."""
-    first = cands.groupBy("name").agg(F.min("tier").alias("tier"))
-    c = cands.join(first, ["name", "tier"])
+    ambiguous (tier 4 prefers a unique prefix match).  Only counts and
+    ``min_by`` winners are aggregated — never the candidate list itself, so
+    a name matching millions of members costs no more than an aggregate."""
+    c = _first_tier(cands)
+    pair = F.struct("dimension", "member")
     g = c.groupBy("name", "tier").agg(
-        F.array_sort(F.collect_set(F.struct("dimension", "member"))).alias("candidates"),
-        F.array_sort(F.collect_set(F.when(F.col("prefix"), F.struct("dimension", "member"))))
-        .alias("prefixed"))
-    pick = (F.when(F.size("candidates") == 1, F.col("candidates")[0])
-            .when((F.col("tier") == 4) & (F.size("prefixed") == 1), F.col("prefixed")[0]))
+        F.count(F.lit(1)).alias("candidate_count"),
+        F.count_if(F.col("prefix")).alias("_np"),
+        F.min(pair).alias("_one"),
+        F.min(F.when(F.col("prefix"), pair)).alias("_pre"))
+    pick = (F.when(F.col("candidate_count") == 1, F.col("_one"))
+            .when((F.col("tier") == 4) & (F.col("_np") == 1), F.col("_pre")))
     return g.select("name", "tier", pick.isNotNull().alias("resolved"),
                     pick.getField("dimension").alias("dimension"),
                     pick.getField("member").alias("value"),
-                    pick.isNull().alias("ambiguous"),
-                    F.when(pick.isNull(), F.col("candidates")).alias("candidates"))
+                    pick.isNull().alias("ambiguous"), "candidate_count")
 
 
-def resolve_members(names: DataFrame, members: DataFrame, fuzzy: bool = True) -> DataFrame:
+def resolve_members(names: DataFrame, members: DataFrame, fuzzy: bool = True,
+                    candidates: bool = False) -> DataFrame:
     """H2 — resolve each requested name across the six dimensions.
 
     Output per name: ``tier`` (1-7, null when nothing matched), ``resolved``,
-    ``dimension``, ``value``, ``ambiguous`` and sorted ``candidates``.  The
-    candidate list of one name is bounded by the members matching it.
+    ``dimension``, ``value``, ``ambiguous`` and ``candidate_count``.  With
+    ``candidates=True`` the deciding tier's candidates are returned instead,
+    one row per (name, dimension, member) — a list, never an array.
     """
     n = (names.select("name", strip_ws("name").alias("clean"))
          .filter(F.col("clean") != "")
          .select("name", "clean", F.lower("clean").alias("low"), alnum("clean").alias("norm")))
     m = members.select("dimension", "member", F.lower("member").alias("mlow"),
                        alnum("member").alias("mnorm"))
-    # Tiers 1-3: equi-joins on a normalised key.
-    t1 = n.join(m, n.clean == m.member).select("name", F.lit(1).alias("tier"), "dimension", "member")
-    t2 = n.join(m, n.low == m.mlow).select("name", F.lit(2).alias("tier"), "dimension", "member")
-    t3 = n.join(m, (n.norm == m.mnorm) & (n.norm != "")).select(
-        "name", F.lit(3).alias("tier"), "dimension", "member")
+    # Tiers 1-3 in ONE equi-join: exact and case-insensitive equality both
+    # imply equal alphanumeric keys (names without any [a-z0-9] fall back to
+    # the lower-cased text as key); the tier is then decided per pair.
+    nk = F.when(n.norm != "", n.norm).otherwise(F.concat(F.lit("\u0001"), n.low))
+    mk = F.when(m.mnorm != "", m.mnorm).otherwise(F.concat(F.lit("\u0001"), m.mlow))
+    eq = n.withColumn("_k", nk).join(m.withColumn("_k", mk), "_k")
+    tier = (F.when(F.col("member") == F.col("clean"), 1).when(F.col("mlow") == F.col("low"), 2)
+            .otherwise(3))
+    t123 = eq.select("name", tier.alias("tier"), "dimension", "member")
     # Tiers 4-6: predicates against the broadcast request list.
     tokens = F.transform(F.filter(F.split("member", "[^a-zA-Z0-9]"), lambda t: t != ""),
                          lambda t: F.lower(t))
@@ -144,19 +158,21 @@ def resolve_members(names: DataFrame, members: DataFrame, fuzzy: bool = True) ->
         F.when(F.array_contains(tokens, F.col("low")), F.lit(5)),
         F.when(F.col("mlow").contains(F.col("low")), F.lit(6)))).alias("tier"),
         F.col("mnorm").startswith(F.col("norm")).alias("prefix")).filter(F.col("tier").isNotNull())
-    cheap = (t1.unionByName(t2).unionByName(t3).withColumn("prefix", F.lit(False))
+    cheap = (t123.withColumn("prefix", F.lit(False))
              .unionByName(t456.select("name", "tier", "dimension", "member", "prefix")))
-    decided = _decide(cheap)
     if fuzzy:
-        left = n.join(decided.select("name"), "name", "left_anti")
-        decided = decided.unionByName(_fuzzy(left, m))
+        left = n.join(cheap.select("name").distinct(), "name", "left_anti")
+        cheap = cheap.unionByName(_fuzzy(left, m))
+    if candidates:
+        return _first_tier(cheap).select("name", "tier", "dimension", "member")
+    decided = _decide(cheap)
     unmatched = names.select("name").join(decided.select("name"), "name", "left_anti")
     none = unmatched.select("name", F.lit(None).cast("int").alias("tier"),
                             F.lit(False).alias("resolved"),
                             F.lit(None).cast("string").alias("dimension"),
                             F.lit(None).cast("string").alias("value"),
                             F.lit(False).alias("ambiguous"),
-                            F.lit(None).cast(decided.schema["candidates"].dataType).alias("candidates"))
+                            F.lit(0).cast("long").alias("candidate_count"))
     return decided.unionByName(none)
 
 
@@ -176,9 +192,8 @@ def _fuzzy(names: DataFrame, members: DataFrame) -> DataFrame:
                          _similarity(F.col("mnorm"), F.col("norm")).alias("score"))
     hit = scored.filter(F.col("score") >= SIMILARITY_THRESHOLD)
     best = hit.groupBy("name").agg(F.max("score").alias("score"))
-    top = hit.join(best, ["name", "score"]).select(
+    return hit.join(best, ["name", "score"]).select(
         "name", F.lit(7).alias("tier"), "dimension", "member", F.lit(False).alias("prefix"))
-    return _decide(top)
 
 
 # ---------------------------------------------------------------------- H5

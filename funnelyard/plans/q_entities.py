@@ -163,8 +163,8 @@ union all select n.name, 6, m.dimension, m.member, starts_with({m_norm}, {n_norm
   on contains(lower(m.member), lower(trim(n.name)))
 """
     return with_views("""
-select d.name, d.tier, d.resolved, d.dimension, d.value, d.ambiguous, d.candidates from dec d
-union all select n.name, null, false, null, null, false, null from names n where n.name not in (select name from dec)
+select d.name, d.tier, d.resolved, d.dimension, d.value, d.ambiguous, d.n as candidate_count from dec d
+union all select n.name, null, false, null, null, false, 0 from names n where n.name not in (select name from dec)
 """, "M", extra=[
         _names_sql(values),
         ("mem", "\nunion all\n".join(
@@ -174,34 +174,38 @@ union all select n.name, null, false, null, null, false, null from names n where
         ("firsts", "select c.* from cands c join (select name, min(tier) as tier from cands group by 1) f "
                    "using (name, tier)"),
         ("grp", "select name, tier, count(distinct dimension || chr(1) || member) as n, "
-                "string_agg(distinct dimension || ':' || member, '|' order by dimension || ':' || member) as candidates, "
                 "count(distinct case when prefix then dimension || chr(1) || member end) as np, "
-                "min(case when prefix then dimension end) as pd, min(case when prefix then member end) as pm, "
-                "min(dimension) as d1, min(member) as m1 from firsts group by 1, 2"),
+                "arg_min(dimension, dimension || chr(1) || member) filter (where prefix) as pd, "
+                "arg_min(member, dimension || chr(1) || member) filter (where prefix) as pm, "
+                "arg_min(dimension, dimension || chr(1) || member) as d1, "
+                "arg_min(member, dimension || chr(1) || member) as m1 from firsts group by 1, 2"),
         ("dec", "select name, tier, (n = 1 or (tier = 4 and np = 1)) as resolved, "
                 "case when n = 1 then d1 when tier = 4 and np = 1 then pd end as dimension, "
                 "case when n = 1 then m1 when tier = 4 and np = 1 then pm end as value, "
-                "not (n = 1 or (tier = 4 and np = 1)) as ambiguous, "
-                "case when not (n = 1 or (tier = 4 and np = 1)) then candidates end as candidates from grp"),
+                "not (n = 1 or (tier = 4 and np = 1)) as ambiguous, n from grp"),
     ])
 
 
-def _flat(df):
-    return df.withColumn("candidates", F.array_join(F.transform(
-        "candidates", lambda c: F.concat(c["dimension"], F.lit(":"), c["member"])), "|"))
-
-
 @register("resolve_members", _resolve_sql(_H2_NAMES))
 def q_resolve_members(spark, sf_dir):
     mem = H.distinct_members(B.metrics(spark, sf_dir), "ds2026")
-    return _flat(H.resolve_members(_names(spark, _H2_NAMES), mem, fuzzy=False))
+    return H.resolve_members(_names(spark, _H2_NAMES), mem, fuzzy=False)
+
+
+@register("resolve_member_candidates", _resolve_sql(_H2_NAMES).replace(
+    "select d.name, d.tier, d.resolved, d.dimension, d.value, d.ambiguous, d.n as candidate_count from dec d\n"
+    "union all select n.name, null, false, null, null, false, 0 from names n where n.name not in (select name from dec)",
+    "select distinct name, tier, dimension, member from firsts"))
+def q_resolve_member_candidates(spark, sf_dir):
+    mem = H.distinct_members(B.metrics(spark, sf_dir), "ds2026")
+    return H.resolve_members(_names(spark, _H2_NAMES), mem, fuzzy=False, candidates=True)
 
 
 @register("resolve_members_fuzzy")
 def q_resolve_members_fuzzy(spark, sf_dir):
     """Tier 7 (similarity) has no SQL oracle; checked on rows and in unit tests."""
     mem = H.distinct_members(B.metrics(spark, sf_dir), "ds2026")
-    return _flat(H.resolve_members(_names(spark, ["Brnad#25", "NATOIN_12", "Eurpoe", "qqqq"]), mem))
+    return H.resolve_members(_names(spark, ["Brnad#25", "NATOIN_12", "Eurpoe", "qqqq"]), mem)
 
 
 # ---------------------------------------------------------------- H3

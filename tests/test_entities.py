@@ -25,7 +25,9 @@ def test_resolution_tiers(spark):
     assert (r["mba"]["tier"], r["mba"]["value"]) == (2, "MBA")
     assert r["maincampus"]["ambiguous"] and r["maincampus"]["tier"] == 3
     assert r["cs201"]["resolved"] and r["cs201"]["value"] == "B.E. CSE : CS201"
-    assert r["B.E CSE"]["ambiguous"] and len(r["B.E CSE"]["candidates"]) == 2
+    assert r["B.E CSE"]["ambiguous"] and r["B.E CSE"]["candidate_count"] == 2
+    cands = rows(H.resolve_members(_names(spark, ["B.E CSE"]), mem, candidates=True))
+    assert sorted(c["member"] for c in cands) == ["B.E. CSE : CS201", "B.E. CSE : CS202"]
     assert (r["Kerala"]["tier"], r["Kerala"]["value"]) == (1, "Kerala")
     assert r["keral"]["tier"] in (4, 6)
     assert r["zzz"]["tier"] is None and not r["zzz"]["resolved"]
