@@ -154,7 +154,9 @@ def driver_tables(contrib: DataFrame, n: int = 5) -> DataFrame:
     both = src.unionByName(geo)
     limit = F.when(F.col("table") == "source_growth", F.lit(n)).otherwise(F.lit(3))
     w = Window.partitionBy("table").orderBy("_k", "category")
-    top = both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    # The literal bound lets Spark plan a WindowGroupLimit; the per-table bound follows.
+    top = (both.withColumn("rank", F.row_number().over(w))
+           .filter((F.col("rank") <= max(n, 3)) & (F.col("rank") <= limit)))
     note = ((F.col("table") == "source_growth") & (F.col("rank") <= 2)
             & (F.abs(F.col("share_change")) >= 1.0))
     return top.select("table", "rank", "dimension", "category", "py_admission", "cy_admission",

@@ -112,7 +112,7 @@ select entity_name, metric_value from (select *, row_number() over (order by met
   from r5) x where rn = 2""", "M", extra=[_RANK5]))
 def q_nth_second(spark, sf_dir):
     r = Mx.ranking(B.metrics(spark, sf_dir), "ds2026", "program_name", "admissions", n=5).drop("has_value")
-    return C.nth(r, "second", [F.col("metric_value").desc(), F.col("entity_name")])
+    return C.nth(r, "second", [("metric_value", "desc"), "entity_name"])
 
 
 @register("nth_last", with_views("""
@@ -120,7 +120,7 @@ select entity_name, metric_value from (select *, row_number() over (order by met
   from r5) x where rn = 5""", "M", extra=[_RANK5]))
 def q_nth_last(spark, sf_dir):
     r = Mx.ranking(B.metrics(spark, sf_dir), "ds2026", "program_name", "admissions", n=5).drop("has_value")
-    return C.nth(r, "last", [F.col("metric_value").desc(), F.col("entity_name")])
+    return C.nth(r, "last", [("metric_value", "desc"), "entity_name"])
 
 
 # ---------------------------------------------------------------- H1
