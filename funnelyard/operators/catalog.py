@@ -2,9 +2,9 @@
 (C1, C2, C4, C5, C7-C9).
 
 A catalog has one row per ``(dataset, table, column)`` so the mapping of
-thousands of uploads is one job.  Rules are small literal DataFrames that are
-broadcast (their size is fixed by this module, not by the data); the
-non-equi "contains" tests then run where the catalog rows live.
+thousands of uploads is one job.  Rules are small constant arrays evaluated
+row by row where the catalog rows live (no join); relationship discovery is
+a self-join of the metadata-sized catalog.
 """
 
 from __future__ import annotations
@@ -73,13 +73,18 @@ def catalog_from_tables(spark: SparkSession, tables: Mapping[str, DataFrame],
 
 
 # ---------------------------------------------------------------------- C1
-def _rules(spark: SparkSession) -> DataFrame:
+_RULE_TYPE = "array<struct<tier:int,rule_order:int,rule_key:string,canonical_field:string,confidence:double>>"
+
+
+def _rules() -> Column:
+    """Header rules as one constant array (a single JSON literal)."""
+    import json
     rows = [(0, i, k, c, float(conf)) for i, (k, c, conf) in enumerate(EXACT_RULES)]
     rows += [(1, i, k, c, round(float(conf) - PARTIAL_PENALTY, 2)) for i, (k, c, conf) in enumerate(EXACT_RULES)]
     rows += [(2, i * 100 + j, kw, c, float(conf)) for i, (kws, c, conf) in enumerate(KEYWORD_RULES)
              for j, kw in enumerate(kws)]
-    return spark.createDataFrame(rows, "tier int, rule_order int, rule_key string, canonical_field string, "
-                                 "confidence double")
+    js = [dict(zip(("tier", "rule_order", "rule_key", "canonical_field", "confidence"), r)) for r in rows]
+    return F.from_json(F.lit(json.dumps(js)), _RULE_TYPE)
 
 
 def map_columns(catalog: DataFrame, column_col: str = "column_name",
@@ -87,26 +92,24 @@ def map_columns(catalog: DataFrame, column_col: str = "column_name",
     """C1 — header -> canonical field with confidence: exact rule, else a
     rule key contained in the header or the header in a key (confidence -
     0.05), else a keyword (0.75-0.85), else unmapped and ambiguous.  The
-    first rule in tier then rule order wins."""
-    spark = catalog.sparkSession
+    first rule in tier then rule order wins.  Row-local: each header scans
+    the constant rule array; no join, no shuffle."""
     clean = F.lower(F.trim(F.col(column_col)))
     spaced = F.trim(F.regexp_replace(clean, "[-_]", " "))
     c = catalog.select(*keys, F.col(column_col).alias("original_column"), clean.alias("_clean"),
                        spaced.alias("_spaced"))
-    r = F.broadcast(_rules(spark))
-    hit = ((F.col("tier") == 0) & (F.col("_clean") == F.col("rule_key"))) \
-        | ((F.col("tier") == 1) & (F.col("_clean").contains(F.col("rule_key"))
-                                   | F.col("rule_key").contains(F.col("_clean")))) \
-        | ((F.col("tier") == 2) & F.col("_spaced").contains(F.col("rule_key")))
-    j = c.join(r, hit, "left")
-    best = j.groupBy(*keys, "original_column").agg(F.min_by(
-        F.struct("tier", "canonical_field", "confidence"),
-        F.struct("tier", "rule_order")).alias("w"))
+    hits = F.filter(_rules(), lambda r: ((r["tier"] == 0) & (F.col("_clean") == r["rule_key"]))
+                    | ((r["tier"] == 1) & (F.col("_clean").contains(r["rule_key"])
+                                           | r["rule_key"].contains(F.col("_clean"))))
+                    | ((r["tier"] == 2) & F.col("_spaced").contains(r["rule_key"])))
+    first = F.get(F.array_sort(hits, lambda a, b: F.when(a["tier"] != b["tier"], a["tier"] - b["tier"])
+                               .otherwise(a["rule_order"] - b["rule_order"])), 0)
+    w = c.withColumn("w", first)
     method = F.when(F.col("w.tier") == 0, "exact_rule").when(F.col("w.tier") == 1, "partial_rule") \
         .when(F.col("w.tier") == 2, "keyword").otherwise("unmapped")
-    return best.select(*keys, "original_column", F.col("w.canonical_field").alias("canonical_field"),
-                       F.coalesce(F.col("w.confidence"), F.lit(0.0)).alias("confidence"),
-                       F.col("w.tier").isNull().alias("is_ambiguous"), method.alias("method"))
+    return w.select(*keys, "original_column", F.col("w.canonical_field").alias("canonical_field"),
+                    F.coalesce(F.col("w.confidence"), F.lit(0.0)).alias("confidence"),
+                    F.col("w.tier").isNull().alias("is_ambiguous"), method.alias("method"))
 
 
 # ---------------------------------------------------------------------- C2
