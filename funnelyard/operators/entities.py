@@ -67,21 +67,22 @@ def distinct_members(metrics: DataFrame, dataset_id: str,
 
 
 # ---------------------------------------------------------------------- H1
-def match_member(names: DataFrame, members: DataFrame) -> DataFrame:
+def match_member(names: DataFrame, members: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """H1 — per (name, dimension): exact match, else upper-cased, else
     case-insensitive; all three imply equal lower-case keys, so this is one
-    equi-join.  ``members`` needs ``dimension, member``."""
+    equi-join.  ``members`` needs ``dimension, member`` (plus any ``carry``
+    columns, returned with the chosen member)."""
     n = names.select("name", "position", F.trim("name").alias("_clean"),
                      F.lower(F.trim("name")).alias("_k"))
-    m = members.select("dimension", "member", F.lower("member").alias("_k"))
+    m = members.select("dimension", "member", *carry, F.lower("member").alias("_k"))
     j = n.join(m, "_k")
     tier = (F.when(F.col("member") == F.col("_clean"), 1)
             .when(F.col("member") == F.upper("_clean"), 2).otherwise(3))
     return (j.withColumn("tier", tier)
             .groupBy("name", "position", "dimension")
-            .agg(F.min_by(F.struct("tier", "member"), F.struct("tier", "member")).alias("w"))
+            .agg(F.min(F.struct("tier", "member", *carry)).alias("w"))
             .select("name", "position", "dimension", F.col("w.member").alias("member"),
-                    F.col("w.tier").alias("tier")))
+                    F.col("w.tier").alias("tier"), *[F.col(f"w.{c}").alias(c) for c in carry]))
 
 
 # ---------------------------------------------------------------------- H3
