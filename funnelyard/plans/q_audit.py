@@ -103,7 +103,8 @@ select coalesce(b.case_code, u.case_code) as case_code,
   case when u.case_code is not null then u.expected_answer else b.expected_answer end as expected_answer,
   case when b.case_code is null then 'inserted' when u.case_code is not null then 'updated' else 'base' end as _source
 from (select concat('GC-', cast(conv_id as varchar)) as case_code, arg_min(question, turn) as question,
-        arg_min(answer, turn) as expected_answer from T where eval_status = 'correct' and conv_id % 2 = 0 group by 1) b
+        arg_min(answer, turn) as expected_answer from T where eval_status = 'correct' and eval_error_category is null
+        group by 1) b
 full outer join (select case_code, w.q as question, w.a as expected_answer from (
     select concat('GC-', cast(conv_id as varchar)) as case_code,
            arg_max(struct_pack(q := question, a := answer), turn) as w from T where eval_status = 'correct' group by 1) u0) u
@@ -111,7 +112,8 @@ full outer join (select case_code, w.q as question, w.a as expected_answer from
 def q_promote_golden(spark, sf_dir):
     t = _t(spark, sf_dir).filter(F.col("eval_status") == "correct")
     code = F.concat(F.lit("GC-"), F.col("conv_id").cast("string")).alias("case_code")
-    base = (t.filter(F.col("conv_id") % 2 == 0).groupBy(code)
+    # existing cases: clean correct conversations; updates: every correct turn
+    base = (t.filter(F.col("eval_error_category").isNull()).groupBy(code)
             .agg(F.min_by(F.struct("question", "answer"), "turn").alias("w"))
             .select("case_code", F.col("w.question").alias("question"), F.col("w.answer").alias("expected_answer")))
     upd = t.select(code, "question", F.col("answer").alias("expected_answer"), F.col("turn").alias("seq"))
@@ -129,14 +131,16 @@ def q_recent_turns(spark, sf_dir):
 
 # ---------------------------------------------------------------- T6
 @register("isolate_context", with_views("""
-select conv_id, dataset_id from (select distinct conv_id, case when conv_id % 3 = 0 then 1 else 2 end as dataset_id
-  from conversations) c where dataset_id = (select max(dataset_id) from R where not regexp_matches(dataset_name,
-  '^(Bench_|benchmark_|test_|synthetic_)', 'i') and dataset_id <= 2)""", "R"))
+select conv_id, dataset_id from (select distinct c.conv_id, case when l.doc_id is null then 1 else 2 end as dataset_id
+  from conversations c left join labels l on l.doc_id = c.conv_id) c where dataset_id = (select max(dataset_id) from R
+  where not regexp_matches(dataset_name, '^(Bench_|benchmark_|test_|synthetic_)', 'i') and dataset_id <= 2)""", "R"))
 def q_isolate_context(spark, sf_dir):
     from funnelyard.operators.periods import is_benchmark
     conv = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    ctx = conv.select("conv_id", F.when(F.col("conv_id") % 3 == 0, F.lit(1)).otherwise(F.lit(2))
-                      .cast("long").alias("dataset_id"))
+    lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), F.lit(1).alias("_l"))
+    # contexts: labelled conversations were saved against dataset 2, the others against dataset 1
+    ctx = conv.join(lab, "conv_id", "left").select(
+        "conv_id", F.when(F.col("_l").isNull(), F.lit(1)).otherwise(F.lit(2)).cast("long").alias("dataset_id"))
     r = B.registry(spark, sf_dir).filter(F.col("dataset_id") <= 2)
     newest = r.filter(~is_benchmark("dataset_name")).agg(F.max("dataset_id").alias("_a"))
     reg = r.crossJoin(newest).withColumn("is_active", F.col("dataset_id") == F.col("_a"))
