@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from funnelyard.operators import ingest as A
 from funnelyard.plans.oracle_views import with_views
 from funnelyard.plans.registry import register
+from funnelyard.plans.sqlfrag import lsum
 from funnelyard.sources import bindings as B
 from funnelyard.sources.tables import read_table
 
@@ -150,3 +151,66 @@ def q_incremental_ingest(spark, sf_dir):
     out = spark.read.parquet(f"{root}/out")
     return out.select("dataset_id", "row_number", *A.TEXT_FIELDS, *A.NUMBER_FIELDS,
                       F.array_join("rejects", "|").alias("rejects"))
+
+
+# ---------------------------------------------------------------- A1 / A5 / A8 round trips
+def _scratch(spark, tag):
+    import uuid
+    from funnelyard.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/funnelyard-{tag}-{uuid.uuid4().hex}"
+
+
+@register("read_delimited_roundtrip", with_views(
+    "select cast(row_number as varchar) as row_number, name, email, nullif(segment, '') as segment, amount from C",
+    "C"))
+def q_read_delimited(spark, sf_dir):
+    """The dirty records written as CSV (header, values kept verbatim) and
+    read back with the upload reader: every cell is a string, blanks null."""
+    from funnelyard.sources.delimited import read_delimited
+    path = _scratch(spark, "csv")
+    (B.dirty_records(spark, sf_dir).write.option("header", "true")
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+     .option("emptyValue", "").csv(path))
+    return read_delimited(spark, path)
+
+
+@register("write_metrics_roundtrip", with_views(
+    f"select dataset_id, count(*) as rows, {lsum('cy_leads')} as cy_leads, {lsum('py_admission')} as py_admission "
+    "from M group by 1", "M"))
+def q_write_metrics(spark, sf_dir):
+    """M written with the partitioned sink, then one dataset rewritten: the
+    other datasets must be untouched and the rewritten one equal."""
+    from funnelyard.sources.sinks import write_metrics
+    path = _scratch(spark, "metrics")
+    m = B.metrics(spark, sf_dir)
+    write_metrics(m, path)
+    write_metrics(m.filter(F.col("dataset_id") == "ds2024"), path)
+    back = spark.read.parquet(path)
+    return back.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("rows"),
+                                          F.coalesce(F.sum("cy_leads"), F.lit(0)).cast("long").alias("cy_leads"),
+                                          F.coalesce(F.sum("py_admission"), F.lit(0)).cast("long").alias("py_admission"))
+
+
+@register("export_turns_roundtrip", with_views("""
+select 'csv' as fmt, count(*) as messages, count(distinct conv_id) as conversations,
+  count(*) filter (where eval_error_category is not null) as with_error_category from T
+union all
+select 'jsonl', count(*), count(distinct conv_id), count(*) filter (where eval_error_category is not null) from T""",
+    "T"))
+def q_export_turns(spark, sf_dir):
+    """Turns exported in both formats and read back."""
+    from funnelyard.operators.audit import export_projection
+    from funnelyard.sources.sinks import export_turns
+    path = _scratch(spark, "export")
+    proj = export_projection(B.turns(spark, sf_dir))
+    export_turns(proj, "csv", f"{path}/csv")
+    export_turns(proj, "jsonl", f"{path}/jsonl")
+    # texts carry line breaks: the CSV is read back as multi-line records
+    csv = spark.read.option("header", "true").option("multiLine", "true").csv(f"{path}/csv")
+    js = spark.read.json(f"{path}/jsonl")
+
+    def summary(df, fmt):
+        return df.agg(F.lit(fmt).alias("fmt"), F.count(F.lit(1)).alias("messages"),
+                      F.count_distinct("conversation_id").alias("conversations"),
+                      F.count_if(F.col("error_category").isNotNull()).alias("with_error_category"))
+    return summary(csv, "csv").unionByName(summary(js, "jsonl"))

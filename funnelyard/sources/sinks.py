@@ -40,7 +40,8 @@ def flatten_for_csv(df: DataFrame) -> DataFrame:
 
 def export_turns(df: DataFrame, fmt: str, path: str) -> None:
     """A8 — write audit turns as JSON Lines or CSV (header, nested values as
-    JSON strings)."""
+    JSON strings).  Cells with line breaks are quoted; read such a CSV back
+    with ``multiLine``."""
     if fmt == "jsonl":
         df.write.mode("overwrite").json(path)
     elif fmt == "csv":
