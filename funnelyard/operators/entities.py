@@ -2,12 +2,12 @@
 
 Requested names are a small, user-supplied DataFrame ``(name, position)``;
 members are the distinct values of the metrics table's dimensions, computed
-on the executors.  Cheap tiers are one join each:
+on the executors.
 
-* tiers 1-3 (exact / case-insensitive / alphanumeric-only) are equi-joins on
-  a normalised key, so they scale with the member table;
-* tiers 4-6 (substring, token, substring) are predicates evaluated against
-  the broadcast name list (its size is the request size, not the data size);
+* tiers 1-6 (exact, case-insensitive, alphanumeric-only, normalised
+  substring, token, substring) are evaluated in one pass of the members
+  against the broadcast name list (its size is the request size, not the
+  data size);
 * tier 7 (similarity >= 0.8) runs only for names no cheaper tier resolved,
   only against members whose length can reach the threshold, in an
   Arrow-batched pandas UDF.
@@ -140,27 +140,21 @@ def resolve_members(names: DataFrame, members: DataFrame, fuzzy: bool = True,
          .select("name", "clean", F.lower("clean").alias("low"), alnum("clean").alias("norm")))
     m = members.select("dimension", "member", F.lower("member").alias("mlow"),
                        alnum("member").alias("mnorm"))
-    # Tiers 1-3 in ONE equi-join: exact and case-insensitive equality both
-    # imply equal alphanumeric keys (names without any [a-z0-9] fall back to
-    # the lower-cased text as key); the tier is then decided per pair.
-    nk = F.when(n.norm != "", n.norm).otherwise(F.concat(F.lit("\u0001"), n.low))
-    mk = F.when(m.mnorm != "", m.mnorm).otherwise(F.concat(F.lit("\u0001"), m.mlow))
-    eq = n.withColumn("_k", nk).join(m.withColumn("_k", mk), "_k")
-    tier = (F.when(F.col("member") == F.col("clean"), 1).when(F.col("mlow") == F.col("low"), 2)
-            .otherwise(3))
-    t123 = eq.select("name", tier.alias("tier"), "dimension", "member")
-    # Tiers 4-6: predicates against the broadcast request list.
+    # Tiers 1-6 in ONE pass over the members against the broadcast request
+    # names (request-sized, so each member row is compared with a handful of
+    # names); the first tier that holds for a pair is its tier.
     tokens = F.transform(F.filter(F.split("member", "[^a-zA-Z0-9]"), lambda t: t != ""),
                          lambda t: F.lower(t))
-    pj = m.join(F.broadcast(n), (F.col("mnorm").contains(F.col("norm")) & (F.col("norm") != ""))
-                | F.array_contains(tokens, F.col("low")) | F.col("mlow").contains(F.col("low")))
-    t456 = pj.select("name", "dimension", "member", F.explode(F.array(
-        F.when(F.col("mnorm").contains(F.col("norm")) & (F.col("norm") != ""), F.lit(4)),
-        F.when(F.array_contains(tokens, F.col("low")), F.lit(5)),
-        F.when(F.col("mlow").contains(F.col("low")), F.lit(6)))).alias("tier"),
-        F.col("mnorm").startswith(F.col("norm")).alias("prefix")).filter(F.col("tier").isNotNull())
-    cheap = (t123.withColumn("prefix", F.lit(False))
-             .unionByName(t456.select("name", "tier", "dimension", "member", "prefix")))
+    t1 = F.col("member") == F.col("clean")
+    t2 = F.col("mlow") == F.col("low")
+    t3 = (F.col("mnorm") == F.col("norm")) & (F.col("norm") != "")
+    t4 = F.col("mnorm").contains(F.col("norm")) & (F.col("norm") != "")
+    t5 = F.array_contains(tokens, F.col("low"))
+    t6 = F.col("mlow").contains(F.col("low"))
+    tier = (F.when(t1, 1).when(t2, 2).when(t3, 3).when(t4, 4).when(t5, 5).when(t6, 6))
+    pj = m.join(F.broadcast(n), t1 | t2 | t3 | t4 | t5 | t6)
+    cheap = pj.select("name", tier.alias("tier"), "dimension", "member",
+                      F.col("mnorm").startswith(F.col("norm")).alias("prefix"))
     if fuzzy:
         left = n.join(cheap.select("name").distinct(), "name", "left_anti")
         cheap = cheap.unionByName(_fuzzy(left, m))
