@@ -402,3 +402,12 @@ from (select *, max(upload_version) over (partition by label) as maxv,
                           "right(cast(end_year as varchar), 2)) end as label from det")]))
 def q_register_version(spark, sf_dir):
     return D.register_version(_r(spark, sf_dir), _uploads(spark, sf_dir))
+
+
+@register("session_overlap_version_pairs", with_views("""
+select count(*) as overlapping_version_pairs, count(distinct (a.label, b.label)) as overlapping_label_pairs
+from R a join R b on a.start_year <= b.end_year and b.start_year <= a.end_year and lower(a.label) <> lower(b.label)
+""", "R"))
+def q_session_overlap_pairs(spark, sf_dir):
+    r = _r(spark, sf_dir)
+    return D.overlap_version_pairs(r.select("dataset_id", "label"), r)
