@@ -119,3 +119,10 @@ def test_export_files(spark):
     export_turns(df, "jsonl", f"{root}/json")
     assert spark.read.option("header", "true").csv(f"{root}/csv").first()["resolved_entities"] == '["x","y"]'
     assert spark.read.json(f"{root}/json").first()["resolved_entities"] == ["x", "y"]
+
+
+def test_expand_staged_any_key(spark):
+    st = spark.createDataFrame([("d", 1, '{"Lead Type": "A", "k": 5}'), ("d", 2, '{"k": null}')],
+                               "dataset_id string, row_number long, raw_data string")
+    r = rows(A.expand_staged(st, {"lead_type": "Lead Type", "k": "k"}).orderBy("row_number"))
+    assert [(x["lead_type"], x["k"]) for x in r] == [("A", "5"), (None, None)]
