@@ -317,22 +317,20 @@ def source_tree3(m: DataFrame, dataset_id: str, year: int, cy_year: int, py_year
 # ---------------------------------------------------------------------- F15
 def tree_search(tree: DataFrame, text: str) -> DataFrame:
     """F15 — nodes whose name contains ``text`` (case-insensitive) plus all
-    their ancestors; the grand total is not searchable.  Ancestor keys are
-    generated per match and semi-joined back (null-safe)."""
+    their ancestors; the grand total is not searchable.
+
+    A node is kept when any node of its own subtree matches: ``max(hit)``
+    over the nodes sharing its level-1 key (level 1) or its (level-1,
+    level-2) keys (level 2).  The tree is computed once; the windows run over
+    aggregated tree nodes, not over data rows."""
     t = tree.filter(F.col("level") >= 1)
-    hit = t.filter(F.lower("name").contains(text.lower()))
-    keys = hit.select(F.explode(F.array(
-        F.struct(F.lit(1).alias("level"), F.col("l1").alias("k1"), F.lit(None).cast("string").alias("k2"),
-                 F.lit(None).cast("string").alias("k3")),
-        F.when(F.col("level") >= 2, F.struct(F.lit(2).alias("level"), F.col("l1").alias("k1"),
-                                             F.col("l2").alias("k2"), F.lit(None).cast("string").alias("k3"))),
-        F.when(F.col("level") == 3, F.struct(F.lit(3).alias("level"), F.col("l1").alias("k1"),
-                                             F.col("l2").alias("k2"), F.col("l3").alias("k3"))))).alias("a")
-    ).filter(F.col("a").isNotNull()).select("a.*").distinct()
-    cond = ((t.level == keys.level) & t.l1.eqNullSafe(keys.k1)
-            & F.when(t.level >= 2, t.l2.eqNullSafe(keys.k2)).otherwise(F.lit(True))
-            & F.when(t.level == 3, t.l3.eqNullSafe(keys.k3)).otherwise(F.lit(True)))
-    return t.join(keys, cond, "left_semi")
+    hit = F.lower(F.col("name")).contains(text.lower()).cast("int")
+    t = t.withColumn("_hit", hit)
+    under_l1 = F.max("_hit").over(Window.partitionBy("l1"))
+    under_l2 = F.max(F.when(F.col("level") >= 2, F.col("_hit"))).over(Window.partitionBy("l1", "l2"))
+    keep = (F.when(F.col("level") == 1, under_l1).when(F.col("level") == 2, under_l2)
+            .otherwise(F.col("_hit")))
+    return t.withColumn("_keep", keep).filter(F.col("_keep") == 1).drop("_hit", "_keep")
 
 
 # ---------------------------------------------------------------------- F16
