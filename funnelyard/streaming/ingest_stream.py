@@ -10,6 +10,12 @@ the query restartable.
 
 ``trigger(availableNow=True)`` processes everything present and stops, the
 batch-friendly way to run the same job on a schedule.
+
+A dataset is one file, or one ``ds=<id>`` folder whose files arrive
+together (a micro-batch replaces whole datasets).  Without an explicit
+order, rows are numbered in file order: file, split start
+(``_metadata.file_block_start``) and position inside the split — Spark packs
+splits by size, so partition order alone is not file order.
 """
 
 from __future__ import annotations
@@ -57,28 +63,32 @@ def _dataset_from_path(path_col) -> "F.Column":
 def ingest_batch(batch: DataFrame, mapping: Mapping[str, str], out_dir: str,
                  order_by: Sequence | None) -> None:
     """Stage -> normalise -> dynamic-overwrite one micro-batch."""
-    data_cols = [c for c in batch.columns if c not in ("_file", "_pos")]
-    # Within a micro-batch (a static DataFrame) the file position is the
-    # read order: partition index, then position in the split.
+    data_cols = [c for c in batch.columns if c not in ("_file", "_block", "_pos")]
+    # Within a micro-batch (a static DataFrame) rows of one split are read in
+    # file order, so (file, split start, position) is the file order.
     body = (batch.withColumn("_pos", F.monotonically_increasing_id())
             .withColumn("_ds", _dataset_from_path(F.col("_file"))))
-    order = list(order_by) if order_by else ["_file", "_pos"]
+    order = list(order_by) if order_by else ["_file", "_block", "_pos"]
     staged = stage_records(body, F.col("_ds"), order, payload=data_cols)
     write_metrics(normalise_metrics(staged, mapping), out_dir)
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                   columns: Sequence[str], mapping: Mapping[str, str],
-                  order_by: Sequence | None = None):
+                  order_by: Sequence | None = None, max_files_per_trigger: int | None = None):
     """Start the streaming ingest (availableNow) and return the query.
 
     ``columns`` is the header of the delimited files (a streaming source
     needs its schema up front); values are read as strings.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    src = (spark.readStream.format("csv").option("header", "true").option("mode", "PERMISSIVE")
-           .option("recursiveFileLookup", "true").schema(schema).load(in_dir)
-           .withColumn("_file", F.col("_metadata.file_path")))
+    reader = (spark.readStream.format("csv").option("header", "true").option("mode", "PERMISSIVE")
+              .option("recursiveFileLookup", "true").schema(schema))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    src = (reader.load(in_dir)
+           .withColumn("_file", F.col("_metadata.file_path"))
+           .withColumn("_block", F.col("_metadata.file_block_start")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(batch, mapping, out_dir, order_by)

@@ -126,3 +126,24 @@ def test_expand_staged_any_key(spark):
                                "dataset_id string, row_number long, raw_data string")
     r = rows(A.expand_staged(st, {"lead_type": "Lead Type", "k": "k"}).orderBy("row_number"))
     assert [(x["lead_type"], x["k"]) for x in r] == [("A", "5"), (None, None)]
+
+
+def test_streaming_numbers_rows_in_file_order_across_splits(spark):
+    root = _tmp()
+    os.makedirs(f"{root}/in")
+    with open(f"{root}/in/upload_a.csv", "w") as f:
+        f.write("owner,leads\n")
+        for i in range(3000):
+            f.write(f"owner{i:05d},{i}\n")
+    prev = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # force many splits of one file
+    try:
+        q = ingest_stream(spark, f"{root}/in", f"{root}/out", f"{root}/ck", ["owner", "leads"],
+                          {"owner": "owner", "cy_leads": "leads"})
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
+    got = spark.read.parquet(f"{root}/out")
+    assert got.select("dataset_id").distinct().collect()[0][0] == "upload_a"
+    bad = got.filter(F.col("row_number") != F.col("cy_leads") + 1).count()
+    assert got.count() == 3000 and bad == 0
