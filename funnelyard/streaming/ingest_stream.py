@@ -26,6 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from funnelyard.functions.core import bounded_rows
+from funnelyard.operators.catalog import map_columns, resolve_canonical
+from funnelyard.operators.clean import clean_records, profile_by, reconcile_load
 from funnelyard.operators.ingest import normalise_metrics, stage_records
 from funnelyard.sources.sinks import write_metrics
 
@@ -60,26 +63,59 @@ def _dataset_from_path(path_col) -> "F.Column":
     return F.when(by_dir != "", F.url_decode(F.url_decode(by_dir))).otherwise(F.url_decode(by_file))
 
 
-def ingest_batch(batch: DataFrame, mapping: Mapping[str, str], out_dir: str,
-                 order_by: Sequence | None) -> None:
-    """Stage -> normalise -> dynamic-overwrite one micro-batch."""
+def header_mapping(spark: SparkSession, columns: Sequence[str]) -> dict[str, str]:
+    """C1 + C2 on the file header: canonical field -> source column, the
+    best-confidence column per field.  The header is metadata (one row per
+    column), read with a bound."""
+    cat = spark.createDataFrame([(c,) for c in columns], "column_name string")
+    best = resolve_canonical(map_columns(cat, keys=()), keys=())
+    return {r["canonical_field"]: r["original_column"]
+            for r in bounded_rows(best, 1000, "header mapping") if r["status"] == "resolved"}
+
+
+def ingest_batch(batch: DataFrame, mapping: Mapping[str, str] | None, out_dir: str,
+                 order_by: Sequence | None, reports_dir: str | None = None) -> None:
+    """Stage -> clean -> normalise -> dynamic-overwrite one micro-batch; with
+    ``reports_dir`` also a per-dataset quality report (profile + cleaning
+    counts) and the staged-vs-loaded reconciliation, each overwritten per
+    dataset, so replays are idempotent."""
     data_cols = [c for c in batch.columns if c not in ("_file", "_block", "_pos")]
     # Within a micro-batch (a static DataFrame) rows of one split are read in
     # file order, so (file, split start, position) is the file order.
     body = (batch.withColumn("_pos", F.monotonically_increasing_id())
             .withColumn("_ds", _dataset_from_path(F.col("_file"))))
     order = list(order_by) if order_by else ["_file", "_block", "_pos"]
+    if mapping is None:
+        mapping = header_mapping(batch.sparkSession, data_cols)
     staged = stage_records(body, F.col("_ds"), order, payload=data_cols)
-    write_metrics(normalise_metrics(staged, mapping), out_dir)
+    metrics = normalise_metrics(staged, mapping)
+    write_metrics(metrics, out_dir)
+    if reports_dir:
+        spark = batch.sparkSession
+        loaded = spark.read.parquet(out_dir).join(
+            staged.select("dataset_id").distinct(), "dataset_id", "left_semi")
+        rec = reconcile_load(staged, loaded.select("dataset_id", "row_number"))
+        cleaned = clean_records(body.select(F.col("_ds").alias("dataset_id"), *data_cols), keys=("dataset_id",))
+        issues = cleaned.groupBy("dataset_id").agg(
+            F.count_if(F.col("cleaning_status") == "issues_found").alias("rows_with_issues"),
+            F.coalesce(F.sum("issue_count"), F.lit(0)).cast("long").alias("issues_found"))
+        quality = profile_by(body.select(F.col("_ds").alias("dataset_id"), *data_cols), "dataset_id") \
+            .join(issues, "dataset_id", "left")
+        write_metrics(quality, f"{reports_dir.rstrip('/')}/quality")
+        write_metrics(rec, f"{reports_dir.rstrip('/')}/reconciliation")
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                  columns: Sequence[str], mapping: Mapping[str, str],
-                  order_by: Sequence | None = None, max_files_per_trigger: int | None = None):
+                  columns: Sequence[str], mapping: Mapping[str, str] | None = None,
+                  order_by: Sequence | None = None, max_files_per_trigger: int | None = None,
+                  reports_dir: str | None = None):
     """Start the streaming ingest (availableNow) and return the query.
 
     ``columns`` is the header of the delimited files (a streaming source
-    needs its schema up front); values are read as strings.
+    needs its schema up front); values are read as strings.  Without a
+    ``mapping`` the header is mapped onto the canonical fields by the header
+    rules (C1/C2).  ``reports_dir`` adds the quality and reconciliation
+    reports.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     reader = (spark.readStream.format("csv").option("header", "true").option("mode", "PERMISSIVE")
@@ -91,7 +127,7 @@ def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
            .withColumn("_block", F.col("_metadata.file_block_start")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, mapping, out_dir, order_by)
+        ingest_batch(batch, mapping, out_dir, order_by, reports_dir)
 
     return (src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
