@@ -228,3 +228,14 @@ def q_export_turns(spark, sf_dir):
                       F.count_distinct("conversation_id").alias("conversations"),
                       F.count_if(F.col("error_category").isNotNull()).alias("with_error_category"))
     return summary(csv, "csv").unionByName(summary(js, "jsonl"))
+
+
+@register("incremental_ingest_periods", with_views(f"""
+select distinct {_DS} as dataset_id, null::integer as start_year, null::integer as end_year, null::varchar as label,
+  0.0::double as confidence, 'none' as method from C""", "C"))
+def q_incremental_ingest_periods(spark, sf_dir):
+    """Period detection inside the streaming ingest (file names carry no
+    year here and the first 20 rows hold none either)."""
+    root = _run_ingest(spark, sf_dir)
+    return spark.read.parquet(f"{root}/reports/periods").select(
+        "dataset_id", "start_year", "end_year", "label", "confidence", "method")

@@ -30,6 +30,7 @@ from funnelyard.functions.core import bounded_rows
 from funnelyard.operators.catalog import map_columns, resolve_canonical
 from funnelyard.operators.clean import clean_records, profile_by, reconcile_load
 from funnelyard.operators.ingest import normalise_metrics, stage_records
+from funnelyard.operators.periods import detect_period_full
 from funnelyard.sources.sinks import write_metrics
 
 # --- fixed values -----------------------------------------------------------
@@ -76,9 +77,9 @@ def header_mapping(spark: SparkSession, columns: Sequence[str]) -> dict[str, str
 def ingest_batch(batch: DataFrame, mapping: Mapping[str, str] | None, out_dir: str,
                  order_by: Sequence | None, reports_dir: str | None = None) -> None:
     """Stage -> clean -> normalise -> dynamic-overwrite one micro-batch; with
-    ``reports_dir`` also a per-dataset quality report (profile + cleaning
-    counts) and the staged-vs-loaded reconciliation, each overwritten per
-    dataset, so replays are idempotent."""
+    ``reports_dir`` also per-dataset reports — quality (profile + cleaning
+    counts), the staged-vs-loaded reconciliation and the detected period —
+    each overwritten per dataset, so replays are idempotent."""
     data_cols = [c for c in batch.columns if c not in ("_file", "_block", "_pos")]
     # Within a micro-batch (a static DataFrame) rows of one split are read in
     # file order, so (file, split start, position) is the file order.
@@ -101,8 +102,14 @@ def ingest_batch(batch: DataFrame, mapping: Mapping[str, str] | None, out_dir: s
             F.coalesce(F.sum("issue_count"), F.lit(0)).cast("long").alias("issues_found"))
         quality = profile_by(body.select(F.col("_ds").alias("dataset_id"), *data_cols), "dataset_id") \
             .join(issues, "dataset_id", "left")
+        # Period detection reads the staged rows of this batch, i.e. before any
+        # staging cleanup: file name first, then header and value signals.
+        files = body.groupBy(F.col("_ds").alias("dataset_id")).agg(
+            F.min(F.regexp_extract("_file", r"([^/]+)$", 1)).alias("original_filename"))
+        periods = detect_period_full(files, staged)
         write_metrics(quality, f"{reports_dir.rstrip('/')}/quality")
         write_metrics(rec, f"{reports_dir.rstrip('/')}/reconciliation")
+        write_metrics(periods, f"{reports_dir.rstrip('/')}/periods")
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,

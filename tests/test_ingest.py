@@ -169,3 +169,5 @@ def test_streaming_ingest_auto_mapping_and_reports(spark):
     # dataset b holds one duplicate row; in a only row 2 has issues (blank owner, bad e-mail):
     # the CSV writer already trimmed " 5" on write
     assert qual["b"][:2] == (2, 1) and qual["a"][2] == 1
+    per = {r.dataset_id: r.method for r in spark.read.parquet(f"{root}/reports/periods").collect()}
+    assert set(per) == {"a", "b"}
