@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from funnelyard.operators import compare as C
 from funnelyard.operators import entities as H
