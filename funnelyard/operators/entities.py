@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,9 +186,12 @@ def _fuzzy(names: DataFrame, members: DataFrame) -> DataFrame:
     scored = cand.select("name", "dimension", "member",
                          _similarity(F.col("mnorm"), F.col("norm")).alias("score"))
     hit = scored.filter(F.col("score") >= SIMILARITY_THRESHOLD)
-    best = hit.groupBy("name").agg(F.max("score").alias("score"))
-    return hit.join(best, ["name", "score"]).select(
-        "name", F.lit(7).alias("tier"), "dimension", "member", F.lit(False).alias("prefix"))
+    # The best score per name by a window over the few pairs above the
+    # threshold, so the UDF is evaluated once (an aggregate + join would
+    # evaluate the scored plan twice).
+    best = F.max("score").over(Window.partitionBy("name"))
+    return (hit.withColumn("_best", best).filter(F.col("score") == F.col("_best"))
+            .select("name", F.lit(7).alias("tier"), "dimension", "member", F.lit(False).alias("prefix")))
 
 
 # ---------------------------------------------------------------------- H5

@@ -59,3 +59,35 @@ def test_compare_members_shared_then_cross(spark):
 
 def test_alias():
     assert H.dimension_alias(" Counsellor ") == "owner" and H.dimension_alias("xyz") is None
+
+
+def test_fuzzy_query_matches_brute_force_on_small_fixture(spark):
+    """The registered similarity query (no SQL oracle) against a plain-Python
+    brute force over the sf0.001 members."""
+    import re
+    from difflib import SequenceMatcher
+
+    import __spark_entry__ as E
+    from conftest import SF001
+    from funnelyard.sources import bindings as B
+    got = {r["name"]: r for r in rows(E.queries()["resolve_members_fuzzy"](spark, SF001))}
+    mem = [(r["dimension"], r["member"]) for r in rows(H.distinct_members(B.metrics(spark, SF001), "ds2026"))]
+
+    def norm(x):
+        return re.sub(r"[^a-z0-9]", "", x.lower())
+    for name in ("Brnad#25", "NATOIN_12", "Eurpoe", "qqqq"):
+        u = norm(name)
+        cheap = [m for d, m in mem if m == name or m.lower() == name.lower() or norm(m) == u or u in norm(m)
+                 or name.lower() in [t.lower() for t in re.split(r"[^a-zA-Z0-9]", m) if t]
+                 or name.lower() in m.lower()]
+        assert not cheap  # these names only resolve through similarity
+        scores = [(SequenceMatcher(None, norm(m), u).ratio(), d, m) for d, m in mem]
+        scores = [s for s in scores if s[0] >= 0.8]
+        if not scores:
+            assert got[name]["tier"] is None
+            continue
+        top = max(s[0] for s in scores)
+        best = {(d, m) for s, d, m in scores if s == top}
+        assert got[name]["tier"] == 7 and got[name]["candidate_count"] == len(best)
+        if len(best) == 1:
+            assert (got[name]["dimension"], got[name]["value"]) == next(iter(best))
