@@ -114,7 +114,7 @@ def driver_ranking(totals: DataFrame, contrib: DataFrame, n: int = TOP_DRIVERS)
     # At most 2 + number of dimensions rows: a global order is cheap here.
     ranked = allr.withColumn("rank", F.row_number().over(
         Window.orderBy(F.col("impact").desc(), F.col("driver").asc())))
-    return ranked.filter(F.col("rank") <= n)
+    return ranked.filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("long"))
 
 
 # ---------------------------------------------------------------------- K4
@@ -156,7 +156,8 @@ def driver_tables(contrib: DataFrame, n: int = 5) -> DataFrame:
     w = Window.partitionBy("table").orderBy("_k", "category")
     # The literal bound lets Spark plan a WindowGroupLimit; the per-table bound follows.
     top = (both.withColumn("rank", F.row_number().over(w))
-           .filter((F.col("rank") <= max(n, 3)) & (F.col("rank") <= limit)))
+           .filter((F.col("rank") <= max(n, 3)) & (F.col("rank") <= limit))
+           .withColumn("rank", F.col("rank").cast("long")))
     note = ((F.col("table") == "source_growth") & (F.col("rank") <= 2)
             & (F.abs(F.col("share_change")) >= 1.0))
     return top.select("table", "rank", "dimension", "category", "py_admission", "cy_admission",

@@ -255,7 +255,7 @@ def source_tree(tables: Mapping[str, DataFrame], year: int) -> DataFrame:
     return agg.select("main_source", "source", F.lit(year).alias("year"), "leads", "registration",
                       "admission", *_rates("", "leads", "registration", "admission", "null"),
                       F.when(F.col("leads") > 0, flag_by_rate("leads", h)).otherwise("normal")
-                      .alias("performance")).withColumn("position", F.row_number().over(w))
+                      .alias("performance")).withColumn("position", F.row_number().over(w).cast("long"))
 
 
 # ---------------------------------------------------------------------- F14
@@ -311,7 +311,7 @@ def source_tree3(m: DataFrame, dataset_id: str, year: int, cy_year: int, py_year
                    "py_leads", "py_registration", "py_admission", from_h(h).alias("lead_admission_percent"),
                    F.when(F.col("level") == 0, F.lit("normal")).otherwise(flag_by_rate("leads", h))
                    .alias("performance"))
-    return out.withColumn("position", F.row_number().over(w))
+    return out.withColumn("position", F.row_number().over(w).cast("long"))
 
 
 # ---------------------------------------------------------------------- F15

@@ -255,7 +255,8 @@ def member_facts(d: DataFrame, dims: Sequence[str],
 def _top_per_dimension(facts: DataFrame, order: Sequence[Column], n: int,
                        name: str = "rank") -> DataFrame:
     w = Window.partitionBy("dimension").orderBy(*order, F.col("member").asc())
-    return facts.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
+    return (facts.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
+            .withColumn(name, F.col(name).cast("long")))
 
 
 # ---------------------------------------------------------------------- F17
@@ -444,7 +445,8 @@ def filter_options(m: DataFrame, dataset_ids: Sequence[str], dims: Sequence[str]
     if cap is None:
         return long
     w = Window.partitionBy("dimension").orderBy(F.col("value").asc())
-    return long.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= cap)
+    return (long.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= cap)
+            .withColumn("position", F.col("position").cast("long")))
 
 
 def dimension_presence(m: DataFrame, dataset_id: str, dims: Sequence[str] = DIMENSIONS) -> DataFrame:

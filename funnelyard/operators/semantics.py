@@ -193,7 +193,7 @@ def infer_semantics(catalog: DataFrame, keys=("table_name",), column_col: str =
     return out.select(*keys, "column_name", "data_type", F.col("c.concept_key").alias("concept_key"),
                       F.col("c.display_name").alias("display_name"), F.col("c.category").alias("category"),
                       F.col("c.data_role").alias("data_role"), F.round(F.col("c.score"), 4).alias("score"),
-                      "time_context", (F.col("_p") + 1).alias("rank"))
+                      "time_context", (F.col("_p") + 1).cast("long").alias("rank"))
 
 
 def _profile_rows(spark: SparkSession) -> DataFrame:
@@ -248,4 +248,4 @@ def map_physical(catalog: DataFrame, concepts=tuple(PHYSICAL_PROFILES)) -> DataF
     w = Window.partitionBy("concept_key").orderBy(F.col("confidence").desc(), pref.desc(), "table_name", "position",
                                                   "column_role")
     return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= TOP_PHYSICAL)
-            .drop("position"))
+            .withColumn("rank", F.col("rank").cast("long")).drop("position"))

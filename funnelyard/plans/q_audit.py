@@ -40,7 +40,7 @@ select ['message_id', 'conv_id', 'turn', 'question', 'answer', 'eval_status', 'e
   (select count(*) from T) as total_row_count,
   (select list(j order by message_id) from (select message_id, to_json(struct_pack(message_id := message_id,
      conv_id := conv_id, turn := turn, question := question, answer := answer, eval_status := eval_status,
-     eval_error_category := eval_error_category)) as j from T order by message_id limit 10) s) as sample_rows
+     eval_error_category := eval_error_category))::varchar as j from T order by message_id limit 10) s) as sample_rows
 """, "T"))
 def q_summarise_result(spark, sf_dir):
     return T.summarise_result(_t(spark, sf_dir), ["message_id"])
@@ -131,7 +131,7 @@ def q_recent_turns(spark, sf_dir):
 
 # ---------------------------------------------------------------- T6
 @register("isolate_context", with_views("""
-select conv_id, dataset_id from (select distinct c.conv_id, case when l.doc_id is null then 1 else 2 end as dataset_id
+select conv_id, dataset_id from (select distinct c.conv_id, (case when l.doc_id is null then 1 else 2 end)::BIGINT as dataset_id
   from conversations c left join labels l on l.doc_id = c.conv_id) c where dataset_id = (select max(dataset_id) from R
   where not regexp_matches(dataset_name, '^(Bench_|benchmark_|test_|synthetic_)', 'i') and dataset_id <= 2)""", "R"))
 def q_isolate_context(spark, sf_dir):

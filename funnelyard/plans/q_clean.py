@@ -32,7 +32,7 @@ from (select *, {_h('missing_values', 'rows * 5')} as mh, {_h('duplicate_rows',
         (email is null)::int + (segment is null)::int + (amount is null)::int as m0 from C) z
         group by row_number, name, email, segment, amount) g) s) t,
 (select list(j order by row_number) as sample_rows from (select row_number, to_json(struct_pack(row_number := row_number,
-   name := name, email := email, segment := segment, amount := amount)) as j from C order by row_number limit 5) q) smp
+   name := name, email := email, segment := segment, amount := amount))::varchar as j from C order by row_number limit 5) q) smp
 """, "C")
 
 

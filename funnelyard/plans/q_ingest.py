@@ -14,7 +14,7 @@ from funnelyard.sources.tables import read_table
 _DS = "coalesce(nullif(trim(segment), ''), 'BLANK')"
 _STAGED_C = ("st", f"select {_DS} as dataset_id, row_number() over (partition by {_DS} order by row_number) as row_number, "
                    "to_json(struct_pack(row_number := row_number, name := name, email := email, segment := segment, "
-                   "amount := amount)) as raw_data, 'pending' as cleaning_status from C")
+                   "amount := amount))::varchar as raw_data, 'pending' as cleaning_status from C")
 
 
 def _staged_c(spark, sf_dir):
@@ -221,7 +221,7 @@ def q_export_turns(spark, sf_dir):
     export_turns(proj, "jsonl", f"{path}/jsonl")
     # texts carry line breaks: the CSV is read back as multi-line records
     csv = spark.read.option("header", "true").option("multiLine", "true").csv(f"{path}/csv")
-    js = spark.read.json(f"{path}/jsonl")
+    js = spark.read.schema(proj.schema).json(f"{path}/jsonl")
 
     def summary(df, fmt):
         return df.agg(F.lit(fmt).alias("fmt"), F.count(F.lit(1)).alias("messages"),

@@ -256,8 +256,8 @@ def q_period_conflicts(spark, sf_dir):
 
 # ---------------------------------------------------------------- D6
 @register("session_overlaps", with_views("""
-select c.candidate_label, e.existing_label, list_sort(list_intersect(range(c.s, c.e + 1), range(e.s, e.e + 1)))
-         as overlapping_years, e.existing_versions, e.first_dataset_id
+select c.candidate_label, e.existing_label,
+       list_sort(list_intersect(range(c.s, c.e + 1), range(e.s, e.e + 1)))::INTEGER[] as overlapping_years, e.existing_versions, e.first_dataset_id
 from (select distinct label as candidate_label, cast(left(label, 4) as integer) as s,
         cast(left(label, 4) as integer) + 1 as e from cand) c
 join (select label as existing_label, start_year as s, end_year as e, count(*) as existing_versions,

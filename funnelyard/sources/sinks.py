@@ -43,7 +43,8 @@ def export_turns(df: DataFrame, fmt: str, path: str) -> None:
     JSON strings).  Cells with line breaks are quoted; read such a CSV back
     with ``multiLine``."""
     if fmt == "jsonl":
-        df.write.mode("overwrite").json(path)
+        # nulls are written as null (not dropped), so every line has every field
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
     elif fmt == "csv":
         flatten_for_csv(df).write.mode("overwrite").option("header", "true").csv(path)
     else:
