@@ -237,3 +237,17 @@ select member, min(rank) as rank from (
 def q_result_members(spark, sf_dir):
     mv = C.movers(B.metrics(spark, sf_dir), "ds2026", "state", "admission", 5)
     return H.result_members(mv, "member")
+
+
+# ---------------------------------------------------------------- H4
+@register("dimension_alias", with_views("""
+select column_name, case lower(trim(column_name)) """ + " ".join(
+    f"when '{k}' then '{v}'" for k, v in H.DIMENSION_ALIASES.items()) + """ end as canonical_column
+from (values """ + ", ".join(f"('{c}')" for c in ("dataset_id",) + tuple(B.DIMENSIONS) + tuple(B.MEASURES))
+    + """) v(column_name) where exists (select 1 from lineitem)"""))
+def q_dimension_alias(spark, sf_dir):
+    """H4 over the metrics view's own column names (catalog metadata)."""
+    from pyspark.sql import functions as F
+    from funnelyard.operators.catalog import catalog_from_tables
+    cat = catalog_from_tables(spark, {"metrics": B.metrics(spark, sf_dir)})
+    return cat.select("column_name", H.alias_column(F.col("column_name")).alias("canonical_column"))
