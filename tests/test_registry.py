@@ -26,3 +26,8 @@ def test_sample_queries_run_with_stable_schema(spark):
         b = q[name](spark, SF001)
         assert a.schema == b.schema, name
         a.limit(1).collect()
+
+
+def test_only_the_similarity_query_lacks_an_oracle():
+    q, o = E.queries(), E.oracle_sql()
+    assert set(q) - set(o) == {"resolve_members_fuzzy"}
