@@ -27,6 +27,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    # the shuffle files of a finished write are of no further use: the table is read instead
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,69 +8,160 @@ sequences; the executors then number the pieces of each length and look up their
 
 from __future__ import annotations
 
-import functools
+import os
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelyard.llm.common import rank_within, stage
-from funnelyard.llm.words import chunks
-
-#: Words whose token ids a task remembers; the memory is emptied when it is full.
-WORD_CACHE = 400_000
-
-PIECES = "row long, doc_id long, piece int, start long, length long, ids binary"
-
-
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-    return Tokenizer.from_file(path)
-
-
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (row, doc_id, piece, start, length, ids): each text's token ids and `end_id`, cut at `capacity`.
-
-    `ids` holds little-endian unsigned 32-bit ids; `row` numbers the input rows, so repeated and null
-    doc_ids stay apart. `vocabulary` is a tokenizers file that every executor can open. Its pre-tokenizer
-    must cut at white space and its model must not look beyond a word, as for BPE with word ends; then a
-    text's ids are its words' ids in order, and each distinct word is encoded once. Null and empty texts
-    give the one piece [end_id]; an empty table gives no rows.
+from funnelyard.llm.words import LOWER, chunks, column_bytes, digest_spans
+
+#: Distinct units whose token ids a Python worker remembers; the memory is emptied when it is full.
+KNOWN_UNITS = 1_500_000
+
+PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
+
+#: Byte classes of the cut into units: 0 white space, 1 ASCII letters and digits, 2 ASCII symbols but the
+#: apostrophe, 3 the rest. A unit ends at white space and between classes 1 and 2.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[list(b" \t\n\r")] = 0
+_CLASS[0x21:0x7F] = 2
+_CLASS[[c for c in range(128) if chr(c).isalnum()]] = 1
+_CLASS[ord("'")] = 3
+
+
+class UnitIds:
+    """Token ids of the units met so far, as one flat array; units are known by their 64-bit digest."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self) -> None:
+        self.digests, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each unit in `ids`."""
+        code, digests = pd.factorize(digest_spans(data, starts, ends))
+        place = np.searchsorted(self.digests, digests)
+        new = np.ones(len(digests), bool)
+        inside = place < len(self.digests)
+        new[inside] = self.digests[place[inside]] != digests[inside]
+        if new.any():
+            if len(self.digests) > KNOWN_UNITS:
+                self.clear()
+                new[:] = True
+            first = np.full(len(digests), -1, np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            got = self.encode([data[starts[i]:ends[i]].tobytes().decode("utf-8", "replace") for i in first[new]])
+            length = np.fromiter(map(len, got), np.int64, len(got))
+            flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(length.sum()))
+            known = np.concatenate((self.digests, digests[new]))
+            order = np.argsort(known)
+            self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(length) - length))[order]
+            self.length = np.concatenate((self.length, length))[order]
+            self.ids, self.digests = np.concatenate((self.ids, flat)), known[order]
+            place = np.searchsorted(self.digests, digests)
+        return self.at[place][code], self.length[place][code]
+
+
+_UNITS: dict[str, UnitIds] = {}
+
+
+def _known(vocabulary: str) -> UnitIds:
+    if vocabulary not in _UNITS:
+        _UNITS[vocabulary] = UnitIds(vocabulary)
+    return _UNITS[vocabulary]
+
+
+def _find_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    kind = _CLASS[data]
+    cut = np.ones(len(data) + 1, bool)
+    cut[1:-1] = (kind[1:] == 0) | (kind[:-1] == 0) | (kind[1:] + kind[:-1] == 3) & (kind[1:] != 3) & (kind[:-1] != 3)
+    cut[offsets] = True
+    edges = np.flatnonzero(cut)
+    starts, ends = edges[:-1], edges[1:]
+    word = kind[starts] != 0
+    starts, ends = starts[word], ends[word]
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+def text_ids(known: UnitIds, data: np.ndarray, offsets: np.ndarray, end_id: int, by_unit: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts, `end_id` after each, as one array and the bounds of the texts in it."""
+    n = len(offsets) - 1
+    raw = data.tobytes()
+    whole = np.zeros(n, bool)
+    if not by_unit or any(a in raw for a in known.added):
+        for i in range(n):
+            text = raw[offsets[i]:offsets[i + 1]]
+            whole[i] = not by_unit or any(a in text for a in known.added)
+    starts, ends, rows = _find_units(LOWER[data], offsets) if len(data) else (np.zeros(0, np.int64),) * 3
+    own = ~whole[rows]
+    starts, ends, rows = starts[own], ends[own], rows[own]
+    place, length = known.look_up(LOWER[data], starts, ends) if len(starts) else (starts, starts)
+    per = np.bincount(rows, weights=length, minlength=n).astype(np.int64)
+    direct = dict(zip(np.flatnonzero(whole).tolist(), known.encode([raw[offsets[i]:offsets[i + 1]].decode("utf-8", "replace") for i in np.flatnonzero(whole)]))) if whole.any() else {}
+    for i, ids in direct.items():
+        per[i] = len(ids)
+    bounds = np.concatenate(([0], np.cumsum(per + 1)))
+    out = np.full(bounds[-1], end_id, np.uint32)
+    before = np.cumsum(length) - length  # of each unit, among the ids of all units
+    first = np.searchsorted(rows, np.arange(n))
+    shift = bounds[rows] - before[first[rows]] if len(rows) else rows
+    step = np.arange(int(length.sum())) - np.repeat(before, length)
+    out[np.repeat(before + shift, length) + step] = known.ids[np.repeat(place, length) + step]
+    for i, ids in direct.items():
+        out[bounds[i]:bounds[i] + len(ids)] = ids
+    return out, bounds
+
+
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_col: str = "doc_id",
+                 text_col: str = "text", with_ids: bool = True, by_unit: bool = True) -> DataFrame:
+    """Rows (row, doc_id, piece, start, length, ids_crc32, ids): each text's token ids and `end_id`, cut at `capacity`.
+
+    `ids` (unless with_ids is off) holds little-endian unsigned 32-bit ids and ids_crc32 their checksum;
+    `row` numbers the input rows, so repeated and null doc_ids stay apart. `vocabulary` is a tokenizers
+    file that every executor can open. With by_unit each distinct unit (a run of letters and digits, or
+    of symbols, of a word) is encoded once; that gives a text's own ids for vocabularies that lower-case,
+    drop white space and cut letters from symbols, as BPE with word ends does. Texts that spell an added
+    token, and all texts without by_unit, are encoded whole. Null and empty texts give the one piece
+    [end_id]; an empty table gives no rows.
     """
-    tail = int(end_id).to_bytes(4, "little")
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(vocabulary)
-        known: dict[str, bytes] = {"": b""}
+        known = _known(vocabulary)
         for batch in batches:
-            for part in chunks(batch, "text"):
-                rows: list[list] = [[], [], [], [], [], []]
-                for row, doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                    new = [w for w in set(words) if w not in known]
-                    if new:
-                        if len(known) > WORD_CACHE:
-                            known = {"": b""}
-                            new = list(set(words) - {""})
-                        for word, got in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                            known[word] = np.array(got.ids, "<u4").tobytes()
-                    ids = b"".join([known[w] for w in words]) + tail
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at:at + 4 * capacity]
-                        for to, value in zip(rows, (row, doc, k, at // 4, len(own) // 4, own)):
-                            to.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
-                    names=["row", "doc_id", "piece", "start", "length", "ids"])
+            for part in chunks(batch, "text", 2 << 20):
+                ids, bounds = text_ids(known, *column_bytes(part.column(2)), end_id, by_unit)
+                total = np.diff(bounds)
+                pieces = -(-total // capacity)
+                of = np.repeat(np.arange(len(total)), pieces)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, total[of] - start)
+                raw = memoryview(ids.astype("<u4").tobytes())
+                own = [raw[4 * a:4 * (a + n)] for a, n in zip((bounds[of] + start).tolist(), length.tolist())]
+                columns = [part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(piece, pa.int32()),
+                           pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(map(zlib.crc32, own), pa.int64())]
+                if with_ids:
+                    columns.append(pa.array(map(bytes, own), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(columns)])
 
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).alias("text"))
-    return slim.mapInArrow(cut, PIECES)
+    return slim.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 
 
 class Runs:
@@ -212,6 +303,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
 
     The pieces are stored once (with their ids if `keep_ids`), then packed.
     """
-    pieces = token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col).withColumn("ids_crc32", F.crc32("ids"))
-    stored = stage(pieces if keep_ids else pieces.drop("ids"), "pieces")
+    stored = stage(token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col, with_ids=keep_ids), "pieces")
     return pack(stored, capacity, ["row", "piece"]).drop("row")

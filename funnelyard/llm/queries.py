@@ -5,11 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelyard.llm import packing, sharding
+from funnelyard.llm import decontaminate, line_dedup, near_dedup, packing, quality, sharding, substring_dedup
+from funnelyard.llm.common import stage
 from funnelyard.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 from funnelyard.sources.tables import read_table
 
 
+def _sql_html_lines(html: str) -> str:
+    """DuckDB text of `line_dedup.html_lines`."""
+    text = f"regexp_replace({html}, '{line_dedup.NO_TEXT}', chr(10), 'g')"
+    text = f"regexp_replace({text}, '{line_dedup.LINE_TAGS}', chr(10), 'g')"
+    text = f"regexp_replace({text}, '{line_dedup.ANY_TAG}', '', 'g')"
+    for entity, char in line_dedup.ENTITIES:
+        text = "replace({}, '{}', '{}')".format(text, entity, char.replace("'", "''"))
+    return f"list_filter(list_transform(string_split_regex({text}, '[\r\n]+'), lambda x: trim(x, ' ')), lambda x: x <> '')"
+
+
+OP2_SQL = f"""
+with p as materialized (
+  select row_number() over () as r, page_id,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host,
+         {_sql_html_lines("html")} as lines
+  from pages),
+shown as (select distinct r, host, unnest(lines) as line from p),
+common as (
+  select s.host, s.line from shown s join (select host, count(*) as n from p group by host) t
+    on s.host is not distinct from t.host
+  where t.n >= 10 group by s.host, s.line, t.n having count(*) > t.n * 0.2),
+exploded as (select r, host, unnest(lines) as line, generate_subscripts(lines, 1) as i from p),
+kept as (
+  select e.r, string_agg(e.line, chr(10) order by e.i) as text, count(*) as n
+  from exploded e anti join common c on e.host is not distinct from c.host and e.line = c.line group by e.r)
+select page_id, host, cast(coalesce(len(lines), 0) as bigint) as n_lines,
+       cast(coalesce(len(lines), 0) - coalesce(kept.n, 0) as bigint) as n_dropped, coalesce(kept.text, '') as text
+from p left join kept on p.r = kept.r
+"""
+
+
+@register("op2_site_line_dedup", OP2_SQL)
+def op2_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages without the lines that stand on over a fifth of their host's pages (hosts of ten pages or more)."""
+    pages = read_table(spark, sf_dir, "pages").select(
+        "page_id", line_dedup.url_host(F.col("url")).alias("host"), line_dedup.html_lines(F.col("html")).alias("lines"))
+    clean = line_dedup.drop_boilerplate(stage(pages, "lines"), "host", "lines", ["page_id"], max_ratio=0.2, min_pages=10)
+    return clean.select("page_id", "host", "n_lines", "n_dropped", F.array_join("kept_lines", "\n").alias("text"))
+
+
 @register("op4_jump_shards")
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 15 by jump consistent hashing of doc_id, with the move to 17 shards.
@@ -24,6 +65,46 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+
+
+@register("op6_suffix_tree_repeats")
+def op6_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 13-word windows that also start in a smaller doc_id."""
+    kept = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), window=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_SQL_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+              r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+OP7_SQL = f"""
+with d as materialized (select row_number() over () as r, doc_id, {_SQL_WORDS} as w from documents),
+i as (select coalesce(cast(item_id as varchar), '') as item_id, {_SQL_WORDS} as w from benchmark),
+iw as materialized (
+  select distinct item_id, least(10, len(w)) as n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') as win
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as k from i where len(w) > 0)),
+sizes as (select distinct n from iw),
+starts as (select r, n, w, unnest(range(1, len(w) - n + 2)) as k from d, sizes where len(w) >= n),
+spans as materialized (
+  select r, k, s.n, win from (select r, n, k, array_to_string(w[k:k + n - 1], ' ') as win from starts) s
+  where win in (select win from iw)),
+hit as (select r, count(distinct p) as n_hit from (select r, unnest(range(k, k + n)) as p from spans) group by r),
+named as (
+  select r, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids
+  from (select distinct r, win from spans) join iw using (win) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+       cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (r) left join named using (r)
+"""
+
+
+@register("op7_benchmark_contamination", OP7_SQL)
+def op7_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items, in windows of 10 item words."""
+    found = decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public vocabulary file, the same on the driver and the executors."""
     import public_tokenizers
@@ -36,3 +117,17 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     packed = packing.pack_documents(docs, vocabulary_path(), capacity=2048, end_id=0)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@register("op9_robust_outliers")
+def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: base counts, and the verdict of the robust distance in their language and source."""
+    found = quality.assess(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+
+
+@register("op10_lsh_forest_components")
+def op10_lsh_forest_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their near-duplicate component: 5-word shingles, similarity 0.85 or more."""
+    found = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85, shingle=5)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
