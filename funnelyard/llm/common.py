@@ -45,6 +45,13 @@ def key128(*cols: Column) -> tuple[Column, Column]:
     return F.xxhash64(*marked), F.xxhash64(F.lit(0x5EED), *marked)
 
 
+def without(df: DataFrame, keys: DataFrame, *cols: Column) -> DataFrame:
+    """The rows of `df` whose `key128(*cols)` is not among the rows (k1, k2) of `keys`; all columns stay."""
+    k1, k2 = key128(*cols)
+    gone = keys.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    return df.withColumns({"__k1": k1, "__k2": k2}).join(gone, ["__k1", "__k2"], "left_anti").drop("__k1", "__k2")
+
+
 def rank_within(df: DataFrame, groups: list[str], order: list[str], n_groups: int, out: str = "rank") -> DataFrame:
     """Gapless numbers from 0 inside each group, without one task ever holding a group.
 

@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelyard.llm.common import stage
+from funnelyard.llm.common import key128, stage
 from funnelyard.llm.words import LOWER, NON_WORD, chunks, column_bytes, digest_spans, find_words, whole, windows
 
 #: Bits of the filter of benchmark shingles that goes to every task: 8 MB, whatever the benchmark's size.
 FILTER_BITS = 26
 _WINDOW_ROWS = "item_id string, win string, n int"
 _SHINGLE_ROWS = "win string, n int, at int, size int, h long"
-_HIT_ROWS = "row long, doc_id long, n_words long, hits array<struct<h: long, pos: int, before: int, words: string>>"
+_HIT_ROWS = "row long, doc_id long, t1 long, t2 long, n_words long, hits array<struct<h: long, pos: int, before: int, words: string>>"
 
 
 def _texts(batch: pa.RecordBatch, column: str) -> tuple:
@@ -109,19 +109,21 @@ def shingle_hits(docs: DataFrame, passing, sizes: list[int], window: int, id_col
                                            "words": words.decode("utf-8", "replace")})
                 kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("before", pa.int32()), ("words", pa.string())]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(bounds), pa.int64()), pa.array(found, kind)],
-                    names=["row", "doc_id", "n_words", "hits"])
+                    [*part.columns[:4], pa.array(np.diff(bounds), pa.int64()), pa.array(found, kind)],
+                    names=["row", "doc_id", "t1", "t2", "n_words", "hits"])
 
+    t1, t2 = key128(F.col(text_col))
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                       F.col(text_col).alias("text"))
+                       t1.alias("t1"), t2.alias("t2"), F.col(text_col).alias("text"))
     return slim.mapInArrow(scan, _HIT_ROWS)
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5,
                        id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_words, n_hit, spans array<(start, n)>, item_ids array<string>.
+    """One row for each document: doc_id, n_words, n_hit, spans array<(start, n)>, item_ids array<string>, t1, t2.
 
+    (t1, t2) is `key128` of the text, on which alone the rest depends.
     `spans` are the places of benchmark windows in words (overlapping ones as found), n_hit the words
     inside any of them. Repeated rows each get a row; null and empty texts have no words and no hits;
     without items nothing is hit. Only the named columns are read, so other columns can't clash.
@@ -149,8 +151,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, shin
     named = (spans.select("row", "win").distinct().join(wins.select("win", "item_id"), "win")
              .groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")))
     hit_words = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))
-    return (seen.select("row", "doc_id", "n_words").join(places, "row", "left").join(named, "row", "left")
-            .select("doc_id", "n_words",
+    return (seen.select("row", "doc_id", "t1", "t2", "n_words").join(places, "row", "left").join(named, "row", "left")
+            .select("doc_id", "t1", "t2", "n_words",
                     F.when(F.col("spans").isNull(), F.lit(0)).otherwise(F.size(hit_words)).cast("long").alias("n_hit"),
                     F.coalesce("spans", F.expr("cast(array() as array<struct<start: int, n: int>>)")).alias("spans"),
                     F.coalesce("item_ids", F.expr("cast(array() as array<string>)")).alias("item_ids")))

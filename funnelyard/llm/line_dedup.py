@@ -14,6 +14,7 @@ from funnelyard.llm.common import drop_clashing, key128
 
 #: Parts that a page's lines are dealt over when the boilerplate of a host is looked up.
 SALTS = 16
+_MILLION = 1_000_000
 
 #: Markup that holds no text, tags that end a line, entities in the order they are resolved.
 NO_TEXT = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
@@ -39,7 +40,7 @@ def url_host(url: Column) -> Column:
 
 
 def drop_boilerplate(df: DataFrame, host_col: str, lines_col: str, key_cols: list[str],
-                     max_ratio: float = 0.2, min_pages: int = 10) -> DataFrame:
+                     max_ratio: float = 0.1, min_pages: int = 10) -> DataFrame:
     """Adds `kept_lines` (array), `n_lines` and `n_dropped` to pages with an array of lines.
 
     Lines are compared without outer spaces; blank lines are neither counted nor dropped. A page counts
@@ -51,6 +52,7 @@ def drop_boilerplate(df: DataFrame, host_col: str, lines_col: str, key_cols: lis
     Counting combines on the map side, so a line on a third of all pages costs no more than others. Only
     digests travel, in the lookup salted over SALTS parts, and each page gets its own dropped lines back.
     """
+    share = round(max_ratio * _MILLION)  # compared as whole numbers: a line at the ratio stays
     df = drop_clashing(df, ["kept_lines", "n_lines", "n_dropped"])
     host = F.col(f"`{host_col}`")
     own = F.coalesce(F.col(f"`{lines_col}`"), F.expr("cast(array() as array<string>)"))
@@ -64,9 +66,9 @@ def drop_boilerplate(df: DataFrame, host_col: str, lines_col: str, key_cols: lis
 
     totals = df.groupBy(host.alias("__host")).agg(F.count(F.lit(1)).alias("__pages")).where(F.col("__pages") >= min_pages)
     counts = (line.groupBy("__h1", "__h2").agg(F.any_value("__host").alias("__host"), F.count(F.lit(1)).alias("__n"))
-              .where(F.col("__n") > max_ratio * min_pages))
+              .where(F.col("__n") * _MILLION > share * min_pages))
     common = (counts.alias("c").join(totals.alias("t"), F.col("c.__host").eqNullSafe(F.col("t.__host")))
-              .where(F.col("__n") > F.col("__pages") * max_ratio)
+              .where(F.col("__n") * _MILLION > F.col("__pages") * share)
               .select("__h1", "__h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")))
     dropped = (line.withColumn("__salt", F.pmod(F.col("__k1"), F.lit(SALTS)).cast("int"))
                .join(common, ["__h1", "__h2", "__salt"], "left_semi")

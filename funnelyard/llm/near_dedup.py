@@ -175,11 +175,12 @@ _NO_ID = (1 << 63) - 1
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, leaf: int = 16,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept, s1, s2, class1, class2.
+    """One row for each document: doc_id, n_shingles, component_id, kept, t1, t2, class1, class2.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of distinct shingles of
     `shingle` lower-cased words (A-Z); component_id is the least doc_id that links reach. kept marks the
-    rows with that id. (class1, class2) digest one set of the component and are equal for its rows only.
+    rows with that id. (class1, class2) digest one set of the component and are equal for its rows only;
+    (t1, t2) is `key128` of the row's text.
     Documents without words are linked with nothing and kept. Null ids count as larger than all others;
     a component of null ids has a null component_id and its rows are kept. Repeated rows get equal
     results. Only the named columns are read; an empty table gives no rows.
@@ -206,7 +207,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, leaf:
     classes = joined.join(least, "root").select("s1", "s2", F.nullif("x.rep", F.lit(_NO_ID)).alias("component_id"),
                                                 F.col("x.s1").alias("class1"), F.col("x.s2").alias("class2"))
     alone = F.col("n_shingles") == 0
-    return (signed.drop("t1", "t2", "signature").join(classes, ["s1", "s2"], "left")
+    return (signed.drop("signature").join(classes, ["s1", "s2"], "left")
             .withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select("doc_id", "n_shingles", "component_id", "kept", "s1", "s2", "class1", "class2"))
+            .select("doc_id", "n_shingles", "component_id", "kept", "t1", "t2", "class1", "class2"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of `docs`, all columns, but only one of each component: that of the least id, once.
+
+    Rows without words are linked with nothing and all stay.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
+    chosen = (found.where("n_shingles > 0").groupBy("class1", "class2")
+              .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__rep"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))).alias("x"))
+              .select("x.*"))
+    text = F.col(f"`{text_col}`")
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    t1, t2 = key128(text)
+    keyed = docs.where(worded).withColumns({"__rep": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)), "__t1": t1, "__t2": t2})
+    once = keyed.join(chosen, ["__rep", "__t1", "__t2"], "left_semi").dropDuplicates(["__rep", "__t1", "__t2"])
+    return once.drop("__rep", "__t1", "__t2").select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where(~worded))

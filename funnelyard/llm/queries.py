@@ -5,12 +5,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelyard.llm import decontaminate, line_dedup, near_dedup, packing, quality, sharding, substring_dedup
+from funnelyard.llm import (decontaminate, licences, line_dedup, near_dedup, packing, pii, quality, sharding, substring_dedup,
+                            warc)
 from funnelyard.llm.common import stage
 from funnelyard.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 from funnelyard.sources.tables import read_table
 
 
+def _sql_sentence_id(sentence: str) -> str:
+    """DuckDB text of `licences.sentence_id`."""
+    words = f"regexp_replace(translate({sentence}, '{licences._UPPER}', '{licences._LOWER}'), '[^a-z0-9.]+', ' ', 'g')"
+    words = f"regexp_replace({words}, '^[ .]+|[ .]+$', '', 'g')"
+    cases = " ".join(f"when regexp_matches({words}, '^(?:{pattern})$') then '{name}'" for name, pattern in licences.SENTENCES)
+    return f"case {cases} end"
+
+
+def _sql_rules() -> str:
+    """One step for each rule, in order: m0 -> m1 -> ..."""
+    steps = []
+    for k, (name, seq) in enumerate(licences.RULES):
+        tokens = licences._tokens(seq)
+        steps.append(f"m{k + 1} as (select r, replace(s, '{tokens}', '<=>') as s, case when contains(s, '{tokens}') and not list_contains(found, '{name}') "
+                     f"then list_append(found, '{name}') else found end as found from m{k})")
+    return ",\n".join(steps)
+
+
+OP1_SQL = f"""
+with d as materialized (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+parts as (
+  select r, string_split_regex(replace(text, chr(13), ''), '{licences.SENTENCE_END}') as x from d where regexp_matches(text, '{licences.LICENCE_LIKE}')),
+s as (
+  select r, i, sentence from (select r, generate_subscripts(x, 1) as i, unnest(x) as sentence from parts)
+  where regexp_matches(sentence, '{licences.LICENCE_LIKE}')),
+w as materialized (select r, i, sentence, {_sql_sentence_id("sentence")} as id from s),
+l as materialized (
+  select *, sum(case when id is null then 0 else 1 end) over (partition by r, i order by j rows unbounded preceding) as block
+  from (select r, i, j, line, {_sql_sentence_id("line")} as id
+        from (select r, i, generate_subscripts(x, 1) as j, unnest(x) as line from (select r, i, string_split(sentence, chr(10)) as x from w where id is null)))),
+runs as (
+  select r, i, j, {_sql_sentence_id("line")} as id
+  from (select r, i, min(j) as j, string_agg(line, ' ' order by j) as line from l where id is null group by r, i, block)),
+found as materialized (
+  select r, i, 0 as j, id from w where id is not null
+  union all select r, i, j, id from l where id is not null
+  union all select r, i, j, id from runs where id is not null),
+ids as (
+  select * from found
+  union all select r, i, 0, '{licences.UNKNOWN}' from w where not exists (select 1 from found f where f.r = w.r and f.i = w.i)),
+m0 as (select r, string_agg('<' || id || '>', '' order by i, j) as s, cast([] as varchar[]) as found from ids group by r),
+{_sql_rules()},
+named as (select r, string_agg(id, '>' order by i, j) as names, count(*) as n from ids group by r)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_sentences, coalesce(names, '') as sentence_ids,
+       coalesce(array_to_string(found, ','), '') as licences,
+       cast(coalesce(len(regexp_extract_all(s, '<[^=>]*>')), 0) as bigint) as n_unmatched
+from d left join named on d.r = named.r left join m{len(licences.RULES)} m on d.r = m.r
+"""
+
+
+@register("op1_licence_sentences", OP1_SQL)
+def op1_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their licence sentences, in order, and the licences that the rules make of them."""
+    found = licences.scan_licences(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ">").alias("sentence_ids"),
+                        F.array_join("licences", ",").alias("licences"), F.size("unmatched").cast("long").alias("n_unmatched"))
+
+
 def _sql_html_lines(html: str) -> str:
     """DuckDB text of `line_dedup.html_lines`."""
     text = f"regexp_replace({html}, '{line_dedup.NO_TEXT}', chr(10), 'g')"
@@ -31,7 +91,7 @@ shown as (select distinct r, host, unnest(lines) as line from p),
 common as (
   select s.host, s.line from shown s join (select host, count(*) as n from p group by host) t
     on s.host is not distinct from t.host
-  where t.n >= 10 group by s.host, s.line, t.n having count(*) > t.n * 0.2),
+  where t.n >= 10 group by s.host, s.line, t.n having count(*) * 10 > t.n),
 exploded as (select r, host, unnest(lines) as line, generate_subscripts(lines, 1) as i from p),
 kept as (
   select e.r, string_agg(e.line, chr(10) order by e.i) as text, count(*) as n
@@ -44,13 +104,24 @@ from p left join kept on p.r = kept.r
 
 @register("op2_site_line_dedup", OP2_SQL)
 def op2_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages without the lines that stand on over a fifth of their host's pages (hosts of ten pages or more)."""
+    """All pages without the lines that stand on over a tenth of their host's pages (hosts of ten pages or more)."""
     pages = read_table(spark, sf_dir, "pages").select(
         "page_id", line_dedup.url_host(F.col("url")).alias("host"), line_dedup.html_lines(F.col("html")).alias("lines"))
-    clean = line_dedup.drop_boilerplate(stage(pages, "lines"), "host", "lines", ["page_id"], max_ratio=0.2, min_pages=10)
+    clean = line_dedup.drop_boilerplate(stage(pages, "lines"), "host", "lines", ["page_id"], max_ratio=0.1, min_pages=10)
     return clean.select("page_id", "host", "n_lines", "n_dropped", F.array_join("kept_lines", "\n").alias("text"))
 
 
+#: Crawl date of the stored pages, which carry none.
+CRAWL_DATE = "2024-01-01T00:00:00Z"
+
+
+@register("op3_warc_derivatives")
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata and the conversion record of every page's response record."""
+    responses = warc.responses_from_pages(read_table(spark, sf_dir, "pages"), CRAWL_DATE)
+    return warc.derive(responses, source_col="page_id").withColumnRenamed("source", "page_id")
+
+
 @register("op4_jump_shards")
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 15 by jump consistent hashing of doc_id, with the move to 17 shards.
@@ -67,6 +138,18 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+#: The key of the registered query; a production key comes from the caller's secret store.
+PSEUDONYM_KEY = "registered-query-key"
+
+
+@register("op5_feistel_pseudonyms")
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the personal data in their texts replaced, and the pseudonyms in text order."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    clean = pii.pseudonymise(docs, "text", PSEUDONYM_KEY)
+    return clean.select("doc_id", F.col("clean_text").alias("text"), F.size("replaced").cast("long").alias("n_replaced"), "replaced")
+
+
 @register("op6_suffix_tree_repeats")
 def op6_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of 13-word windows that also start in a smaller doc_id."""
