@@ -33,6 +33,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*staged: DataFrame) -> None:
+    """Delete tables of `stage` that nothing will read any more."""
+    for df in staged:
+        spark = df.sparkSession
+        if files := df.inputFiles():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_clashing(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drop input columns that an operator is about to produce; the operator's own column wins."""
     taken = {n.lower() for n in names}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelyard.llm.common import stage
+from funnelyard.llm.common import discard, stage
 from funnelyard.llm.words import SPACES, chunks, column_bytes, covered, digest_spans, find_words, whole, windows
 
 #: Anchors that a group holds on average.
@@ -155,7 +155,9 @@ def find_repeats(placed: DataFrame, window: int, prefix_words: int, long_prefix_
     least = leaves.groupBy("key", "node").agg(F.min("doc_id").alias("least"))
     large = (leaves.join(least, ["key", "node"]).where("doc_id > least")
              .select("doc_id", "rid", F.col("at").cast("int").alias("first"), F.lit(1).alias("n")))
-    return small.union(large)
+    runs = stage(small.union(large), "runs")
+    discard(anchors, repeated)
+    return runs
 
 
 _KEPT = "doc_id long, n_words long, n_removed long, repeats array<struct<start: int, n: int>>, kept_text string"
@@ -186,7 +188,7 @@ def _cut(window: int):
     return scan
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, prefix_words: int | None = None, long_prefix_from: int = 20_000,
+def remove_repeats(docs: DataFrame, window: int = 13, prefix_words: int | None = None, long_prefix_from: int = 500_000,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, repeats (maximal cut spans, in words), kept_text.
 
