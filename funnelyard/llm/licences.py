@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from funnelyard.llm.common import drop_clashing
 
 #: What makes a text, and a sentence of it, worth a look.
-LICENCE_LIKE = r"(?i)licen[cs]e|copyright|warrant|redistribut|permission|creative commons|public domain"
+LICENCE_LIKE = r"(?i)licen[cs]e|copyright|warrant|redistribut|permission|creative commons|public domain|liable|mpl was"
 #: Ends of sentences: stops before white space or the end, or an empty line.
 SENTENCE_END = r"[.;:!?]+[^A-Za-z0-9 \t\n]*(?:[ \t\n]+|\z)|\n[ \t]*\n"
 UNKNOWN = "unknown"
@@ -131,17 +131,15 @@ def sentence_ids(text: Column) -> Column:
     follow a line that ends without a stop; the lines between known ones are looked up together. If
     nothing is known the sentence is UNKNOWN.
     """
-    def add(ids: Column, name: Column) -> Column:
-        return F.when(name.isNull(), ids).otherwise(F.concat(ids, F.array(name)))
+    mark = "\x01"  # around the identifiers of known lines; a text's own marks count as spaces
 
     def by_lines(sentence: Column) -> Column:
-        lines = F.transform(F.split(sentence, "\n"), lambda x: F.struct(x.alias("line"), sentence_id(x).alias("id")))
-
-        def step(state: Column, x: Column) -> Column:
-            known = F.struct(F.concat(add(state["ids"], sentence_id(state["run"])), F.array(x["id"])).alias("ids"), F.lit("").alias("run"))
-            return F.when(x["id"].isNotNull(), known).otherwise(F.struct(state["ids"].alias("ids"), F.concat_ws(" ", state["run"], x["line"]).alias("run")))
-        start = F.struct(F.expr("cast(array() as array<string>)").alias("ids"), F.lit("").alias("run"))
-        return F.aggregate(lines, start, step, lambda state: add(state["ids"], sentence_id(state["run"])))
+        def told(line: Column) -> Column:
+            known = F.transform(F.array(line), sentence_id)
+            return F.when(F.element_at(known, 1).isNotNull(), F.concat(F.lit(mark), F.element_at(known, 1), F.lit(mark))).otherwise(line)
+        lines = F.transform(F.split(F.translate(sentence, mark, " "), "\n"), told)
+        parts = F.transform(F.split(F.array_join(lines, " "), mark), lambda x, i: F.when(i % 2 == 1, x).otherwise(sentence_id(x)))
+        return F.filter(parts, lambda x: x.isNotNull())
 
     def ids(sentence: Column) -> Column:
         parts = F.transform(F.array(sentence), lambda x: F.struct(sentence_id(x).alias("id"), x.alias("s")))

@@ -98,7 +98,7 @@ def derive(responses: DataFrame, source_col: str | None = None) -> DataFrame:
     """
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "payload", 8 << 20):
+            for part in chunks(batch, "payload"):
                 rows = []
                 for source, record_id, uri, date, http, payload in zip(*[c.to_pylist() for c in part.columns]):
                     body, http, date = payload or b"", http or "", date or "1970-01-01T00:00:00Z"

@@ -14,9 +14,9 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text that are worked on at once (whole documents; a longer document is a chunk of its own).
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Bytes that are digested at once, and the length from which a word is digested on its own.
-BLOCK, LONG_WORD = 1 << 20, 4096
+BLOCK, LONG_WORD = 1 << 18, 4096
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95

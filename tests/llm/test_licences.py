@@ -44,6 +44,22 @@ def test_a_whole_licence_wrapped_over_lines(spark):
     assert licences == ["MIT"] and rest == ["copyright-line"]
 
 
+def test_licences_of_clauses_without_the_usual_words(spark):
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the X nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE X "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES OF ANY KIND ARE DISCLAIMED.
+IN NO EVENT SHALL THE X BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED."""
+    mpl = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.\n"
+           "If a copy of the MPL was not distributed with this file, You can obtain one at https://example.org/MPL/2.0/.")
+    got = scan(spark, [bsd, mpl])
+    assert got[0][1] == ["BSD-3-Clause"] and got[0][2] == [] and got[1][1] == ["MPL-2.0"] and got[1][2] == []
+
+
 def test_comment_markers_and_case_do_not_matter(spark):
     text = " * LICENSED under the Apache License, Version 2.0 (the \"License\");\r\n * you may not use this file except in compliance with the License.\r\n"
     assert scan(spark, [text])[0][1] == ["Apache-2.0"]

@@ -98,7 +98,7 @@ def test_dominance_cases():
 def test_runs_stay_few_when_counts_are_huge():
     counts = {k: 10**9 + k for k in range(1, 2049)}
     runs, figures = P.plan_packing(counts, 2048)
-    assert len(P.place_rows(runs)) < 20_000 and figures["sequences"] - figures["least"] <= 1024
+    assert len(P.place_rows(runs)) < 20_000 and figures["sequences"] <= figures["least"] * 1.000001
 
 
 def check(rows, texts, capacity, end_id=0):
