@@ -4,7 +4,8 @@ The corpus' suffixes are split by prefix, and one group of prefixes at a time is
 
 1. Short prefixes. Every window of `window` words is filed under its least-digest run of `prefix_words`
    words (its anchor), which all equal windows share; neighbouring windows mostly share it too. A prefix
-   that stands in one document only can't lead to a repeat, and its subtree is never built.
+   that stands in one text only can't lead to a repeat, and its subtree is never built. Equal texts are
+   one string: all but the least document of them are repeats as a whole.
 2. Groups. The prefixes left are dealt to groups of about GROUP_ROWS anchors. A prefix with more than
    `long_prefix_from` occurrences is split further, by the whole window as its prefix.
 3. Subtrees. In a group the suffixes are sorted below their prefix; suffixes that agree over the whole
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelyard.llm.common import discard, stage
+from funnelyard.llm.common import discard, key128, stage
 from funnelyard.llm.words import SPACES, chunks, column_bytes, covered, digest_spans, find_words, whole, windows
 
 #: Anchors that a group holds on average.
@@ -59,7 +60,7 @@ def _anchors(part: pa.RecordBatch, window: int, prefix_words: int) -> tuple:
 
 
 def document_prefixes(docs: DataFrame, window: int, prefix_words: int) -> DataFrame:
-    """Distinct (doc_id, key) of each row of docs(doc_id, text): the prefixes under which its windows are filed."""
+    """Distinct (doc_id, rid, key) of each row of docs(doc_id, rid, text): the prefixes under which its windows are filed."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -68,10 +69,11 @@ def document_prefixes(docs: DataFrame, window: int, prefix_words: int) -> DataFr
                 rows, keys = rows[order], keys[order]
                 once = np.ones(len(keys), bool)
                 once[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
-                yield pa.RecordBatch.from_arrays([_column(part, "doc_id").take(pa.array(rows[once])), pa.array(keys[once].view(np.int64))],
-                                                 names=["doc_id", "key"])
+                row = pa.array(rows[once])
+                yield pa.RecordBatch.from_arrays([_column(part, "doc_id").take(row), _column(part, "rid").take(row), pa.array(keys[once].view(np.int64))],
+                                                 names=["doc_id", "rid", "key"])
 
-    return docs.mapInArrow(scan, "doc_id long, key long")
+    return docs.mapInArrow(scan, "doc_id long, rid long, key long")
 
 
 def repeated_anchors(filed: DataFrame, window: int, prefix_words: int) -> DataFrame:
@@ -133,15 +135,25 @@ def build_subtree(group: pa.Table) -> pa.Table:
     return _runs(doc[hit], rid[hit], at[hit])
 
 
-def find_repeats(placed: DataFrame, window: int, prefix_words: int, long_prefix_from: int) -> DataFrame:
-    """Runs (doc_id, rid, first, n) of windows that start in a smaller doc_id too, of placed(doc_id, rid, text)."""
-    prefixes = document_prefixes(placed.select("doc_id", "text").where("doc_id is not null"), window, prefix_words)
-    repeated = stage(prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "prefixes")
+def find_copies(placed: DataFrame) -> DataFrame:
+    """Distinct (doc_id, rid) of the rows whose whole text a smaller doc_id has too. No text is shuffled."""
+    t1, t2 = key128(F.col("text"))
+    slim = placed.select("doc_id", "rid", t1.alias("t1"), t2.alias("t2")).where("doc_id is not null")
+    least = slim.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"))
+    return slim.join(least, ["t1", "t2"]).where("doc_id > least").select("doc_id", "rid").distinct()
+
+
+def find_repeats(placed: DataFrame, copies: DataFrame, window: int, prefix_words: int, long_prefix_from: int) -> DataFrame:
+    """Runs (doc_id, rid, first, n) of windows that start in a smaller doc_id too, of placed(doc_id, rid, text) without the copies."""
+    prefixes = document_prefixes(placed.where("doc_id is not null"), window, prefix_words)
+    counts = prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("a"), F.max("rid").alias("b"))
+    repeated = stage(counts.where("a <> b").select("key", "n"), "prefixes")
     total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups = int(total // GROUP_ROWS + 1)
 
-    filed = prefixes.join(repeated, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    found = placed.join(filed, "doc_id", "left").where("keys is not null")
+    filed = prefixes.select("doc_id", "key").join(repeated, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    gone = copies.groupBy("doc_id").agg(F.collect_set("rid").alias("gone"))
+    found = placed.join(filed.join(gone, "doc_id", "left"), "doc_id").where(~F.coalesce(F.array_contains("gone", F.col("rid")), F.lit(False)))
     anchors = stage(repeated_anchors(found.select("doc_id", "rid", "text", "keys"), window, prefix_words), "anchors")
     wide = repeated.where(F.col("n") > long_prefix_from).select("key", F.lit(True).alias("wide"))
     sorted_out = anchors.join(wide, "key", "left")
@@ -171,9 +183,10 @@ def _cut(window: int):
                 starts, ends, rows = find_words(data, offsets, SPACES)
                 bounds = np.searchsorted(rows, np.arange(part.num_rows + 1))
                 spans, kept, removed = [], [], []
+                copied = _column(part, "copied").to_pylist()
                 for i, runs in enumerate(_column(part, "runs").to_pylist()):
                     lo, n = bounds[i], int(bounds[i + 1] - bounds[i])
-                    gone = np.zeros(n, bool)
+                    gone = np.full(n, bool(copied[i]) and n >= window)
                     if runs:
                         hits = np.concatenate([np.arange(r["first"], r["first"] + r["n"]) for r in runs])
                         gone = covered(hits, window, n)
@@ -198,7 +211,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, prefix_words: int | None =
     """
     prefix_words = prefix_words or window // 2 + 1
     placed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
-    runs = find_repeats(placed, window, prefix_words, long_prefix_from)
-    gathered = runs.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    copies = stage(find_copies(placed), "copies")
+    runs = find_repeats(placed, copies, window, prefix_words, long_prefix_from)
+    run = F.when(F.col("n") > 0, F.struct("first", "n"))
+    marks = runs.withColumn("copied", F.lit(False)).union(copies.select("doc_id", "rid", F.lit(0), F.lit(0), F.lit(True)))
+    gathered = marks.groupBy("doc_id", "rid").agg(F.collect_list(run).alias("runs"), F.max("copied").alias("copied"))
     joined = placed.join(gathered, ["doc_id", "rid"], "left")
-    return joined.select("doc_id", "text", "runs").mapInArrow(_cut(window), _KEPT)
+    return joined.select("doc_id", "text", "runs", "copied").mapInArrow(_cut(window), _KEPT)
