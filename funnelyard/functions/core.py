@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
@@ -135,10 +135,19 @@ def ci_equals(c: str | Column, value: str) -> Column:
 
 
 def bounded_rows(df, limit: int, what: str = "rows") -> list:
-    """Read a small metadata result (e.g. the datasets a request resolves
-    to) on the driver, refusing if it exceeds ``limit`` rows.  Used only to
-    turn request parameters into static partition filters; never for data."""
+    """Read a metadata result of a fixed size (the two datasets of a request,
+    say) on the driver, to turn request parameters into static partition
+    filters; never for data."""
     got = df.limit(limit + 1).collect()
     if len(got) > limit:
         raise ValueError(f"{what}: more than {limit} rows; refusing to read them on the driver")
     return got
+
+
+def derived_once(df: DataFrame) -> DataFrame:
+    """Checkpoint an aggregated result that several parts of a query read, so
+    the rows behind it are scanned and joined once.  It goes to the shared
+    checkpoint folder, which an executor's loss does not touch."""
+    from funnelyard.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -42,8 +42,8 @@ def transcripts(turns: DataFrame, conversation_id=None, status: str | None = Non
                 error_category: str | None = None, dataset_id: str | None = None,
                 period: str | None = None, order_col: str = "message_id") -> DataFrame:
     """T1 — filters on conversation, evaluation status, either error
-    category (system or evaluation), dataset and any period field; newest
-    first (page with :func:`funnelyard.operators.compare.page`)."""
+    category (system or evaluation), dataset and any period field (an error
+    where the turns lack the filtered columns); newest first (page with :func:`funnelyard.operators.compare.page`)."""
     d = turns
     if conversation_id is not None:
         d = d.filter(F.col("conv_id") == conversation_id)
@@ -54,10 +54,14 @@ def transcripts(turns: DataFrame, conversation_id=None, status: str | None = Non
         if "system_error_category" in d.columns:
             cond = cond | (F.col("system_error_category") == error_category)
         d = d.filter(cond)
-    if dataset_id and "dataset_id" in d.columns:
+    if dataset_id:
+        if "dataset_id" not in d.columns:
+            raise ValueError("these turns carry no dataset_id to filter on")
         d = d.filter(F.col("dataset_id") == dataset_id)
     if period:
         cols = [c for c in ("academic_label", "period_a", "period_b") if c in d.columns]
+        if not cols:
+            raise ValueError("these turns carry no period field to filter on")
         cond = F.lit(False)
         for c in cols:
             cond = cond | (F.col(c) == period)
@@ -84,12 +88,15 @@ def summarise_result(rows: DataFrame, order: Sequence[str | Column], n: int = RE
 # ---------------------------------------------------------------------- T3
 def record_evaluations(evals: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """T3 — validate status and category, then upsert one evaluation per
-    message (latest update wins).  Returns ``(evaluations, rejected)``."""
-    ok = (F.col("status").isin(*VALID_EVAL_STATUSES)
-          & (F.col("error_category").isNull() | F.col("error_category").isin(*VALID_ERROR_CATEGORIES)))
+    message (latest update wins).  Returns ``(evaluations, rejected)``; every
+    update is in exactly one of the two, a missing status among the rejected."""
+    ok = F.coalesce(F.col("status").isin(*VALID_EVAL_STATUSES)
+                    & (F.col("error_category").isNull() | F.col("error_category").isin(*VALID_ERROR_CATEGORIES)),
+                    F.lit(False))
     good = updates.filter(ok)
     rejected = updates.filter(~ok).withColumn(
-        "reason", F.when(~F.col("status").isin(*VALID_EVAL_STATUSES), F.lit("invalid_status"))
+        "reason", F.when(F.col("status").isNull(), F.lit("missing_status"))
+        .when(~F.col("status").isin(*VALID_EVAL_STATUSES), F.lit("invalid_status"))
         .otherwise(F.lit("invalid_error_category")))
     merged = upsert(evals.select("message_id", "status", "error_category"),
                     good.select("message_id", "status", "error_category", "seq"),
@@ -121,19 +128,24 @@ def isolate_context(ctx: DataFrame, registry: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------- A8 / A9
 def export_projection(turns: DataFrame) -> DataFrame:
-    """A8 — the exported shape: conversation, message, question, answer,
-    session/years (from the period fields, else selected years), one error
-    category (evaluation first), evaluation status."""
+    """A8 — the exported shape: conversation, message, time, question, answer,
+    what the turn resolved to (intent, metric, dimension, entities, filters,
+    tool, success), session/years (from the period fields, else selected
+    years), one error category (evaluation first), evaluation status.  Fields
+    that the turns lack are null."""
     have = set(turns.columns)
 
     def opt(c: str, t: str = "string") -> Column:
         return F.col(c) if c in have else F.lit(None).cast(t)
     years = opt("selected_years", "array<string>")
     return turns.select(
-        F.col("conv_id").alias("conversation_id"), "message_id", F.lit("assistant").alias("role"),
-        "question", F.col("answer").alias("assistant_answer"), opt("dataset_id").alias("dataset_id"),
+        F.col("conv_id").alias("conversation_id"), "message_id", opt("created_at", "timestamp").alias("created_at"),
+        F.lit("assistant").alias("role"), "question", F.col("answer").alias("assistant_answer"),
+        *[opt(c).alias(c) for c in ("intent", "metric", "dimension")],
+        *[opt(c).alias(c) for c in ("resolved_entities", "filters", "tool_used")],
+        opt("success", "boolean").alias("success"), opt("dataset_id").alias("dataset_id"),
         opt("academic_label").alias("session_period"),
-        F.coalesce(opt("period_a"), F.element_at(years, 1)).alias("year_a"),
+        F.coalesce(opt("period_a"), F.try_element_at(years, F.lit(1))).alias("year_a"),
         F.coalesce(opt("period_b"), F.try_element_at(years, F.lit(2))).alias("year_b"),
         F.coalesce(opt("eval_error_category"), opt("system_error_category")).alias("error_category"),
         F.coalesce(opt("eval_status"), F.lit("unreviewed")).alias("evaluation_status"),

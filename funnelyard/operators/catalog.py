@@ -1,19 +1,20 @@
 """Column, schema and relationship inference over a catalog DataFrame
 (C1, C2, C4, C5, C7-C9).
 
-A catalog has one row per ``(dataset, table, column)`` so the mapping of
-thousands of uploads is one job.  Rules are small constant arrays evaluated
-row by row where the catalog rows live (no join); relationship discovery is
-a self-join of the metadata-sized catalog.
+A catalog has one row per ``(dataset, table, column)`` with the rows and
+filled cells behind it, so the mapping of thousands of uploads is one job.
+Rules are small constant arrays evaluated row by row where the catalog rows
+live (no join); relationships are found by the values that key columns share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from funnelyard.functions.core import derived_once
 
 # --- fixed values -----------------------------------------------------------
 # Header rules: exact header (lower-cased, trimmed) -> canonical field, confidence.
@@ -56,7 +57,6 @@ DIMENSION_NAMES = ("program", "program name", "campus", "campus name", "cluster"
                    "lead type", "owner")
 STATUS_NAMES = ("exam status", "admission status", "lead status")
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
-CATALOG_SAMPLE_ROWS = 1000
 CATALOG_SAMPLES = 20
 # ---------------------------------------------------------------------------
 
@@ -64,12 +64,26 @@ CATALOG_SAMPLES = 20
 # ---------------------------------------------------------------------- C7
 def catalog_from_tables(spark: SparkSession, tables: Mapping[str, DataFrame],
                         schema: str = "main") -> DataFrame:
-    """C7 — tables and columns with type, nullability and 1-based position.
-    Reads only DataFrame schemas (metadata); no data is scanned."""
-    rows = [(schema, t, f.name, f.dataType.simpleString(), bool(f.nullable), i + 1)
-            for t, df in tables.items() for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, "table_schema string, table_name string, column_name string, "
-                                 "data_type string, is_nullable boolean, position int")
+    """C7 — tables and columns with type, nullability, 1-based position, the
+    table's rows and the column's filled (non-null) cells.  One aggregate per
+    table, combined on the map side."""
+    parts = []
+    for t, df in tables.items():
+        counts = df.agg(F.count(F.lit(1)).alias("row_count"), *[F.count(F.col(f"`{f.name}`")).alias(f"_{i}") for i, f in enumerate(df.schema.fields)])
+        cells = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+                                   F.lit(bool(f.nullable)).alias("is_nullable"), F.lit(i + 1).alias("position"), F.col(f"_{i}").alias("filled_count"))
+                          for i, f in enumerate(df.schema.fields)])
+        parts.append(counts.select(F.lit(schema).alias("table_schema"), F.lit(t).alias("table_name"), "row_count", F.explode(cells).alias("c"))
+                     .select("table_schema", "table_name", "c.column_name", "c.data_type", "c.is_nullable", "c.position", "row_count", "c.filled_count"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def filled(catalog: DataFrame) -> DataFrame:
+    """The columns that hold any value."""
+    return catalog.where("filled_count > 0")
 
 
 # ---------------------------------------------------------------------- C1
@@ -152,40 +166,88 @@ def column_role(catalog: DataFrame, column_col: str = "column_name", type_col: s
 
 # ---------------------------------------------------------------------- C4
 def build_catalog(staged: DataFrame, dataset_id: str | None = None) -> DataFrame:
-    """C4 — from the first 1,000 rows (by ``row_number``) of a staged or
-    cleaned JSON table: per column its value kind (of the first non-null
-    sample), the first 20 values in row order and the first 5 for display.
-    Arrays are bounded by the 1,000-row window, never by the data size."""
+    """C4 — per column of a staged or cleaned JSON table: the kind of all its
+    values (``int``, ``float`` when some have a fraction, ``bool``, else ``str``;
+    ``unknown`` without any), the first 20 values in row order and the first 5
+    for display.  Kinds are counted over every row; only the display samples
+    are bounded, cut to 20 per column before the shuffle."""
     s = staged if dataset_id is None else staged.filter(F.col("dataset_id") == dataset_id)
-    s = s.filter(F.col("row_number") <= CATALOG_SAMPLE_ROWS)
     kv = s.select("dataset_id", "row_number",
                   F.explode(F.from_json("raw_data", "map<string,string>")).alias("column_name", "value"))
-    kind = (F.when(F.col("value").rlike(r"^-?\d+$"), "int")
-            .when(F.col("value").rlike(r"^-?\d+\.\d+$"), "float")
-            .when(F.col("value").isin("true", "false"), "bool").otherwise("str"))
+    v = F.col("value")
+    whole, fraction = v.rlike(r"^-?\d+$"), v.rlike(r"^-?\d+\.\d+$")
     g = kv.groupBy("dataset_id", "column_name").agg(
-        F.array_sort(F.collect_list(F.struct("row_number", "value"))).alias("_all"),
-        F.min_by(kind, F.when(F.col("value").isNotNull(), F.col("row_number"))).alias("data_type"))
-    first = F.slice("_all", 1, CATALOG_SAMPLES)
-    return g.select("dataset_id", "column_name", F.coalesce("data_type", F.lit("unknown")).alias("data_type"),
-                    F.transform(first, lambda x: x["value"]).alias("samples"),
-                    F.transform(F.slice("_all", 1, 5), lambda x: x["value"]).alias("sample_values"))
+        F.count("value").alias("_n"), F.count_if(whole).alias("_i"), F.count_if(whole | fraction).alias("_f"),
+        F.count_if(v.isin("true", "false")).alias("_b"))
+    kind = (F.when(F.col("_n") == 0, "unknown").when(F.col("_i") == F.col("_n"), "int")
+            .when(F.col("_f") == F.col("_n"), "float").when(F.col("_b") == F.col("_n"), "bool").otherwise("str"))
+    order = Window.partitionBy("dataset_id", "column_name").orderBy("row_number")
+    shown = (kv.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= CATALOG_SAMPLES)
+             .groupBy("dataset_id", "column_name").agg(F.array_sort(F.collect_list(F.struct("_r", "value"))).alias("_all")))  # 20 at most
+    values = F.transform("_all", lambda x: x["value"])
+    return (g.select("dataset_id", "column_name", kind.alias("data_type")).join(shown, ["dataset_id", "column_name"])
+            .select("dataset_id", "column_name", "data_type", values.alias("samples"), F.slice(values, 1, 5).alias("sample_values")))
 
 
 # ---------------------------------------------------------------------- C8
-def discover_relationships(catalog: DataFrame, keys: Sequence[str] = RELATIONSHIP_KEYS) -> DataFrame:
-    """C8 — table pairs sharing a key-like column name, each pair once
-    (left table < right table), confidence 0.90.  A self-join on the
-    normalised name: the catalog is metadata-sized."""
-    c = catalog.select("table_schema", "table_name", "column_name",
-                       F.lower(F.trim("column_name")).alias("_k")).filter(F.col("_k").isin(*keys))
-    l, r = c.alias("l"), c.alias("r")
-    j = l.join(r, (F.col("l._k") == F.col("r._k")) & (F.col("l.table_name") < F.col("r.table_name")))
-    return j.select(F.col("l.table_schema").alias("left_schema"), F.col("l.table_name").alias("left_table"),
-                    F.col("l.column_name").alias("left_column"), F.col("r.table_schema").alias("right_schema"),
-                    F.col("r.table_name").alias("right_table"), F.col("r.column_name").alias("right_column"),
-                    F.col("l._k").alias("relationship_key"),
-                    F.lit(RELATIONSHIP_CONFIDENCE).alias("confidence"))
+def key_values(tables: Mapping[str, DataFrame], keys: Sequence[str] = RELATIONSHIP_KEYS) -> DataFrame:
+    """``(relationship_key, table_name, column_name, value, n)``: the values
+    of every key-like column (by its trimmed lower-case name), with their
+    rows; combined on the map side, so a hot value is one row per task."""
+    parts = [df.select(F.lit(f.name.strip().lower()).alias("relationship_key"), F.lit(t).alias("table_name"), F.lit(f.name).alias("column_name"),
+                       F.col(f"`{f.name}`").cast("string").alias("value"))
+             for t, df in tables.items() for f in df.schema.fields if f.name.strip().lower() in keys]
+    if not parts:
+        raise ValueError(f"no table has a column named like one of {', '.join(keys)}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return (out.where("value is not null").groupBy("relationship_key", "table_name", "column_name", "value")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def discover_relationships(tables: Mapping[str, DataFrame], keys: Sequence[str] = RELATIONSHIP_KEYS) -> DataFrame:
+    """C8 + C9 — tables that share a key-like column, found and validated by
+    its values in one plan.
+
+    A key's tables are linked with its reference table, the one with the most
+    distinct values (ties: the first name), so n tables give n - 1 links
+    instead of all pairs.  Per link: distinct values of both sides, matches,
+    unmatched counts, score and status as in :func:`validate_relationships`.
+    """
+    values = derived_once(key_values(tables, keys))
+    side = ["relationship_key", "table_name", "column_name"]
+    sizes = values.groupBy(*side).agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("n").cast("long").alias("row_count"))
+    ref = sizes.groupBy("relationship_key").agg(F.min_by(  # one row per key name
+        F.struct("table_name", "column_name", "distinct_values", "row_count"),
+        F.struct((-F.col("distinct_values")).alias("d"), "table_name", "column_name")).alias("ref"))
+    in_ref = (values.join(F.broadcast(ref), "relationship_key")
+              .where((F.col("table_name") == F.col("ref.table_name")) & (F.col("column_name") == F.col("ref.column_name")))
+              .select("relationship_key", "value"))
+    matches = (values.select(*side, "value").join(in_ref, ["relationship_key", "value"], "left_semi")
+               .groupBy(*side).agg(F.count(F.lit(1)).alias("matching_values")))
+    links = (sizes.join(ref, "relationship_key")
+             .where((F.col("table_name") != F.col("ref.table_name")) | (F.col("column_name") != F.col("ref.column_name")))
+             .join(matches, side, "left").withColumn("matching_values", F.coalesce("matching_values", F.lit(0)).cast("long")))
+    s4 = _score(F.col("matching_values"), F.least("distinct_values", "ref.distinct_values"))
+    return links.select(
+        "relationship_key", F.col("ref.table_name").alias("left_table"), F.col("ref.column_name").alias("left_column"),
+        F.col("table_name").alias("right_table"), F.col("column_name").alias("right_column"),
+        F.lit(RELATIONSHIP_CONFIDENCE).alias("confidence"), F.col("ref.row_count").alias("left_row_count"), F.col("row_count").alias("right_row_count"),
+        F.col("ref.distinct_values").alias("left_distinct"), F.col("distinct_values").alias("right_distinct"), "matching_values",
+        (F.col("ref.distinct_values") - F.col("matching_values")).alias("left_unmatched"),
+        (F.col("distinct_values") - F.col("matching_values")).alias("right_unmatched"),
+        (s4.cast("double") / 10000).alias("validation_score"), _status(s4).alias("status"))
+
+
+def _score(matches: Column, small: Column) -> Column:
+    """Matches by the smaller side in 1/10000, half away from zero, 10000 at most."""
+    return F.when(small == 0, F.lit(0).cast("long")).otherwise(
+        F.least(F.lit(10000).cast("long"), F.call_function("div", matches * 20000 + small, small * 2)))
+
+
+def _status(s4: Column) -> Column:
+    return F.when(s4 >= int(VERIFIED * 10000), "verified").when(s4 >= int(POSSIBLE * 10000), "possible").otherwise("rejected")
 
 
 # ---------------------------------------------------------------------- C9
@@ -212,18 +274,12 @@ def validate_relationships(pairs: Sequence[tuple]) -> DataFrame:
         F.count_if(F.col("v").isNotNull() & (F.col("nl") > 0)).alias("left_distinct"),
         F.count_if(F.col("v").isNotNull() & (F.col("nr") > 0)).alias("right_distinct"),
         F.count_if(F.col("v").isNotNull() & (F.col("nl") > 0) & (F.col("nr") > 0)).alias("matching_values"))
-    small = F.least("left_distinct", "right_distinct")
-    # score in 1/10000 units, half away from zero; capped at 1.
-    s4 = F.when(small == 0, F.lit(0).cast("long")).otherwise(
-        F.least(F.lit(10000).cast("long"),
-                F.call_function("div", F.col("matching_values") * 20000 + small, small * 2)))
+    s4 = _score(F.col("matching_values"), F.least("left_distinct", "right_distinct"))
     return t.select("pair", "left_row_count", "right_row_count", "left_distinct", "right_distinct",
                     "matching_values",
                     (F.col("left_distinct") - F.col("matching_values")).alias("left_unmatched"),
                     (F.col("right_distinct") - F.col("matching_values")).alias("right_unmatched"),
-                    (s4.cast("double") / 10000).alias("validation_score"),
-                    F.when(s4 >= int(VERIFIED * 10000), "verified").when(s4 >= int(POSSIBLE * 10000), "possible")
-                    .otherwise("rejected").alias("status"))
+                    (s4.cast("double") / 10000).alias("validation_score"), _status(s4).alias("status"))
 
 
 def validate_relationship(left: DataFrame, left_col: str, right: DataFrame, right_col: str,

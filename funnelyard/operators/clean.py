@@ -26,20 +26,24 @@ def _as_text(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("string")
 
 
+def _row_digest(cols: Sequence[str]) -> Column:
+    """SHA-256 of a row's values (nulls kept), equal for equal rows."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]), {"ignoreNullFields": "false"}), 256).alias("_digest")
+
+
 # ---------------------------------------------------------------------- B1
 def profile_table(df: DataFrame, order_by: Sequence[str] | None = None, sample: int = 5) -> DataFrame:
     """B1 — one row: rows, columns, missing cells, fully duplicate rows,
     missing %, duplicate %, ``score = max(0, 100 - missing% - duplicate%)``
     and ``sample`` rows (JSON, first by ``order_by``).
 
-    Duplicates are ``sum(n - 1)`` over ``groupBy(all columns)``: one
-    shuffle, no ``distinct().count()`` second job.
+    Duplicates are ``sum(n - 1)`` over the groups of equal row digests: one
+    shuffle of digests and counts, never of the rows.
     """
     cols = df.columns
     ncols = len(cols)
     missing = sum((F.col(c).isNull().cast("long") for c in cols), F.lit(0).cast("long"))
-    grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"),
-                                    F.sum(missing).alias("_miss"))
+    grouped = df.groupBy(_row_digest(cols)).agg(F.count(F.lit(1)).alias("_n"), F.sum(missing).alias("_miss"))
     stats = grouped.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("rows"),
                         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
                         F.coalesce(F.sum("_miss"), F.lit(0)).cast("long").alias("missing_values"))
@@ -173,12 +177,12 @@ def reconcile_load(staged: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def profile_by(df: DataFrame, group_col: str) -> DataFrame:
     """B1 per group (e.g. per uploaded dataset): rows, missing cells,
-    duplicate rows, percentages and score — one ``groupBy(group, all
-    columns)`` and one ``groupBy(group)``, both map-side combined."""
+    duplicate rows, percentages and score — one ``groupBy(group, row
+    digest)`` and one ``groupBy(group)``, both map-side combined."""
     cols = [c for c in df.columns if c != group_col]
     ncols = len(cols)
     missing = sum((F.col(c).isNull().cast("long") for c in cols), F.lit(0).cast("long"))
-    g = df.groupBy(group_col, *cols).agg(F.count(F.lit(1)).alias("_n"), F.sum(missing).alias("_m"))
+    g = df.groupBy(group_col, _row_digest(cols)).agg(F.count(F.lit(1)).alias("_n"), F.sum(missing).alias("_m"))
     s = g.groupBy(group_col).agg(F.sum("_n").cast("long").alias("rows"),
                                  F.sum(F.col("_n") - 1).cast("long").alias("duplicate_rows"),
                                  F.sum("_m").cast("long").alias("missing_values"))

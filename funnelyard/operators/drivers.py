@@ -1,9 +1,10 @@
 """Driver analysis for one member (K1-K5).
 
-All five outputs come from two aggregates over the member's rows: a one-row
-total and a grouping-sets style contribution table (unpivot + aggregate, one
-scan).  Shares are divided by the one-row total through a broadcast
-cross join of that single row, never by a window over a whole dimension.
+All five outputs come from one grouping-sets style aggregate of the member's
+rows (:func:`contributions`: unpivot + aggregate, one scan, written once).
+Every row falls into one category of each dimension, so the member's totals
+are the sums of any one dimension.  Shares are divided by that one row
+through a broadcast cross join, never by a window over a whole dimension.
 Results describe associations, not causes.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelyard.functions.core import from_h, lsum, pct_h, rate_h
+from funnelyard.functions.core import derived_once, from_h, lsum, pct_h, rate_h
 
 # --- fixed values -----------------------------------------------------------
 CONTRIBUTION_DIMENSIONS = ("source", "main_source", "owner", "campus_name", "state")
@@ -34,10 +35,28 @@ def _member_rows(m: DataFrame, dataset_id: str, dim: str, member: str) -> DataFr
     return m.filter((F.col("dataset_id") == dataset_id) & (F.col(dim) == member))
 
 
+def contributions(m: DataFrame, dataset_id: str, dim: str, member: str) -> DataFrame:
+    """``(dimension, category, measures)`` of one member's rows by every other
+    contribution dimension (blank -> ``UNKNOWN``), derived once."""
+    rows = _member_rows(m, dataset_id, dim, member)
+    others = [d for d in CONTRIBUTION_DIMENSIONS if d != dim]
+    long = rows.select(*_M6, *[F.coalesce(F.col(d), F.lit(UNKNOWN_CATEGORY)).alias(d) for d in others]) \
+        .unpivot(ids=list(_M6), values=others, variableColumnName="dimension",
+                 valueColumnName="category")
+    return derived_once(long.groupBy("dimension", "category").agg(*[lsum(c).alias(c) for c in _M6]))
+
+
+def _totals(parts: DataFrame, dim: str) -> DataFrame:
+    any_one = next(d for d in CONTRIBUTION_DIMENSIONS if d != dim)
+    return parts.filter(F.col("dimension") == any_one).agg(*[lsum(c).alias(c) for c in _M6])
+
+
 # ---------------------------------------------------------------------- K1
-def driver_totals(m: DataFrame, dataset_id: str, dim: str, member: str) -> DataFrame:
-    """K1 — PY/CY leads and admissions of one member, rates and changes."""
-    t = _member_rows(m, dataset_id, dim, member).agg(*[lsum(c).alias(c) for c in _M6])
+def driver_totals(m: DataFrame, dataset_id: str, dim: str, member: str, parts: DataFrame | None = None) -> DataFrame:
+    """K1 — PY/CY leads and admissions of one member, rates and changes.
+    ``parts``: its :func:`contributions`, where they are at hand."""
+    t = (_totals(parts, dim) if parts is not None
+         else _member_rows(m, dataset_id, dim, member).agg(*[lsum(c).alias(c) for c in _M6]))
     cy_h, py_h = rate_h("cy_admission", "cy_leads"), rate_h("py_admission", "py_leads")
     return t.select(
         F.lit(dim).alias("dimension"), F.lit(member).alias("member"), *_M6,
@@ -51,17 +70,11 @@ def driver_totals(m: DataFrame, dataset_id: str, dim: str, member: str) -> DataF
 
 
 # ---------------------------------------------------------------------- K2
-def driver_contributions(m: DataFrame, dataset_id: str, dim: str, member: str) -> DataFrame:
-    """K2 — the member's rows broken down by every other contribution
-    dimension (blank -> ``UNKNOWN``), with CY/PY admission shares of the
-    member's total and the share change (mix shift)."""
-    rows = _member_rows(m, dataset_id, dim, member)
-    others = [d for d in CONTRIBUTION_DIMENSIONS if d != dim]
-    long = rows.select(*_M6, *[F.coalesce(F.col(d), F.lit(UNKNOWN_CATEGORY)).alias(d) for d in others]) \
-        .unpivot(ids=list(_M6), values=others, variableColumnName="dimension",
-                 valueColumnName="category")
-    g = long.groupBy("dimension", "category").agg(*[lsum(c).alias(c) for c in _M6])
-    tot = rows.agg(lsum("cy_admission").alias("_tcy"), lsum("py_admission").alias("_tpy"))
+def driver_contributions(m: DataFrame, dataset_id: str, dim: str, member: str, parts: DataFrame | None = None) -> DataFrame:
+    """K2 — the member's :func:`contributions` with CY/PY admission shares of
+    the member's total and the share change (mix shift)."""
+    g = parts if parts is not None else contributions(m, dataset_id, dim, member)
+    tot = _totals(g, dim).select(F.col("cy_admission").alias("_tcy"), F.col("py_admission").alias("_tpy"))
     g = g.crossJoin(F.broadcast(tot))
     cy_h, py_h = rate_h("cy_admission", "cy_leads"), rate_h("py_admission", "py_leads")
     cys, pys = rate_h("cy_admission", "_tcy"), rate_h("py_admission", "_tpy")

@@ -1,32 +1,29 @@
 """Entity resolution of free-typed names against dimension members (H1-H5).
 
-Requested names are a small, user-supplied DataFrame ``(name, position)``;
-members are the distinct values of the metrics table's dimensions, computed
-on the executors.
-
-* tiers 1-6 (exact, case-insensitive, alphanumeric-only, normalised
-  substring, token, substring) are evaluated in one pass of the members
-  against the broadcast name list (its size is the request size, not the
-  data size);
-* tier 7 (similarity >= 0.8) runs only for names no cheaper tier resolved,
-  only against members whose length can reach the threshold, in an
-  Arrow-batched pandas UDF.
+Requested names are a DataFrame ``(name, position)`` of any size; members
+are the distinct values of the metrics table's dimensions, computed on the
+executors.
+
+All tiers are one equi-join.  Each member is spelled out as the keys under
+which a name could find it (itself, lower-cased, alphanumeric, its tokens,
+its short grams), each name as the keys that it looks under, and what a
+gram finds is then checked in full.  Members are derived once, no pair is
+formed without a common key, and neither side is broadcast by hand.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from funnelyard.functions.core import strip_ws
+from funnelyard.functions.core import derived_once, strip_ws
 
 # --- fixed values -----------------------------------------------------------
 RESOLVE_DIMENSIONS = ("program_name", "campus_name", "state", "owner", "source", "main_source")
-SIMILARITY_THRESHOLD = 0.8
+# Similar: alphanumeric forms of this length or more, at an edit distance of at most a third of the longer one.
+SIMILAR_FROM, SIMILAR_SHARE = 4, 3
 DIMENSION_ALIASES = {
     "main_source": "main_source", "source": "source", "sub_source": "sub_source",
     "channel": "source", "category": "main_source", "lead_type": "lead_type",
@@ -99,99 +96,95 @@ def choose_dimension(matched: DataFrame, names: DataFrame,
 
 
 # ---------------------------------------------------------------------- H2
-def _first_tier(cands: DataFrame) -> DataFrame:
-    """Candidates of the first tier that has any hit, per name."""
-    first = cands.groupBy("name").agg(F.min("tier").alias("tier"))
-    return cands.join(first, ["name", "tier"]).dropDuplicates(["name", "dimension", "member"])
-
-
-def _decide(cands: DataFrame) -> DataFrame:
-    """From (name, tier, dimension, member, prefix) candidates: the first tier
-    with a hit decides; one distinct candidate resolves, several are
-    ambiguous (tier 4 prefers a unique prefix match).  Only counts and
-    ``min_by`` winners are aggregated — never the candidate list itself, so
-    a name matching millions of members costs no more than an aggregate."""
-    c = _first_tier(cands)
-    pair = F.struct("dimension", "member")
-    g = c.groupBy("name", "tier").agg(
-        F.count(F.lit(1)).alias("candidate_count"),
-        F.count_if(F.col("prefix")).alias("_np"),
-        F.min(pair).alias("_one"),
-        F.min(F.when(F.col("prefix"), pair)).alias("_pre"))
-    pick = (F.when(F.col("candidate_count") == 1, F.col("_one"))
-            .when((F.col("tier") == 4) & (F.col("_np") == 1), F.col("_pre")))
-    return g.select("name", "tier", pick.isNotNull().alias("resolved"),
-                    pick.getField("dimension").alias("dimension"),
-                    pick.getField("member").alias("value"),
-                    pick.isNull().alias("ambiguous"), "candidate_count")
+def _key(kind: int, value: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+
+
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """Distinct substrings of the given sizes."""
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
+    return F.array_distinct(F.flatten(F.array(*[of_size(n) for n in sizes])))
+
+
+def _member_keys(fuzzy: bool) -> Column:
+    """Kinds 1-7: as is, lower, alphanumeric, grams of that, tokens, grams of the lower form, pairs of letters."""
+    tokens = F.transform(F.filter(F.split("member", "[^a-zA-Z0-9]"), lambda t: t != ""), lambda t: F.lower(t))
+    parts = [F.array(_key(1, F.col("member")), _key(2, F.col("mlow")), _key(3, F.col("mnorm"))),
+             F.transform(_grams(F.col("mnorm"), (1, 2, 3)), lambda g: _key(4, g)),
+             F.transform(F.array_distinct(tokens), lambda t: _key(5, t)),
+             F.transform(_grams(F.col("mlow"), (1, 2, 3)), lambda g: _key(6, g))]
+    if fuzzy:
+        parts.append(F.transform(_grams(F.col("mnorm"), (2,)), lambda g: _key(7, g)))
+    return F.flatten(F.array(*parts))
+
+
+def _name_keys(fuzzy: bool) -> Column:
+    """The keys that a name looks under: its forms, and the first gram of those that may stand inside a member."""
+    parts = [F.array(_key(1, F.col("clean")), _key(2, F.col("low")), _key(3, F.col("norm")), _key(4, F.substring("norm", 1, 3)),
+                     _key(5, F.col("low")), _key(6, F.substring("low", 1, 3)))]
+    if fuzzy:
+        parts.append(F.transform(_grams(F.col("norm"), (2,)), lambda g: _key(7, g)))
+    return F.flatten(F.array(*parts))
+
+
+def _tier_hits(names: DataFrame, members: DataFrame, fuzzy: bool) -> DataFrame:
+    """One row per (name, dimension, member) that any tier finds: its first
+    tier, the edit distance where that is 7, and whether the member starts with
+    the name (tiers 4-6)."""
+    n = (names.select("name", strip_ws("name").alias("clean")).filter(F.col("clean") != "").distinct()
+         .select("name", "clean", F.lower("clean").alias("low"), alnum("clean").alias("norm")))
+    m = members.select("dimension", "member", F.lower("member").alias("mlow"), alnum("member").alias("mnorm"))
+    found = (m.select("*", F.explode(_member_keys(fuzzy)).alias("k")).select("dimension", "member", "mlow", "mnorm", "k.*")
+             .join(n.select("*", F.explode(_name_keys(fuzzy)).alias("k")).select("name", "low", "norm", "k.*"), ["kind", "key"]))
+    distance, longer = F.levenshtein("mnorm", "norm"), F.greatest(F.length("mnorm"), F.length("norm"))
+    near = (F.least(F.length("mnorm"), F.length("norm")) >= SIMILAR_FROM) & (distance * SIMILAR_SHARE <= longer)
+    holds = (F.when(F.col("kind").isin(3, 4), (F.col("norm") != "") & F.col("mnorm").contains(F.col("norm")))
+             .when(F.col("kind") == 6, F.col("mlow").contains(F.col("low")))
+             .when(F.col("kind") == 7, near).otherwise(F.lit(True)))
+    share = F.when(F.col("kind") == 7, F.floor(distance * 1_000_000 / longer)).otherwise(F.lit(0)).cast("long")
+    prefix = F.col("kind").isin(4, 5, 6) & F.col("mnorm").startswith(F.col("norm"))
+    return (found.filter(holds).groupBy("name", "dimension", "member")
+            .agg(F.min(F.struct(F.col("kind").alias("tier"), share.alias("share"))).alias("t"),
+                 F.min_by(prefix, F.col("kind")).alias("prefix"))
+            .select("name", "dimension", "member", "t.tier", "t.share", "prefix"))
 
 
 def resolve_members(names: DataFrame, members: DataFrame, fuzzy: bool = True,
                     candidates: bool = False) -> DataFrame:
     """H2 — resolve each requested name across the six dimensions.
 
+    Tiers: exact, case-insensitive, equal alphanumeric form, that form inside
+    the member's, a token of the member, the lower-cased name inside the member,
+    and (``fuzzy``) the least edit distance of the alphanumeric forms up to a
+    third of the longer one.  The first tier with a hit decides: one distinct
+    candidate resolves, several are ambiguous (tier 4 prefers a unique prefix
+    match).  Only counts and ``min`` winners are aggregated, never a list.
+
     Output per name: ``tier`` (1-7, null when nothing matched), ``resolved``,
     ``dimension``, ``value``, ``ambiguous`` and ``candidate_count``.  With
     ``candidates=True`` the deciding tier's candidates are returned instead,
-    one row per (name, dimension, member) — a list, never an array.
+    one row per (name, dimension, member).
     """
-    n = (names.select("name", strip_ws("name").alias("clean"))
-         .filter(F.col("clean") != "")
-         .select("name", "clean", F.lower("clean").alias("low"), alnum("clean").alias("norm")))
-    m = members.select("dimension", "member", F.lower("member").alias("mlow"),
-                       alnum("member").alias("mnorm"))
-    # Tiers 1-6 in ONE pass over the members against the broadcast request
-    # names (request-sized, so each member row is compared with a handful of
-    # names); the first tier that holds for a pair is its tier.
-    tokens = F.transform(F.filter(F.split("member", "[^a-zA-Z0-9]"), lambda t: t != ""),
-                         lambda t: F.lower(t))
-    t1 = F.col("member") == F.col("clean")
-    t2 = F.col("mlow") == F.col("low")
-    t3 = (F.col("mnorm") == F.col("norm")) & (F.col("norm") != "")
-    t4 = F.col("mnorm").contains(F.col("norm")) & (F.col("norm") != "")
-    t5 = F.array_contains(tokens, F.col("low"))
-    t6 = F.col("mlow").contains(F.col("low"))
-    tier = (F.when(t1, 1).when(t2, 2).when(t3, 3).when(t4, 4).when(t5, 5).when(t6, 6))
-    pj = m.join(F.broadcast(n), t1 | t2 | t3 | t4 | t5 | t6)
-    cheap = pj.select("name", tier.alias("tier"), "dimension", "member",
-                      F.col("mnorm").startswith(F.col("norm")).alias("prefix"))
-    if fuzzy:
-        left = n.join(cheap.select("name").distinct(), "name", "left_anti")
-        cheap = cheap.unionByName(_fuzzy(left, m))
+    hits = _tier_hits(names, members, fuzzy)
     if candidates:
-        return _first_tier(cheap).select("name", "tier", "dimension", "member")
-    decided = _decide(cheap)
-    unmatched = names.select("name").join(decided.select("name"), "name", "left_anti")
-    none = unmatched.select("name", F.lit(None).cast("int").alias("tier"),
-                            F.lit(False).alias("resolved"),
-                            F.lit(None).cast("string").alias("dimension"),
-                            F.lit(None).cast("string").alias("value"),
-                            F.lit(False).alias("ambiguous"),
-                            F.lit(0).cast("long").alias("candidate_count"))
-    return decided.unionByName(none)
-
-
-@F.pandas_udf(T.DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    from difflib import SequenceMatcher
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-def _fuzzy(names: DataFrame, members: DataFrame) -> DataFrame:
-    """Tier 7 — similarity of the alphanumeric forms.  ratio = 2*M/(|a|+|b|)
-    cannot reach 0.8 unless min/max length >= 2/3, which blocks candidates
-    exactly, before the UDF runs."""
-    la, lb = F.length("mnorm"), F.length("norm")
-    cand = members.join(F.broadcast(names), (la * 3 >= lb * 2) & (lb * 3 >= la * 2) & (lb > 0))
-    scored = cand.select("name", "dimension", "member",
-                         _similarity(F.col("mnorm"), F.col("norm")).alias("score"))
-    hit = scored.filter(F.col("score") >= SIMILARITY_THRESHOLD)
-    # The best score per name by a window over the few pairs above the
-    # threshold, so the UDF is evaluated once (an aggregate + join would
-    # evaluate the scored plan twice).
-    best = F.max("score").over(Window.partitionBy("name"))
-    return (hit.withColumn("_best", best).filter(F.col("score") == F.col("_best"))
-            .select("name", F.lit(7).alias("tier"), "dimension", "member", F.lit(False).alias("prefix")))
+        hits = derived_once(hits)
+        first = hits.groupBy("name").agg(F.min(F.struct("tier", "share")).alias("f")).select("name", "f.*")
+        return hits.join(first, ["name", "tier", "share"]).select("name", "tier", "dimension", "member")
+    pair = F.struct("dimension", "member")
+    tiers = hits.groupBy("name", "tier", "share").agg(
+        F.count(F.lit(1)).alias("candidate_count"), F.count_if(F.col("prefix")).alias("_np"), F.min(pair).alias("_one"),
+        F.min(F.when(F.col("prefix"), pair)).alias("_pre"))
+    first = tiers.groupBy("name").agg(F.min_by(
+        F.struct("tier", "candidate_count", "_np", "_one", "_pre"), F.struct("tier", "share")).alias("f")).select("name", "f.*")
+    pick = (F.when(F.col("candidate_count") == 1, F.col("_one"))
+            .when((F.col("tier") == 4) & (F.col("_np") == 1), F.col("_pre")))
+    found = F.col("tier").isNotNull()
+    return names.select("name").join(first, "name", "left").select(
+        "name", "tier", (found & pick.isNotNull()).alias("resolved"), pick.getField("dimension").alias("dimension"),
+        pick.getField("member").alias("value"), (found & pick.isNull()).alias("ambiguous"),
+        F.coalesce("candidate_count", F.lit(0)).cast("long").alias("candidate_count"))
 
 
 # ---------------------------------------------------------------------- H5

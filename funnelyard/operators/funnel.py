@@ -21,17 +21,22 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelyard.functions.core import (flag_by_rate, flag_by_zero, from_h, growth, lsum, pct,
                                        rate_h)
+from funnelyard.functions.ordinal import ordinal_within
 
 STAGES = ("leads", "registration", "admission")
 
 # --- fixed values -----------------------------------------------------------
 # Dimensions each event metric may be grouped / filtered by.
-EVENT_DIMENSIONS = {"leads": ("main_source", "source"), "registration": (), "admission": ()}
+EVENT_DIMENSIONS = {
+    "leads": ("program_name", "campus_name", "cluster", "state", "source", "main_source", "lead_type"),
+    "registration": ("program_name", "campus_name"),
+    "admission": ("program_name", "campus_name", "cluster", "state", "admission_status"),
+}
 DERIVED_RATES = {
     "lead_registration_rate": ("registration", "leads"),
     "lead_admission_rate": ("admission", "leads"),
@@ -215,20 +220,20 @@ def source_performance_metrics(m: DataFrame, dataset_id: str, year: int, cy_year
 # ---------------------------------------------------------------------- F12
 def source_insights(perf: DataFrame) -> DataFrame:
     """F12 — weak (high), new (info) and dropped (high) insights per source
-    row; strong sources are only counted (see :func:`insight_summary`)."""
+    row; :func:`insight_lists` names the sources of every list, the strong
+    ones included."""
     name = F.concat_ws(" / ", F.coalesce("main_source", F.lit("None")), F.coalesce("source", F.lit("None")))
     items = F.array(
         F.when(F.col("performance_flag") == "high_leads_low_conversion", F.struct(
             F.lit("high_leads_low_conversion").alias("type"), F.lit("high").alias("severity"),
-            F.concat(name, F.lit(" generated "), F.col("leads").cast("string"), F.lit(" leads but only "),
-                     F.col("admission").cast("string"), F.lit(" admissions.")).alias("message"))),
+            F.concat(name, F.lit(": "), F.col("admission").cast("string"), F.lit(" of "),
+                     F.col("leads").cast("string"), F.lit(" leads were admitted")).alias("message"))),
         F.when(F.col("growth_status") == "new_source", F.struct(
             F.lit("new_source").alias("type"), F.lit("info").alias("severity"),
-            F.concat(name, F.lit(" is a new source compared with the previous year.")).alias("message"))),
+            F.concat(name, F.lit(": leads this year, none the year before")).alias("message"))),
         F.when(F.col("growth_status") == "dropped", F.struct(
             F.lit("dropped_source").alias("type"), F.lit("high").alias("severity"),
-            F.concat(name, F.lit(" generated leads in the previous year but none in the current year."))
-            .alias("message"))))
+            F.concat(name, F.lit(": leads the year before, none this year")).alias("message"))))
     return perf.select("main_source", "source", "lead_admission_percent",
                        F.explode(F.array_compact(items)).alias("i")).select(
         "i.type", "main_source", "source", "i.severity", "i.message",
@@ -236,6 +241,15 @@ def source_insights(perf: DataFrame) -> DataFrame:
         .alias("lead_admission_percent"))
 
 
+def insight_lists(perf: DataFrame) -> DataFrame:
+    """F12 — ``(list, main_source, source)``: the strong, weak, new and dropped
+    sources; a source may stand in two lists (weak and new, say)."""
+    flag, status = F.col("performance_flag"), F.col("growth_status")
+    lists = F.array(F.when(flag == "strong", F.lit("strong")), F.when(flag == "high_leads_low_conversion", F.lit("weak")),
+                    F.when(status == "new_source", F.lit("new")), F.when(status == "dropped", F.lit("dropped")))
+    return perf.select(F.explode(F.array_compact(lists)).alias("list"), "main_source", "source")
+
+
 def insight_summary(perf: DataFrame) -> DataFrame:
     """F12 — the five counters in one aggregate."""
     return perf.agg(F.count(F.lit(1)).alias("total_sources"),
@@ -248,14 +262,16 @@ def insight_summary(perf: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------- F13
 def source_tree(tables: Mapping[str, DataFrame], year: int) -> DataFrame:
     """F13 — main_source -> source rows with counts, rates (null on zero),
-    flag, and each source's position under its main source (leads desc)."""
+    flag, and each source's position under its main source (leads desc).
+    Positions come from a distributed sort, so a main source may have any
+    number of sources."""
     agg = source_performance_year(tables, year)
     h = rate_h("admission", "leads", "null")
-    w = Window.partitionBy("main_source").orderBy(F.col("leads").desc(), F.col("source").asc())
-    return agg.select("main_source", "source", F.lit(year).alias("year"), "leads", "registration",
+    rows = agg.select("main_source", "source", F.lit(year).alias("year"), "leads", "registration",
                       "admission", *_rates("", "leads", "registration", "admission", "null"),
                       F.when(F.col("leads") > 0, flag_by_rate("leads", h)).otherwise("normal")
-                      .alias("performance")).withColumn("position", F.row_number().over(w).cast("long"))
+                      .alias("performance"))
+    return ordinal_within(rows, ["main_source"], [F.col("leads").desc(), F.col("source").asc()], name="position")
 
 
 # ---------------------------------------------------------------------- F14
@@ -303,15 +319,14 @@ def source_tree3(m: DataFrame, dataset_id: str, year: int, cy_year: int, py_year
     name = (F.when(F.col("level") == 3, F.col("l3")).when(F.col("level") == 2, F.col("l2"))
             .when(F.col("level") == 1, F.col("l1")).otherwise(F.lit("All Sources")))
     h = rate_h("admission", "leads", "zero")
-    # Siblings share level and parent keys; the window runs over tree nodes.
-    parent = [F.col("level"), F.when(F.col("level") >= 2, F.col("l1")),
-              F.when(F.col("level") == 3, F.col("l2"))]
-    w = Window.partitionBy(*parent).orderBy(F.col("leads").desc(), name.asc())
     out = r.select("level", "l1", "l2", "l3", name.alias("name"), "leads", "registration", "admission",
                    "py_leads", "py_registration", "py_admission", from_h(h).alias("lead_admission_percent"),
                    F.when(F.col("level") == 0, F.lit("normal")).otherwise(flag_by_rate("leads", h))
                    .alias("performance"))
-    return out.withColumn("position", F.row_number().over(w).cast("long"))
+    # Siblings share level and parent keys; they are numbered by a distributed
+    # sort of the nodes, so a node may have any number of children.
+    out = out.withColumns({"_p1": F.when(F.col("level") >= 2, F.col("l1")), "_p2": F.when(F.col("level") == 3, F.col("l2"))})
+    return ordinal_within(out, ["level", "_p1", "_p2"], [F.col("leads").desc(), F.col("name").asc()], name="position").drop("_p1", "_p2")
 
 
 # ---------------------------------------------------------------------- F15
@@ -319,18 +334,17 @@ def tree_search(tree: DataFrame, text: str) -> DataFrame:
     """F15 — nodes whose name contains ``text`` (case-insensitive) plus all
     their ancestors; the grand total is not searchable.
 
-    A node is kept when any node of its own subtree matches: ``max(hit)``
-    over the nodes sharing its level-1 key (level 1) or its (level-1,
-    level-2) keys (level 2).  The tree is computed once; the windows run over
-    aggregated tree nodes, not over data rows."""
+    The keys of the matching nodes, cut to levels 1, 2 and 3, are the nodes to
+    keep: a distinct (combined on the map side) and a semi join on the keys,
+    so no subtree meets in one task.  ``tree`` is numbered by a written sort,
+    so reading it twice doesn't derive it twice."""
     t = tree.filter(F.col("level") >= 1)
-    hit = F.lower(F.col("name")).contains(text.lower()).cast("int")
-    t = t.withColumn("_hit", hit)
-    under_l1 = F.max("_hit").over(Window.partitionBy("l1"))
-    under_l2 = F.max(F.when(F.col("level") >= 2, F.col("_hit"))).over(Window.partitionBy("l1", "l2"))
-    keep = (F.when(F.col("level") == 1, under_l1).when(F.col("level") == 2, under_l2)
-            .otherwise(F.col("_hit")))
-    return t.withColumn("_keep", keep).filter(F.col("_keep") == 1).drop("_hit", "_keep")
+    hits = t.filter(F.lower(F.col("name")).contains(text.lower())).select("level", "l1", "l2", "l3")
+    upto = F.explode(F.transform(F.sequence(F.lit(1), F.col("level")), lambda k: F.struct(
+        k.alias("level"), F.col("l1"), F.when(k >= 2, F.col("l2")).alias("l2"), F.when(k >= 3, F.col("l3")).alias("l3"))))
+    keep = hits.select(upto.alias("k")).select("k.*").distinct().alias("k")
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("level", "l1", "l2", "l3")]
+    return t.alias("t").join(keep, same[0] & same[1] & same[2] & same[3], "left_semi")
 
 
 # ---------------------------------------------------------------------- F16

@@ -54,13 +54,23 @@ def expand_staged(staged: DataFrame, mapping: Mapping[str, str],
 
 # ---------------------------------------------------------------------- A4
 def parse_number(c: Column) -> Column:
-    """``"1,234"`` -> 1234, half-up rounding of fractions; null when not a
-    number (callers decide between 0 and a reject)."""
-    d = F.regexp_replace(F.trim(c), ",", "").try_cast("decimal(38,6)")
-    return F.round(d, 0).cast("long")
-
-
-def normalise_metrics(staged: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
+    """``"1,234"`` -> 1234, fractions rounded once, half away from zero; null
+    when not a number or beyond a long (callers decide between 0 and a reject).
+
+    Plain decimals are rounded by their first fraction digit, at any length;
+    other notations (``1e3``) go through the widest decimal."""
+    s = F.regexp_replace(F.trim(c), ",", "")
+    plain = s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$")
+    digits = F.regexp_extract(s, "^[+-]?([0-9]*)", 1)
+    whole = F.when(digits == "", F.lit("0")).otherwise(digits).try_cast("decimal(38,0)")
+    size = F.try_add(whole, (F.regexp_extract(s, r"\.([0-9])", 1) >= "5").cast("decimal(1,0)"))
+    signed = F.when(s.startswith("-"), -size).otherwise(size)
+    other = F.round(s.try_cast("decimal(38,18)"), 0)
+    return F.when(plain, signed.try_cast("long")).otherwise(other.try_cast("long"))
+
+
+def normalise_metrics(staged: DataFrame, mapping: Mapping[str, str],
+                      keep: Sequence[str] = ("dataset_id", "row_number")) -> DataFrame:
     """A4 — staged JSON rows -> the metrics schema.
 
     ``mapping`` is canonical field -> source key.  Text: trimmed, blank ->
@@ -80,7 +90,7 @@ def normalise_metrics(staged: DataFrame, mapping: Mapping[str, str]) -> DataFram
         else:
             nums.append(F.lit(0).cast("long").alias(n))
     rejects = F.filter(F.array(*bad), lambda x: x.isNotNull()) if bad else F.array().cast("array<string>")
-    return staged.select("dataset_id", "row_number", *texts, *nums, rejects.alias("rejects")).withColumn(
+    return staged.select(*keep, *texts, *nums, rejects.alias("rejects")).withColumn(
         "rejected", F.size("rejects") > 0)
 
 
@@ -90,7 +100,8 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], order_col:
     """A6 — insert or overwrite rows by key.
 
     When ``updates`` repeats a key, the row with the largest ``order_col``
-    wins.  With ``keep_old_if_null`` an update's null field keeps the
+    wins; a null order is smaller than any other, and rows that tie are
+    ordered by a digest of their values, so a rerun picks the same one.  With ``keep_old_if_null`` an update's null field keeps the
     existing value (COALESCE-style upsert).  Output has every base and
     update key once, plus ``_source`` = base / inserted / updated.
 
@@ -106,8 +117,9 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], order_col:
                     .alias("_ord"), F.lit(0).alias("_side"))
     u = updates.select(*keys, F.struct(*[F.col(c) for c in values]).alias("_v"), oc.alias("_ord"),
                        F.lit(1).alias("_side"))
+    latest = F.struct(F.col("_ord").isNotNull(), F.col("_ord"), F.xxhash64("_v"))
     g = b.unionByName(u).groupBy(*keys).agg(
-        F.max_by("_v", F.when(F.col("_side") == 1, F.col("_ord"))).alias("_new"),
+        F.max_by("_v", F.when(F.col("_side") == 1, latest)).alias("_new"),
         F.max_by("_v", F.when(F.col("_side") == 0, F.lit(1))).alias("_old"),
         F.max("_side").alias("_has_u"), F.min("_side").alias("_has_b0"))
     has_u = F.col("_has_u") == 1

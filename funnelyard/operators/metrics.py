@@ -409,7 +409,8 @@ def seasonal_allocation(m: DataFrame, dataset_id: str,
 # ---------------------------------------------------------------------- E5/E6
 def contains_filter(df: DataFrame, column: str, text: str, fallback: bool = True) -> DataFrame:
     """E6 — case-insensitive substring match; with ``fallback`` all rows are
-    kept when nothing matches (decided by a one-row aggregate)."""
+    kept when nothing matches (decided by a one-row aggregate of ``df``, which
+    is read twice: pass a stored result)."""
     hit = F.lower(F.col(column)).contains(text.lower())
     if not fallback:
         return df.filter(hit)
@@ -422,7 +423,8 @@ def direction_filter(df: DataFrame, direction: str, rate_col: str = "rate_change
                      change_col: str = "admission_change") -> DataFrame:
     """E5 — members whose rate moved in ``direction`` ("increase" or
     "decrease"); if none, those whose admissions moved; if none, all.  The
-    choice comes from a one-row aggregate broadcast back."""
+    choice comes from a one-row aggregate of ``df`` broadcast back; ``df`` is
+    read twice, so pass a stored result."""
     sign = -1 if direction == "decrease" else 1
     r_hit = (F.col(rate_col) * sign) > 0
     a_hit = (F.col(change_col) * sign) > 0
@@ -434,9 +436,9 @@ def direction_filter(df: DataFrame, direction: str, rate_col: str = "rate_change
 
 # ---------------------------------------------------------------------- E7/E8/E9
 def filter_options(m: DataFrame, dataset_ids: Sequence[str], dims: Sequence[str],
-                   cap: int | None = 200) -> DataFrame:
-    """E7 — sorted distinct non-blank values per dimension, at most ``cap``
-    each, from one scan (unpivot + distinct + WindowGroupLimit)."""
+                   cap: int | None = None) -> DataFrame:
+    """E7 — distinct non-blank values per dimension; with ``cap`` the first
+    ones of each in order, with their positions.  One scan (unpivot + distinct + WindowGroupLimit)."""
     d = m.filter(F.col("dataset_id").isin(*dataset_ids))
     long = (d.unpivot(ids=[], values=list(dims), variableColumnName="dimension",
                       valueColumnName="value")

@@ -20,7 +20,7 @@ from lineitem join orders on l_orderkey=o_orderkey join customer on o_custkey=c_
 """
 
 _M_BODY = """
-select concat('ds', cast(p.cy as varchar)) as dataset_id, owner, cluster, lead_type, main_source, {source} as source,
+select concat('ds', cast(cy as varchar)) as dataset_id, owner, cluster, lead_type, main_source, {source} as source,
   campus_name, {state} as state, program_name,
   cast(case when yr=cy then leads else 0 end as bigint) as cy_leads,
   cast(case when yr=cy then registration else 0 end as bigint) as cy_registration,
@@ -28,7 +28,7 @@ select concat('ds', cast(p.cy as varchar)) as dataset_id, owner, cluster, lead_t
   cast(case when yr=cy-1 then leads else 0 end as bigint) as py_leads,
   cast(case when yr=cy-1 then registration else 0 end as bigint) as py_registration,
   cast(case when yr=cy-1 then admission else 0 end as bigint) as py_admission
-from F join (values (2022),(2024),(2026)) as p(cy) on yr=cy or yr=cy-1
+from (select *, yr + yr % 2 as cy from F) p
 """
 VIEWS["M"] = _M_BODY.format(source="source", state="state")
 VIEWS["MB"] = _M_BODY.format(source="nullif(source,'BUILDING')", state="nullif(state,'NATION_3')")
@@ -46,6 +46,21 @@ select l_orderkey as lead_id, cast(l_shipdate as date) as event_date
 from lineitem where l_linestatus='F' and l_returnflag='R'
 """
 
+_PLACE = """ join customer on o_custkey=c_custkey join nation on c_nationkey=n_nationkey join region on n_regionkey=r_regionkey"""
+VIEWS["E_leads_dims"] = """
+select o_orderkey as lead_id, p_brand as program_name, r_name as campus_name, p_type as cluster, n_name as state,
+  c_mktsegment as source, o_orderpriority as main_source, o_orderstatus as lead_type, cast(o_orderdate as date) as event_date
+from orders""" + _PLACE + """
+ left join (select l_orderkey, min(l_partkey) as first_part from lineitem group by 1) f on f.l_orderkey=o_orderkey
+ left join part on p_partkey=first_part
+"""
+_LINE_DIMS = """
+select l_orderkey as lead_id, p_brand as program_name, r_name as campus_name, p_type as cluster, n_name as state,
+  o_orderstatus as admission_status, cast(l_shipdate as date) as event_date
+from lineitem join orders on l_orderkey=o_orderkey""" + _PLACE + """ join part on p_partkey=l_partkey where l_linestatus='F'"""
+VIEWS["E_registration_dims"] = _LINE_DIMS
+VIEWS["E_admission_dims"] = _LINE_DIMS + " and l_returnflag='R'"
+
 VIEWS["R"] = """
 select *, row_number() over (partition by label order by dataset_id) as upload_version,
        row_number() over (partition by label order by dataset_id desc) = 1 as is_period_active
@@ -58,7 +73,7 @@ from (select p_partkey as dataset_id,
 """
 
 VIEWS["T"] = """
-select m.conv_id*1000+m.turn as message_id, m.conv_id, m.turn, m.text as question, m.nxt as answer,
+select concat(cast(m.conv_id as varchar), '-', cast(m.turn as varchar)) as message_id, m.conv_id, m.turn, m.text as question, m.nxt as answer,
   case when l.quality=1 then 'correct' when l.quality=0 then 'incorrect' else 'unreviewed' end as eval_status,
   case when l.toxic=1 then 'other' end as eval_error_category
 from (select *, lead(text) over (partition by conv_id order by turn) as nxt,
@@ -79,15 +94,18 @@ from customer
 _DEPS = {"M": ["F"], "MB": ["F"]}
 
 
-def with_views(sql: str, *names: str, extra: list[tuple[str, str]] | None = None) -> str:
+def with_views(sql: str, *names: str, extra: list[tuple[str, str]] | None = None,
+               once: tuple[str, ...] = ()) -> str:
     """Prefix ``sql`` with the CTEs it needs (dependencies first), then the
-    query's own ``extra`` CTEs in the given order."""
+    query's own ``extra`` CTEs in the given order; those named in ``once``
+    are computed once however often they are read."""
     order: list[str] = []
     for n in names:
         for dep in _DEPS.get(n, []) + [n]:
             if dep not in order:
                 order.append(dep)
-    parts = [f"{n} as ({VIEWS[n].strip()})" for n in order]
-    parts += [f"{n} as ({body.strip()})" for n, body in (extra or [])]
+    how = {n: "as materialized" if n in once else "as" for n in [*order, *(n for n, _ in extra or [])]}
+    parts = [f"{n} {how[n]} ({VIEWS[n].strip()})" for n in order]
+    parts += [f"{n} {how[n]} ({body.strip()})" for n, body in (extra or [])]
     ctes = ",\n".join(parts)
     return f"with {ctes}\n{sql.strip()}" if parts else sql.strip()

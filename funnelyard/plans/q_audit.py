@@ -49,18 +49,20 @@ def q_summarise_result(spark, sf_dir):
 # ---------------------------------------------------------------- T3
 def _eval_updates(spark, sf_dir):
     """Reviewer updates derived from ``labels``: toxic conversations get an
-    'incorrect' / hallucination verdict, low-quality ones a bad status."""
+    'incorrect' / hallucination verdict, low-quality ones a bad status, and
+    every fifth turn lacks its status."""
     t = _t(spark, sf_dir)
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     j = t.join(lab, t.conv_id == lab.doc_id)
-    status = (F.when(F.col("toxic") == 1, F.lit("incorrect"))
+    status = (F.when(F.col("turn") % 5 == 4, F.lit(None).cast("string"))
+              .when(F.col("toxic") == 1, F.lit("incorrect"))
               .when(F.col("quality") == 0, F.lit("needs_review")).otherwise(F.lit("partially_correct")))
     cat = F.when(F.col("toxic") == 1, F.lit("hallucination_error")).when(
         F.col("quality") == 1, F.lit(None).cast("string")).otherwise(F.lit("metric_error"))
     return j.select("message_id", status.alias("status"), cat.alias("error_category"), F.col("turn").alias("seq"))
 
 
-_UPD_SQL = ("upd", "select t.message_id, case when l.toxic = 1 then 'incorrect' when l.quality = 0 then 'needs_review' "
+_UPD_SQL = ("upd", "select t.message_id, case when t.turn % 5 = 4 then null when l.toxic = 1 then 'incorrect' when l.quality = 0 then 'needs_review' "
                    "else 'partially_correct' end as status, case when l.toxic = 1 then 'hallucination_error' "
                    "when l.quality = 1 then null else 'metric_error' end as error_category, t.turn as seq "
                    "from T t join labels l on t.conv_id = l.doc_id")
@@ -85,8 +87,9 @@ def q_record_evaluations(spark, sf_dir):
 
 
 @register("rejected_evaluations", with_views(f"""
-select *, case when status not in {_VALID} then 'invalid_status' else 'invalid_error_category' end as reason
-from upd where not (status in {_VALID} and (error_category is null or error_category in {_CATS}))""", "T",
+select *, case when status is null then 'missing_status' when status not in {_VALID} then 'invalid_status'
+  else 'invalid_error_category' end as reason
+from upd where not coalesce(status in {_VALID} and (error_category is null or error_category in {_CATS}), false)""", "T",
     extra=[_UPD_SQL]))
 def q_rejected_evaluations(spark, sf_dir):
     t = _t(spark, sf_dir)
@@ -131,26 +134,30 @@ def q_recent_turns(spark, sf_dir):
 
 # ---------------------------------------------------------------- T6
 @register("isolate_context", with_views("""
-select conv_id, dataset_id from (select distinct c.conv_id, (case when l.doc_id is null then 1 else 2 end)::BIGINT as dataset_id
-  from conversations c left join labels l on l.doc_id = c.conv_id) c where dataset_id = (select max(dataset_id) from R
-  where not regexp_matches(dataset_name, '^(Bench_|benchmark_|test_|synthetic_)', 'i') and dataset_id <= 2)""", "R"))
+select conv_id, dataset_id from (select distinct c.conv_id, (case when l.doc_id is null then (select min(dataset_id) from R)
+    else (select d from newest) end)::BIGINT as dataset_id
+  from conversations c left join labels l on l.doc_id = c.conv_id) c where dataset_id = (select d from newest)""", "R",
+    extra=[("newest", "select max(dataset_id) as d from R where not regexp_matches(dataset_name, "
+            "'^(Bench_|benchmark_|test_|synthetic_)', 'i')")]))
 def q_isolate_context(spark, sf_dir):
     from funnelyard.operators.periods import is_benchmark
     conv = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
     lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), F.lit(1).alias("_l"))
-    # contexts: labelled conversations were saved against dataset 2, the others against dataset 1
-    ctx = conv.join(lab, "conv_id", "left").select(
-        "conv_id", F.when(F.col("_l").isNull(), F.lit(1)).otherwise(F.lit(2)).cast("long").alias("dataset_id"))
-    r = B.registry(spark, sf_dir).filter(F.col("dataset_id") <= 2)
-    newest = r.filter(~is_benchmark("dataset_name")).agg(F.max("dataset_id").alias("_a"))
-    reg = r.crossJoin(newest).withColumn("is_active", F.col("dataset_id") == F.col("_a"))
+    # contexts: labelled conversations were saved against the newest real dataset, the others against the
+    # oldest one of all; the two bounds are one row
+    r = B.registry(spark, sf_dir)
+    bounds = r.agg(F.max(F.when(~is_benchmark("dataset_name"), F.col("dataset_id"))).alias("_a"), F.min("dataset_id").alias("_o"))
+    ctx = conv.join(lab, "conv_id", "left").crossJoin(F.broadcast(bounds)).select(
+        "conv_id", F.when(F.col("_l").isNull(), F.col("_o")).otherwise(F.col("_a")).cast("long").alias("dataset_id"))
+    reg = r.crossJoin(F.broadcast(bounds)).withColumn("is_active", F.col("dataset_id") == F.col("_a"))
     return T.isolate_context(ctx, reg)
 
 
 # ---------------------------------------------------------------- A8 / A9
 @register("export_projection", with_views("""
-select conv_id as conversation_id, message_id, 'assistant' as role, question, answer as assistant_answer,
-  null::varchar as dataset_id, null::varchar as session_period, null::varchar as year_a, null::varchar as year_b,
+select conv_id as conversation_id, message_id, null::timestamp as created_at, 'assistant' as role, question, answer as assistant_answer,
+  null::varchar as intent, null::varchar as metric, null::varchar as dimension, null::varchar as resolved_entities,
+  null::varchar as filters, null::varchar as tool_used, null::boolean as success, null::varchar as dataset_id, null::varchar as session_period, null::varchar as year_a, null::varchar as year_b,
   eval_error_category as error_category, coalesce(eval_status, 'unreviewed') as evaluation_status,
   null::varchar as correct_answer, null::varchar as correction_notes from T""", "T"))
 def q_export_projection(spark, sf_dir):

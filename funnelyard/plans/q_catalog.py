@@ -18,12 +18,40 @@ _CATALOG = ("cat", "select table_schema, table_name, column_name, " + _TYPE_MAP
             + ", ".join(f"'{t}'" for t in TABLES) + ")")
 
 
+# The columns of the given tables, for the oracle's counts.
+TABLE_COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props", "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label", "pages": "page_id url html", "benchmark": "item_id text",
+    "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+
+
+def _filled_sql(tables):
+    """CTE of (table_name, column_name, filled_count, row_count); ``tables``: name -> (relation, columns)."""
+    parts = []
+    for name, (relation, columns) in tables.items():
+        names, counts = ", ".join(f"'{c}'" for c in columns), ", ".join(f'count("{c}")' for c in columns)
+        parts.append(f"select table_name, unnest(names) as column_name, unnest(counts) as filled_count, row_count from ("
+                     f"select '{name}' as table_name, [{names}] as names, [{counts}] as counts, count(*) as row_count from {relation}) t_{name}")
+    return ("filled", "\nunion all\n".join(parts))
+
+
+_FILLED = _filled_sql({t: (t, c.split()) for t, c in TABLE_COLUMNS.items()})
+_CATALOG = ("cat", "select c.*, f.row_count, f.filled_count from (" + _CATALOG[1] + ") c join filled f using (table_name, column_name)")
+_CATALOG = ("cat", _CATALOG[1].replace("select c.*", "select c.table_schema, c.table_name, c.column_name, c.data_type, c.is_nullable, c.position"))
+
+
 def _catalog(spark, sf_dir):
     return Cat.catalog_from_tables(spark, {t: read_table(spark, sf_dir, t) for t in TABLES})
 
 
 # ---------------------------------------------------------------- C7
-@register("catalog_from_tables", with_views("select * from cat", extra=[_CATALOG]))
+@register("catalog_from_tables", with_views("select * from cat", extra=[_FILLED, _CATALOG]))
 def q_catalog(spark, sf_dir):
     return _catalog(spark, sf_dir)
 
@@ -46,16 +74,16 @@ from (select table_name, original_column, arg_min(struct_pack(tier := tier, cano
         confidence := confidence), [tier, rule_order]) as w, count(tier) as n
       from (select c.table_name, c.column_name as original_column, r.* from (
               select *, lower(trim(column_name)) as cl, trim(regexp_replace(lower(trim(column_name)), '[-_]', ' ', 'g')) as sp
-              from cat) c
+              from cat where filled_count > 0) c
             left join rules r on (r.tier = 0 and c.cl = r.rule_key)
               or (r.tier = 1 and (contains(c.cl, r.rule_key) or contains(r.rule_key, c.cl)))
               or (r.tier = 2 and contains(c.sp, r.rule_key))) j
       group by 1, 2) g""")
 
 
-@register("map_columns", with_views("select * from mapped", extra=[_CATALOG, _rules_sql(), _MAPPED]))
+@register("map_columns", with_views("select * from mapped", extra=[_FILLED, _CATALOG, _rules_sql(), _MAPPED]))
 def q_map_columns(spark, sf_dir):
-    return Cat.map_columns(_catalog(spark, sf_dir))
+    return Cat.map_columns(Cat.filled(_catalog(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- C2
@@ -63,9 +91,9 @@ def q_map_columns(spark, sf_dir):
 select table_name, canonical_field, arg_min(original_column, (-confidence, original_column)) as original_column,
   max(confidence) as confidence, count(*) as candidates,
   case when arg_min(is_ambiguous, (-confidence, original_column)) then 'ambiguous' else 'resolved' end as status
-from mapped where canonical_field is not null group by 1, 2""", extra=[_CATALOG, _rules_sql(), _MAPPED]))
+from mapped where canonical_field is not null group by 1, 2""", extra=[_FILLED, _CATALOG, _rules_sql(), _MAPPED]))
 def q_resolve_canonical(spark, sf_dir):
-    return Cat.resolve_canonical(Cat.map_columns(_catalog(spark, sf_dir)))
+    return Cat.resolve_canonical(Cat.map_columns(Cat.filled(_catalog(spark, sf_dir))))
 
 
 # ---------------------------------------------------------------- C5
@@ -83,11 +111,11 @@ select *, case when contains(n, 'date') or contains(n, 'time') then 'date'
 from (select *, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(column_name)), '[_-]', ' ', 'g'),
         '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) as normalized_name,
         trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(column_name)), '[_-]', ' ', 'g'),
-        '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) as n from cat) x
+        '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) as n from cat where filled_count > 0) x
 """.replace("select *, case", "select table_schema, table_name, column_name, data_type, is_nullable, position, "
-            "normalized_name, case"), extra=[_CATALOG]))
+            "row_count, filled_count, normalized_name, case"), extra=[_FILLED, _CATALOG]))
 def q_column_role(spark, sf_dir):
-    return Cat.column_role(_catalog(spark, sf_dir))
+    return Cat.column_role(Cat.filled(_catalog(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- C4
@@ -96,18 +124,20 @@ def _list_str(x):
 
 
 @register("build_catalog", with_views(f"""
-select dataset_id, column_name, coalesce(arg_min(kind, case when value is not null then row_number end), 'unknown')
-    as data_type,
+select dataset_id, column_name, case when count(value) = 0 then 'unknown'
+    when count(*) filter (where kind = 'int') = count(value) then 'int'
+    when count(*) filter (where kind in ('int', 'float')) = count(value) then 'float'
+    when count(*) filter (where kind = 'bool') = count(value) then 'bool' else 'str' end as data_type,
   {_list_str('list(value order by row_number)[1:20]')} as samples,
   {_list_str('list(value order by row_number)[1:5]')} as sample_values
 from (select dataset_id, row_number, k as column_name, v as value,
-        case when regexp_full_match(v, '-?\\d+') then 'int' when regexp_full_match(v, '-?\\d+\\.\\d+') then 'float'
+        case when v is null then null when regexp_full_match(v, '-?\\d+') then 'int' when regexp_full_match(v, '-?\\d+\\.\\d+') then 'float'
              when v in ('true', 'false') then 'bool' else 'str' end as kind
       from (select dataset_id, row_number, unnest(['row_number', 'name', 'email', 'segment', 'amount']) as k,
               unnest([cast(rn0 as varchar), name, email, segment, amount]) as v
             from (select *, row_number as rn0, row_number() over (partition by dataset_id order by row_number) as rnk
                   from (select {'coalesce(nullif(trim(segment), ' + chr(39) * 2 + '), ' + chr(39) + 'BLANK' + chr(39) + ')'} as dataset_id, * from C) c0) c1
-            where rnk <= 1000) kv0
+            ) kv0
       ) kv
 group by 1, 2""".replace("select dataset_id, row_number, unnest", "select dataset_id, rnk as row_number, unnest"), "C"))
 def q_build_catalog(spark, sf_dir):
@@ -121,23 +151,33 @@ def q_build_catalog(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- C8
-def _view_catalog(spark, sf_dir):
-    views = {"e_leads": B.lead_events(spark, sf_dir), "e_registrations": B.registration_events(spark, sf_dir),
-             "e_admissions": B.admission_events(spark, sf_dir), "turns": B.turns(spark, sf_dir),
-             "dirty_records": B.dirty_records(spark, sf_dir)}
-    return Cat.catalog_from_tables(spark, views)
-
-
-_VIEW_PAIRS = """
-select * from (values ('main', 'e_admissions', 'lead_id', 'main', 'e_leads', 'lead_id', 'lead_id', 0.9::double),
-  ('main', 'e_admissions', 'lead_id', 'main', 'e_registrations', 'lead_id', 'lead_id', 0.9::double),
-  ('main', 'e_leads', 'lead_id', 'main', 'e_registrations', 'lead_id', 'lead_id', 0.9::double))
-  as p(left_schema, left_table, left_column, right_schema, right_table, right_column, relationship_key, confidence)"""
+def _event_views(spark, sf_dir):
+    return {"e_leads": B.lead_events(spark, sf_dir), "e_registrations": B.registration_events(spark, sf_dir),
+            "e_admissions": B.admission_events(spark, sf_dir), "turns": B.turns(spark, sf_dir),
+            "dirty_records": B.dirty_records(spark, sf_dir)}
 
 
-@register("discover_relationships", with_views(_VIEW_PAIRS + " where exists (select 1 from orders)"))
+_LINKS = with_views("""
+select 'lead_id' as relationship_key, r.t as left_table, 'lead_id' as left_column, s.t as right_table, 'lead_id' as right_column,
+  0.9::double as confidence, r.n as left_row_count, s.n as right_row_count, r.d as left_distinct, s.d as right_distinct, m as matching_values,
+  r.d - m as left_unmatched, s.d - m as right_unmatched, cast(s4 as double) / 10000 as validation_score,
+  case when s4 >= 8000 then 'verified' when s4 >= 5000 then 'possible' else 'rejected' end as status
+from (select s.t, s.n, s.d, coalesce(x.m, 0) as m,
+        case when least(s.d, r.d) = 0 then 0 else least(10000, (coalesce(x.m, 0) * 20000 + least(s.d, r.d)) // (2 * least(s.d, r.d))) end as s4
+      from sizes s cross join ref r left join (
+        select v.t, count(*) as m from vals v join (select value from vals where t = (select t from ref)) w using (value) group by 1) x on x.t = s.t
+      where s.t <> r.t) s
+cross join ref r""", "E_leads", "E_reg", "E_adm", extra=[
+    ("vals", "select t, value, count(*) as n from (select 'e_leads' as t, lead_id as value from E_leads union all "
+             "select 'e_registrations', lead_id from E_reg union all select 'e_admissions', lead_id from E_adm) a "
+             "where value is not null group by 1, 2"),
+    ("sizes", "select t, count(*) as d, cast(sum(n) as bigint) as n from vals group by 1"),
+    ("ref", "select t, d, n from sizes order by d desc, t limit 1")], once=("vals", "sizes", "ref"))
+
+
+@register("discover_relationships", _LINKS)
 def q_discover_relationships(spark, sf_dir):
-    return Cat.discover_relationships(_view_catalog(spark, sf_dir))
+    return Cat.discover_relationships(_event_views(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- C9
@@ -169,21 +209,11 @@ def q_validate_relationships(spark, sf_dir):
                                        for pid, lt, lc, rt, rc in _PAIRS])
 
 
-@register("validate_discovered_relationships", with_views("\nunion all\n".join(
-    _validate_sql(f"{a}_{b}", v1, "lead_id", v2, "lead_id")
-    for a, b, v1, v2 in (("e_admissions", "e_leads", "E_adm", "E_leads"),
-                         ("e_admissions", "e_registrations", "E_adm", "E_reg"),
-                         ("e_leads", "e_registrations", "E_leads", "E_reg"))), "E_leads", "E_reg", "E_adm"))
+@register("validate_discovered_relationships", f"select left_table, right_table, relationship_key, validation_score, status from ({_LINKS}) l where status = 'verified'")
 def q_validate_discovered(spark, sf_dir):
-    views = {"e_leads": B.lead_events(spark, sf_dir), "e_registrations": B.registration_events(spark, sf_dir),
-             "e_admissions": B.admission_events(spark, sf_dir)}
-    # The candidate list is catalog metadata (schemas, not data): it is read on
-    # the driver to decide which columns to scan; all candidates are then
-    # validated in one job.
-    pairs = Cat.discover_relationships(_view_catalog(spark, sf_dir)).collect()
-    return Cat.validate_relationships([(f"{r['left_table']}_{r['right_table']}", views[r["left_table"]],
-                                        r["left_column"], views[r["right_table"]], r["right_column"])
-                                       for r in pairs])
+    """The links that their values verify."""
+    links = Cat.discover_relationships(_event_views(spark, sf_dir))
+    return links.where("status = 'verified'").select("left_table", "right_table", "relationship_key", "validation_score", "status")
 
 
 # ---------------------------------------------------------------- C3
@@ -200,7 +230,7 @@ def _semantic_catalog(spark, sf_dir):
     tables = {t: read_table(spark, sf_dir, t) for t in TABLES}
     tables.update({"metrics": B.metrics(spark, sf_dir), "dirty_records": B.dirty_records(spark, sf_dir),
                    "turns": B.turns(spark, sf_dir)})
-    return Cat.catalog_from_tables(spark, tables)
+    return Cat.filled(Cat.catalog_from_tables(spark, tables))
 
 
 def _norm_sql(x):
@@ -218,6 +248,9 @@ def _c3_sql():
     cols = ("select table_name, column_name from information_schema.columns where table_name in ("
             + ", ".join(f"'{t}'" for t in TABLES) + ") union all select * from (values "
             + ", ".join(f"('{t}', '{c}')" for t, cs in _VIEW_COLUMNS.items() for c in cs) + ") v(table_name, column_name)")
+    cols = f"select a.table_name, a.column_name from ({cols}) a join filled f using (table_name, column_name) where f.filled_count > 0"
+    views = {"metrics": ("M", _VIEW_COLUMNS["metrics"]), "dirty_records": ("C", _VIEW_COLUMNS["dirty_records"]), "turns": ("T", _VIEW_COLUMNS["turns"])}
+    held = _filled_sql({t: (t, c.split()) for t, c in TABLE_COLUMNS.items()} | views)
     rule = ("case when regexp_matches(r, '\\bcy\\b') and contains(r, 'lead') and contains(r, 'admission') and contains(r, '%') "
             "then 'lead_admission_rate|current_year' "
             "when regexp_matches(r, '\\bcy\\b') and contains(r, 'lead') and contains(r, 'cucet') and contains(r, '%') "
@@ -254,7 +287,7 @@ select table_name, column_name, concept_key, display_name, category, data_role,
       from cc c, (select *, {_norm_sql('synonym')} as sn, {_tok_sql(_norm_sql('synonym'))} as st from syn) s
       where c.rule is null group by all) x where score >= 0.70) y
   where (ex = 1 and rank = 1) or (ex = 0 and rank <= 5)) z
-""", extra=[("syn", f"select * from (values {syn}) as s(concept_order, concept_key, display_name, category, data_role, synonym)"),
+""", "M", "C", "T", extra=[held, ("syn", f"select * from (values {syn}) as s(concept_order, concept_key, display_name, category, data_role, synonym)"),
             ("cat0", cols),
             ("cc", f"select table_name, column_name, r, n, {_tok_sql('n')} as tok, {rule} as rule, {tctx} as tctx from ("
                    f"select table_name, column_name, lower(trim(column_name)) as r, {_norm_sql('column_name')} as n from cat0) q")])
@@ -274,6 +307,9 @@ _PHYS_TABLES = {"enquiries": (("lead_id", "bigint"), ("main_source", "string"),
                 + tuple((m, "bigint") for m in B.MEASURES)}
 
 
+_PHYS_SOURCES = {"enquiries": "E_leads", "cucet_registrations": "E_reg", "admissions": "E_adm", "uploaded_metrics": "M"}
+
+
 def _c6_sql():
     cat = ", ".join(f"('{t}', '{c}', '{ty}', {i + 1})" for t, cs in _PHYS_TABLES.items()
                     for i, (c, ty) in enumerate(cs))
@@ -308,9 +344,11 @@ select concept_key, table_schema, table_name, column_name, column_role, data_typ
                  exists (select 1 from prof p where p.kind = 'table' and p.concept_key = k.concept_key and p.name = c.nt)
           from cat c cross join (values ('program'), ('campus'), ('state')) k(concept_key)) x) y
   where confidence >= 0.5) z where rank <= 10
-""", extra=[("prof0", f"select * from (values {prof}) as p(concept_key, kind, name0)"),
+""", "E_leads", "E_reg", "E_adm", "M", extra=[("prof0", f"select * from (values {prof}) as p(concept_key, kind, name0)"),
             ("prof", f"select distinct concept_key, kind, {nn.format(x='name0')} as name from prof0"),
-            ("cat1", f"select * from (values {cat}) as c(table_name, column_name, data_type, position)"),
+            _filled_sql({t: (_PHYS_SOURCES[t], [c for c, _ in cs]) for t, cs in _PHYS_TABLES.items()}),
+            ("cat1", f"select c.* from (values {cat}) as c(table_name, column_name, data_type, position) "
+                     "join filled f on f.table_name = c.table_name and f.column_name = c.column_name where f.filled_count > 0"),
             ("cat", f"select *, {role} as inferred from (select *, {nn.format(x='table_name')} as nt, "
                     f"{nn.format(x='column_name')} as nc from cat1) q")])
 
@@ -319,4 +357,4 @@ select concept_key, table_schema, table_name, column_name, column_role, data_typ
 def q_map_physical(spark, sf_dir):
     views = {"enquiries": B.lead_events(spark, sf_dir), "cucet_registrations": B.registration_events(spark, sf_dir),
              "admissions": B.admission_events(spark, sf_dir), "uploaded_metrics": B.metrics(spark, sf_dir)}
-    return S.map_physical(Cat.catalog_from_tables(spark, views))
+    return S.map_physical(Cat.filled(Cat.catalog_from_tables(spark, views)))

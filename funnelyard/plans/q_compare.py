@@ -60,6 +60,13 @@ def q_period_workspace(spark, sf_dir):
     return C.period_workspace(m, C.PeriodRef("ds2022"), C.PeriodRef("ds2024"), "source", "leads")
 
 
+@register("period_workspace_by_label", _workspace_sql(
+    "M", "ds2024", "ds2026", [("program", "program_name"), ("specialization", "cluster")], "admissions", "increased", {}, "program"))
+def q_period_workspace_by_label(spark, sf_dir):
+    return C.workspace_by_period(B.metrics(spark, sf_dir), B.metrics_registry(spark, sf_dir), "2023-24", 2026,
+                                 workspace="program", metric="admissions", performance="increased")
+
+
 @register("period_workspace_program_blank", _workspace_sql(
     "MB", "ds2024", "ds2026", [("program", "program_name"), ("specialization", "cluster")],
     "conversion_rate", "decreased", {"state": "Unspecified"}, "program"))
@@ -87,8 +94,8 @@ def q_workspace_page(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- G3
-_REG_M = ("reg", "select * from (values ('ds2022', 2021, 2022, 1), ('ds2024', 2023, 2024, 2), "
-                 "('ds2026', 2025, 2026, 3)) as r(dataset_id, start_year, end_year, seq)")
+_REG_M = ("reg", "select concat('ds', cast(cy as varchar)) as dataset_id, cy - 1 as start_year, cy as end_year, "
+                 "row_number() over (order by cy) as seq from (select distinct yr + yr % 2 as cy from F) y")
 
 
 def _compare_sql(view, a_ds, a_role, b_ds, b_role, dim, stage, conversion, limit):
@@ -118,14 +125,14 @@ order by k desc, name limit {limit}
 @register("compare_periods", _compare_sql("M", "ds2026", "cy", "ds2024", "py", "program_name",
                                           "admission", False, 50))
 def q_compare_periods(spark, sf_dir):
-    return C.compare_periods(B.metrics(spark, sf_dir), B.metrics_registry(spark), "2025-26", 2023,
-                             "program_name", "admissions")
+    return C.compare_periods(B.metrics(spark, sf_dir), B.metrics_registry(spark, sf_dir), "2025-26", 2023,
+                             "program_name", "admissions", limit=50)
 
 
 @register("compare_periods_conversion", _compare_sql("MB", "ds2024", "cy", "ds2022", "py", "state",
                                                      "admission", True, 10))
 def q_compare_periods_conversion(spark, sf_dir):
-    return C.compare_periods(B.metrics(spark, sf_dir, blanks=True), B.metrics_registry(spark), 2024,
+    return C.compare_periods(B.metrics(spark, sf_dir, blanks=True), B.metrics_registry(spark, sf_dir), 2024,
                              "2021", "state", "conversion_rate", limit=10)
 
 
@@ -133,7 +140,7 @@ def q_compare_periods_conversion(spark, sf_dir):
     "select program_name as name, cy_leads as period_a_value, cy_leads as period_b_value, "
     "cy_leads as absolute_change, cast(null as double) as growth_percent from M where false", "M"))
 def q_compare_periods_unknown(spark, sf_dir):
-    return C.compare_periods(B.metrics(spark, sf_dir), B.metrics_registry(spark), 2031, 2026,
+    return C.compare_periods(B.metrics(spark, sf_dir), B.metrics_registry(spark, sf_dir), 2031, 2026,
                              "program_name", "leads")
 
 
@@ -166,12 +173,12 @@ left join best b on b.name = g.name and b.year = g.year
 
 @register("historical_trend", _trend_sql("M", "campus_name", "leads", False, 50))
 def q_historical_trend(spark, sf_dir):
-    return C.historical_trend(B.metrics(spark, sf_dir), B.metrics_registry(spark), "leads", "campus_name")
+    return C.historical_trend(B.metrics(spark, sf_dir), B.metrics_registry(spark, sf_dir), "leads", "campus_name", top=50)
 
 
 @register("historical_trend_conversion", _trend_sql("MB", "state", "admission", True, 10))
 def q_historical_trend_conversion(spark, sf_dir):
-    return C.historical_trend(B.metrics(spark, sf_dir, blanks=True), B.metrics_registry(spark),
+    return C.historical_trend(B.metrics(spark, sf_dir, blanks=True), B.metrics_registry(spark, sf_dir),
                               "conversion_rate", "state", top=10)
 
 

@@ -77,7 +77,8 @@ select * from (select *, row_number() over (order by impact desc, driver) as ran
 """, "M", extra=[_ROWS, _TOT, _CONTRIB, ("tt", _TOTALS_SELECT)]))
 def q_driver_ranking(spark, sf_dir):
     m = _m(spark, sf_dir)
-    return K.driver_ranking(K.driver_totals(m, DS, DIM, MEMBER), K.driver_contributions(m, DS, DIM, MEMBER))
+    parts = K.contributions(m, DS, DIM, MEMBER)
+    return K.driver_ranking(K.driver_totals(m, DS, DIM, MEMBER, parts), K.driver_contributions(m, DS, DIM, MEMBER, parts))
 
 
 @register("driver_anomalies", with_views("""
@@ -91,7 +92,8 @@ from contrib, tt where contrib.cy_leads >= 10 and contrib.cy_leads * 100 < tt.cy
 """, "M", extra=[_ROWS, _TOT, _CONTRIB, ("tt", _TOTALS_SELECT)]))
 def q_driver_anomalies(spark, sf_dir):
     m = _m(spark, sf_dir)
-    return K.driver_anomalies(K.driver_totals(m, DS, DIM, MEMBER), K.driver_contributions(m, DS, DIM, MEMBER))
+    parts = K.contributions(m, DS, DIM, MEMBER)
+    return K.driver_anomalies(K.driver_totals(m, DS, DIM, MEMBER, parts), K.driver_contributions(m, DS, DIM, MEMBER, parts))
 
 
 @register("driver_tables", with_views("""

@@ -52,7 +52,7 @@ select position, name, dimension, member, metric_value from pick join facts usin
         ("pick", "select name, position, dimension, member from (select mb.*, row_number() over "
                  "(partition by name order by p) as rn from mb join pref using (dimension) "
                  "where (select d from shared) is null or dimension = (select d from shared)) x where rn = 1"),
-    ])
+    ], once=("M", "facts", "mb"))
 
 
 @register("compare_members_cross_dimension", _g9_sql(_G9_NAMES))
@@ -144,7 +144,7 @@ def q_match_member(spark, sf_dir):
 _H2_NAMES = ["ASIA", "asia", "nation 7", "brand#2", "MEDIUM", "000000001", "zzz", "  "]
 
 
-def _resolve_sql(values):
+def _resolve_sql(values, fuzzy=False):
     norm = "regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
     n_norm, m_norm = norm.format(x="trim(n.name)"), norm.format(x="m.member")
     tokens = ("list_transform(list_filter(regexp_split_to_array(m.member, '[^a-zA-Z0-9]'), lambda t: t <> ''), "
@@ -160,6 +160,13 @@ union all select n.name, 5, m.dimension, m.member, starts_with({m_norm}, {n_norm
   on list_contains({tokens}, lower(trim(n.name)))
 union all select n.name, 6, m.dimension, m.member, starts_with({m_norm}, {n_norm}) from names n join mem m
   on contains(lower(m.member), lower(trim(n.name)))
+"""
+    cands = f"select *, 0 as share from ({cands}) c0"
+    if fuzzy:
+        longer = f"greatest(length({m_norm}), length({n_norm}))"
+        cands += f"""
+union all select n.name, 7, m.dimension, m.member, false, levenshtein({m_norm}, {n_norm}) * 1000000 // {longer}
+from names n join mem m on least(length({m_norm}), length({n_norm})) >= 4 and levenshtein({m_norm}, {n_norm}) * 3 <= {longer}
 """
     return with_views("""
 select d.name, d.tier, d.resolved, d.dimension, d.value, d.ambiguous, d.n as candidate_count from dec d
@@ -170,8 +177,8 @@ union all select n.name, null, false, null, null, false, 0 from names n where n.
             f"select distinct '{d}' as dimension, {d} as member from M where dataset_id = 'ds2026' "
             f"and {d} is not null and {d} <> ''" for d in H.RESOLVE_DIMENSIONS)),
         ("cands", f"select * from ({cands}) c where trim(name) <> ''"),
-        ("firsts", "select c.* from cands c join (select name, min(tier) as tier from cands group by 1) f "
-                   "using (name, tier)"),
+        ("firsts", "select c.* from cands c join (select name, min(tier * 10000000 + share) as best from cands group by 1) f "
+                   "on c.name = f.name and c.tier * 10000000 + c.share = f.best"),
         ("grp", "select name, tier, count(distinct dimension || chr(1) || member) as n, "
                 "count(distinct case when prefix then dimension || chr(1) || member end) as np, "
                 "arg_min(dimension, dimension || chr(1) || member) filter (where prefix) as pd, "
@@ -200,11 +207,14 @@ def q_resolve_member_candidates(spark, sf_dir):
     return H.resolve_members(_names(spark, _H2_NAMES), mem, fuzzy=False, candidates=True)
 
 
-@register("resolve_members_fuzzy")
+_FUZZY_NAMES = ["Brnad#25", "NATOIN_12", "Eurpoe", "qqqq", "Asia", "brand25x"]
+
+
+@register("resolve_members_fuzzy", _resolve_sql(_FUZZY_NAMES, fuzzy=True))
 def q_resolve_members_fuzzy(spark, sf_dir):
-    """Tier 7 (similarity) has no SQL oracle; checked on rows and in unit tests."""
+    """With the edit-distance tier for names that no other tier finds."""
     mem = H.distinct_members(B.metrics(spark, sf_dir), "ds2026")
-    return H.resolve_members(_names(spark, ["Brnad#25", "NATOIN_12", "Eurpoe", "qqqq"]), mem)
+    return H.resolve_members(_names(spark, _FUZZY_NAMES), mem)
 
 
 # ---------------------------------------------------------------- H3
@@ -242,12 +252,14 @@ def q_result_members(spark, sf_dir):
 # ---------------------------------------------------------------- H4
 @register("dimension_alias", with_views("""
 select column_name, case lower(trim(column_name)) """ + " ".join(
-    f"when '{k}' then '{v}'" for k, v in H.DIMENSION_ALIASES.items()) + """ end as canonical_column
-from (values """ + ", ".join(f"('{c}')" for c in ("dataset_id",) + tuple(B.DIMENSIONS) + tuple(B.MEASURES))
-    + """) v(column_name) where exists (select 1 from lineitem)"""))
+    f"when '{k}' then '{v}'" for k, v in H.DIMENSION_ALIASES.items()) + """ end as canonical_column, count(*) as filled_cells
+from (""" + "\nunion all\n".join(f"select '{c}' as column_name from M where {c} is not null" for c in
+                                 ("dataset_id",) + tuple(B.DIMENSIONS) + tuple(B.MEASURES)) + ") v group by 1, 2", "M", once=("M",)))
 def q_dimension_alias(spark, sf_dir):
-    """H4 over the metrics view's own column names (catalog metadata)."""
+    """H4 over the columns that hold values in the metrics table, with the cells that each holds."""
     from pyspark.sql import functions as F
-    from funnelyard.operators.catalog import catalog_from_tables
-    cat = catalog_from_tables(spark, {"metrics": B.metrics(spark, sf_dir)})
-    return cat.select("column_name", H.alias_column(F.col("column_name")).alias("canonical_column"))
+    m = B.metrics(spark, sf_dir)
+    counts = m.agg(*[F.count(c).alias(c) for c in m.columns])
+    cells = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("filled_cells")) for c in m.columns])).alias("x"))
+    return cells.select("x.*").where("filled_cells > 0").select(
+        "column_name", H.alias_column(F.col("column_name")).alias("canonical_column"), "filled_cells")

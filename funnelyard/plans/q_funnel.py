@@ -45,6 +45,26 @@ def q_event_metric_adm(spark, sf_dir):
     return Fn.event_metric(B.events(spark, sf_dir), "admission", [], 1997)
 
 
+def _by_dimension(metric, dims, year, filters):
+    where = "".join(f" and {c} = '{v}'" for c, v in filters.items())
+    sql = with_views(f"select {', '.join(dims)}, count(lead_id) as metric_value from E_{metric}_dims "
+                     f"where {_rng('event_date', year, year)}{where} group by all", f"E_{metric}_dims")
+
+    def q(spark, sf_dir):
+        return Fn.event_metric(B.events_by_dimension(spark, sf_dir), metric, dims, year, filters)
+    return sql, q
+
+
+for _query, _args in {
+    "event_metric_leads_by_program": ("leads", ["program_name", "campus_name", "lead_type"], 1996, {"state": "NATION_3"}),
+    "event_metric_leads_by_cluster": ("leads", ["cluster", "state"], 1997, {}),
+    "event_metric_registration_by_campus": ("registration", ["campus_name", "program_name"], 1997, {}),
+    "event_metric_admission_by_state": ("admission", ["state", "cluster", "admission_status"], 1997, {"campus_name": "ASIA"}),
+}.items():
+    _sql, _fn = _by_dimension(*_args)
+    register(_query, _sql)(_fn)
+
+
 # ---------------------------------------------------------------- F3
 for _name, (_num, _den) in Fn.DERIVED_RATES.items():
     _v = {"leads": "E_leads", "registration": "E_reg", "admission": "E_adm"}
@@ -161,21 +181,31 @@ _INS_NAME = "concat(coalesce(main_source, 'None'), ' / ', coalesce(source, 'None
 
 @register("source_insights", with_views(f"""
 select 'high_leads_low_conversion' as type, main_source, source, 'high' as severity,
-       concat({_INS_NAME}, ' generated ', cast(leads as varchar), ' leads but only ', cast(admission as varchar),
-              ' admissions.') as message, lead_admission_percent
+       concat({_INS_NAME}, ': ', cast(admission as varchar), ' of ', cast(leads as varchar),
+              ' leads were admitted') as message, lead_admission_percent
 from perf where performance_flag = 'high_leads_low_conversion'
 union all
-select 'new_source', main_source, source, 'info', concat({_INS_NAME}, ' is a new source compared with the previous year.'),
+select 'new_source', main_source, source, 'info', concat({_INS_NAME}, ': leads this year, none the year before'),
        null from perf where growth_status = 'new_source'
 union all
 select 'dropped_source', main_source, source, 'high',
-       concat({_INS_NAME}, ' generated leads in the previous year but none in the current year.'), null
+       concat({_INS_NAME}, ': leads the year before, none this year'), null
 from perf where growth_status = 'dropped'
 """, *E_VIEWS, extra=_year_ctes(2000, "0") + _year_ctes(1999, "1") + [_SP_AGG, ("perf", _perf_select(2000, "null"))]))
 def q_source_insights(spark, sf_dir):
     return Fn.source_insights(Fn.source_performance(B.events(spark, sf_dir), 2000))
 
 
+@register("source_insight_lists", with_views("""
+select 'strong' as list, main_source, source from perf where performance_flag = 'strong'
+union all select 'weak', main_source, source from perf where performance_flag = 'high_leads_low_conversion'
+union all select 'new', main_source, source from perf where growth_status = 'new_source'
+union all select 'dropped', main_source, source from perf where growth_status = 'dropped'
+""", *E_VIEWS, extra=_year_ctes(2000, "0") + _year_ctes(1999, "1") + [_SP_AGG, ("perf", _perf_select(2000, "null"))]))
+def q_source_insight_lists(spark, sf_dir):
+    return Fn.insight_lists(Fn.source_performance(B.events(spark, sf_dir), 2000))
+
+
 @register("source_insight_summary", with_views("""
 select count(*) as total_sources, count(*) filter (where performance_flag = 'strong') as strong_sources,
        count(*) filter (where performance_flag = 'high_leads_low_conversion') as weak_sources,

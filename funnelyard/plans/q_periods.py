@@ -158,13 +158,13 @@ from fdet f left join hdr h using (dataset_id) left join vals v using (dataset_i
                "event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts_s, value, "
                "case when event_type = 'view' then concat('value ', cast(year(ts) as varchar)) else 'value' end as vkey "
                "from events"),
-    ("kv", "select dataset_id, rn, 'event_id' as k, cast(event_id as varchar) as v from staged where rn <= 20 "
-           "union all select dataset_id, rn, 'ts', ts_s from staged where rn <= 20 "
-           "union all select dataset_id, rn, vkey, cast(value as varchar) from staged where rn <= 20"),
+    ("kv", "select dataset_id, rn, 'event_id' as k, cast(event_id as varchar) as v from staged "
+           "union all select dataset_id, rn, 'ts', ts_s from staged "
+           "union all select dataset_id, rn, vkey, cast(value as varchar) from staged"),
     ("hdr0", "select dataset_id, "
              "cast(nullif(regexp_extract(k, '\\b(20\\d{2})[-_](\\d{2})\\b', 1), '') as integer) as r1, "
              "cast(nullif(regexp_extract(k, '\\b(20\\d{2})[-_](\\d{2})\\b', 2), '') as integer) as r2, "
-             "cast(nullif(regexp_extract(k, '\\b(20\\d{2})\\b', 1), '') as integer) as y1 from kv where rn <= 5"),
+             "cast(nullif(regexp_extract(k, '\\b(20\\d{2})\\b', 1), '') as integer) as y1 from (select distinct dataset_id, k from kv) x"),
     ("hdr", "select dataset_id, min(case when r1 is not null then 0 else 1 end) as tier, "
             "arg_min(case when r1 is not null then r1 else y1 - 1 end, (case when r1 is not null then 0 else 1 end) * 100000 + "
             "case when r1 is not null then r1 else y1 - 1 end) as s, "
@@ -184,6 +184,18 @@ def q_detect_period_full(spark, sf_dir):
     return D.detect_period_full(_event_files(spark, sf_dir), _staged_events(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- D15 (sources)
+@register("orphan_sources", with_views("""
+select s_suppkey as source_id, s_name as source_name from supplier where s_suppkey not in (
+  select source_id from (select case when dataset_id % 7 = 0 then null else dataset_id * 3 % 100 end as source_id from R) u
+  where source_id is not null)""", "R"))
+def q_orphan_sources(spark, sf_dir):
+    sources = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("source_name"))
+    reg = B.registry(spark, sf_dir).withColumn(
+        "source_id", F.when(F.col("dataset_id") % 7 != 0, F.col("dataset_id") * 3 % 100))
+    return D.orphan_sources(sources, reg)
+
+
 # ---------------------------------------------------------------- D4
 def _unlabelled(spark, sf_dir):
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")

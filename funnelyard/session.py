@@ -40,8 +40,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only when unset.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that value is
-    always respected.  A private temporary folder is only used when nothing is
-    configured (unit tests on a laptop).
+    always respected.  A private temporary folder is only used by a local
+    session that configures nothing (unit tests on a laptop); on a cluster
+    executors would write to their own disks, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="funnelyard-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

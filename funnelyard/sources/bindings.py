@@ -19,9 +19,7 @@ threshold and otherwise sort-merge on the key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from funnelyard.functions.ordinal import ordinal_within
@@ -31,7 +29,6 @@ DIMENSIONS = ("owner", "cluster", "lead_type", "main_source", "source",
               "campus_name", "state", "program_name")
 STAGES = ("leads", "registration", "admission")
 MEASURES = tuple(f"{p}_{s}" for p in ("cy", "py") for s in STAGES)
-SESSIONS = (2022, 2024, 2026)
 # Year shift that moves the TPC-H ship dates (1995-2001) into 2020-2026.
 YEAR_SHIFT = 25
 
@@ -74,49 +71,40 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-METRICS_PATH_CONF = "funnelyard.metrics.path"
+def session_of(year: Column) -> Column:
+    """End year of the two-year session that holds a year: the even year itself, or the one after."""
+    return year + F.pmod(year, F.lit(2))
 
 
-def metrics(spark: SparkSession, sf_dir: str, sessions: Sequence[int] = SESSIONS,
-            blanks: bool = False) -> DataFrame:
-    """M: each fact row lands in every session whose end year (cy) is its year
-    or the year after.  Done with a per-row ``explode`` of at most two
-    candidates, so no join against the session list is needed.
+def metrics(spark: SparkSession, sf_dir: str, blanks: bool = False, stored: str | None = None) -> DataFrame:
+    """M: each fact row lands in the two-year session of its year, in the
+    current-year columns if the session ends that year and in the
+    previous-year columns otherwise.  The sessions are those of the data.
 
-    When the session conf ``funnelyard.metrics.path`` names a stored metrics
-    table (written by :func:`materialize_metrics`, partitioned by
-    ``dataset_id``) it is read instead, and dataset filters prune partitions.
+    ``stored`` names a metrics table written by :func:`materialize_metrics`
+    (partitioned by ``dataset_id``); it is read instead, and dataset filters
+    prune its partitions.
     """
-    stored = spark.conf.get(METRICS_PATH_CONF, None)
-    if stored:
-        m = spark.read.parquet(stored).select("dataset_id", *DIMENSIONS, *MEASURES)
-    else:
-        m = derive_metrics(spark, sf_dir, sessions)
+    m = spark.read.parquet(stored).select("dataset_id", *DIMENSIONS, *MEASURES) if stored else derive_metrics(spark, sf_dir)
     if blanks:
         m = m.select("dataset_id", *[F.nullif(F.col(d), F.lit(BLANKED[d])).alias(d) if d in BLANKED
                                      else F.col(d) for d in DIMENSIONS], *MEASURES)
     return m
 
 
-def derive_metrics(spark: SparkSession, sf_dir: str, sessions: Sequence[int] = SESSIONS) -> DataFrame:
-    f = fact(spark, sf_dir)
-    known = F.array(*[F.lit(int(s)) for s in sessions])
-    f = f.withColumn("cy", F.explode(F.filter(F.array(F.col("yr"), F.col("yr") + 1),
-                                              lambda c: F.array_contains(known, c))))
-    cur, prev = F.col("yr") == F.col("cy"), F.col("yr") == F.col("cy") - 1
-    measures = []
-    for prefix, cond in (("cy", cur), ("py", prev)):
-        for s in STAGES:
-            measures.append(F.when(cond, F.col(s)).otherwise(0).cast("long").alias(f"{prefix}_{s}"))
+def derive_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fact(spark, sf_dir).withColumn("cy", session_of(F.col("yr")))
+    current = F.col("yr") == F.col("cy")
+    measures = [F.when(current if prefix == "cy" else ~current, F.col(s)).otherwise(0).cast("long").alias(f"{prefix}_{s}")
+                for prefix in ("cy", "py") for s in STAGES]
     return f.select(F.concat(F.lit("ds"), F.col("cy").cast("string")).alias("dataset_id"),
                     *[F.col(d) for d in DIMENSIONS], *measures)
 
 
-def materialize_metrics(spark: SparkSession, sf_dir: str, path: str,
-                        sessions: Sequence[int] = SESSIONS) -> None:
+def materialize_metrics(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Ingest step: derive M once and store it partitioned by dataset_id."""
     from funnelyard.sources.sinks import write_metrics
-    write_metrics(derive_metrics(spark, sf_dir, sessions), path)
+    write_metrics(derive_metrics(spark, sf_dir), path)
 
 
 # Members turned into NULL in the "blank" variant of M (edge cases for blank handling).
@@ -150,6 +138,31 @@ def events(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             "admission": admission_events(spark, sf_dir)}
 
 
+def events_by_dimension(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The event tables with every dimension that F2 groups by.  A lead's
+    program and cluster are those of its order's first part number; a
+    registration's and an admission's are those of the line's part."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linestatus", "l_returnflag", "l_shipdate")
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("program_name"), F.col("p_type").alias("cluster"))
+    place = cust.join(F.broadcast(_geo(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", F.col("c_mktsegment").alias("source"), F.col("n_name").alias("state"), F.col("r_name").alias("campus_name"))
+    orders = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.col("o_orderpriority").alias("main_source"), F.col("o_orderstatus").alias("lead_type"),
+        F.to_date("o_orderdate").alias("order_date")).join(place, F.col("o_custkey") == F.col("c_custkey"))
+    first = li.groupBy("l_orderkey").agg(F.min("l_partkey").alias("first_part"))
+    leads = (orders.join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+             .join(part, F.col("first_part") == F.col("p_partkey"), "left")
+             .select(F.col("o_orderkey").alias("lead_id"), "program_name", "campus_name", "cluster", "state", "source", "main_source",
+                     "lead_type", F.col("order_date").alias("event_date")))
+    lines = (li.filter("l_linestatus = 'F'").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+             .join(part, F.col("l_partkey") == F.col("p_partkey"))
+             .select(F.col("l_orderkey").alias("lead_id"), "program_name", "campus_name", "cluster", "state",
+                     F.col("lead_type").alias("admission_status"), F.to_date("l_shipdate").alias("event_date"), "l_returnflag"))
+    return {"leads": leads, "registration": lines.drop("l_returnflag"),
+            "admission": lines.filter("l_returnflag = 'R'").drop("l_returnflag")}
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R: one row per dataset version.  ``upload_version`` is the dense rank
     of the dataset inside its label (distributed numbering, see
@@ -176,24 +189,39 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
             .drop("_label", "_newest"))
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T: a user message followed by an assistant message is one turn.
+#: Turn numbers of a conversation that one window task holds.
+TURN_BLOCK = 1000
 
-    The follower is found with an equi-join on ``(conv_id, turn + 1)`` (turn
-    numbers are dense), which has no hot key even when one conversation is
-    very long — unlike ``lead()`` over a per-conversation window.
+
+def followed(conv: DataFrame) -> DataFrame:
+    """Messages with ``next_role`` and ``next_text`` of the conversation's next message, whatever its number.
+
+    The window runs inside blocks of TURN_BLOCK turn numbers, so a very long
+    conversation is spread over many tasks; the last message of a block is
+    followed by the first one of the conversation's next block.
     """
+    block = F.floor(F.col("turn") / TURN_BLOCK).cast("long")
+    own = conv.withColumn("_block", block)
+    said = F.struct("role", "text")
+    firsts = own.groupBy("conv_id", "_block").agg(F.min_by(said, "turn").alias("_first"))
+    later = firsts.select("conv_id", "_block", F.lead("_first").over(
+        Window.partitionBy("conv_id").orderBy("_block")).alias("_later"))  # one row per block
+    inside = F.lead(said).over(Window.partitionBy("conv_id", "_block").orderBy("turn"))
+    nxt = F.coalesce(F.col("_inside"), F.col("_later"))
+    return (own.withColumn("_inside", inside).join(later, ["conv_id", "_block"], "left")
+            .select(*conv.columns, nxt["role"].alias("next_role"), nxt["text"].alias("next_text")))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T: a user message followed by an assistant message is one turn, named
+    by its conversation and turn number."""
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    q = conv.filter(F.col("role") == "user").alias("q")
-    a = conv.filter(F.col("role") == "assistant").alias("a")
-    pairs = q.join(a, (F.col("q.conv_id") == F.col("a.conv_id"))
-                   & (F.col("a.turn") == F.col("q.turn") + 1))
-    m = pairs.select(F.col("q.conv_id").alias("conv_id"), F.col("q.turn").alias("turn"),
-                     F.col("q.text").alias("question"), F.col("a.text").alias("answer"))
+    m = followed(conv).where("role = 'user' and next_role = 'assistant'").select(
+        "conv_id", "turn", F.col("text").alias("question"), F.col("next_text").alias("answer"))
     m = m.join(labels, m.conv_id == labels.doc_id, "left")
     return m.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"),
+        F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("message_id"),
         "conv_id", "turn", "question", "answer",
         F.when(F.col("quality") == 1, "correct").when(F.col("quality") == 0, "incorrect")
         .otherwise("unreviewed").alias("eval_status"),
@@ -218,13 +246,17 @@ def dirty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def metrics_registry(spark: SparkSession, sessions: Sequence[int] = SESSIONS) -> DataFrame:
-    """Registry of the M datasets: one active version per two-year session;
-    the newest session is the globally active dataset."""
-    newest = max(sessions)
-    rows = [(f"ds{cy}", f"metrics_{cy - 1}_{cy % 100:02d}", f"metrics_{cy - 1}-{cy % 100:02d}.csv",
-             f"{cy - 1}-{cy % 100:02d}", cy - 1, cy, i + 1, 1, True, cy == newest)
-            for i, cy in enumerate(sorted(sessions))]
-    return spark.createDataFrame(rows, "dataset_id string, dataset_name string, original_filename "
-                                 "string, label string, start_year int, end_year int, created_seq "
-                                 "long, upload_version int, is_period_active boolean, is_active boolean")
+def metrics_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry of the M datasets: one active version per two-year session in
+    the data; the newest session is the globally active dataset."""
+    years = read_table(spark, sf_dir, "lineitem").select((F.year("l_shipdate") + YEAR_SHIFT).alias("yr")).distinct()
+    cy = years.select(session_of(F.col("yr")).alias("cy")).distinct()  # one row per session
+    label = F.concat((F.col("cy") - 1).cast("string"), F.lit("-"), F.lpad((F.col("cy") % 100).cast("string"), 2, "0"))
+    ranked = cy.withColumn("_n", F.row_number().over(Window.orderBy("cy"))).withColumn("_newest", F.max("cy").over(Window.partitionBy(F.lit(1))))
+    return ranked.select(
+        F.concat(F.lit("ds"), F.col("cy").cast("string")).alias("dataset_id"),
+        F.concat(F.lit("metrics_"), F.replace(label, F.lit("-"), F.lit("_"))).alias("dataset_name"),
+        F.concat(F.lit("metrics_"), label, F.lit(".csv")).alias("original_filename"), label.alias("label"),
+        (F.col("cy") - 1).cast("int").alias("start_year"), F.col("cy").cast("int").alias("end_year"),
+        F.col("_n").cast("long").alias("created_seq"), F.lit(1).alias("upload_version"), F.lit(True).alias("is_period_active"),
+        (F.col("cy") == F.col("_newest")).alias("is_active"))

@@ -23,13 +23,14 @@ def clean_header(names: list[str]) -> list[str]:
     return out
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
-                   multiline: bool = False) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "UTF-8",
+                   no_line_breaks: bool = False) -> DataFrame:
     """All columns as strings (no schema inference pass over the data).
 
-    ``multiline`` accepts quoted line breaks inside cells; it makes each file
-    one split (not splittable), so it is off unless the files need it."""
-    df = (spark.read.option("header", "true").option("mode", "PERMISSIVE").option("multiLine", str(multiline).lower())
+    Cells may hold quoted line breaks, so a file is read as a whole by one
+    task.  A caller who knows that there are none states ``no_line_breaks``;
+    large files are then split over many tasks."""
+    df = (spark.read.option("header", "true").option("mode", "PERMISSIVE").option("multiLine", str(not no_line_breaks).lower())
           .option("sep", sep).option("encoding", encoding).option("inferSchema", "false")
           .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
           .csv(path))

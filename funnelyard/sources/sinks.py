@@ -2,29 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_metrics(df: DataFrame, path: str) -> None:
+def write_metrics(df: DataFrame, path: str, partitions: Sequence[str] = ("dataset_id",)) -> None:
     """A5 — replace the rows of the datasets present in ``df`` and leave all
-    other datasets untouched: Parquet partitioned by ``dataset_id`` with
-    dynamic partition overwrite.  Callers stage to a new path when ``df``
-    reads from ``path`` itself.
-
-    No shuffle by ``dataset_id`` before the write: that would put a whole
-    dataset (possibly most of the table) into one task.  Each task writes
-    its own rows, sorted by partition value inside the task, so a dataset is
-    written by as many tasks as hold its rows."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.sortWithinPartitions("dataset_id").write.mode("overwrite").partitionBy("dataset_id")
-         .parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    other datasets untouched: Parquet partitioned by ``partitions`` with
+    dynamic partition overwrite, set on this write only.  Callers stage to a
+    new path when ``df`` reads from ``path`` itself.
+
+    A rebalance by the partition columns comes before the write: small
+    datasets end up in one file each, and a dataset larger than the advisory
+    partition size is split over several tasks instead of landing in one."""
+    (df.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partitions).parquet(path))
 
 
 def flatten_for_csv(df: DataFrame) -> DataFrame:

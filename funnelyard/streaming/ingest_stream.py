@@ -1,154 +1,174 @@
 """A10 — incremental ingestion of delimited files with Structured Streaming.
 
-New files in ``in_dir`` are picked up by the file source; each micro-batch
-is staged (A2), normalised (A4) and written to the metrics table with
-dynamic partition overwrite (A5).  The sink is idempotent: a replayed batch
-rewrites exactly the ``dataset_id`` partitions it owns, so a batch that runs
-twice after an executor or driver failure leaves the same table.  The
-source offsets live in ``checkpoint`` (a shared folder), which is what makes
-the query restartable.
-
-``trigger(availableNow=True)`` processes everything present and stops, the
-batch-friendly way to run the same job on a schedule.
-
-A dataset is one file, or one ``ds=<id>`` folder whose files arrive
-together (a micro-batch replaces whole datasets).  Without an explicit
-order, rows are numbered in file order: file, split start
-(``_metadata.file_block_start``) and position inside the split — Spark packs
-splits by size, so partition order alone is not file order.
+New files under ``in_dir`` are found by the file source, whose offsets live in
+``checkpoint`` (a shared folder), so the query restarts where it stopped.
+The stream carries file paths only; each micro-batch reads its files with
+their own headers, so files with columns in another order, or with other
+columns, are mapped by name, and quoted line breaks stay inside their cell.
+
+Tables, all under ``out_dir``:
+
+* ``staged`` — every row as a JSON document, partitioned by
+  ``(dataset_id, file_key)``.
+* ``metrics`` — the normalised rows, partitioned likewise.
+* ``reports/quality``, ``reports/reconciliation``, ``reports/periods`` — per
+  dataset, built from everything staged for it so far.
+
+A dataset is a ``ds=<id>`` folder, or a single file whose id is its name and a
+digest of its path.  It is assembled from all its files, whichever batch they
+arrive in: a batch overwrites exactly the ``(dataset_id, file_key)``
+partitions it holds, so late files add to a dataset and a replayed batch
+leaves the same tables.  :func:`read_loaded` gives a dataset's rows their
+numbers over all its files.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from funnelyard.functions.core import bounded_rows
 from funnelyard.operators.catalog import map_columns, resolve_canonical
 from funnelyard.operators.clean import clean_records, profile_by, reconcile_load
-from funnelyard.operators.ingest import normalise_metrics, stage_records
+from funnelyard.operators.ingest import normalise_metrics
 from funnelyard.operators.periods import detect_period_full
+from funnelyard.sources.delimited import read_delimited
 from funnelyard.sources.sinks import write_metrics
 
-# --- fixed values -----------------------------------------------------------
-# Progress bands per stage (percent): start, width.
-STAGE_BANDS = {"parsing": (5.0, 5.0), "staging": (10.0, 35.0), "validation": (48.0, 0.0),
-               "normalization": (50.0, 45.0), "finalization": (95.0, 4.0)}
-STAGE_DEFAULTS = {"parsing": 5.0, "staging": 20.0, "validation": 48.0, "normalization": 75.0,
-                  "finalization": 98.0}
-# ---------------------------------------------------------------------------
+PARTITIONS = ("dataset_id", "file_key")
 
 
-def stage_progress(stage: str, processed: int, total: int) -> float:
-    """Job progress in percent for a stage and its processed share, one
-    decimal, clamped to [0, 100] (e.g. staging 500 of 1,000 -> 27.5)."""
-    if total > 0:
-        start, width = STAGE_BANDS.get(stage, (5.0, 0.0))
-        ratio = min(1.0, max(0.0, processed / total))
-        p = start + ratio * width
-    else:
-        p = STAGE_DEFAULTS.get(stage, 5.0)
-    return round(max(0.0, min(100.0, p)), 1)
+def file_key(path: Column) -> Column:
+    """Names a file among all others: a digest of its whole path."""
+    return F.substring(F.sha2(path, 256), 1, 16)
 
 
-def _dataset_from_path(path_col) -> "F.Column":
-    """``.../ds=<id>/part-*.csv`` -> ``<id>``; otherwise the file name.
+def dataset_of(path: Column) -> Column:
+    """``.../ds=<id>/part-*.csv`` -> ``<id>``; otherwise the file name and the file's key.
 
     The path is a URI (first decode) of a Hive-escaped directory name
     (second decode)."""
-    by_dir = F.regexp_extract(path_col, r"ds=([^/]+)/[^/]*$", 1)
-    by_file = F.regexp_extract(path_col, r"([^/]+?)(\.[^./]*)?$", 1)
-    return F.when(by_dir != "", F.url_decode(F.url_decode(by_dir))).otherwise(F.url_decode(by_file))
+    by_dir = F.regexp_extract(path, r"ds=([^/]+)/[^/]*$", 1)
+    name = F.url_decode(F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1))
+    return F.when(by_dir != "", F.url_decode(F.url_decode(by_dir))).otherwise(F.concat(name, F.lit("-"), file_key(path)))
 
 
-def header_mapping(spark: SparkSession, columns: Sequence[str]) -> dict[str, str]:
-    """C1 + C2 on the file header: canonical field -> source column, the
-    best-confidence column per field.  The header is metadata (one row per
-    column), read with a bound."""
+def header_mapping(spark: SparkSession, columns: list[str]) -> dict[str, str]:
+    """C1 + C2 on a file header: canonical field -> source column, the
+    best-confidence column per field.  One row per column of one header."""
     cat = spark.createDataFrame([(c,) for c in columns], "column_name string")
-    best = resolve_canonical(map_columns(cat, keys=()), keys=())
-    return {r["canonical_field"]: r["original_column"]
-            for r in bounded_rows(best, 1000, "header mapping") if r["status"] == "resolved"}
-
-
-def ingest_batch(batch: DataFrame, mapping: Mapping[str, str] | None, out_dir: str,
-                 order_by: Sequence | None, reports_dir: str | None = None) -> None:
-    """Stage -> clean -> normalise -> dynamic-overwrite one micro-batch; with
-    ``reports_dir`` also per-dataset reports — quality (profile + cleaning
-    counts), the staged-vs-loaded reconciliation and the detected period —
-    each overwritten per dataset, so replays are idempotent."""
-    data_cols = [c for c in batch.columns if c not in ("_file", "_block", "_pos")]
-    # Within a micro-batch (a static DataFrame) rows of one split are read in
-    # file order, so (file, split start, position) is the file order.
-    body = (batch.withColumn("_pos", F.monotonically_increasing_id())
-            .withColumn("_ds", _dataset_from_path(F.col("_file"))))
-    order = list(order_by) if order_by else ["_file", "_block", "_pos"]
-    if mapping is None:
-        mapping = header_mapping(batch.sparkSession, data_cols)
-    staged = stage_records(body, F.col("_ds"), order, payload=data_cols)
-    metrics = normalise_metrics(staged, mapping)
-    write_metrics(metrics, out_dir)
-    if reports_dir:
-        spark = batch.sparkSession
-        loaded = spark.read.parquet(out_dir).join(
-            staged.select("dataset_id").distinct(), "dataset_id", "left_semi")
-        rec = reconcile_load(staged, loaded.select("dataset_id", "row_number"))
-        cleaned = clean_records(body.select(F.col("_ds").alias("dataset_id"), *data_cols), keys=("dataset_id",))
-        issues = cleaned.groupBy("dataset_id").agg(
-            F.count_if(F.col("cleaning_status") == "issues_found").alias("rows_with_issues"),
-            F.coalesce(F.sum("issue_count"), F.lit(0)).cast("long").alias("issues_found"))
-        quality = profile_by(body.select(F.col("_ds").alias("dataset_id"), *data_cols), "dataset_id") \
-            .join(issues, "dataset_id", "left")
-        # Period detection reads the staged rows of this batch, i.e. before any
-        # staging cleanup: file name first, then header and value signals.
-        files = body.groupBy(F.col("_ds").alias("dataset_id")).agg(
-            F.min(F.regexp_extract("_file", r"([^/]+)$", 1)).alias("original_filename"))
-        periods = detect_period_full(files, staged)
-        write_metrics(quality, f"{reports_dir.rstrip('/')}/quality")
-        write_metrics(rec, f"{reports_dir.rstrip('/')}/reconciliation")
-        write_metrics(periods, f"{reports_dir.rstrip('/')}/periods")
+    best = resolve_canonical(map_columns(cat, keys=()), keys=()).where("status = 'resolved'")
+    return {r["canonical_field"]: r["original_column"] for r in best.collect()}
+
+
+def layouts(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The files of a batch by header line.  The paths are the batch's file
+    listing, which the driver holds anyway; no row of data is read there."""
+    lines = (spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"),
+                                           F.col("_metadata.file_block_start").alias("block"),
+                                           F.monotonically_increasing_id().alias("pos")).where("block = 0 and trim(value) <> ''"))
+    found: dict[str, list[str]] = {}
+    for r in lines.groupBy("path").agg(F.min_by("value", "pos").alias("header")).collect():
+        found.setdefault(r["header"], []).append(r["path"])
+    return found
+
+
+def stage_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows ``(dataset_id, file_key, source_file, file_row, raw_data)`` of
+    files with one header; ``file_row`` counts from 1 in file order.
+
+    A file is one split, so its rows follow each other in one task and their
+    numbers are positions less the file's first one: only file-sized sums
+    are shuffled, never the payload."""
+    df = read_delimited(spark, paths)
+    raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    body = df.select(F.col("_metadata.file_path").alias("source_file"), raw.alias("raw_data"),
+                     F.monotonically_increasing_id().alias("_pos"))
+    first = body.groupBy("source_file").agg(F.min("_pos").alias("_first"))
+    return body.join(first, "source_file").select(
+        dataset_of(F.col("source_file")).alias("dataset_id"), file_key(F.col("source_file")).alias("file_key"),
+        "source_file", (F.col("_pos") - F.col("_first") + 1).alias("file_row"), "raw_data")
+
+
+def number_rows(rows: DataFrame) -> DataFrame:
+    """Adds ``row_number``, dense from 1 over a dataset's files in path order."""
+    counts = rows.groupBy("dataset_id", "source_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("dataset_id").orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("dataset_id", "source_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row per file
+    return (rows.join(starts, ["dataset_id", "source_file"])
+            .withColumn("row_number", (F.col("_start") + F.col("file_row")).cast("long")).drop("_start"))
+
+
+def read_staged(spark: SparkSession, out_dir: str) -> DataFrame:
+    return number_rows(_as_text(spark.read.parquet(f"{out_dir}/staged")))
+
+
+def read_loaded(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The metrics table with the dataset-wide ``row_number``."""
+    return number_rows(_as_text(spark.read.parquet(f"{out_dir}/metrics")))
+
+
+def _as_text(df: DataFrame) -> DataFrame:
+    # partition values such as 2024 are read back as numbers
+    return df.withColumns({c: F.col(c).cast("string") for c in PARTITIONS})
+
+
+def ingest_files(spark: SparkSession, paths: list[str], out_dir: str, mapping: Mapping[str, str] | None = None) -> None:
+    """Stage -> normalise -> report for the files of one micro-batch."""
+    staged_paths = []
+    for header, own in sorted(layouts(spark, paths).items()):
+        staged = stage_files(spark, own)
+        write_metrics(staged, f"{out_dir}/staged", PARTITIONS)
+        staged_paths += own
+        columns = read_delimited(spark, own).columns
+        fields = {k: v for k, v in mapping.items() if v in columns} if mapping is not None else header_mapping(spark, columns)
+        keys = spark.createDataFrame([(p,) for p in own], "source_file string").select(
+            dataset_of(F.col("source_file")).alias("dataset_id"), file_key(F.col("source_file")).alias("file_key"))
+        stored = _as_text(spark.read.parquet(f"{out_dir}/staged")).join(keys, list(PARTITIONS), "left_semi")
+        metrics = normalise_metrics(stored, fields, keep=("dataset_id", "file_key", "source_file", "file_row"))
+        write_metrics(metrics, f"{out_dir}/metrics", PARTITIONS)
+    if staged_paths:
+        write_reports(spark, staged_paths, out_dir)
+
+
+def write_reports(spark: SparkSession, paths: list[str], out_dir: str) -> None:
+    """Quality (B1, B5), reconciliation (B10) and period (D3) of the datasets
+    that the files belong to, over all that is stored for them."""
+    touched = spark.createDataFrame([(p,) for p in paths], "p string").select(dataset_of(F.col("p")).alias("dataset_id")).distinct()
+    staged = read_staged(spark, out_dir).join(touched, "dataset_id", "left_semi")
+    loaded = read_loaded(spark, out_dir).join(touched, "dataset_id", "left_semi")
+    write_metrics(reconcile_load(staged, loaded.select("dataset_id", "row_number")), f"{out_dir}/reports/reconciliation")
+
+    # all columns that any file of these datasets has: one name per header cell
+    names = sorted(r[0] for r in staged.select(F.explode(F.map_keys(F.from_json("raw_data", "map<string,string>")))).distinct().collect())
+    cells = F.from_json("raw_data", "map<string,string>")
+    wide = staged.select("dataset_id", *[cells.getItem(c).alias(c) for c in names if c != "dataset_id"])
+    issues = clean_records(wide, keys=("dataset_id",)).groupBy("dataset_id").agg(
+        F.count_if(F.col("cleaning_status") == "issues_found").alias("rows_with_issues"),
+        F.coalesce(F.sum("issue_count"), F.lit(0)).cast("long").alias("issues_found"))
+    write_metrics(profile_by(wide, "dataset_id").join(issues, "dataset_id", "left"), f"{out_dir}/reports/quality")
+
+    files = staged.groupBy("dataset_id").agg(F.min(F.url_decode(F.regexp_extract("source_file", r"([^/]+)$", 1))).alias("original_filename"))
+    write_metrics(detect_period_full(files, staged), f"{out_dir}/reports/periods")
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                  columns: Sequence[str], mapping: Mapping[str, str] | None = None,
-                  order_by: Sequence | None = None, max_files_per_trigger: int | None = None,
-                  reports_dir: str | None = None):
+                  mapping: Mapping[str, str] | None = None, max_files_per_trigger: int | None = None):
     """Start the streaming ingest (availableNow) and return the query.
 
-    ``columns`` is the header of the delimited files (a streaming source
-    needs its schema up front); values are read as strings.  Without a
-    ``mapping`` the header is mapped onto the canonical fields by the header
-    rules (C1/C2).  ``reports_dir`` adds the quality and reconciliation
-    reports.
+    ``mapping`` is canonical field -> header name and applies to the files
+    that have those columns; without it each file's header is mapped by the
+    header rules (C1/C2).
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = (spark.readStream.format("csv").option("header", "true").option("mode", "PERMISSIVE")
-              .option("recursiveFileLookup", "true").schema(schema))
+    reader = (spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+              .schema("path string, modificationTime timestamp, length long, content binary"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    src = (reader.load(in_dir)
-           .withColumn("_file", F.col("_metadata.file_path"))
-           .withColumn("_block", F.col("_metadata.file_block_start")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, mapping, out_dir, order_by, reports_dir)
+        ingest_files(spark, [r["path"] for r in batch.select("path").collect()], out_dir, mapping)
 
-    return (src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    # only the path is read: the files' contents are left to the CSV reader
+    return (reader.load(in_dir).select("path").writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
-
-
-def progress_rows(query) -> list[dict]:
-    """Per micro-batch: id, input rows and the share of the job done (the
-    normalisation band), from ``StreamingQueryProgress``."""
-    out = []
-    prog = query.recentProgress
-    total = sum(p.numInputRows for p in prog) or 0
-    done = 0
-    for p in prog:
-        done += p.numInputRows
-        out.append({"batch_id": p.batchId, "input_rows": p.numInputRows,
-                    "progress_percent": stage_progress("normalization", done, total)})
-    return out

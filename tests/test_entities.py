@@ -61,33 +61,47 @@ def test_alias():
     assert H.dimension_alias(" Counsellor ") == "owner" and H.dimension_alias("xyz") is None
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
 def test_fuzzy_query_matches_brute_force_on_small_fixture(spark):
-    """The registered similarity query (no SQL oracle) against a plain-Python
-    brute force over the sf0.001 members."""
+    """The registered similarity query against plain Python over the sf0.001 members."""
     import re
-    from difflib import SequenceMatcher
 
     import __spark_entry__ as E
     from conftest import SF001
+    from funnelyard.plans.q_entities import _FUZZY_NAMES
     from funnelyard.sources import bindings as B
     got = {r["name"]: r for r in rows(E.queries()["resolve_members_fuzzy"](spark, SF001))}
     mem = [(r["dimension"], r["member"]) for r in rows(H.distinct_members(B.metrics(spark, SF001), "ds2026"))]
 
     def norm(x):
         return re.sub(r"[^a-z0-9]", "", x.lower())
-    for name in ("Brnad#25", "NATOIN_12", "Eurpoe", "qqqq"):
+    tiers = set()
+    for name in _FUZZY_NAMES:
         u = norm(name)
-        cheap = [m for d, m in mem if m == name or m.lower() == name.lower() or norm(m) == u or u in norm(m)
-                 or name.lower() in [t.lower() for t in re.split(r"[^a-zA-Z0-9]", m) if t]
-                 or name.lower() in m.lower()]
-        assert not cheap  # these names only resolve through similarity
-        scores = [(SequenceMatcher(None, norm(m), u).ratio(), d, m) for d, m in mem]
-        scores = [s for s in scores if s[0] >= 0.8]
-        if not scores:
+        best = {}
+        for d, m in mem:
+            v = norm(m)
+            near = min(len(u), len(v)) >= 4 and 3 * _edits(u, v) <= max(len(u), len(v))
+            tier = (1 if m == name else 2 if m.lower() == name.lower() else 3 if v == u else 4 if u in v
+                    else 5 if name.lower() in [t.lower() for t in re.split(r"[^a-zA-Z0-9]", m) if t]
+                    else 6 if name.lower() in m.lower() else 7 if near else None)
+            if tier:
+                best.setdefault((tier, _edits(u, v) * 10**6 // max(len(u), len(v)) if tier == 7 else 0), set()).add((d, m))
+        tiers.add(got[name]["tier"])
+        if not best:
             assert got[name]["tier"] is None
             continue
-        top = max(s[0] for s in scores)
-        best = {(d, m) for s, d, m in scores if s == top}
-        assert got[name]["tier"] == 7 and got[name]["candidate_count"] == len(best)
-        if len(best) == 1:
-            assert (got[name]["dimension"], got[name]["value"]) == next(iter(best))
+        first = min(best)
+        assert got[name]["tier"] == first[0]
+        assert got[name]["candidate_count"] == len(best[first])
+        if len(best[first]) == 1:
+            assert (got[name]["dimension"], got[name]["value"]) == next(iter(best[first]))
+    assert 7 in tiers and None in tiers

@@ -33,17 +33,13 @@ def test_event_year_filter_reaches_parquet(spark):
 def test_stored_metrics_prune_partitions_and_columns(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="funnelyard-plan-"), "m")
     B.materialize_metrics(spark, SF001, path)
-    spark.conf.set(B.METRICS_PATH_CONF, path)
-    try:
-        ws = C.period_workspace(B.metrics(spark, SF001), C.PeriodRef("ds2022"), C.PeriodRef("ds2024"))
-        p = plan(ws)
-        assert "PartitionFilters: [dataset_id" in p and "IN (ds2022,ds2024)" in p
-        assert "owner" not in p.split("ReadSchema:")[1].split("\n")[0]  # column pruning
-        # one aggregate shuffle for both periods (plus the final sort), no join
-        assert "SortMergeJoin" not in p and "BroadcastHashJoin" not in p
-        assert ws.count() > 0
-    finally:
-        spark.conf.unset(B.METRICS_PATH_CONF)
+    ws = C.period_workspace(B.metrics(spark, SF001, stored=path), C.PeriodRef("ds2022"), C.PeriodRef("ds2024"))
+    p = plan(ws)
+    assert "PartitionFilters: [dataset_id" in p and "IN (ds2022,ds2024)" in p
+    assert "owner" not in p.split("ReadSchema:")[1].split("\n")[0]  # column pruning
+    # one aggregate shuffle for both periods (plus the final sort), no join
+    assert "SortMergeJoin" not in p and "BroadcastHashJoin" not in p
+    assert ws.count() > 0
 
 
 def test_fact_view_broadcasts_only_fixed_size_dimensions(spark):
@@ -56,3 +52,22 @@ def test_per_lead_funnel_has_no_distinct_join(spark):
     p = optimized(Fn.source_performance(B.events(spark, SF001), 1997))
     # only the leads view's own orders-customer join; the funnel itself is union + aggregate
     assert p.count("Join ") == 1
+
+
+ONCE = ("historical_trend", "yoy_increase_contains", "yoy_decrease", "compare_members_cross_dimension", "members_yoy",
+        "driver_ranking", "driver_anomalies", "driver_tables", "resolve_members", "resolve_members_fuzzy")
+
+
+def test_the_fact_view_is_derived_once(spark):
+    """At most one 7-table derivation is left in each plan: what several parts read is aggregated and written first."""
+    import __spark_entry__ as E
+    for name in ONCE:
+        p = optimized(E.queries()[name](spark, SF001))
+        assert p.count("Relation [s_suppkey") <= 1, name  # the fact view is the only reader of supplier here
+
+
+def test_name_resolution_has_no_nested_loop(spark):
+    import __spark_entry__ as E
+    for name in ("resolve_members", "resolve_members_fuzzy", "resolve_member_candidates"):
+        p = plan(E.queries()[name](spark, SF001))
+        assert "NestedLoop" not in p and "Cartesian" not in p and "EvalPython" not in p, name
