@@ -25,6 +25,7 @@ numbers over all its files.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,8 +51,18 @@ def dataset_of(path: Column) -> Column:
     The path is a URI (first decode) of a Hive-escaped directory name
     (second decode)."""
     by_dir = F.regexp_extract(path, r"ds=([^/]+)/[^/]*$", 1)
-    name = F.url_decode(F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1))
-    return F.when(by_dir != "", F.url_decode(F.url_decode(by_dir))).otherwise(F.concat(name, F.lit("-"), file_key(path)))
+    name = _decoded(F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1))
+    return F.when(by_dir != "", _decoded(_decoded(by_dir))).otherwise(F.concat(name, F.lit("-"), file_key(path)))
+
+
+def _decoded(part: Column) -> Column:
+    """Percent signs resolved; a plus stays one."""
+    return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
+
+
+def _readable(uris: list[str]) -> list[str]:
+    """The paths that a reader takes for file URIs."""
+    return [unquote(u) for u in uris]
 
 
 def header_mapping(spark: SparkSession, columns: list[str]) -> dict[str, str]:
@@ -63,7 +74,7 @@ def header_mapping(spark: SparkSession, columns: list[str]) -> dict[str, str]:
 
 
 def layouts(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """The files of a batch by header line.  The paths are the batch's file
+    """URIs of a batch's files by header line.  The paths are the batch's file
     listing, which the driver holds anyway; no row of data is read there."""
     lines = (spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"),
                                            F.col("_metadata.file_block_start").alias("block"),
@@ -81,7 +92,7 @@ def stage_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     A file is one split, so its rows follow each other in one task and their
     numbers are positions less the file's first one: only file-sized sums
     are shuffled, never the payload."""
-    df = read_delimited(spark, paths)
+    df = read_delimited(spark, _readable(paths))
     raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
     body = df.select(F.col("_metadata.file_path").alias("source_file"), raw.alias("raw_data"),
                      F.monotonically_increasing_id().alias("_pos"))
@@ -121,7 +132,7 @@ def ingest_files(spark: SparkSession, paths: list[str], out_dir: str, mapping: M
         staged = stage_files(spark, own)
         write_metrics(staged, f"{out_dir}/staged", PARTITIONS)
         staged_paths += own
-        columns = read_delimited(spark, own).columns
+        columns = read_delimited(spark, _readable(own)).columns
         fields = {k: v for k, v in mapping.items() if v in columns} if mapping is not None else header_mapping(spark, columns)
         keys = spark.createDataFrame([(p,) for p in own], "source_file string").select(
             dataset_of(F.col("source_file")).alias("dataset_id"), file_key(F.col("source_file")).alias("file_key"))
@@ -149,7 +160,7 @@ def write_reports(spark: SparkSession, paths: list[str], out_dir: str) -> None:
         F.coalesce(F.sum("issue_count"), F.lit(0)).cast("long").alias("issues_found"))
     write_metrics(profile_by(wide, "dataset_id").join(issues, "dataset_id", "left"), f"{out_dir}/reports/quality")
 
-    files = staged.groupBy("dataset_id").agg(F.min(F.url_decode(F.regexp_extract("source_file", r"([^/]+)$", 1))).alias("original_filename"))
+    files = staged.groupBy("dataset_id").agg(F.min(_decoded(F.regexp_extract("source_file", r"([^/]+)$", 1))).alias("original_filename"))
     write_metrics(detect_period_full(files, staged), f"{out_dir}/reports/periods")
 
 

@@ -150,6 +150,14 @@ def test_each_file_is_read_by_its_own_header(spark):
     assert _got(got, "owner", "cy_leads", "rejected") == [("x", 5, False), ("y", 6, False)]
 
 
+def test_names_with_spaces_and_signs(spark):
+    root = _tmp()
+    _file(root, "ds=N%2FA b/1+2 %.csv", "owner,leads\nx,5\n")
+    _file(root, "1+2 é.csv", "owner,leads\ny,6\n")
+    got = _ingest(spark, root, 0, {"owner": "owner", "cy_leads": "leads"})
+    assert {(r.dataset_id if r.owner == "x" else r.dataset_id[:6], r.owner, r.cy_leads) for r in got.collect()} == {("N/A b", "x", 5), ("1+2 é-", "y", 6)}
+
+
 def test_quoted_line_breaks_stay_in_their_cell(spark):
     root = _tmp()
     _file(root, "ds=a/1.csv", 'owner,leads\n"two\nlines",5\nx,6\n')
