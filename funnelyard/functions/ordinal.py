@@ -9,7 +9,8 @@ all the work.  ``ordinal_within`` instead
 2. checkpoints that sorted layout to the reliable checkpoint directory so
    partition ids are stable on recomputation or executor loss,
 3. reads each row's partition id and its position inside the partition from
-   ``monotonically_increasing_id`` (``pid << 33 | position``),
+   ``monotonically_increasing_id``, whose layout Spark documents (the partition
+   in the upper 31 bits, the record number in the lower 33); a test holds it,
 4. turns per-partition counts (one row per partition) into offsets, and the
    first global position of every group into the group start.
 

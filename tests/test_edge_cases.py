@@ -129,3 +129,10 @@ def test_a_cluster_without_a_shared_folder_is_an_error(spark):
         conf = {}
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_the_documented_layout_of_row_ids(spark):
+    """`ordinal_within` reads partition and position from them."""
+    df = spark.range(0, 50, 1, 4).select("id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+    for p in {r.p for r in df.collect()}:
+        assert [r.m for r in df.where(F.col("p") == p).orderBy("id").collect()] == [(p << 33) + i for i in range(sum(r.p == p for r in df.collect()))]
