@@ -25,7 +25,7 @@ def _sql_rules() -> str:
     steps = []
     for k, (name, seq) in enumerate(licences.RULES):
         tokens = licences._tokens(seq)
-        steps.append(f"m{k + 1} as (select r, replace(s, '{tokens}', '<=>') as s, case when contains(s, '{tokens}') and not list_contains(found, '{name}') "
+        steps.append(f"m{k + 1} as materialized (select r, replace(s, '{tokens}', '<=>') as s, case when contains(s, '{tokens}') and not list_contains(found, '{name}') "
                      f"then list_append(found, '{name}') else found end as found from m{k})")
     return ",\n".join(steps)
 
