@@ -28,7 +28,7 @@ from funnelyard.llm.common import discard, key128, stage
 from funnelyard.llm.words import SPACES, chunks, column_bytes, covered, digest_spans, find_words, whole, windows
 
 #: Anchors that a group holds on average.
-GROUP_ROWS = 150_000
+GROUP_ROWS = 50_000
 
 _ANCHOR = "key long, doc_id long, rid long, first int, digests binary"
 _RUN = "doc_id long, rid long, first int, n int"
@@ -201,7 +201,7 @@ def _cut(window: int):
     return scan
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, prefix_words: int | None = None, long_prefix_from: int = 500_000,
+def remove_repeats(docs: DataFrame, window: int = 13, prefix_words: int | None = None, long_prefix_from: int = 50_000,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, repeats (maximal cut spans, in words), kept_text.
 
