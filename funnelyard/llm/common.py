@@ -23,9 +23,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Rows of a stored table that one task writes, where their number is known.
+STAGE_ROWS = 200_000
+
+
+def stage(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With an upper bound of its rows it is written by no more tasks than they need.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // STAGE_ROWS + 1)
     path = scratch_path(spark, label)
     # the shuffle files of a finished write are of no further use: the table is read instead
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
@@ -105,7 +114,7 @@ def components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> Dat
                  .select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
                                            F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s"))
                  .select("s.a", "s.b").where("a <> b").distinct())
-        new = stage(small, f"{label}-round")
+        new = stage(small, f"{label}-round", 2 * now[0])  # a step makes no more than two edges of one
         seen, now = now, _state(new)
         e = new
         if seen == now:

@@ -176,21 +176,20 @@ def assess(docs: DataFrame, share: float = 0.75, confidence: float = 0.9999, ste
     passed = stage(passed, "vectors")
     group = ["g_lang", "g_source"]
 
-    medians = stage(passed.groupBy(*group).agg(*[F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(DIM)]), "medians")
+    # the steps follow one another in one plan: each reads the vectors once, and its estimates are a row per group
+    medians = passed.groupBy(*group).agg(*[F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(DIM)])
     spread = passed.join(medians, group).groupBy(*group, *[f"m{i}" for i in range(DIM)]).agg(
         *[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i in range(DIM)])
     variance = [F.pow(F.col(f"d{i}") * 1.4826, 2.0) + (FLOORS[i] * SCALE) ** 2 for i in range(DIM)]
     params = spread.select(*group, F.array(*[f"m{i}" for i in range(DIM)]).alias("centre"),
                            F.array(*[1 / variance[i] if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)]).alias("inverse"))
     for _ in range(steps):
-        binned = (passed.join(stage(params, "params"), group)
+        binned = (passed.join(params, group)
                   .withColumn("bin", F.floor(F.log1p(F.greatest(squared_distance(), F.lit(0.0))) * 64)))
         sums = binned.groupBy(*group, "bin").agg(
             F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").cast("double").alias(f"s{i}") for i in range(DIM)],
             *[F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).cast("double").alias(f"p{i}{j}") for i, j in _PAIRS])
         params = sums.groupBy(*group).applyInPandas(_next(share), _PARAMS)
-    params = stage(params, "params")
-
     limit = chi2_quantile(confidence, DIM)
     judged = pool_groups(stats.where("not base_failed"), least_group).join(params, group, "left")
     judged = judged.withColumn("distance2", squared_distance())
