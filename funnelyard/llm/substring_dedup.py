@@ -30,7 +30,7 @@ from funnelyard.llm.words import SPACES, chunks, column_bytes, covered, digest_s
 #: Anchors that a group holds on average.
 GROUP_ROWS = 50_000
 
-_ANCHOR = "key long, doc_id long, rid long, first int, digests binary"
+_ANCHOR = "key long, doc_id long, rid long, firsts array<int>, digests binary"
 _RUN = "doc_id long, rid long, first int, n int"
 
 
@@ -77,7 +77,11 @@ def document_prefixes(docs: DataFrame, window: int, prefix_words: int) -> DataFr
 
 
 def repeated_anchors(filed: DataFrame, window: int, prefix_words: int) -> DataFrame:
-    """Anchors whose key is in the row's `keys`, of rows (doc_id, rid, text, keys): one row each, with its windows' digests."""
+    """Anchors whose key is in the row's `keys`, of rows (doc_id, rid, text, keys), with the digests of their windows.
+
+    Anchors of a document with equal windows are one row with all their places, so that a text that
+    repeats itself costs no more than its different windows.
+    """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -90,13 +94,17 @@ def repeated_anchors(filed: DataFrame, window: int, prefix_words: int) -> DataFr
                 mine = np.empty(len(keys), pairs.dtype)
                 mine["r"], mine["k"] = rows, keys
                 own = np.flatnonzero(np.isin(_joined(mine), _joined(pairs)))
-                whole_windows = windows(digests, window, seed=1)[at]
-                blobs = [whole_windows[new[i]:last[i]].tobytes() for i in own]
-                row = rows[own]
+                whole_windows = windows(digests, window, seed=1)[at].tobytes()
+                places: dict[tuple, list[int]] = {}
+                firsts = at[new[own]] - bounds[rows[own]]
+                for row, key, lo, hi, first in zip(rows[own].tolist(), keys[own].view(np.int64).tolist(), (8 * new[own]).tolist(), (8 * last[own]).tolist(), firsts.tolist()):
+                    places.setdefault((row, key, whole_windows[lo:hi]), []).append(first)
+                row, key, blobs = zip(*places) if places else ((), (), ())
+                row = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[own].view(np.int64)), _column(part, "doc_id").take(pa.array(row)), _column(part, "rid").take(pa.array(row)),
-                     pa.array(at[new[own]] - bounds[row], pa.int32()), pa.array(blobs, pa.binary())],
-                    names=["key", "doc_id", "rid", "first", "digests"])
+                    [pa.array(key, pa.int64()), _column(part, "doc_id").take(row), _column(part, "rid").take(row),
+                     pa.array(places.values(), pa.list_(pa.int32())), pa.array(blobs, pa.binary())],
+                    names=["key", "doc_id", "rid", "firsts", "digests"])
 
     return filed.mapInArrow(scan, _ANCHOR)
 
@@ -124,15 +132,20 @@ def build_subtree(group: pa.Table) -> pa.Table:
     per = np.diff(offsets) // 8
     node = data.view(np.uint64) if len(data) else np.zeros(0, np.uint64)
     column = lambda name: np.repeat(group.column(name).to_numpy(), per)
-    key, doc, rid = column("key"), column("doc_id"), column("rid")
-    at = column("first") + np.arange(len(node)) - np.repeat(np.concatenate(([0], np.cumsum(per)[:-1])), per) if len(node) else column("first")
+    key, doc, row = column("key"), column("doc_id"), np.repeat(np.arange(len(per)), per)
+    step = np.arange(len(node)) - np.repeat(np.cumsum(per) - per, per)  # of a window among its anchor's
     order = np.lexsort((doc, node, key))
-    key, node, doc, rid, at = key[order], node[order], doc[order], rid[order], at[order]
+    key, node, doc, row, step = key[order], node[order], doc[order], row[order], step[order]
     new = np.ones(len(node), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
     least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(node) else doc
     hit = doc > least
-    return _runs(doc[hit], rid[hit], at[hit])
+    row, step, doc = row[hit], step[hit], doc[hit]
+    lists = group.column("firsts").combine_chunks()
+    firsts, many = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.value_lengths())
+    copies = many[row]
+    place = np.repeat((np.cumsum(many) - many)[row], copies) + np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
+    return _runs(np.repeat(doc, copies), np.repeat(group.column("rid").to_numpy()[row], copies), firsts[place] + np.repeat(step, copies))
 
 
 def find_copies(placed: DataFrame) -> DataFrame:
@@ -161,12 +174,13 @@ def find_repeats(placed: DataFrame, copies: DataFrame, window: int, prefix_words
     small = (sorted_out.where("wide is null").drop("wide").withColumn("g", F.pmod("key", F.lit(groups)))
              .groupBy("g").applyInArrow(build_subtree, _RUN))
 
-    spelled = F.expr("transform(sequence(0, cast(octet_length(digests) / 8 as int) - 1), i -> struct(first + i as at, substring(digests, 8 * i + 1, 8) as node))")
-    leaves = (sorted_out.where("wide").select("key", "doc_id", "rid", F.explode(spelled).alias("x"))
-              .select("key", "doc_id", "rid", "x.at", "x.node"))
+    spelled = F.expr("transform(sequence(0, cast(octet_length(digests) / 8 as int) - 1), i -> struct(i as step, substring(digests, 8 * i + 1, 8) as node))")
+    leaves = (sorted_out.where("wide").select("key", "doc_id", "rid", "firsts", F.explode(spelled).alias("x"))
+              .select("key", "doc_id", "rid", "firsts", "x.step", "x.node"))
     least = leaves.groupBy("key", "node").agg(F.min("doc_id").alias("least"))
     large = (leaves.join(least, ["key", "node"]).where("doc_id > least")
-             .select("doc_id", "rid", F.col("at").cast("int").alias("first"), F.lit(1).alias("n")))
+             .select("doc_id", "rid", F.explode("firsts").alias("first"), "step")
+             .select("doc_id", "rid", (F.col("first") + F.col("step")).cast("int").alias("first"), F.lit(1).alias("n")))
     runs = stage(small.union(large), "runs")
     discard(anchors, repeated)
     return runs
