@@ -30,7 +30,9 @@ STAGE_ROWS = 200_000
 def stage(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    With an upper bound of its rows it is written by no more tasks than they need.
+    With an upper bound of its rows it is written by no more tasks than they need. An aggregate that is
+    joined back to its own rows is best stored first: the join then reads two plain shuffles, of which a
+    hot key's can be split at run time, while an aggregate right below the join keeps its keys together.
     """
     spark = df.sparkSession
     if rows is not None:
@@ -98,7 +100,8 @@ def components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> Dat
     """Connected components of undirected `edges` (a long, b long): rows (node, root), root the least node.
 
     Alternates the large-star and small-star steps; every round is one pair of shuffles over the
-    current edges and is written to the shared folder. Links never reach the driver, only their count
+    current edges and is written to the shared folder; the least neighbours are stored before they are
+    joined back, so that a node with very many edges can be split. Links never reach the driver, only their count
     and digest do. Nodes without an edge are not returned.
     """
     e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
@@ -106,15 +109,16 @@ def components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> Dat
     now = _state(e)
     for _ in range(max_rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .where("a <> b").distinct())
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
+        most = 2 * now[0]  # a step makes no more than two edges of one
+        low = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{label}-low", most)
+        large = stage(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                      .where("a <> b").distinct(), f"{label}-large", most)
+        low2 = stage(large.groupBy("a").agg(F.min("b").alias("m")), f"{label}-low", most)
         small = (large.join(low2, "a")
                  .select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
                                            F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s"))
                  .select("s.a", "s.b").where("a <> b").distinct())
-        new = stage(small, f"{label}-round", 2 * now[0])  # a step makes no more than two edges of one
+        new = stage(small, f"{label}-round", most)
         seen, now = now, _state(new)
         e = new
         if seen == now:

@@ -104,7 +104,7 @@ def forest_pairs(nodes: DataFrame, leaf: int) -> DataFrame:
     for i, depth in enumerate(DEPTHS):
         sizes = (rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "node")).alias("first"))
                  .where("n > 1").select("region", "n", F.col("first.node").alias("first")))
-        placed = stage(rows.join(sizes, "region"), "forest")
+        placed = stage(rows.join(stage(sizes, "regions"), "region"), "forest")
         own = placed.where("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"), F.lit(True).alias("pivot"))
         # a leaf region has `leaf` members at most
         members = placed.where((F.col("n") > 2) & (F.col("n") <= leaf)).groupBy("region").agg(F.array_sort(F.collect_set("node")).alias("m"))
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, leaf:
     root = components(links.union(more))
 
     joined = nodes.select("s1", "s2", "rep", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = joined.groupBy("root").agg(F.min(F.struct("rep", "s1", "s2")).alias("x"))
+    least = stage(joined.groupBy("root").agg(F.min(F.struct("rep", "s1", "s2")).alias("x")), "least")
     classes = joined.join(least, "root").select("s1", "s2", F.nullif("x.rep", F.lit(_NO_ID)).alias("component_id"),
                                                 F.col("x.s1").alias("class1"), F.col("x.s2").alias("class2"))
     alone = F.col("n_shingles") == 0

@@ -146,19 +146,21 @@ def squared_distance() -> Column:
     return total
 
 
-def pool_groups(stats: DataFrame, least: int) -> DataFrame:
-    """Adds g_lang, g_source: the row's own, or the pool `*` of its language, or of all, where fewer than `least` share them.
+def pool_table(stats: DataFrame, least: int) -> DataFrame:
+    """(own_lang, own_source, g_lang, g_source): each language's and source's own group, or the pool `*` of its
+    language, or of all, where fewer than `least` documents share it. Nulls are named by the empty string."""
+    own = stats.select(F.coalesce("lang", F.lit("")).alias("own_lang"), F.coalesce("source", F.lit("")).alias("own_source"))
+    own = own.groupBy("own_lang", "own_source").agg(F.count(F.lit(1)).alias("n"))
+    pooled = own.withColumn("g_source", F.when(F.col("n") >= least, F.col("own_source")).otherwise(F.lit("*")))
+    sizes = pooled.groupBy("own_lang", "g_source").agg(F.sum("n").alias("m"))
+    return (pooled.join(sizes, ["own_lang", "g_source"])
+            .select("own_lang", "own_source", F.when(F.col("m") >= least, F.col("own_lang")).otherwise(F.lit("*")).alias("g_lang"), "g_source"))
 
-    Null languages and sources are groups named by the empty string.
-    """
-    named = stats.withColumn("g_lang", F.coalesce("lang", F.lit(""))).withColumn("g_source", F.coalesce("source", F.lit("")))
-    own = named.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n"))
-    pooled = own.withColumn("to_source", F.when(F.col("n") >= least, F.col("g_source")).otherwise(F.lit("*")))
-    sizes = pooled.groupBy("g_lang", "to_source").agg(F.sum("n").alias("m"))
-    target = (pooled.join(sizes, ["g_lang", "to_source"])
-              .select("g_lang", "g_source", "to_source", F.when(F.col("m") >= least, F.col("g_lang")).otherwise(F.lit("*")).alias("to_lang")))
-    return (named.join(target, ["g_lang", "g_source"]).drop("g_lang", "g_source")
-            .withColumnsRenamed({"to_lang": "g_lang", "to_source": "g_source"}))
+
+def in_pools(stats: DataFrame, pools: DataFrame) -> DataFrame:
+    """Adds g_lang and g_source to the rows."""
+    named = stats.withColumn("own_lang", F.coalesce("lang", F.lit(""))).withColumn("own_source", F.coalesce("source", F.lit("")))
+    return named.join(pools, ["own_lang", "own_source"]).drop("own_lang", "own_source")
 
 
 def assess(docs: DataFrame, share: float = 0.75, confidence: float = 0.9999, steps: int = 4, least_group: int = 50,
@@ -172,26 +174,26 @@ def assess(docs: DataFrame, share: float = 0.75, confidence: float = 0.9999, ste
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     stats = stage(document_stats(docs, id_col, text_col, lang_col, source_col).select("*", failed.alias("base_failed"), *vector()), "stats")
-    passed = pool_groups(stats.where("not base_failed"), least_group).select("g_lang", "g_source", *[f"x{i}" for i in range(DIM)])
-    passed = stage(passed, "vectors")
+    pools = stage(pool_table(stats.where("not base_failed"), least_group), "pools")
+    few = 200 * pools.count()  # bounds the bins of all groups, for the files that hold a row per group
+    passed = stage(in_pools(stats.where("not base_failed"), pools).select("g_lang", "g_source", *[f"x{i}" for i in range(DIM)]), "vectors")
     group = ["g_lang", "g_source"]
 
-    # the steps follow one another in one plan: each reads the vectors once, and its estimates are a row per group
-    medians = passed.groupBy(*group).agg(*[F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(DIM)])
+    medians = stage(passed.groupBy(*group).agg(*[F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(DIM)]), "medians", few)
     spread = passed.join(medians, group).groupBy(*group, *[f"m{i}" for i in range(DIM)]).agg(
         *[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i in range(DIM)])
     variance = [F.pow(F.col(f"d{i}") * 1.4826, 2.0) + (FLOORS[i] * SCALE) ** 2 for i in range(DIM)]
     params = spread.select(*group, F.array(*[f"m{i}" for i in range(DIM)]).alias("centre"),
                            F.array(*[1 / variance[i] if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)]).alias("inverse"))
     for _ in range(steps):
-        binned = (passed.join(params, group)
+        binned = (passed.join(stage(params, "params", few), group)
                   .withColumn("bin", F.floor(F.log1p(F.greatest(squared_distance(), F.lit(0.0))) * 64)))
         sums = binned.groupBy(*group, "bin").agg(
             F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").cast("double").alias(f"s{i}") for i in range(DIM)],
             *[F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).cast("double").alias(f"p{i}{j}") for i, j in _PAIRS])
         params = sums.groupBy(*group).applyInPandas(_next(share), _PARAMS)
     limit = chi2_quantile(confidence, DIM)
-    judged = pool_groups(stats.where("not base_failed"), least_group).join(params, group, "left")
+    judged = in_pools(stats.where("not base_failed"), pools).join(stage(params, "params", few), group, "left")
     judged = judged.withColumn("distance2", squared_distance())
     columns = [c for c in stats.columns if not c.startswith("x")]
     rest = stats.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept"))

@@ -152,7 +152,8 @@ def find_copies(placed: DataFrame) -> DataFrame:
     """Distinct (doc_id, rid) of the rows whose whole text a smaller doc_id has too. No text is shuffled."""
     t1, t2 = key128(F.col("text"))
     slim = placed.select("doc_id", "rid", t1.alias("t1"), t2.alias("t2")).where("doc_id is not null")
-    least = slim.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"))
+    least = stage(slim.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+                  .where("least < most").drop("most"), "least")
     return slim.join(least, ["t1", "t2"]).where("doc_id > least").select("doc_id", "rid").distinct()
 
 
@@ -177,7 +178,7 @@ def find_repeats(placed: DataFrame, copies: DataFrame, window: int, prefix_words
     spelled = F.expr("transform(sequence(0, cast(octet_length(digests) / 8 as int) - 1), i -> struct(i as step, substring(digests, 8 * i + 1, 8) as node))")
     leaves = (sorted_out.where("wide").select("key", "doc_id", "rid", "firsts", F.explode(spelled).alias("x"))
               .select("key", "doc_id", "rid", "firsts", "x.step", "x.node"))
-    least = leaves.groupBy("key", "node").agg(F.min("doc_id").alias("least"))
+    least = stage(leaves.groupBy("key", "node").agg(F.min("doc_id").alias("least")), "least")
     large = (leaves.join(least, ["key", "node"]).where("doc_id > least")
              .select("doc_id", "rid", F.explode("firsts").alias("first"), "step")
              .select("doc_id", "rid", (F.col("first") + F.col("step")).cast("int").alias("first"), F.lit(1).alias("n")))

@@ -66,7 +66,7 @@ def test_outliers_of_a_group_go_even_when_a_quarter_is_bad_and_repeated_rows_agr
 def test_small_groups_are_pooled(spark):
     rows = [(i, "a", "en", "big") for i in range(5)] + [(9, "a", "en", "x"), (10, "a", "en", "y"), (11, "a", "de", "x"), (12, "a", None, None)]
     stats = spark.createDataFrame(rows, SCHEMA)
-    got = {r.doc_id: (r.g_lang, r.g_source) for r in Q.pool_groups(stats, 2).collect()}
+    got = {r.doc_id: (r.g_lang, r.g_source) for r in Q.in_pools(stats, Q.pool_table(stats, 2)).collect()}
     assert got[0] == ("en", "big") and got[9] == got[10] == ("en", "*") and got[11] == got[12] == ("*", "*")
 
 
