@@ -78,6 +78,7 @@ def test_odd_rows_go_through_every_stage(spark):
         assert work(spark, docs, SF).count() >= 5 or name == "MinHash near-dedup"
         assert work(spark, docs.limit(0), SF).count() == 0
     assert sorted(r.doc_id or 0 for r in C.near_copies(spark, docs, SF).collect()) == [0, 1, 2, 3, 4, 5]
-    assert sorted(r.doc_id or 0 for r in C.quality_rules(spark, docs, SF).collect()) == [0, 4, 4, 5]
+    # 1 to 3 fail the base rules; the words of 5 are twice as long as those of the three others, which are its pool
+    assert sorted(r.doc_id or 0 for r in C.quality_rules(spark, docs, SF).collect()) == [0, 4, 4]
     assert {r.doc_id: r.text for r in C.site_lines(spark, docs, SF).collect()}[1] is None
     assert C.quality_rules(spark, docs.limit(0), SF).count() == 0
