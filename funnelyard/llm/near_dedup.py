@@ -9,7 +9,8 @@ members of a crowded region together without pairing them all.
 
 Equal sets are one node from the start, whatever their number. Candidates that the signatures put far
 below the threshold are dropped, the others are confirmed on the full sets: first the pivots' links,
-then every candidate pair that these don't join already.
+then every candidate pair that these don't join already. What a crowded region of the least depth still
+holds in different components is compared in full, on the full sets, block by block.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ VALUES = TREES * STEP
 #: How far below the threshold a pair's share of equal signature values may be: nearly 5 standard deviations at 0.85.
 SLACK = 0.15
 
+#: Shingles of a block of a crowded region, and the trees whose regions are compared in one round: what the
+#: first rounds join, the later ones needn't compare again.
+BLOCK = 300_000
+ROUNDS = ((0, 0), (1, 3), (4, TREES - 1))
+
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLY = _rng.integers(1 << 32, size=VALUES, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(1 << 62, size=VALUES, dtype=np.uint64)
@@ -96,8 +102,12 @@ def _region(tree: Column, signature: Column, depth: int) -> Column:
     return F.xxhash64(tree, twice.substr(tree * (4 * STEP) + 1, F.lit(4 * depth)))
 
 
-def forest_pairs(nodes: DataFrame, leaf: int) -> DataFrame:
-    """Candidate pairs (a, b, pivot) with a < b of nodes (node, rep, signature), possibly more than once."""
+def forest_pairs(nodes: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b, pivot) with a < b of nodes (node, rep, signature), possibly more than once.
+
+    Second, the rows (node, tree, region) of the crowded regions of the least depth: they hold every pair that
+    is left out of the first, apart from those that share no region at all.
+    """
     rows = nodes.select("node", "rep", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "signature")
     rows = rows.select("node", "rep", "tree", _region(F.col("tree"), F.col("signature"), DEPTHS[0]).alias("region"))
     pairs = None
@@ -111,11 +121,13 @@ def forest_pairs(nodes: DataFrame, leaf: int) -> DataFrame:
         near = members.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"), F.lit(False).alias("pivot"))
         pairs = own.union(near) if pairs is None else pairs.union(own).union(near)
         crowded = placed.where(F.col("n") > leaf)
+        if i == 0:
+            whole_regions = crowded.select("node", "tree", "region")
         if i + 1 == len(DEPTHS) or crowded.isEmpty():
             break
         rows = (crowded.select("node", "rep", "tree").join(nodes.select("node", "signature"), "node")
                 .select("node", "rep", "tree", _region(F.col("tree"), F.col("signature"), DEPTHS[i + 1]).alias("region")))
-    return pairs
+    return pairs, whole_regions
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -169,6 +181,71 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
+def _linked(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    """Links between rows (node, root, other, shingles) of `left` and `right` that join their components."""
+    a, b = ([side.column(c).to_numpy() for c in ("node", "root")] for side in (left, right))
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in right.column("shingles")]
+    n = np.array([len(x) for x in sets])
+    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, marked = np.cumsum(n) - n, np.zeros(len(words), np.uint8)
+    roots, links = b[1].copy(), []
+    joined = {}  # components of the left side that links have renamed
+    second = right.column("other").to_numpy(zero_copy_only=False)
+    for node, root, x in zip(*a, left.column("shingles")):
+        x = np.frombuffer(x.as_buffer(), "<u8")
+        while root in joined:
+            root = joined[root]
+        worth = (roots != root) & (100 * np.minimum(n, len(x)) >= percent * np.maximum(n, len(x))) & ~(second & (b[0] < node))
+        if not worth.any():
+            continue
+        at = np.searchsorted(words, x)
+        at = at[at < len(words)]
+        at = at[words[at] == x[:len(at)]]
+        marked[at] = 1
+        both = np.add.reduceat(marked[ids], starts, dtype=np.int64)
+        marked[at] = 0
+        for k in np.flatnonzero(worth & (100 * both >= percent * (n + len(x) - both))):
+            if roots[k] != root:
+                links.append((min(node, b[0][k]), max(node, b[0][k])))
+                joined[roots[k]] = root
+                roots[roots == roots[k]] = root
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def crowd_links(crowd: DataFrame, root: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, shingle: int,
+                id_col: str, text_col: str) -> DataFrame | None:
+    """Links (a, b) between the components of each region of `crowd` (node, region); None if no region has two.
+
+    All members are compared with those outside the region's largest component, in cells of two blocks of
+    about BLOCK shingles each: a region of one component costs nothing, and no task holds a region.
+    """
+    member = (crowd.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+              .join(nodes.select("node", F.col("n_shingles").alias("size")), "node"))
+    member = stage(member, "crowd")
+    parts = stage(member.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "parts")
+    total = (parts.groupBy("region").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("all"), F.max(F.struct("n", "size", "root")).alias("x"))
+             .where("roots > 1").select("region", F.col("x.root").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("k_all"),
+                                        F.ceil((F.col("all") - F.col("x.size")) / BLOCK).cast("int").alias("k_other")))
+    total = stage(total, "regions")
+    if total.isEmpty():
+        return None
+    member = stage(member.join(total, "region").withColumn("other", F.col("root") != F.col("most")), "crowd")
+    sets = stage(full_sets(docs, nodes.join(member.select("node").distinct(), "node", "left_semi"), shingle, id_col, text_col), "sets")
+    block = F.pmod(F.xxhash64("node", "region"), F.col("k_all")).cast("int")
+    own = F.pmod(F.xxhash64("region", "node"), F.col("k_other")).cast("int")
+    cells = [member.where("other").select("region", own.alias("i"), F.explode(F.expr("sequence(0, k_all - 1)")).alias("j"), "node", "root", "other"),
+             member.select("region", F.explode(F.expr("sequence(0, k_other - 1)")).alias("i"), block.alias("j"), "node", "root", "other")]
+    names = ["region", "i", "j", "node", "root", "other", "shingles"]
+    left, right = (c.join(sets, "node").select(*[F.col(x).alias(x) for x in names]).groupBy("region", "i", "j") for c in cells)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        return _linked(left, right, percent)
+
+    return stage(left.cogroup(right).applyInArrow(compare, "a long, b long").distinct(), "links")
+
+
 #: Stands for a null id: larger than any other.
 _NO_ID = (1 << 63) - 1
 
@@ -191,7 +268,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, leaf:
                     F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature")))
     nodes = stage(grouped.select("s1", "s2", "x.rep", "x.t1", "x.t2", "n_shingles", "signature", F.monotonically_increasing_id().alias("node")), "nodes")
 
-    pairs = stage(likely(forest_pairs(nodes, leaf), nodes, percent), "pairs")
+    candidates, crowd = forest_pairs(nodes, leaf)
+    pairs = stage(likely(candidates, nodes, percent), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = stage(full_sets(docs, nodes.join(wanted, "node", "left_semi"), shingle, id_col, text_col), "sets")
     links = stage(confirmed(pairs.where("pivot"), sets, percent), "links")
@@ -200,7 +278,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, leaf:
               .join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
               .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")))
     more = stage(confirmed(rooted, sets, percent), "links")
-    root = components(links.union(more))
+    links = links.union(more)
+    root = components(links)
+    for first, last in ROUNDS:
+        more = crowd_links(crowd.where(F.col("tree").between(first, last)).select("node", "region"), root, nodes, docs, percent, shingle, id_col, text_col)
+        if more is not None and not more.isEmpty():
+            links = links.union(more)
+            root = components(links)
 
     joined = nodes.select("s1", "s2", "rep", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = stage(joined.groupBy("root").agg(F.min(F.struct("rep", "s1", "s2")).alias("x")), "least")

@@ -83,3 +83,17 @@ def test_one_of_each_keeps_all_columns_and_one_row(spark):
 def test_long_text(spark):
     long = " ".join(f"w{i}" for i in range(50_000))
     assert result(made(spark, [(1, long), (2, long + " tail"), (3, "x")])) == [(1, 49_996, 1, True), (2, 49_997, 1, False), (3, 1, 3, True)]
+
+
+@pytest.mark.parametrize("variants", [100, 2000])
+def test_a_star_whose_centre_is_not_the_least_id(spark, variants):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(604)]
+    rows = [(variants // 2, " ".join(base))]
+    for i in range(variants + 1):
+        if i != variants // 2:
+            text = list(base)
+            for k in range(8):  # 8 words of 604 stand in 40 shingles of 600: a similarity of 560 / 640 to the base
+                text[20 + 70 * k + rng.randrange(60)] = f"e{rng.randrange(10**9)}"
+            rows.append((i, " ".join(text)))
+    assert {r[2] for r in result(made(spark, rows))} == {0}
