@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelyard.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from funnelyard.llm.common import stage, without
+from funnelyard.llm.common import key128, stage, without
 from funnelyard.llm.queries import vocabulary_path
 from funnelyard.llm.registry import ship_package
 from funnelyard.sources.tables import read_table
@@ -25,10 +25,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines that stand in over a tenth of their source's documents; every document stays."""
+    """Drops the lines that stand in over a tenth of their source's documents; every document stays.
+
+    Equal and near-equal documents count as one: their own lines aren't the source's, and one of them is to
+    keep its text for the near-dedup.
+    """
     ship_package(spark)
-    lines = docs.withColumn("__lines", F.split("text", "\n")).drop("text")
-    clean = line_dedup.drop_boilerplate(lines, "source", "__lines", ["doc_id"], max_ratio=0.1, min_pages=10)
+    t1, t2 = key128(F.col("text"))
+    found = near_dedup.near_duplicates(docs, percent=85, shingle=5)
+    group = stage(found.where("n_shingles > 0").groupBy("t1", "t2").agg(F.any_value(F.struct("class1", "class2")).alias("__group")), "groups")
+    keyed = docs.withColumns({"t1": t1, "t2": t2}).join(group, ["t1", "t2"], "left")
+    alone = F.struct(F.col("t1").alias("class1"), F.col("t2").alias("class2"))
+    lines = (keyed.withColumn("__group", F.coalesce("__group", alone)).withColumn("__lines", F.split("text", "\n"))
+             .drop("t1", "t2", "text"))
+    clean = line_dedup.drop_boilerplate(lines, "source", "__lines", ["doc_id"], max_ratio=0.1, min_pages=10, once_col="__group")
     text = F.when(F.col("__lines").isNotNull(), F.array_join("kept_lines", "\n"))
     made = {"text": text.alias("text"), "n_chars": F.when(F.col("__lines").isNull(), F.col("n_chars"))
             .otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")}

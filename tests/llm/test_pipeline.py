@@ -82,3 +82,16 @@ def test_odd_rows_go_through_every_stage(spark):
     assert sorted(r.doc_id or 0 for r in C.quality_rules(spark, docs, SF).collect()) == [0, 4, 4]
     assert {r.doc_id: r.text for r in C.site_lines(spark, docs, SF).collect()}[1] is None
     assert C.quality_rules(spark, docs.limit(0), SF).count() == 0
+
+
+def test_a_group_of_copies_keeps_one_full_text(spark):
+    def text(k, n=120):
+        return "\n".join(" ".join(f"w{k}x{i}x{j}" for j in range(10)) for i in range(n // 10))
+    copy, near = text("copy"), text("near", 600)
+    rows = [(i, copy) for i in range(10)] + [(10 + i, near.replace(f"wnearx{i}x4", f"e{i}")) for i in range(10)]
+    rows += [(20 + i, "the site's own line\n" + text(i)) for i in range(10)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    clean = stage(C.site_lines(spark, docs, SF), "test")
+    kept = {r.doc_id: r.text for r in C.near_copies(spark, clean, SF).collect()}
+    expected = {0: copy, 10: dict(rows)[10]} | {20 + i: text(i) for i in range(10)}
+    assert kept == expected
