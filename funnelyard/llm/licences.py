@@ -19,6 +19,11 @@ LICENCE_LIKE = r"(?i)licen[cs]e|copyright|warrant|redistribut|permission|creativ
 SENTENCE_END = r"[.;:!?]+[^A-Za-z0-9 \t\n]*(?:[ \t\n]+|\z)|\n[ \t]*\n"
 UNKNOWN = "unknown"
 
+#: Head of the GNU notices with the version in the same sentence, and what may stand before "licensed under".
+_HEAD = (r"(?:this (?:program|library|file|software) is free software )?you can redistribute it and or modify it under the terms of the gnu {} public license"
+         r" as published by the free software foundation either version {} of the license or at your option any later version")
+_SUBJECT = r"this (?:[a-z0-9.]+ ){1,4}is "
+
 # Known licence sentences as patterns over the normalised sentence (lower-case words with
 # digits and inner dots, joined by a space). An identifier may have several patterns.
 SENTENCES = (
@@ -67,6 +72,19 @@ SENTENCES = (
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("rights-reserved", r"(?:copyright .* )?all rights reserved"),
     ("copyright-line", r"(?:c )?copyright (?:c )?[0-9]{4}.{0,100}"),
+    ("gpl-free-2plus", _HEAD.format("general", "2")),
+    ("gpl-free-3plus", _HEAD.format("general", "3")),
+    ("lgpl21-free", _HEAD.format("lesser general", r"2\.1")),
+    ("lgpl3-free", _HEAD.format("lesser general", "3")),
+    ("agpl3-free", _HEAD.format("affero general", "3")),
+    ("lgpl-head-redistribute", r"you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl-head-21plus", r"either version 2\.1 of the license or at your option any later version"),
+    ("gpl-see", r"if not see https? www\.gnu\.org licenses"),
+    ("apache2-licensed", _SUBJECT + r"(?:released|licensed|distributed) under the (?:terms of the )?apache license,? version 2\.0"),
+    ("mit-released", _SUBJECT + r"(?:released|licensed|distributed|available) under the (?:terms of the )?mit license"),
+    ("bsd-licensed", _SUBJECT + r"(?:released|licensed|distributed) under the (?:new |3 clause )?bsd(?: 3 clause)? license"),
+    ("gpl2-version", _SUBJECT + r"(?:released|licensed|distributed) under the (?:terms of the )?gnu general public license,? version 2(?: only)?"),
+    ("gpl3-version", _SUBJECT + r"(?:released|licensed|distributed) under the (?:terms of the )?gnu general public license,? version 3(?: only)?"),
 )
 
 # Ordered rules, each a licence and the sentence identifiers that must follow one another.
@@ -76,6 +94,9 @@ RULES = (
     ("MIT", ("mit-grant", "mit-notice", "mit-as-is", "mit-liability")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is", "bsd-liability")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability")),
+    ("GPL-2.0-or-later", ("gpl-free-2plus", "gpl-no-warranty", "gpl-implied", "gpl-details", "gpl-received")),
+    ("GPL-3.0-or-later", ("gpl-free-3plus", "gpl-no-warranty", "gpl-implied", "gpl-details", "gpl-received", "gpl-see")),
+    ("GPL-3.0-or-later", ("gpl-free-3plus", "gpl-no-warranty", "gpl-implied", "gpl-details", "gpl-received")),
     ("GPL-2.0-or-later", ("gpl-free-2plus", "gpl-no-warranty", "gpl-details", "gpl-received")),
     ("GPL-3.0-or-later", ("gpl-free-3plus", "gpl-no-warranty", "gpl-details", "gpl-received")),
     ("GPL-2.0-or-later", ("gpl-head-redistribute", "gpl-head-2plus", "gpl-no-warranty", "gpl-implied", "gpl-details", "gpl-received")),
@@ -92,6 +113,10 @@ RULES = (
     ("GPL-3.0-or-later", ("gpl-free-3plus",)),
     ("GPL-2.0-only", ("gpl2-version",)),
     ("GPL-3.0-only", ("gpl3-version",)),
+    ("LGPL-2.1", ("lgpl-head-redistribute", "lgpl-head-21plus")),
+    ("LGPL-2.1", ("lgpl21-free",)),
+    ("LGPL-3.0", ("lgpl3-free",)),
+    ("AGPL-3.0", ("agpl3-free",)),
     ("LGPL-2.1", ("lgpl21-licensed",)),
     ("LGPL-3.0", ("lgpl3-licensed",)),
     ("AGPL-3.0", ("agpl3-licensed",)),

@@ -101,3 +101,29 @@ def test_every_rule_names_known_sentences_and_can_be_reached(spark):
     df = spark.createDataFrame([(name, list(seq)) for name, seq in L.RULES], "name string, ids array<string>")
     for r in df.select("name", L.match_rules(F.col("ids")).alias("m")).collect():
         assert r.m.licences == [r.name] and r.m.rest == []
+
+
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def test_published_gnu_notices_and_subjects(spark):
+    lgpl = ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+            "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n")
+    texts = [GPL3, GPL3.replace("General", "Affero General"), GPL3.replace("General", "Lesser General"), lgpl,
+             "This project is licensed under the MIT License.", "This project is licensed under the GNU General Public License, version 3.",
+             "This software is distributed under the Apache License, Version 2.0."]
+    got = scan(spark, texts)
+    assert [g[1] for g in got] == [["GPL-3.0-or-later"], ["AGPL-3.0"], ["LGPL-3.0"], ["LGPL-2.1"], ["MIT"], ["GPL-3.0-only"], ["Apache-2.0"]]
+    assert got[0][2] == []
