@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelyard.llm import (decontaminate, licences, line_dedup, near_dedup, packing, pii, quality, sharding, substring_dedup,
-                            warc)
+from funnelyard.llm import (bpe_codec, decontaminate, filter_audit, licences, line_dedup, near_dedup, packing, pii, quality,
+                            sharding, substring_dedup, vector_codes, warc)
 from funnelyard.llm.common import stage
 from funnelyard.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 from funnelyard.sources.tables import read_table
@@ -214,3 +214,108 @@ def op10_lsh_forest_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their near-duplicate component: 5-word shingles, similarity 0.85 or more."""
     found = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85, shingle=5)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP11_SQL = r"""
+with t as materialized (
+  select row_number() over () as r, doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+         coalesce(doc_id, 9223372036854775807) as id
+  from documents),
+w as (select r, doc_id, part, text, id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from t),
+f as materialized (
+  select doc_id, part,
+         (case when len(ws) < 50 then 'A' else '' end) ||
+         (case when 100 * len(list_distinct(ws)) < 65 * len(ws) then 'B' else '' end) ||
+         (case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) then 'C' else '' end) ||
+         (case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end) ||
+         (case when id > min(id) over (partition by text) then 'E' else '' end) as fails
+  from w),
+known as (
+  select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as bad
+  from labels group by doc_id),
+patterns as materialized (
+  select part, fails, count(*) as n, sum(coalesce(good, 0)) as n_good, sum(coalesce(bad, 0)) as n_bad
+  from f left join known on f.doc_id = known.doc_id group by part, fails),
+letters as (select * from (values ('A'), ('B'), ('C'), ('D'), ('E')) as x(f)),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order
+  from letters a, letters b, letters c, letters d, letters e
+  where b.f <> a.f and c.f not in (a.f, b.f) and d.f not in (a.f, b.f, c.f) and e.f not in (a.f, b.f, c.f, d.f)),
+steps as materialized (
+  select filter_order, step, substr(filter_order, step, 1) as own, substr(filter_order, 1, step - 1) as earlier
+  from orders, (select * from (values (1), (2), (3), (4), (5)) as x(step)) as s),
+met as (
+  select part, filter_order, step, own, fails, n, n_good, n_bad, contains(fails, own) as hit,
+         length(translate(earlier, fails, '')) = length(earlier) as reached
+  from patterns, steps),
+counted as (
+  select part, filter_order, step, own,
+         sum(case when reached and not hit then n else 0 end) as kept, sum(case when reached and hit then n else 0 end) as removed,
+         sum(case when hit and not reached then n else 0 end) as redundant, sum(case when fails = own then n else 0 end) as unique_fails,
+         sum(case when reached and hit then n_good else 0 end) as good_lost, sum(case when reached and hit then n_bad else 0 end) as toxic_lost
+  from met group by part, filter_order, step, own)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+       cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+       cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley
+from counted
+"""
+
+
+@register("op11_filter_interactions", OP11_SQL)
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through five filters in all 120 orders, counted for each source."""
+    return filter_audit.audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def _sql_codebooks(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """The plain iteration, one step after the other: x holds a row for each component, cN a row for each entry's."""
+    steps = []
+    for k in range(1, rounds + 2):
+        steps.append(f"""
+d{k} as materialized (
+  select x.vec_id, x.p, c.e, cast(sum((x.x - c.c) * (x.x - c.c)) as bigint) as d
+  from x join c{k - 1} c on x.p = c.p and x.q = c.q group by x.vec_id, x.p, c.e),
+a{k} as materialized (select vec_id, p, cast(min(d * {entries} + e) % {entries} as bigint) as e, min(d) as d from d{k} group by vec_id, p)""")
+        if k <= rounds:
+            steps.append(f"""
+m{k} as (
+  select a.p, a.e, x.q, sum(x.x) as s, count(*) as n from a{k} a join x on a.vec_id = x.vec_id and a.p = x.p group by a.p, a.e, x.q),
+c{k} as materialized (
+  select c.p, c.e, c.q, coalesce(cast(floor(cast(m.s as double) / m.n) as bigint), c.c) as c
+  from c{k - 1} c left join m{k} m on c.p = m.p and c.e = m.e and c.q = m.q)""")
+    return f"""
+with kept as materialized (
+  select vec_id, label, embedding as v, row_number() over (order by vec_id) as rk, len(embedding) // {parts} as w
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda y: y is null or isnan(y) or isinf(y))) = 0),
+places as (select vec_id, rk, v, w, unnest(range(1, len(v) + 1)) as i from kept),
+x as materialized (
+  select vec_id, rk, (i - 1) // w as p, (i - 1) % w as q, cast(floor({scale} * cast(v[i] as double)) as bigint) as x from places),
+c0 as materialized (select p, rk - 1 as e, q, x as c from x where rk <= {entries}),
+{",".join(steps)},
+coded as (
+  select vec_id, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from a{rounds + 1} group by vec_id),
+books as (select sha256(string_agg(cast(c as varchar), ',' order by p, e, q)) as codebooks_sha256 from c{rounds})
+select coded.vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from coded join kept on coded.vec_id = kept.vec_id, books
+"""
+
+
+OP12_SQL = _sql_codebooks()
+
+
+@register("op12_dual_tree_codes", OP12_SQL)
+def op12_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as codes of 8 parts with 16 entries each, after 6 rounds."""
+    coded, codebooks = vector_codes.compress_vectors(read_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    summed = vector_codes.label_errors(stage(coded, "codes"))
+    return summed.select("vec_id", vector_codes.hex_code(F.col("codes")).alias("code"), "error", "label_error",
+                         F.lit(vector_codes.codebooks_digest(codebooks)).alias("codebooks_sha256"))
+
+
+@register("op13_forced_boundary_bpe")
+def op13_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids, and decoded again."""
+    encoded = bpe_codec.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary_path())
+    return bpe_codec.decode_documents(encoded, vocabulary_path()).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
