@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from funnelyard.llm.words import LOWER, byte_set, chunks, column_bytes
 
 #: Fragments that are looked up at once, and the bytes of ids and keys that a worker remembers.
-RUN, REMEMBER = 200_000, 128 << 20
+RUN, REMEMBER = 100_000, 192 << 20
 
 # --- fixed values: what the normaliser and the splitter of a lower-casing word vocabulary say in its file ---
 WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -150,29 +151,35 @@ class Codec:
 
     def learn(self, keys: list[bytes]) -> None:
         """Encode new fragments: normalise, split into words, cut the words, and join the ids of the pieces."""
-        plans, plain, wanted = [], [], ({}, {})
+        single: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # by whether they end a word: words that are one piece
+        plans, wanted = [], ({}, {})
         for key in keys:
             inner = key[:1] == _INNER
-            text = (key[1:] if inner else key).decode("utf-8", "replace")
-            if self.by_bytes and _PLAIN_WORD(text):
-                plain.append((key, not inner, text.lower().encode().decode("latin-1").translate(self.symbol)))
+            raw = key[1:] if inner else key
+            if self.by_bytes and raw.isalpha():  # ASCII letters, cut already
+                single[not inner][raw.decode()] = key
                 continue
-            if self.whole.normalizer:
-                text = self.whole.normalizer.normalize_str(text)
-            words = [w for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)] if self.whole.pre_tokenizer else [text]
-            plans.append((key, [x for i, word in enumerate(words) for x in self.pieces(word, not (inner and i == len(words) - 1))]))
-        plans += [(key, self.pieces(word, final)) for key, final, word in plain]
-        for _, plan in plans:
+            text = raw.decode("utf-8", "replace")
+            if self.by_bytes and _PLAIN_WORD(text):
+                words = [text.lower().encode().decode("latin-1").translate(self.symbol)]
+            else:
+                if self.whole.normalizer:
+                    text = self.whole.normalizer.normalize_str(text)
+                words = [w for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)] if self.whole.pre_tokenizer else [text]
+            plan = [x for i, word in enumerate(words) for x in self.pieces(word, not (inner and i == len(words) - 1))]
+            plans.append((key, plan))
             for final, piece in plan:
                 wanted[final][piece] = b""
         for final in (False, True):
-            pieces = list(wanted[final])
-            for piece, got in zip(pieces, self.models[final].encode_batch_fast(pieces, add_special_tokens=False)):
-                wanted[final][piece] = np.array(got.ids, "<u4").tobytes()
+            pieces = [*single[final], *(p for p in wanted[final] if p not in single[final])]
+            got = self.models[final].encode_batch_fast(pieces, add_special_tokens=False)
+            found = {p: array("I", g.ids).tobytes() for p, g in zip(pieces, got)}
+            for piece in wanted[final]:
+                wanted[final][piece] = found[piece]
+            self.known.update((key, found[piece]) for piece, key in single[final].items())
         for key, plan in plans:
-            ids = b"".join([wanted[final][piece] for final, piece in plan])
-            self.known[key] = ids
-            self.held += len(key) + len(ids) + 150
+            self.known[key] = b"".join([wanted[final][piece] for final, piece in plan])
+        self.held += sum(map(len, keys)) + 250 * len(keys)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
@@ -188,11 +195,12 @@ class Codec:
             for i in np.flatnonzero(kind[part]).tolist():
                 a = int(starts[at + i])
                 keys[i] = _INNER + keys[i] if kind[at + i] == 1 else _ADDED + raw[a:int(ends[at + i])]
-            if self.held > REMEMBER:
-                self.forget()
-            self.learn([k for k in dict.fromkeys(keys) if k not in self.known])
-            known = self.known
-            ids = [known[k] for k in keys]
+            ids = list(map(self.known.get, keys))
+            if None in ids:
+                if self.held > REMEMBER:
+                    self.forget()
+                self.learn([k for k in dict.fromkeys(keys) if k not in self.known])
+                ids = list(map(self.known.get, keys))
             own = rows[part]
             edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
             for a, b in zip(edges, edges[1:]):
@@ -209,6 +217,20 @@ def codec(vocabulary: str) -> Codec:
     return _CODECS[vocabulary]
 
 
+_TOKENS: dict[str, tuple] = {}
+
+
+def tokens_of(vocabulary: str) -> tuple:
+    """The tokens by id, and the library's decoding where the vocabulary has a decoder of its own."""
+    if vocabulary not in _TOKENS:
+        from tokenizers import Tokenizer
+        with open(vocabulary, encoding="utf-8") as file:
+            spec = json.load(file)
+        token = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        _TOKENS[vocabulary] = token, Tokenizer.from_file(vocabulary).decode if spec["decoder"] else None
+    return _TOKENS[vocabulary]
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, ids) for each row of `docs`: `ids` holds little-endian unsigned 32-bit token ids.
 
@@ -240,14 +262,12 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     ids_at = [c.lower() for c in kept].index("ids")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = codec(vocabulary).whole
-        token = {i: t for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
+        token, decode = tokens_of(vocabulary)
         for batch in batches:
-            found = [np.frombuffer(x.as_buffer(), "<u4").tolist() if x.is_valid else [] for x in batch.column(ids_at)]
-            if tokenizer.decoder is None:
-                texts = [" ".join([token[i] for i in ids if i in token]) for ids in found]
-            else:
-                texts = tokenizer.decode_batch(found, skip_special_tokens=False)
+            texts = []
+            for x in batch.column(ids_at):
+                ids = np.frombuffer(x.as_buffer(), "<u4").tolist() if x.is_valid else []
+                texts.append(decode(ids, skip_special_tokens=False) if decode else " ".join([token[i] for i in ids if i in token]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, "decoded"])
 
     slim = encoded.select(*[F.col(f"`{c}`") for c in kept])

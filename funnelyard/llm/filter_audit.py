@@ -1,12 +1,16 @@
 """Filter interaction audit on a sparse document-term matrix.
 
 Texts are counted in blocks: each block has its own small word list and, for each document, the places of its
-words in that list. The word lists of all blocks make one dictionary, which numbers every distinct word of
+words in that list. The word lists of all blocks make one dictionary, which numbers the words of
 the corpus; a block's places are then replaced by these numbers. The result is the document-term matrix in
 shards of compressed sparse rows (CSR): row bounds, column numbers, counts. A document's words are its row's
 sum, its distinct words the row's number of nonzero entries. These decide the filters on length and variety;
 the other flags come with the texts, and the audit counts what every order of the filters removes, loses
-and repeats. Only word lists are shuffled by word, never the occurrences.
+and repeats.
+
+The dictionary knows words by 64-bit digests. Every block sends its digests, ascending, in slices of the digest
+range; the task of a slice numbers them and sends the numbers back, so no occurrence and no text is shuffled.
+Rows and entries are told apart by the words themselves: a digest that two words shared would change no count.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelyard.llm.common import key128, stage
-from funnelyard.llm.words import SPACES, byte_set, chunks, column_bytes, find_words
+from funnelyard.llm.words import SPACES, byte_set, chunks, column_bytes, digest_spans, find_words
 
 #: Bytes of text in a block (whole documents; a longer document is a block of its own).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+#: Digests that one task of the dictionary numbers, about.
+SLICE = 2_000_000
 
 # --- fixed values: the filters ---------------------------------------------------------------------------------
 FILTERS = "ABCDE"
@@ -51,79 +57,137 @@ def _per_row(hit: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """The place of each word in the list of distinct words, and that list."""
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The place of each word in the list of distinct words, that list, and its digests, which ascend."""
     bounds = np.concatenate(([0], np.cumsum(ends - starts)))
     letters = data[~SPACES[data]]
-    array = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(letters.tobytes()))
+    array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(letters.tobytes())])
     coded = array.dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    own, at = column_bytes(coded.dictionary)
+    digests = digest_spans(own, at[:-1], at[1:])
+    order = np.argsort(digests, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()], digests[order], coded.dictionary.take(pa.array(order))
 
 
 def count_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
-    """A row for each block: number, documents with their plain flags, CSR arrays over the block's own word list."""
+    """A row for each block: number, documents with their plain flags, CSR arrays over the block's own word list,
+    that list (one word a line) and its digests."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in chunks(batch, "text", BLOCK_BYTES):
                 data, offsets = column_bytes(part.column(4))
                 starts, ends, rows = find_words(data, offsets, SPACES)
-                place, listed = _words(data, starts, ends)
+                place, digests, listed = _words(data, starts, ends)
                 width = max(len(listed), 1)
-                cell, n = np.unique(rows * width + place, return_counts=True)
+                cell = rows * width + place
+                cell.sort()
+                first = np.flatnonzero(np.diff(cell, prepend=-1))
+                n = np.diff(first, append=len(cell))
+                cell = cell[first]
                 bounds = np.searchsorted(cell, np.arange(part.num_rows + 1) * width)
                 flags = [pa.array(_per_row(hit, offsets)) for hit in (_CAPITAL[data], ~_CONTINUED[data], _MARK[data])]
                 docs_of = pa.StructArray.from_arrays([*part.columns[:4], *flags], names=[n for n, _, _ in _DOC])
-                whole = pa.array([0, part.num_rows], pa.int32())
+                blobs = [bounds.astype("<i8"), (cell % width).astype("<i4"), n.astype("<i4"), digests.astype("<u8")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.ListArray.from_arrays(whole, docs_of),
-                     *[pa.array([x.tobytes()], pa.binary()) for x in (bounds.astype("<i8"), (cell % width).astype("<i4"), n.astype("<i4"))],
-                     pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed.cast(pa.string()))],
-                    names=["block", "docs", "bounds", "places", "counts", "words"])
+                    [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), docs_of),
+                     *[pa.array([x.tobytes()], pa.binary()) for x in blobs], pa.array([b"\n".join(listed.to_pylist())], pa.binary()),
+                     pa.array([len(listed)], pa.int64())], names=["block", "docs", "bounds", "places", "counts", "digests", "words", "n_words"])
                 number += 1
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     t1, t2 = key128(text)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"),
                        t1.alias("t1"), t2.alias("t2"), text.alias("text"))
-    return stage(slim.mapInArrow(scan, f"block long, docs {_DOCS}, bounds binary, places binary, counts binary, words array<string>"), "blocks")
+    return stage(slim.mapInArrow(scan, f"block long, docs {_DOCS}, bounds binary, places binary, counts binary, digests binary, words binary, n_words long"), "blocks")
+
+
+def column_numbers(blocks: DataFrame) -> DataFrame:
+    """(block, slice, numbers, owned): the column numbers of a block's words, by slices of the digest range.
+
+    Numbers are dense from 0 over all words. `owned` marks a word's first block, so that each word is named once.
+    """
+    slices = max(1, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // SLICE))
+    edges = np.array([k * (1 << 64) // slices for k in range(1, slices)], np.uint64)
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column(0), batch.column(1)):
+                digests = np.frombuffer(blob.as_buffer(), "<u8")
+                cuts = [0, *np.searchsorted(digests, edges).tolist(), len(digests)]
+                own = [(k, digests[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int32()), pa.array([block.as_py()] * len(own), pa.int64()),
+                                                  pa.array([x for _, x in own], pa.binary())], names=["slice", "block", "digests"])
+
+    def number(group: pa.Table) -> pa.Table:
+        group = group.sort_by("block")
+        parts = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("digests")]
+        flat = np.concatenate(parts)
+        found, first, place = np.unique(flat, return_index=True, return_inverse=True)
+        owned = np.zeros(len(flat), bool)
+        owned[first] = True
+        cuts = np.cumsum([0, *map(len, parts)])
+        each = list(zip(cuts, cuts[1:]))
+        return pa.table({"slice": group.column("slice"), "block": group.column("block"),
+                         "numbers": pa.array([place[a:b].astype("<i4").tobytes() for a, b in each], pa.binary()),
+                         "owned": pa.array([np.packbits(owned[a:b]).tobytes() for a, b in each], pa.binary()),
+                         "size": pa.array([len(found)] * len(each), pa.int64())})
+
+    sent = blocks.select("block", "digests").mapInArrow(send, "slice int, block long, digests binary")
+    numbered = stage(sent.groupBy("slice").applyInArrow(number, "slice int, block long, numbers binary, owned binary, size long"), "dictionary")
+    sizes = numbered.groupBy("slice").agg(F.max("size").alias("size"))  # a row for each slice
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("slice", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    return numbered.drop("size").join(starts, "slice")
+
+
+def _joined(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
+    own = numbers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("slice", "start", "numbers", "owned"))).alias("slices"))
+    return blocks.join(own, "block", "left")
+
+
+def _columns_of(slices: pa.Scalar) -> np.ndarray:
+    """The column numbers of a block's list, from its slices in order."""
+    parts = slices.values
+    if parts is None or not len(parts):
+        return np.zeros(0, np.int64)
+    return np.concatenate([np.frombuffer(n.as_buffer(), "<i4").astype(np.int64) + s.as_py() for s, n in zip(parts.field("start"), parts.field("numbers"))])
+
+
+def dictionary(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(word binary, column): each word of the corpus once, by the first block that holds it."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, slices in zip(batch.column(0), batch.column(1)):
+                columns = _columns_of(slices)
+                if len(columns):
+                    parts = zip(slices.values.field("numbers"), slices.values.field("owned"))
+                    owned = np.concatenate([np.unpackbits(np.frombuffer(o.as_buffer(), np.uint8), count=len(n.as_buffer()) // 4) for n, o in parts])
+                    own = np.flatnonzero(owned)
+                    listed = words.as_py().split(b"\n")
+                    yield pa.RecordBatch.from_arrays([pa.array([listed[i] for i in own], pa.binary()), pa.array(columns[own])], names=["word", "column"])
 
-def dictionary(blocks: DataFrame) -> DataFrame:
-    """(word, column): every distinct word of all blocks with a number, dense from 0."""
-    found = stage(blocks.select(F.explode("words").alias("word")).distinct()
-                  .select("word", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")), "dictionary")
-    sizes = found.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("least"))  # a row for each shuffle partition
-    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("p", "least", before.alias("start"))
-    return found.join(starts, "p").select("word", (F.col("start") + F.col("m") - F.col("least")).alias("column"))
+    return _joined(blocks.select("block", "words"), numbers).select("words", "slices").mapInArrow(scan, "word binary, column long")
 
 
-def document_term_matrix(blocks: DataFrame, words: DataFrame) -> DataFrame:
+def document_term_matrix(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
     """CSR shards (block, docs, bounds, columns, counts): int64 bounds and column numbers, int32 counts, little-endian.
 
-    The columns of a row ascend. Each block gets the numbers of its own words, by one join of the word lists.
+    The columns of a row ascend.
     """
-    listed = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    numbered = (listed.join(words, "word").groupBy("block").agg(F.collect_list(F.struct("place", "column")).alias("x"))
-                .select("block", F.transform(F.array_sort("x"), lambda x: x["column"]).alias("numbers")))
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
                 bounds, places, counts = (np.frombuffer(one.column(k)[0].as_buffer(), t) for k, t in ((2, "<i8"), (3, "<i4"), (4, "<i4")))
-                numbers = one.column(5)[0].values
-                numbers = numbers.to_numpy() if numbers is not None else np.zeros(0, np.int64)
-                columns = numbers[places]
-                rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                order = np.lexsort((columns, rows))
-                yield pa.RecordBatch.from_arrays(
-                    [one.column(0), one.column(1), one.column(2), pa.array([columns[order].astype("<i8").tobytes()], pa.binary()),
-                     pa.array([counts[order].astype("<i4").tobytes()], pa.binary())], names=["block", "docs", "bounds", "columns", "counts"])
+                # places follow the digests, and so do the numbers: the columns of a row ascend already
+                columns = _columns_of(one.column(5)[0])[places]
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), pa.array([columns.astype("<i8").tobytes()], pa.binary()),
+                                                  pa.array([counts.tobytes()], pa.binary())], names=["block", "docs", "bounds", "columns", "counts"])
 
-    joined = blocks.drop("words").join(numbered, "block", "left")
-    return joined.select("block", "docs", "bounds", "places", "counts", "numbers").mapInArrow(
+    return _joined(blocks.select("block", "docs", "bounds", "places", "counts"), numbers).select("block", "docs", "bounds", "places", "counts", "slices").mapInArrow(
         scan, f"block long, docs {_DOCS}, bounds binary, columns binary, counts binary")
 
 
@@ -214,5 +278,5 @@ def audit_filters(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     In `shapley` a document that fails m filters counts for each of them in 120 / m of the 120 orders.
     """
     blocks = count_blocks(docs, id_col, text_col, part_col)
-    matrix = document_term_matrix(blocks, dictionary(blocks))
+    matrix = document_term_matrix(blocks, column_numbers(blocks))
     return interactions(failure_patterns(row_statistics(matrix), labels))

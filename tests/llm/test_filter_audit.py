@@ -80,12 +80,24 @@ def test_matrix_is_the_documents_words(spark):
     texts = ["b a b", "", None, "c a", "b"]
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(2)
     blocks = A.count_blocks(df)
-    word = {r.column: r.word for r in A.dictionary(blocks).collect()}
-    assert sorted(word) == [0, 1, 2] and set(word.values()) == {"a", "b", "c"}
+    numbers = A.column_numbers(blocks)
+    listed = A.dictionary(blocks, numbers).collect()
+    word = {r.column: r.word.decode() for r in listed}
+    assert len(listed) == 3 and sorted(word) == [0, 1, 2] and set(word.values()) == {"a", "b", "c"}
     seen = {}
-    for r in A.document_term_matrix(blocks, A.dictionary(blocks)).collect():
+    for r in A.document_term_matrix(blocks, numbers).collect():
         bounds, columns, counts = (np.frombuffer(r[k], t).tolist() for k, t in (("bounds", "<i8"), ("columns", "<i8"), ("counts", "<i4")))
         for d, a, b in zip(r.docs, bounds, bounds[1:]):
             assert columns[a:b] == sorted(set(columns[a:b]))
             seen[d.doc_id] = {word[c]: n for c, n in zip(columns[a:b], counts[a:b])}
     assert seen == {i: dict(Counter(words(t))) for i, t in enumerate(texts)}
+
+
+def test_many_slices_number_every_word_once(spark, monkeypatch):
+    monkeypatch.setattr(A, "SLICE", 50)
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(60)), "s") for i in range(40)], "doc_id long, text string, source string").repartition(4)
+    blocks = A.count_blocks(df)
+    numbers = A.column_numbers(blocks)
+    assert numbers.select("slice").distinct().count() > 3
+    listed = A.dictionary(blocks, numbers).collect()
+    assert sorted(r.column for r in listed) == list(range(97)) and len({r.word for r in listed}) == 97
