@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from funnelyard.llm.words import LOWER, byte_set, chunks, column_bytes
 
 #: Fragments that are looked up at once, and the bytes of ids and keys that a worker remembers.
-RUN, REMEMBER = 100_000, 192 << 20
+RUN, REMEMBER = 100_000, 128 << 20
 
 # --- fixed values: what the normaliser and the splitter of a lower-casing word vocabulary say in its file ---
 WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -231,11 +231,19 @@ def tokens_of(vocabulary: str) -> tuple:
     return _TOKENS[vocabulary]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decode_ids(vocabulary: str, ids: bytes) -> str:
+    """The text that the library makes of little-endian unsigned 32-bit ids, special tokens included."""
+    token, decode = tokens_of(vocabulary)
+    found = np.frombuffer(ids, "<u4").tolist()
+    return decode(found, skip_special_tokens=False) if decode else " ".join([token[i] for i in found if i in token])
+
+
+def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """Rows (doc_id, n_tokens, ids) for each row of `docs`: `ids` holds little-endian unsigned 32-bit token ids.
 
-    The ids equal those of the tokenizers library on the whole text without special tokens being added. `vocabulary`
-    is a tokenizers file with a byte-level BPE model that every executor can open. Null and empty texts, and texts
+    With `decoded` also the text that the ids give, made in the same task. The ids equal those of the tokenizers library on
+    the whole text without special tokens being added. `vocabulary` is a tokenizers file with a byte-level BPE model that
+    every executor can open. Null and empty texts, and texts
     of white space that the vocabulary drops, have no ids; an added token that a text spells gets its id. Texts of
     any length are encoded whole. Null ids and repeated rows stay as they are; other columns aren't read, and an
     empty table gives no rows.
@@ -245,11 +253,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         for batch in batches:
             for part in chunks(batch, "text", 2 << 20):
                 ids = known.encode(*column_bytes(part.column(1)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([decode_ids(vocabulary, x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"][:len(columns)])
 
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return slim.mapInArrow(scan, "doc_id long, n_tokens long, ids binary")
+    return slim.mapInArrow(scan, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -262,13 +272,11 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     ids_at = [c.lower() for c in kept].index("ids")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, decode = tokens_of(vocabulary)
         for batch in batches:
-            texts = []
-            for x in batch.column(ids_at):
-                ids = np.frombuffer(x.as_buffer(), "<u4").tolist() if x.is_valid else []
-                texts.append(decode(ids, skip_special_tokens=False) if decode else " ".join([token[i] for i in ids if i in token]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, "decoded"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = [decode_ids(vocabulary, x.as_py()) if x.is_valid else "" for x in part.column(ids_at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*kept, "decoded"])
 
     slim = encoded.select(*[F.col(f"`{c}`") for c in kept])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)

@@ -29,7 +29,7 @@ from funnelyard.llm.common import key128, stage
 from funnelyard.llm.words import SPACES, byte_set, chunks, column_bytes, digest_spans, find_words
 
 #: Bytes of text in a block (whole documents; a longer document is a block of its own).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Digests that one task of the dictionary numbers, about.
 SLICE = 2_000_000
 
@@ -61,8 +61,8 @@ def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     """The place of each word in the list of distinct words, that list, and its digests, which ascend."""
     bounds = np.concatenate(([0], np.cumsum(ends - starts)))
     letters = data[~SPACES[data]]
-    array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(letters.tobytes())])
-    coded = array.dictionary_encode()
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
+    del bounds, letters
     own, at = column_bytes(coded.dictionary)
     digests = digest_spans(own, at[:-1], at[1:])
     order = np.argsort(digests, kind="stable")
@@ -71,9 +71,9 @@ def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return rank[coded.indices.to_numpy()], digests[order], coded.dictionary.take(pa.array(order))
 
 
-def count_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
+def count_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", keep_words: bool = True) -> DataFrame:
     """A row for each block: number, documents with their plain flags, CSR arrays over the block's own word list,
-    that list (one word a line) and its digests."""
+    the digests of that list and, with `keep_words`, the list itself (one word a line)."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -83,6 +83,7 @@ def count_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 place, digests, listed = _words(data, starts, ends)
                 width = max(len(listed), 1)
                 cell = rows * width + place
+                del starts, ends, rows, place
                 cell.sort()
                 first = np.flatnonzero(np.diff(cell, prepend=-1))
                 n = np.diff(first, append=len(cell))
@@ -93,7 +94,7 @@ def count_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 blobs = [bounds.astype("<i8"), (cell % width).astype("<i4"), n.astype("<i4"), digests.astype("<u8")]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), docs_of),
-                     *[pa.array([x.tobytes()], pa.binary()) for x in blobs], pa.array([b"\n".join(listed.to_pylist())], pa.binary()),
+                     *[pa.array([x.tobytes()], pa.binary()) for x in blobs], pa.array([b"\n".join(listed.to_pylist()) if keep_words else None], pa.binary()),
                      pa.array([len(listed)], pa.int64())], names=["block", "docs", "bounds", "places", "counts", "digests", "words", "n_words"])
                 number += 1
 
@@ -277,6 +278,6 @@ def audit_filters(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     table gives no rows. Of `labels`, doc_id, quality and toxic are read; nulls there say nothing, and null ids meet none.
     In `shapley` a document that fails m filters counts for each of them in 120 / m of the 120 orders.
     """
-    blocks = count_blocks(docs, id_col, text_col, part_col)
+    blocks = count_blocks(docs, id_col, text_col, part_col, keep_words=False)
     matrix = document_term_matrix(blocks, column_numbers(blocks))
     return interactions(failure_patterns(row_statistics(matrix), labels))

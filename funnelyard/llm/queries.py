@@ -316,6 +316,5 @@ def op12_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op13_forced_boundary_bpe")
 def op13_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids, and decoded again."""
-    encoded = bpe_codec.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary_path())
-    return bpe_codec.decode_documents(encoded, vocabulary_path()).select(
+    return bpe_codec.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary_path(), decoded=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -34,7 +34,8 @@ def test_forgetting_changes_nothing():
     codec, texts = Codec(WORDS), pa.array(["some words of a text " * 50, "other words", "<|endoftext|> some"])
     once = codec.encode(*column_bytes(texts))
     codec.held = 1 << 60
-    assert codec.encode(*column_bytes(texts)) == once and codec.held < 1 << 20
+    more = pa.array([*texts.to_pylist(), "a fragment that is new"])
+    assert codec.encode(*column_bytes(more))[:3] == once and codec.held < 1 << 20
 
 
 def test_letters_are_cut_inside_words():
