@@ -38,9 +38,14 @@ def stage(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(rows // STAGE_ROWS + 1)
     path = scratch_path(spark, label)
-    # the shuffle files of a finished write are of no further use: the table is read instead
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    df.write.parquet(path)
+    # the shuffle files of this write are of no further use once it is done: the table is read instead
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,8 +73,9 @@ def key128(*cols: Column) -> tuple[Column, Column]:
 def without(df: DataFrame, keys: DataFrame, *cols: Column) -> DataFrame:
     """The rows of `df` whose `key128(*cols)` is not among the rows (k1, k2) of `keys`; all columns stay."""
     k1, k2 = key128(*cols)
-    gone = keys.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
-    return df.withColumns({"__k1": k1, "__k2": k2}).join(gone, ["__k1", "__k2"], "left_anti").drop("__k1", "__k2")
+    gone = keys.select("k1", "k2").distinct()
+    # the rows' own columns stay in one struct, whatever their names
+    return df.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2")).join(gone, ["k1", "k2"], "left_anti").select("row.*")
 
 
 def rank_within(df: DataFrame, groups: list[str], order: list[str], n_groups: int, out: str = "rank") -> DataFrame:
@@ -96,18 +102,19 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 
 
-def components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of undirected `edges` (a long, b long): rows (node, root), root the least node.
 
-    Alternates the large-star and small-star steps; every round is one pair of shuffles over the
-    current edges and is written to the shared folder; the least neighbours are stored before they are
-    joined back, so that a node with very many edges can be split. Links never reach the driver, only their count
-    and digest do. Nodes without an edge are not returned.
+    Alternates the large-star and small-star steps until a round changes nothing; every round is one pair of shuffles
+    over the current edges and is written to the shared folder, and the tables of the round before are removed; the
+    least neighbours are stored before they are joined back, so that a node with very many edges can be split. Links
+    never reach the driver, only their count and digest do. Nodes without an edge are not returned. The result is a
+    stored table.
     """
     e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
               f"{label}-edges")
-    now = _state(e)
-    for _ in range(max_rounds):
+    now, seen = _state(e), None
+    while now != seen:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         most = 2 * now[0]  # a step makes no more than two edges of one
         low = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{label}-low", most)
@@ -119,11 +126,10 @@ def components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> Dat
                                            F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s"))
                  .select("s.a", "s.b").where("a <> b").distinct())
         new = stage(small, f"{label}-round", most)
+        discard(e, low, large, low2)
         seen, now = now, _state(new)
         e = new
-        if seen == now:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-        e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    found = stage(e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
+        e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), f"{label}-roots", 2 * now[0])
+    discard(e)
+    return found

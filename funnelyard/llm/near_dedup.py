@@ -22,16 +22,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelyard.llm.common import components, key128, stage
+from funnelyard.llm.common import components, discard, key128, stage
 from funnelyard.llm.words import LOWER, SPACES, chunks, column_bytes, digest_spans, find_words, mix, whole, windows
 
-#: Orders of the forest, signature values that start each, and the depths at which regions are formed.
+#: Orders of the forest, signature values that start each, and the depths at which regions are formed; the first one
+#: depends on the threshold.
 TREES, STEP = 16, 8
-DEPTHS = (4, 6, 8, 12, 16, 24, 32)
+DEPTHS = (6, 8, 12, 16, 24, 32)
 MAX_DEPTH = DEPTHS[-1]
 VALUES = TREES * STEP
-#: How far below the threshold a pair's share of equal signature values may be: nearly 5 standard deviations at 0.85.
-SLACK = 0.15
+#: How often a pair at the threshold may share no region, at most, and by how many standard deviations its share of
+#: equal signature values may fall short.
+MISS, DEVIATIONS = 2e-5, 4.75
 
 #: Shingles of a block of a crowded region, and the trees whose regions are compared in one round: what the
 #: first rounds join, the later ones needn't compare again.
@@ -70,6 +72,11 @@ def shingle_sets(part: pa.RecordBatch, column: str, size: int) -> tuple[np.ndarr
     return h, np.searchsorted(of, np.arange(part.num_rows + 1))
 
 
+def first_depth(percent: int) -> int:
+    """The greatest least depth of the forest at which pairs at the threshold are missed rarely enough: 4 at 85, 3 at 80."""
+    return max((d for d in range(1, DEPTHS[0]) if (1 - (percent / 100) ** d) ** TREES <= MISS), default=1)
+
+
 def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """A row for each document: set size, digest of the set (s1, s2), minhash signature; t1 and t2 digest the text."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,19 +109,24 @@ def _region(tree: Column, signature: Column, depth: int) -> Column:
     return F.xxhash64(tree, twice.substr(tree * (4 * STEP) + 1, F.lit(4 * depth)))
 
 
-def forest_pairs(nodes: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
+def forest_pairs(nodes: DataFrame, leaf: int, percent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Candidate pairs (a, b, pivot) with a < b of nodes (node, rep, signature), possibly more than once.
 
-    Second, the rows (node, tree, region) of the crowded regions of the least depth: they hold every pair that
-    is left out of the first, apart from those that share no region at all.
+    Second, the stored rows (node, tree, region) of the crowded regions of the least depth: they hold every pair that
+    is left out of the first, apart from those that share no region at all. Third, the stored tables that the
+    pairs read, to be discarded after them.
     """
+    depths, used = (first_depth(percent), *DEPTHS), []
     rows = nodes.select("node", "rep", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "signature")
-    rows = rows.select("node", "rep", "tree", _region(F.col("tree"), F.col("signature"), DEPTHS[0]).alias("region"))
+    rows = rows.select("node", "rep", "tree", _region(F.col("tree"), F.col("signature"), depths[0]).alias("region"))
     pairs = None
-    for i, depth in enumerate(DEPTHS):
+    for i in range(len(depths)):
         sizes = (rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "node")).alias("first"))
                  .where("n > 1").select("region", "n", F.col("first.node").alias("first")))
-        placed = stage(rows.join(stage(sizes, "regions"), "region"), "forest")
+        sizes = stage(sizes, "regions")
+        placed = stage(rows.join(sizes, "region"), "forest")
+        discard(sizes)
+        used.append(placed)
         own = placed.where("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"), F.lit(True).alias("pivot"))
         # a leaf region has `leaf` members at most
         members = placed.where((F.col("n") > 2) & (F.col("n") <= leaf)).groupBy("region").agg(F.array_sort(F.collect_set("node")).alias("m"))
@@ -122,17 +134,18 @@ def forest_pairs(nodes: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
         pairs = own.union(near) if pairs is None else pairs.union(own).union(near)
         crowded = placed.where(F.col("n") > leaf)
         if i == 0:
-            whole_regions = crowded.select("node", "tree", "region")
-        if i + 1 == len(DEPTHS) or crowded.isEmpty():
+            whole_regions = stage(crowded.select("node", "tree", "region"), "crowded")
+        if i + 1 == len(depths) or crowded.isEmpty():
             break
         rows = (crowded.select("node", "rep", "tree").join(nodes.select("node", "signature"), "node")
-                .select("node", "rep", "tree", _region(F.col("tree"), F.col("signature"), DEPTHS[i + 1]).alias("region")))
-    return pairs, whole_regions
+                .select("node", "rep", "tree", _region(F.col("tree"), F.col("signature"), depths[i + 1]).alias("region")))
+    return pairs, whole_regions, used
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b, pivot) whose set sizes allow the threshold and whose signatures come near it."""
-    least = percent / 100 - SLACK
+    share = percent / 100
+    least = share - DEVIATIONS * (share * (1 - share) / VALUES) ** 0.5
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,9 +240,13 @@ def crowd_links(crowd: DataFrame, root: DataFrame, nodes: DataFrame, docs: DataF
              .where("roots > 1").select("region", F.col("x.root").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("k_all"),
                                         F.ceil((F.col("all") - F.col("x.size")) / BLOCK).cast("int").alias("k_other")))
     total = stage(total, "regions")
+    discard(parts)
     if total.isEmpty():
+        discard(member, total)
         return None
+    all_members = member
     member = stage(member.join(total, "region").withColumn("other", F.col("root") != F.col("most")), "crowd")
+    discard(all_members, total)
     sets = stage(full_sets(docs, nodes.join(member.select("node").distinct(), "node", "left_semi"), shingle, id_col, text_col), "sets")
     block = F.pmod(F.xxhash64("node", "region"), F.col("k_all")).cast("int")
     own = F.pmod(F.xxhash64("region", "node"), F.col("k_other")).cast("int")
@@ -243,7 +260,9 @@ def crowd_links(crowd: DataFrame, root: DataFrame, nodes: DataFrame, docs: DataF
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         return _linked(left, right, percent)
 
-    return stage(left.cogroup(right).applyInArrow(compare, "a long, b long").distinct(), "links")
+    found = stage(left.cogroup(right).applyInArrow(compare, "a long, b long").distinct(), "links")
+    discard(member, sets)
+    return found
 
 
 #: Stands for a null id: larger than any other.
@@ -262,39 +281,52 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, leaf:
     a component of null ids has a null component_id and its rows are kept. Repeated rows get equal
     results. Only the named columns are read; an empty table gives no rows.
     """
-    signed = stage(signatures(docs, shingle, id_col, text_col), "signatures")
-    grouped = (signed.where("n_shingles > 0").groupBy("s1", "s2")
+    full = stage(signatures(docs, shingle, id_col, text_col), "signatures")
+    grouped = (full.where("n_shingles > 0").groupBy("s1", "s2")
                .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("rep"), "t1", "t2")).alias("x"),
                     F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature")))
     nodes = stage(grouped.select("s1", "s2", "x.rep", "x.t1", "x.t2", "n_shingles", "signature", F.monotonically_increasing_id().alias("node")), "nodes")
+    signed = stage(full.drop("signature"), "sizes")
+    discard(full)  # from here on every table goes as soon as nothing reads it any more
 
-    candidates, crowd = forest_pairs(nodes, leaf)
+    candidates, crowd, forest = forest_pairs(nodes, leaf, percent)
     pairs = stage(likely(candidates, nodes, percent), "pairs")
+    discard(*forest)
+    known = stage(nodes.drop("signature"), "nodes")
+    discard(nodes)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = stage(full_sets(docs, nodes.join(wanted, "node", "left_semi"), shingle, id_col, text_col), "sets")
+    sets = stage(full_sets(docs, known.join(wanted, "node", "left_semi"), shingle, id_col, text_col), "sets")
     links = stage(confirmed(pairs.where("pivot"), sets, percent), "links")
     root = components(links)
     rooted = (pairs.where("not pivot").join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
               .join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
               .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")))
     more = stage(confirmed(rooted, sets, percent), "links")
-    links = links.union(more)
-    root = components(links)
+    discard(sets, pairs)
+
+    def join_up(links: DataFrame, more: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:
+        both = stage(links.union(more), "links")
+        discard(links, more, root)
+        return both, components(both)
+
+    links, root = join_up(links, more, root)
     for first, last in ROUNDS:
-        more = crowd_links(crowd.where(F.col("tree").between(first, last)).select("node", "region"), root, nodes, docs, percent, shingle, id_col, text_col)
+        more = crowd_links(crowd.where(F.col("tree").between(first, last)).select("node", "region"), root, known, docs, percent, shingle, id_col, text_col)
         if more is not None and not more.isEmpty():
-            links = links.union(more)
-            root = components(links)
+            links, root = join_up(links, more, root)
+    discard(crowd, links)
 
-    joined = nodes.select("s1", "s2", "rep", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    joined = known.select("s1", "s2", "rep", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = stage(joined.groupBy("root").agg(F.min(F.struct("rep", "s1", "s2")).alias("x")), "least")
     classes = joined.join(least, "root").select("s1", "s2", F.nullif("x.rep", F.lit(_NO_ID)).alias("component_id"),
                                                 F.col("x.s1").alias("class1"), F.col("x.s2").alias("class2"))
     alone = F.col("n_shingles") == 0
-    return (signed.drop("signature").join(classes, ["s1", "s2"], "left")
-            .withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select("doc_id", "n_shingles", "component_id", "kept", "t1", "t2", "class1", "class2"))
+    found = stage(signed.join(classes, ["s1", "s2"], "left")
+                  .withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
+                  .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+                  .select("doc_id", "n_shingles", "component_id", "kept", "t1", "t2", "class1", "class2"), "classes")
+    discard(signed, known, least, root)
+    return found
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -303,12 +335,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without words are linked with nothing and all stay.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
-    chosen = (found.where("n_shingles > 0").groupBy("class1", "class2")
-              .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__rep"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))).alias("x"))
-              .select("x.*"))
+    chosen = stage(found.where("n_shingles > 0").groupBy("class1", "class2")
+                   .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("rep"), "t1", "t2")).alias("x")).select("x.*"), "chosen")
+    discard(found)
     text = F.col(f"`{text_col}`")
     worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     t1, t2 = key128(text)
-    keyed = docs.where(worded).withColumns({"__rep": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)), "__t1": t1, "__t2": t2})
-    once = keyed.join(chosen, ["__rep", "__t1", "__t2"], "left_semi").dropDuplicates(["__rep", "__t1", "__t2"])
-    return once.drop("__rep", "__t1", "__t2").select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where(~worded))
+    # the input's columns stay in one struct, whatever their names
+    keyed = docs.where(worded).select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("rep"),
+                                      t1.alias("t1"), t2.alias("t2"))
+    once = keyed.join(chosen, ["rep", "t1", "t2"], "left_semi").dropDuplicates(["rep", "t1", "t2"])
+    return once.select("row.*").union(docs.where(~worded))

@@ -95,3 +95,25 @@ def test_a_group_of_copies_keeps_one_full_text(spark):
     kept = {r.doc_id: r.text for r in C.near_copies(spark, clean, SF).collect()}
     expected = {0: copy, 10: dict(rows)[10]} | {20 + i: text(i) for i in range(10)}
     assert kept == expected
+
+
+def test_columns_named_like_the_stages_own_stay_as_they_are(spark):
+    lines = "the site's line\n" + "\n".join(" ".join(f"w{k}" for k in range(j, j + 30)) for j in range(3))
+    names = ["t1", "t2", "k1", "k2", "n_lines", "kept_lines", "n_dropped", "row", "rep", "copies", "lines", "__lines", "__k1", "__rep", "component_id", "kept"]
+    rows = [(i, f"{lines} u{i} v{i} " + " ".join(f"x{i}y{j}" for j in range(40)), "en", "s", 7, *[7777 + k for k in range(len(names))]) for i in range(12)]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {n} long" for n in names))
+    for name, work in C.STAGES[:-1]:
+        after = work(spark, docs, SF)
+        assert after.dtypes == docs.dtypes, name
+        assert all([r[n] for n in names] == [7777 + k for k in range(len(names))] for r in after.collect()), name
+    assert C.pack_sequences(spark, docs, SF).count() >= 12
+
+
+def test_near_copies_at_80_percent(spark):
+    base = [f"w{i}" for i in range(300)]
+    near = list(base)
+    for i in (20, 80, 140, 200, 260):  # 25 of 296 shingles differ: similarity 0.844; two more edits: 0.79
+        near[i] = f"e{i}"
+    far = [f"f{i}" if i % 40 == 7 else w for i, w in enumerate(base)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate((base, near, far))], SCHEMA)
+    assert sorted(r.doc_id for r in C.near_copies(spark, docs, SF).collect()) == [0, 2]
