@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelyard.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from funnelyard.llm.common import key128, stage, without
+from funnelyard.llm.common import discard, key128, stage, without
 from funnelyard.llm.queries import vocabulary_path
 from funnelyard.llm.registry import ship_package
 from funnelyard.sources.tables import read_table
 
+#: Similarity of near copies, in percent.
+PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or lie far outside their language and source."""
@@ -31,24 +34,26 @@ def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep its text for the near-dedup.
     """
     ship_package(spark)
+    found = near_dedup.near_duplicates(docs, percent=PERCENT, shingle=5)
+    group = stage(found.where("n_shingles > 0").groupBy("t1", "t2").agg(F.any_value(F.struct("class1", "class2")).alias("copies")), "groups")
+    discard(found)
+    # the document stays in one struct, whatever its columns are called; a text is its lines
     t1, t2 = key128(F.col("text"))
-    found = near_dedup.near_duplicates(docs, percent=85, shingle=5)
-    group = stage(found.where("n_shingles > 0").groupBy("t1", "t2").agg(F.any_value(F.struct("class1", "class2")).alias("__group")), "groups")
-    keyed = docs.withColumns({"t1": t1, "t2": t2}).join(group, ["t1", "t2"], "left")
+    rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c.lower() != "text"]
+    keyed = docs.select(F.struct(*rest).alias("row"), t1.alias("t1"), t2.alias("t2"), F.col("doc_id"), F.col("source"), F.split("text", "\n").alias("lines"))
     alone = F.struct(F.col("t1").alias("class1"), F.col("t2").alias("class2"))
-    lines = (keyed.withColumn("__group", F.coalesce("__group", alone)).withColumn("__lines", F.split("text", "\n"))
-             .drop("t1", "t2", "text"))
-    clean = line_dedup.drop_boilerplate(lines, "source", "__lines", ["doc_id"], max_ratio=0.1, min_pages=10, once_col="__group")
-    text = F.when(F.col("__lines").isNotNull(), F.array_join("kept_lines", "\n"))
-    made = {"text": text.alias("text"), "n_chars": F.when(F.col("__lines").isNull(), F.col("n_chars"))
+    lines = keyed.join(group, ["t1", "t2"], "left").select("row", "doc_id", "source", "lines", F.coalesce("copies", alone).alias("copies"))
+    clean = line_dedup.drop_boilerplate(lines, "source", "lines", ["doc_id"], max_ratio=0.1, min_pages=10, once_col="copies")
+    text = F.when(F.col("lines").isNotNull(), F.array_join("kept_lines", "\n"))
+    made = {"text": text.alias("text"), "n_chars": F.when(F.col("lines").isNull(), F.col("row.n_chars"))
             .otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")}
-    return clean.select(*[made.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    return clean.select(*[made[c.lower()].alias(c) if c.lower() in made else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate component."""
     ship_package(spark)
-    return near_dedup.one_of_each(docs, percent=85, shingle=5)
+    return near_dedup.one_of_each(docs, percent=PERCENT, shingle=5)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +79,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each but the last written and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, stored = read_table(spark, sf_dir, "documents"), None
     for _, work in STAGES[:-1]:
         docs = stage(work(spark, docs, sf_dir), "corpus")
+        if stored is not None:
+            discard(stored)  # the next corpus is written: nothing reads this one any more
+        stored = docs
     return STAGES[-1][1](spark, docs, sf_dir)
