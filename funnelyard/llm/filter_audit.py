@@ -57,6 +57,19 @@ def _per_row(hit: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers below 2**31 as compressed differences: neighbours in a row of the matrix are close."""
+    steps = np.diff(values, prepend=0).astype("<i4")
+    return pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True) if len(steps) else b""
+
+
+def _unpack(blob: pa.Buffer, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    raw = np.frombuffer(pa.decompress(blob, decompressed_size=4 * n, codec="zstd"), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(4, n).T).view("<i4").ravel(), dtype=np.int64)
+
+
 def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """The place of each word in the list of distinct words, that list, and its digests, which ascend."""
     bounds = np.concatenate(([0], np.cumsum(ends - starts)))
@@ -91,10 +104,10 @@ def count_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 bounds = np.searchsorted(cell, np.arange(part.num_rows + 1) * width)
                 flags = [pa.array(_per_row(hit, offsets)) for hit in (_CAPITAL[data], ~_CONTINUED[data], _MARK[data])]
                 docs_of = pa.StructArray.from_arrays([*part.columns[:4], *flags], names=[n for n, _, _ in _DOC])
-                blobs = [bounds.astype("<i8"), (cell % width).astype("<i4"), n.astype("<i4"), digests.astype("<u8")]
+                blobs = [bounds.astype("<i8").tobytes(), _pack(cell % width), _pack(n), digests.astype("<u8").tobytes()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), docs_of),
-                     *[pa.array([x.tobytes()], pa.binary()) for x in blobs], pa.array([b"\n".join(listed.to_pylist()) if keep_words else None], pa.binary()),
+                     *[pa.array([x], pa.binary()) for x in blobs], pa.array([b"\n".join(listed.to_pylist()) if keep_words else None], pa.binary()),
                      pa.array([len(listed)], pa.int64())], names=["block", "docs", "bounds", "places", "counts", "digests", "words", "n_words"])
                 number += 1
 
@@ -182,11 +195,12 @@ def document_term_matrix(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                bounds, places, counts = (np.frombuffer(one.column(k)[0].as_buffer(), t) for k, t in ((2, "<i8"), (3, "<i4"), (4, "<i4")))
+                bounds = np.frombuffer(one.column(2)[0].as_buffer(), "<i8")
+                places, counts = (_unpack(one.column(k)[0].as_buffer(), int(bounds[-1])) for k in (3, 4))
                 # places follow the digests, and so do the numbers: the columns of a row ascend already
                 columns = _columns_of(one.column(5)[0])[places]
                 yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), pa.array([columns.astype("<i8").tobytes()], pa.binary()),
-                                                  pa.array([counts.tobytes()], pa.binary())], names=["block", "docs", "bounds", "columns", "counts"])
+                                                  pa.array([counts.astype("<i4").tobytes()], pa.binary())], names=["block", "docs", "bounds", "columns", "counts"])
 
     return _joined(blocks.select("block", "docs", "bounds", "places", "counts"), numbers).select("block", "docs", "bounds", "places", "counts", "slices").mapInArrow(
         scan, f"block long, docs {_DOCS}, bounds binary, columns binary, counts binary")
