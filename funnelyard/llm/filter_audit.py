@@ -31,7 +31,7 @@ from funnelyard.llm.words import SPACES, byte_set, chunks, column_bytes, digest_
 #: Bytes of text in a block (whole documents; a longer document is a block of its own).
 BLOCK_BYTES = 4 << 20
 #: Digests that one task of the dictionary numbers, about.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 # --- fixed values: the filters ---------------------------------------------------------------------------------
 FILTERS = "ABCDE"
@@ -186,6 +186,17 @@ def dictionary(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
     return _joined(blocks.select("block", "words"), numbers).select("words", "slices").mapInArrow(scan, "word binary, column long")
 
 
+_SHARD = ("block", "docs", "bounds", "places", "counts", "slices")
+
+
+def _csr(shard: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row bounds, column numbers and counts of one block, as a CSR shard of the matrix."""
+    bounds = np.frombuffer(shard.column(2)[0].as_buffer(), "<i8")
+    places, counts = (_unpack(shard.column(k)[0].as_buffer(), int(bounds[-1])) for k in (3, 4))
+    # places follow the digests, and so do the numbers: the columns of a row ascend already
+    return bounds, _columns_of(shard.column(5)[0])[places], counts
+
+
 def document_term_matrix(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
     """CSR shards (block, docs, bounds, columns, counts): int64 bounds and column numbers, int32 counts, little-endian.
 
@@ -195,31 +206,35 @@ def document_term_matrix(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                bounds = np.frombuffer(one.column(2)[0].as_buffer(), "<i8")
-                places, counts = (_unpack(one.column(k)[0].as_buffer(), int(bounds[-1])) for k in (3, 4))
-                # places follow the digests, and so do the numbers: the columns of a row ascend already
-                columns = _columns_of(one.column(5)[0])[places]
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), pa.array([columns.astype("<i8").tobytes()], pa.binary()),
-                                                  pa.array([counts.astype("<i4").tobytes()], pa.binary())], names=["block", "docs", "bounds", "columns", "counts"])
+                bounds, columns, counts = _csr(one)
+                blobs = [bounds.astype("<i8").tobytes(), columns.astype("<i8").tobytes(), counts.astype("<i4").tobytes()]
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), *[pa.array([x], pa.binary()) for x in blobs]],
+                                                 names=["block", "docs", "bounds", "columns", "counts"])
 
-    return _joined(blocks.select("block", "docs", "bounds", "places", "counts"), numbers).select("block", "docs", "bounds", "places", "counts", "slices").mapInArrow(
-        scan, f"block long, docs {_DOCS}, bounds binary, columns binary, counts binary")
+    shards = _joined(blocks.select("block", "docs", "bounds", "places", "counts"), numbers).select(*_SHARD)
+    return shards.mapInArrow(scan, f"block long, docs {_DOCS}, bounds binary, columns binary, counts binary")
 
 
-def row_statistics(matrix: DataFrame) -> DataFrame:
-    """A row for each document: its fields, n_words (row sum) and n_distinct (nonzero entries of the row)."""
+def row_statistics(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
+    """A row for each document: its fields, n_words (sum of its row of the matrix) and n_distinct (nonzero entries of the row).
+
+    A shard is made and counted in the same task; it isn't stored.
+    """
     names = [n for n, _, _ in _DOC]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                docs, bounds, counts = batch.column(0)[i].values, *(np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((1, "<i8"), (2, "<i4")))
-                sums = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays([*[docs.field(n) for n in names], pa.array(sums[bounds[1:]] - sums[bounds[:-1]]), pa.array(np.diff(bounds))],
-                                                 names=[*names, "n_words", "n_distinct"])
+                one = batch.slice(i, 1)
+                bounds, _, counts = _csr(one)
+                docs, sums = one.column(1)[0].values, np.concatenate(([0], np.cumsum(counts)))
+                nonzero = np.concatenate(([0], np.cumsum(counts > 0)))
+                yield pa.RecordBatch.from_arrays([*[docs.field(n) for n in names], pa.array(sums[bounds[1:]] - sums[bounds[:-1]]),
+                                                  pa.array(nonzero[bounds[1:]] - nonzero[bounds[:-1]])], names=[*names, "n_words", "n_distinct"])
 
     schema = ", ".join(f"{n} {t}" for n, _, t in _DOC)
-    return matrix.select("docs", "bounds", "counts").mapInArrow(scan, f"{schema}, n_words long, n_distinct long")
+    shards = _joined(blocks.select("block", "docs", "bounds", "places", "counts"), numbers).select(*_SHARD)
+    return shards.mapInArrow(scan, f"{schema}, n_words long, n_distinct long")
 
 
 def _flag(condition: Column, letter: str) -> Column:
@@ -293,5 +308,4 @@ def audit_filters(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     In `shapley` a document that fails m filters counts for each of them in 120 / m of the 120 orders.
     """
     blocks = count_blocks(docs, id_col, text_col, part_col, keep_words=False)
-    matrix = document_term_matrix(blocks, column_numbers(blocks))
-    return interactions(failure_patterns(row_statistics(matrix), labels))
+    return interactions(failure_patterns(row_statistics(blocks, column_numbers(blocks)), labels))

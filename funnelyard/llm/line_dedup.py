@@ -40,15 +40,16 @@ def url_host(url: Column) -> Column:
 
 
 def drop_boilerplate(df: DataFrame, host_col: str, lines_col: str, key_cols: list[str],
-                     max_ratio: float = 0.1, min_pages: int = 10, once_col: str | None = None) -> DataFrame:
+                     max_ratio: float = 0.1, min_pages: int = 10, classes: DataFrame | None = None) -> DataFrame:
     """Adds `kept_lines` (array), `n_lines` and `n_dropped` to pages with an array of lines.
 
     Lines are compared without outer spaces; blank lines are neither counted nor dropped. A page counts
     once for a line however often it holds it, and loses every copy of it. `key_cols` tell the pages
     apart (with host and lines); repeated rows count as pages and get equal results. Null hosts are one
     host, null lines are no lines, an empty table stays empty; input columns named like the new ones
-    are replaced. With `once_col`, rows of a host that are equal in it count as one page, which holds the
-    lines of all of them; the column is dropped.
+    are replaced. With `classes` (t1, t2, class), pages of a host whose columns t1 and t2 lead to an equal class count
+    as one page, which holds the lines of all of them; a pair that isn't listed is a class of its own. The classes
+    meet digests of lines only, equal pages combined first, never the pages themselves.
 
     Counting combines on the map side, so a line on a third of all pages costs no more than others. Only
     digests travel, in the lookup salted over SALTS parts, and each page gets its own dropped lines back.
@@ -61,15 +62,21 @@ def drop_boilerplate(df: DataFrame, host_col: str, lines_col: str, key_cols: lis
     pages = df.withColumns({"__k1": k1, "__k2": k2})
 
     shown = F.array_distinct(F.filter(F.transform(own, lambda x: F.trim(x)), lambda x: x != ""))
-    once = [F.col(f"`{once_col}`").alias("__once")] if once_col else []
-    line = pages.select("__k1", "__k2", host.alias("__host"), *once, F.explode(shown).alias("__line"))
+    by = ["t1", "t2"] if classes is not None else []
+    line = pages.select("__k1", "__k2", host.alias("__host"), *by, F.explode(shown).alias("__line"))
     h1, h2 = key128(F.col("__host"), F.col("__line"))
-    line = line.select("__k1", "__k2", "__host", *(["__once"] if once else []), h1.alias("__h1"), h2.alias("__h2"))
+    line = line.select("__k1", "__k2", "__host", *by, h1.alias("__h1"), h2.alias("__h2"))
 
-    counted, shows = df.select(host.alias("__host"), *once), line
-    if once:
-        counted = counted.distinct()
-        shows = line.groupBy("__h1", "__h2", "__once").agg(F.any_value("__host").alias("__host"))
+    counted, shows = df.select(host.alias("__host"), *by), line
+    if by:
+        alone = F.struct(F.lit(None).cast("long").alias("class1"), F.col("t1").alias("class2"), F.col("t2").alias("class3"))
+        known = classes.select("t1", "t2", F.struct("class.class1", "class.class2", F.lit(None).cast("long").alias("class3")).alias("__class"))
+
+        def classed(rows: DataFrame) -> DataFrame:
+            return rows.distinct().join(known, by, "left").withColumn("__class", F.coalesce("__class", alone))
+
+        counted = classed(counted).select("__host", "__class").distinct()
+        shows = classed(line.select("__host", "__h1", "__h2", *by)).groupBy("__h1", "__h2", "__class").agg(F.any_value("__host").alias("__host"))
     totals = counted.groupBy("__host").agg(F.count(F.lit(1)).alias("__pages")).where(F.col("__pages") >= min_pages)
     counts = (shows.groupBy("__h1", "__h2").agg(F.any_value("__host").alias("__host"), F.count(F.lit(1)).alias("__n"))
               .where(F.col("__n") * _MILLION > share * min_pages))
@@ -87,4 +94,4 @@ def drop_boilerplate(df: DataFrame, host_col: str, lines_col: str, key_cols: lis
     kept = F.when(F.col("__dropped").isNull(), own).otherwise(F.filter(own, stays))
     return (pages.join(dropped, ["__k1", "__k2"], "left").withColumn("kept_lines", kept)
             .withColumn("n_lines", F.size(own).cast("long")).withColumn("n_dropped", (F.size(own) - F.size("kept_lines")).cast("long"))
-            .drop("__k1", "__k2", "__dropped", *([once_col] if once_col else [])))
+            .drop("__k1", "__k2", "__dropped"))

@@ -50,7 +50,7 @@ def test_line_stage(spark, stages):
 def test_near_copies_stage(spark, stages):
     before, after = stages["MinHash near-dedup"]
     rows = texts(before)
-    chosen = {r[0] for r in near_components(rows) if r[3]}
+    chosen = {r[0] for r in near_components(rows, percent=C.PERCENT) if r[3]}
     assert texts(after) == [t for t in rows if t[0] in chosen or not words(t[1])] and after.count() < before.count()
 
 
