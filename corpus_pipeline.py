@@ -35,15 +35,13 @@ def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship_package(spark)
     found = near_dedup.near_duplicates(docs, percent=PERCENT, shingle=5)
-    group = stage(found.where("n_shingles > 0").groupBy("t1", "t2").agg(F.any_value(F.struct("class1", "class2")).alias("copies")), "groups")
+    classes = stage(found.where("n_shingles > 0").groupBy("t1", "t2").agg(F.any_value(F.struct("class1", "class2")).alias("class")), "classes")
     discard(found)
     # the document stays in one struct, whatever its columns are called; a text is its lines
     t1, t2 = key128(F.col("text"))
     rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c.lower() != "text"]
-    keyed = docs.select(F.struct(*rest).alias("row"), t1.alias("t1"), t2.alias("t2"), F.col("doc_id"), F.col("source"), F.split("text", "\n").alias("lines"))
-    alone = F.struct(F.col("t1").alias("class1"), F.col("t2").alias("class2"))
-    lines = keyed.join(group, ["t1", "t2"], "left").select("row", "doc_id", "source", "lines", F.coalesce("copies", alone).alias("copies"))
-    clean = line_dedup.drop_boilerplate(lines, "source", "lines", ["doc_id"], max_ratio=0.1, min_pages=10, once_col="copies")
+    lines = docs.select(F.struct(*rest).alias("row"), t1.alias("t1"), t2.alias("t2"), F.col("doc_id"), F.col("source"), F.split("text", "\n").alias("lines"))
+    clean = line_dedup.drop_boilerplate(lines, "source", "lines", ["doc_id"], max_ratio=0.1, min_pages=10, classes=classes)
     text = F.when(F.col("lines").isNotNull(), F.array_join("kept_lines", "\n"))
     made = {"text": text.alias("text"), "n_chars": F.when(F.col("lines").isNull(), F.col("row.n_chars"))
             .otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")}
