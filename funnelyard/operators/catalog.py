@@ -81,6 +81,26 @@ def catalog_from_tables(spark: SparkSession, tables: Mapping[str, DataFrame],
     return out
 
 
+#: Rows of a table that are looked at before a column is searched for its first value.
+PROBE_ROWS = 1000
+
+
+def columns_with_values(spark: SparkSession, tables: Mapping[str, DataFrame], schema: str = "main") -> DataFrame:
+    """C7 for mapping — the columns that hold any value, with type, nullability and position, without reading the tables.
+
+    Names and types come from the schemas.  A column has a value if one of a table's first rows has one; only a
+    column without any there is searched, and that search ends at its first value.  One small job per table when
+    called; counts of rows and cells are left to :func:`catalog_from_tables` and B2."""
+    found = []
+    for t, df in tables.items():
+        fields = df.schema.fields
+        head = df.limit(PROBE_ROWS).agg(*[F.count(F.col(f"`{f.name}`")).alias(f"_{i}") for i, f in enumerate(fields)]).first()
+        for i, f in enumerate(fields):
+            if head[i] or df.select(F.col(f"`{f.name}`").alias("v")).where("v is not null").take(1):
+                found.append((schema, t, f.name, f.dataType.simpleString(), bool(f.nullable), i + 1))
+    return spark.createDataFrame(found, "table_schema string, table_name string, column_name string, data_type string, is_nullable boolean, position int")
+
+
 def filled(catalog: DataFrame) -> DataFrame:
     """The columns that hold any value."""
     return catalog.where("filled_count > 0")
@@ -288,3 +308,37 @@ def validate_relationship(left: DataFrame, left_col: str, right: DataFrame, righ
     each side, matches, ``score = matches / min(distinct)`` (4 decimals):
     verified >= 0.80, possible >= 0.50, else rejected; unmatched counts."""
     return validate_relationships([(pair_id, left, left_col, right, right_col)])
+
+
+def estimate_relationships(pairs: Sequence[tuple], lg_k: int = 12) -> DataFrame:
+    """C9 by sketches, for very large keys: per pair the estimated distinct values of both sides, matches and score.
+
+    Each key column becomes one theta sketch of ``2 ** lg_k`` entries (32 KB at 12), merged on the way: no value
+    is shuffled, and a stored sketch serves every pair that its column takes part in.  Distinct counts have a standard error of
+    ``2 ** (-lg_k / 2)`` (1.6 %); ``score_error`` is three standard errors of the score, from the union's size."""
+    parts = []
+    for pid, left, lcol, right, rcol in pairs:
+        parts.append(left.select(F.lit(pid).alias("pair"), F.col(lcol).cast("string").alias("v"), F.lit(1).alias("s")))
+        parts.append(right.select(F.lit(pid).alias("pair"), F.col(rcol).cast("string").alias("v"), F.lit(2).alias("s")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    sides = rows.where("v is not null").groupBy("pair").agg(
+        *[F.theta_sketch_agg(F.when(F.col("s") == i, F.col("v")), lg_k).alias(n) for i, n in ((1, "_l"), (2, "_r"))])
+    est = sides.select("pair", F.theta_sketch_estimate("_l").alias("left_distinct"), F.theta_sketch_estimate("_r").alias("right_distinct"),
+                       F.theta_sketch_estimate(F.theta_intersection("_l", "_r")).alias("matching_values"),
+                       F.theta_sketch_estimate(F.theta_union("_l", "_r", lg_k)).alias("_union"))
+    small = F.greatest(F.least("left_distinct", "right_distinct"), F.lit(1)).cast("double")
+    noise = 3 * F.sqrt(F.col("_union") * F.greatest("matching_values", F.lit(1)) / F.lit(float(2 ** lg_k)))
+    return est.select("pair", "left_distinct", "right_distinct", "matching_values", F.least(F.lit(1.0), F.col("matching_values") / small).alias("score"),
+                      F.when(F.col("_union") < 2 ** lg_k, F.lit(0.0)).otherwise(noise / small).alias("score_error"))
+
+
+def screen_relationships(pairs: Sequence[tuple], lg_k: int = 12, least: float = POSSIBLE) -> DataFrame:
+    """C9 in two steps: pairs whose estimated score can't reach ``least`` are left out, the others are matched exactly.
+
+    Only the pairs' names and estimates are collected, one row per pair."""
+    found = estimate_relationships(pairs, lg_k)
+    alive = {r["pair"] for r in found.where(F.col("score") + F.col("score_error") >= least).select("pair").collect()}
+    chosen = [p for p in pairs if p[0] in alive]
+    return validate_relationships(chosen) if chosen else validate_relationships(pairs[:1]).where("false")

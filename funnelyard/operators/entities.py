@@ -4,18 +4,19 @@ Requested names are a DataFrame ``(name, position)`` of any size; members
 are the distinct values of the metrics table's dimensions, computed on the
 executors.
 
-All tiers are one equi-join.  Each member is spelled out as the keys under
-which a name could find it (itself, lower-cased, alphanumeric, its tokens,
-its short grams), each name as the keys that it looks under, and what a
-gram finds is then checked in full.  Members are derived once, no pair is
-formed without a common key, and neither side is broadcast by hand.
+Every tier is an equi-join on keys: the forms and tokens of a member, and for
+"stands inside" and "similar" its grams.  A name looks under its rarest grams
+only, as many as the tier needs to miss nothing, and what they find is checked
+in full.  Similarity starts with small distances and is asked only for names
+that no other tier finds (a few jobs, run when the operator is called).
+Members are derived once, and neither side is broadcast by hand.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelyard.functions.core import derived_once, strip_ws
@@ -96,58 +97,105 @@ def choose_dimension(matched: DataFrame, names: DataFrame,
 
 
 # ---------------------------------------------------------------------- H2
-def _key(kind: int, value: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+def _grams(text: Column, size: int | Column) -> Column:
+    """Distinct substrings of one size; none of a shorter text."""
+    size = F.lit(size) if isinstance(size, int) else size
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, size)))).otherwise(F.array().cast("array<string>"))
 
 
-def _grams(text: Column, sizes: Sequence[int]) -> Column:
-    """Distinct substrings of the given sizes."""
-    def of_size(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
-    return F.array_distinct(F.flatten(F.array(*[of_size(n) for n in sizes])))
+def _equal_hits(n: DataFrame, m: DataFrame) -> DataFrame:
+    """Tiers 1-3 and 5: equal as is, lower-cased, alphanumeric; a token of the member equals the lower-cased name."""
+    def key(kind: int, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("tier"), value.alias("key"))
 
-
-def _member_keys(fuzzy: bool) -> Column:
-    """Kinds 1-7: as is, lower, alphanumeric, grams of that, tokens, grams of the lower form, pairs of letters."""
     tokens = F.transform(F.filter(F.split("member", "[^a-zA-Z0-9]"), lambda t: t != ""), lambda t: F.lower(t))
-    parts = [F.array(_key(1, F.col("member")), _key(2, F.col("mlow")), _key(3, F.col("mnorm"))),
-             F.transform(_grams(F.col("mnorm"), (1, 2, 3)), lambda g: _key(4, g)),
-             F.transform(F.array_distinct(tokens), lambda t: _key(5, t)),
-             F.transform(_grams(F.col("mlow"), (1, 2, 3)), lambda g: _key(6, g))]
-    if fuzzy:
-        parts.append(F.transform(_grams(F.col("mnorm"), (2,)), lambda g: _key(7, g)))
-    return F.flatten(F.array(*parts))
-
-
-def _name_keys(fuzzy: bool) -> Column:
-    """The keys that a name looks under: its forms, and the first gram of those that may stand inside a member."""
-    parts = [F.array(_key(1, F.col("clean")), _key(2, F.col("low")), _key(3, F.col("norm")), _key(4, F.substring("norm", 1, 3)),
-                     _key(5, F.col("low")), _key(6, F.substring("low", 1, 3)))]
-    if fuzzy:
-        parts.append(F.transform(_grams(F.col("norm"), (2,)), lambda g: _key(7, g)))
-    return F.flatten(F.array(*parts))
+    of_member = F.concat(F.array(key(1, F.col("member")), key(2, F.col("mlow")), key(3, F.col("mnorm"))),
+                         F.transform(F.array_distinct(tokens), lambda t: key(5, t)))
+    of_name = F.array(key(1, F.col("clean")), key(2, F.col("low")), key(3, F.col("norm")), key(5, F.col("low")))
+    found = (m.select("dimension", "member", "mnorm", F.explode(of_member).alias("k")).select("dimension", "member", "mnorm", "k.*")
+             .join(n.select("name", "norm", F.explode(of_name).alias("k")).select("name", "norm", "k.*"), ["tier", "key"]))
+    return found.where((F.col("tier") != 3) | (F.col("norm") != "")).select("name", "norm", "dimension", "member", "mnorm", "tier")
+
+
+def _inside_hits(n: DataFrame, m: DataFrame, tier: int, name_form: str, member_form: str) -> DataFrame:
+    """Tiers 4 and 6: the name's form stands inside the member's.
+
+    A name looks under the rarest of its grams of three letters (of all its letters, if there are fewer); a gram that
+    no member has rules it out.  So a stem that all members share brings no pairs, as long as the name holds more."""
+    text = F.col(name_form)
+    wanted = n.where(text != "").select("name", "norm", text.alias("text"), F.explode(_grams(text, F.least(F.lit(3), F.length(text)))).alias("gram"))
+    form = F.col(member_form)
+    held = m.select("dimension", "member", "mnorm", form.alias("form"), F.explode(F.array_union(F.array_union(_grams(form, 3), _grams(form, 2)), _grams(form, 1))).alias("gram"))
+    held = held.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    seen = held.groupBy("gram").agg(F.count(F.lit(1)).alias("members"))
+    best = (wanted.join(seen, "gram", "left").groupBy("name", "norm", "text")
+            .agg(F.count_if(F.col("members").isNull()).alias("absent"), F.min_by("gram", F.struct("members", "gram")).alias("gram")).where("absent = 0"))
+    return (best.join(held, "gram").where(F.col("form").contains(F.col("text")))
+            .select("name", "norm", "dimension", "member", "mnorm", F.lit(tier).alias("tier")))
+
+
+def similar_candidates(rest: DataFrame, index: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """Pairs (name, norm, dimension, member, mnorm) that may lie within ``most`` edits: prefix filter on grams.
+
+    An edit touches at most q grams of a text, so of any q * most + 1 grams one stands in every text within that
+    distance: the rarest are looked up, together with each length that the distance allows."""
+    long = F.length("norm")
+    q = F.when(3 * most + 1 <= long - 2, F.lit(3)).otherwise(F.lit(2))
+    grams = rest.select("name", "norm", q.alias("q"), F.explode(_grams(F.col("norm"), q)).alias("gram")).join(counts, ["q", "gram"], "left")
+    rarest = Window.partitionBy("name", "norm").orderBy(F.coalesce("members", F.lit(0)), "gram")  # the grams of one name
+    first = grams.withColumn("nth", F.row_number().over(rarest)).where((F.col("nth") <= F.col("q") * most + 1) & F.col("members").isNotNull())
+    keys = first.select("name", "norm", "q", "gram", F.explode(F.sequence(F.greatest(F.lit(SIMILAR_FROM), long - most), F.greatest(F.lit(SIMILAR_FROM), long + most))).alias("mlen"))
+    return keys.join(index, ["q", "gram", "mlen"]).select("name", "norm", "dimension", "member", "mnorm").distinct()
+
+
+def _similar_hits(n: DataFrame, m: DataFrame) -> DataFrame:
+    """Tier 7: the members at the least edit distance by the longer form, up to a third of it.
+
+    Small distances come first (1, 2, 4, ...): a name whose best member can't be matched by any larger distance is
+    done, so only names without a near member look under many grams."""
+    index = derived_once(m.where(F.length("mnorm") >= SIMILAR_FROM).select(
+        "dimension", "member", "mnorm", F.length("mnorm").alias("mlen"), F.explode(F.array(F.lit(2), F.lit(3))).alias("q"))
+        .select("*", F.explode(_grams(F.col("mnorm"), F.col("q"))).alias("gram")))
+    counts = index.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("members"))
+    rest = derived_once(n.where(F.length("norm") >= SIMILAR_FROM).select("name", "norm"))
+    out, most = None, 1
+    while True:
+        longest = rest.agg(F.max(F.length("norm"))).first()[0]
+        if longest is None:
+            break
+        pairs = similar_candidates(rest, index, counts, most)
+        distance, longer = F.levenshtein("mnorm", "norm", most), F.greatest(F.length("mnorm"), F.length("norm"))
+        near = pairs.withColumn("distance", distance).where((F.col("distance") >= 0) & (F.col("distance") * SIMILAR_SHARE <= longer))
+        near = derived_once(near.withColumn("share", F.floor(F.col("distance") * 1_000_000 / longer).cast("long")).drop("distance"))
+        out = near if out is None else out.unionByName(near)
+        if 2 * most >= longest:
+            break
+        best = near.groupBy("name").agg(F.min("share").alias("best"))
+        beyond = F.floor((most + 1) * 1_000_000 / (F.length("norm") + most + 1))  # no larger distance has a smaller share
+        rest = derived_once(rest.join(best, "name", "left").where((F.col("best").isNull() | (F.col("best") >= beyond)) & (F.length("norm") > 2 * most))
+                            .select("name", "norm"))
+        most *= 2
+    empty = n.where("false").select("name", "norm").join(m.select("dimension", "member", "mnorm"), F.lit(False)).withColumn("share", F.lit(0).cast("long"))
+    return (empty if out is None else out).withColumn("tier", F.lit(7))
 
 
 def _tier_hits(names: DataFrame, members: DataFrame, fuzzy: bool) -> DataFrame:
-    """One row per (name, dimension, member) that any tier finds: its first
-    tier, the edit distance where that is 7, and whether the member starts with
-    the name (tiers 4-6)."""
+    """One row per (name, dimension, member) that a tier finds: its first tier, the share of edits where that is 7,
+    and whether the member starts with the name (tiers 4-6).  Similarity is asked only for names without another hit."""
     n = (names.select("name", strip_ws("name").alias("clean")).filter(F.col("clean") != "").distinct()
          .select("name", "clean", F.lower("clean").alias("low"), alnum("clean").alias("norm")))
     m = members.select("dimension", "member", F.lower("member").alias("mlow"), alnum("member").alias("mnorm"))
-    found = (m.select("*", F.explode(_member_keys(fuzzy)).alias("k")).select("dimension", "member", "mlow", "mnorm", "k.*")
-             .join(n.select("*", F.explode(_name_keys(fuzzy)).alias("k")).select("name", "low", "norm", "k.*"), ["kind", "key"]))
-    distance, longer = F.levenshtein("mnorm", "norm"), F.greatest(F.length("mnorm"), F.length("norm"))
-    near = (F.least(F.length("mnorm"), F.length("norm")) >= SIMILAR_FROM) & (distance * SIMILAR_SHARE <= longer)
-    holds = (F.when(F.col("kind").isin(3, 4), (F.col("norm") != "") & F.col("mnorm").contains(F.col("norm")))
-             .when(F.col("kind") == 6, F.col("mlow").contains(F.col("low")))
-             .when(F.col("kind") == 7, near).otherwise(F.lit(True)))
-    share = F.when(F.col("kind") == 7, F.floor(distance * 1_000_000 / longer)).otherwise(F.lit(0)).cast("long")
-    prefix = F.col("kind").isin(4, 5, 6) & F.col("mnorm").startswith(F.col("norm"))
-    return (found.filter(holds).groupBy("name", "dimension", "member")
-            .agg(F.min(F.struct(F.col("kind").alias("tier"), share.alias("share"))).alias("t"),
-                 F.min_by(prefix, F.col("kind")).alias("prefix"))
+    if fuzzy:
+        n, m = derived_once(n), derived_once(m)
+    hits = (_equal_hits(n, m).unionByName(_inside_hits(n, m, 4, "norm", "mnorm")).unionByName(_inside_hits(n, m, 6, "low", "mlow"))
+            .withColumn("share", F.lit(0).cast("long")))
+    if fuzzy:
+        hits = derived_once(hits)
+        hits = hits.unionByName(_similar_hits(n.join(hits.select("name").distinct(), "name", "left_anti"), m))
+    prefix = F.col("tier").isin(4, 5, 6) & F.col("mnorm").startswith(F.col("norm"))
+    return (hits.groupBy("name", "dimension", "member")
+            .agg(F.min(F.struct("tier", "share")).alias("t"), F.min_by(prefix, F.col("tier")).alias("prefix"))
             .select("name", "dimension", "member", "t.tier", "t.share", "prefix"))
 
 

@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from funnelyard.functions.ordinal import ordinal_within
+from funnelyard.session import ensure_checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------
 TEXT_FIELDS = ("owner", "cluster", "lead_type", "main_source", "source", "campus_name", "state",
@@ -27,14 +28,24 @@ NUMBER_FIELDS = ("cy_leads", "cy_registration", "cy_admission", "py_leads", "py_
 
 
 # ---------------------------------------------------------------------- A2
-def stage_records(df: DataFrame, dataset_id: str | Column, order_by: Sequence[str | Column],
+def stage_records(df: DataFrame, dataset_id: str | Column, order_by: Sequence[str | Column] | None = None,
                   payload: Sequence[str] | None = None) -> DataFrame:
     """A2 — one JSON document per row (nulls kept as ``null``), a dense
     1-based ``row_number`` per dataset in ``order_by`` order, status
-    ``pending``.  ``payload`` limits the JSON to some columns (default all)."""
+    ``pending``.  ``payload`` limits the JSON to some columns (default all).
+
+    Without ``order_by`` the rows of one dataset (a literal id) are numbered in the
+    input's own order, as they stand in its partitions: one count per
+    partition, no sort, no shuffle and no checkpoint of the payload.  The input must then be
+    read alike each time: a stored table or a plain scan."""
     ds = F.lit(dataset_id) if isinstance(dataset_id, str) else dataset_id
     cols = list(payload) if payload is not None else df.columns
     raw = F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})
+    if order_by is None:
+        if not isinstance(dataset_id, str):
+            raise ValueError("rows of several datasets need order_by")
+        return number_in_place(df.select(ds.alias("dataset_id"), raw.alias("raw_data"))).select(
+            "dataset_id", "row_number", "raw_data", F.lit("pending").alias("cleaning_status"))
     keys = [F.col(o) if isinstance(o, str) else o for o in order_by]
     staged = df.select(ds.alias("dataset_id"), *[k.alias(f"_o{i}") for i, k in enumerate(keys)],
                        raw.alias("raw_data"))
@@ -43,6 +54,20 @@ def stage_records(df: DataFrame, dataset_id: str | Column, order_by: Sequence[st
                            F.lit("pending").alias("cleaning_status"))
 
 
+def number_in_place(df: DataFrame, name: str = "row_number") -> DataFrame:
+    """Adds dense 1-based numbers in the order of the partitions and the rows in them.
+
+    Positions come from ``monotonically_increasing_id`` (partition in the upper 31 bits, place in the lower 33); the
+    counts of the partitions, one row each, turn into offsets.  Rows never move."""
+    at = F.monotonically_increasing_id()
+    counts = df.select(F.shiftright(at, 33).alias("_p")).groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    starts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = df.select("*", F.shiftright(at, 33).alias("_p"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"))
+    return (placed.join(F.broadcast(starts), "_p")  # one row per partition
+            .withColumn(name, (F.col("_start") + F.col("_i") + 1).cast("long")).drop("_p", "_i", "_start"))
+
+
 # ---------------------------------------------------------------------- A3
 def expand_staged(staged: DataFrame, mapping: Mapping[str, str],
                   keep: Sequence[str] = ("dataset_id", "row_number")) -> DataFrame:
@@ -69,21 +94,21 @@ def parse_number(c: Column) -> Column:
     return F.when(plain, signed.try_cast("long")).otherwise(other.try_cast("long"))
 
 
-def normalise_metrics(staged: DataFrame, mapping: Mapping[str, str],
+def normalise_metrics(staged: DataFrame, mapping: Mapping[str, str | Column],
                       keep: Sequence[str] = ("dataset_id", "row_number")) -> DataFrame:
     """A4 — staged JSON rows -> the metrics schema.
 
-    ``mapping`` is canonical field -> source key.  Text: trimmed, blank ->
+    ``mapping`` is canonical field -> source key, or a column that holds each row's key.  Text: trimmed, blank ->
     null.  Numbers: thousands separators removed, missing -> 0; a value that
     is present but not a number becomes 0 and is listed in ``rejects`` (the
     row is kept and flagged ``rejected``)."""
     m = F.from_json("raw_data", "map<string,string>")
-    texts = [F.nullif(F.trim(m.getItem(mapping[t])), F.lit("")).alias(t) if t in mapping
+    texts = [F.nullif(F.trim(m[mapping[t]]), F.lit("")).alias(t) if t in mapping
              else F.lit(None).cast("string").alias(t) for t in TEXT_FIELDS]
     nums, bad = [], []
     for n in NUMBER_FIELDS:
         if n in mapping:
-            raw = F.nullif(F.trim(m.getItem(mapping[n])), F.lit(""))
+            raw = F.nullif(F.trim(m[mapping[n]]), F.lit(""))
             parsed = parse_number(raw)
             nums.append(F.coalesce(parsed, F.lit(0).cast("long")).alias(n))
             bad.append(F.when(raw.isNotNull() & parsed.isNull(), F.lit(n)))
@@ -133,6 +158,39 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], order_col:
     return g.select(*keys, *outs, src.alias("_source"))
 
 
+def create_stored(df: DataFrame, path: str, keys: Sequence[str], buckets: int = 256) -> None:
+    """A6 — store ``df`` (each key once) for :func:`merge_stored`: Parquet in ``buckets`` partitions by the keys' hash."""
+    df.withColumn("_bucket", _bucket(keys, buckets)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
+
+
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_bucket")
+
+
+def merge_stored(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], order_col: str, buckets: int = 256,
+                 keep_old_if_null: bool = False) -> list[int]:
+    """A6 on a stored table — merge ``updates`` into the table of :func:`create_stored`, rewriting only the partitions
+    that hold an updated key; returns their numbers.
+
+    The updates' buckets (at most ``buckets``) prune the read of the table; the merged rows are stored in the shared
+    checkpoint folder before the partitions are replaced, so a failed merge leaves the table readable, and running it
+    again gives the same table: the last write wins.  One writer at a time."""
+    placed = updates.withColumn("_bucket", _bucket(keys, buckets))
+    touched = sorted(r[0] for r in placed.select("_bucket").distinct().collect())
+    if not touched:
+        return []
+    base = spark.read.parquet(path).where(F.col("_bucket").isin(touched)).drop("_bucket")
+    merged = upsert(base, updates, keys, order_col, keep_old_if_null).drop("_source").withColumn("_bucket", _bucket(keys, buckets))
+    ensure_checkpoint_dir(spark)
+    merged = merged.select(*base.columns, "_bucket").checkpoint(eager=True)
+    (merged.hint("rebalance", "_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path))
+    return touched
+
+
 # ---------------------------------------------------------------------- A7
 def find_duplicates(df: DataFrame, id_col: str, content_col: str, order_col: str) -> DataFrame:
     """A7 — SHA-256 of the whole content per row and, for repeated content,

@@ -56,6 +56,10 @@ def q_catalog(spark, sf_dir):
     return _catalog(spark, sf_dir)
 
 
+def _columns(spark, sf_dir):
+    return Cat.columns_with_values(spark, {t: read_table(spark, sf_dir, t) for t in TABLES})
+
+
 # ---------------------------------------------------------------- C1
 def _rules_sql():
     rows = [(0, i, k, c, conf) for i, (k, c, conf) in enumerate(Cat.EXACT_RULES)]
@@ -83,7 +87,7 @@ from (select table_name, original_column, arg_min(struct_pack(tier := tier, cano
 
 @register("map_columns", with_views("select * from mapped", extra=[_FILLED, _CATALOG, _rules_sql(), _MAPPED]))
 def q_map_columns(spark, sf_dir):
-    return Cat.map_columns(Cat.filled(_catalog(spark, sf_dir)))
+    return Cat.map_columns(_columns(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- C2
@@ -93,7 +97,7 @@ select table_name, canonical_field, arg_min(original_column, (-confidence, origi
   case when arg_min(is_ambiguous, (-confidence, original_column)) then 'ambiguous' else 'resolved' end as status
 from mapped where canonical_field is not null group by 1, 2""", extra=[_FILLED, _CATALOG, _rules_sql(), _MAPPED]))
 def q_resolve_canonical(spark, sf_dir):
-    return Cat.resolve_canonical(Cat.map_columns(Cat.filled(_catalog(spark, sf_dir))))
+    return Cat.resolve_canonical(Cat.map_columns(_columns(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- C5
@@ -209,6 +213,18 @@ def q_validate_relationships(spark, sf_dir):
                                        for pid, lt, lc, rt, rc in _PAIRS])
 
 
+# Pairs of columns whose values have little or nothing in common, beside the true ones.
+_OTHER_PAIRS = [("customer-supplier names", "customer", "c_name", "supplier", "s_name"), ("nation-region names", "nation", "n_name", "region", "r_name"),
+                ("priority-segment", "orders", "o_orderpriority", "customer", "c_mktsegment"), ("lineitem-nation", "lineitem", "l_orderkey", "nation", "n_nationkey")]
+
+
+@register("screen_relationships", "select * from (" + "\nunion all\n".join(_validate_sql(*p) for p in [*_PAIRS, *_OTHER_PAIRS]) + ") v where status <> 'rejected'")
+def q_screen_relationships(spark, sf_dir):
+    """True and unlikely pairs: sketches leave out those that can't be related, the others are matched exactly."""
+    return Cat.screen_relationships([(pid, read_table(spark, sf_dir, lt), lc, read_table(spark, sf_dir, rt), rc)
+                                     for pid, lt, lc, rt, rc in [*_PAIRS, *_OTHER_PAIRS]]).where("status <> 'rejected'")
+
+
 @register("validate_discovered_relationships", f"select left_table, right_table, relationship_key, validation_score, status from ({_LINKS}) l where status = 'verified'")
 def q_validate_discovered(spark, sf_dir):
     """The links that their values verify."""
@@ -230,7 +246,7 @@ def _semantic_catalog(spark, sf_dir):
     tables = {t: read_table(spark, sf_dir, t) for t in TABLES}
     tables.update({"metrics": B.metrics(spark, sf_dir), "dirty_records": B.dirty_records(spark, sf_dir),
                    "turns": B.turns(spark, sf_dir)})
-    return Cat.filled(Cat.catalog_from_tables(spark, tables))
+    return Cat.columns_with_values(spark, tables)
 
 
 def _norm_sql(x):
@@ -357,4 +373,4 @@ select concept_key, table_schema, table_name, column_name, column_role, data_typ
 def q_map_physical(spark, sf_dir):
     views = {"enquiries": B.lead_events(spark, sf_dir), "cucet_registrations": B.registration_events(spark, sf_dir),
              "admissions": B.admission_events(spark, sf_dir), "uploaded_metrics": B.metrics(spark, sf_dir)}
-    return S.map_physical(Cat.filled(Cat.catalog_from_tables(spark, views)))
+    return S.map_physical(Cat.columns_with_values(spark, views))

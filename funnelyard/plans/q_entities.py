@@ -24,9 +24,10 @@ def _names_sql(values):
 
 
 def _facts_sql(ds, dims, measure):
-    return "\nunion all\n".join(
-        f"select '{d}' as dimension, {d} as member, {lsum(measure)} as metric_value from M "
-        f"where dataset_id = '{ds}' and {d} is not null group by 2" for d in dims)
+    """One scan of M: every row is spread over its dimensions."""
+    names, members = ", ".join(f"'{d}'" for d in dims), ", ".join(dims)
+    return (f"select dimension, member, {lsum(measure)} as metric_value from (select unnest([{names}]) as dimension, "
+            f"unnest([{members}]) as member, {measure} from M where dataset_id = '{ds}') u where member is not null group by dimension, member")
 
 
 # ---------------------------------------------------------------- G9
@@ -46,13 +47,14 @@ select position, name, dimension, member, metric_value from pick join facts usin
               "from names n join facts f on lower(f.member) = lower(trim(n.name))"),
         ("mb", "select name, position, dimension, member from (select *, row_number() over "
                "(partition by name, dimension order by tier, member) as rn from mm) x where rn = 1"),
-        ("shared", "select min_by(dimension, p) as d from (select dimension, count(distinct name) as k "
-                   "from mb group by 1) x join pref using (dimension) "
-                   "where k = (select count(distinct name) from names)"),
-        ("pick", "select name, position, dimension, member from (select mb.*, row_number() over "
-                 "(partition by name order by p) as rn from mb join pref using (dimension) "
-                 "where (select d from shared) is null or dimension = (select d from shared)) x where rn = 1"),
-    ], once=("M", "facts", "mb"))
+        ("wanted", "select count(distinct name) as n from names"),
+        ("shared", "select arg_min(x.dimension, pref.p) as d from (select dimension, count(distinct name) as k "
+                   "from mb group by dimension) x join pref on x.dimension = pref.dimension join wanted on x.k = wanted.n"),
+        ("choices", "select mb.name, mb.position, mb.dimension, mb.member, pref.p from mb join pref on mb.dimension = pref.dimension "
+                 "join shared on mb.dimension = coalesce(shared.d, mb.dimension)"),
+        ("pick", "select name, position, dimension, member from (select *, row_number() over "
+                 "(partition by name order by p) as rn from choices) x where rn = 1"),
+    ], once=("M", "facts", "mm", "mb", "shared", "pick"))
 
 
 @register("compare_members_cross_dimension", _g9_sql(_G9_NAMES))

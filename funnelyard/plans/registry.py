@@ -32,4 +32,4 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every query module so its ``@register`` calls run."""
     from funnelyard.plans import (q_audit, q_catalog, q_clean, q_compare, q_drivers,  # noqa: F401
-                                  q_entities, q_funnel, q_ingest, q_metrics, q_periods)
+                                  q_entities, q_funnel, q_ingest, q_loads, q_metrics, q_periods)

@@ -27,11 +27,12 @@ def read_delimited(spark: SparkSession, path: str | list[str], sep: str = ",", e
                    no_line_breaks: bool = False) -> DataFrame:
     """All columns as strings (no schema inference pass over the data).
 
-    Cells may hold quoted line breaks, so a file is read as a whole by one
+    A quote in a quoted cell is doubled.  Cells may hold quoted line breaks, so a file is read as a whole by one
     task.  A caller who knows that there are none states ``no_line_breaks``;
-    large files are then split over many tasks."""
+    large files are then split over many tasks.  :mod:`funnelyard.sources.records` splits files with quoted line
+    breaks as well."""
     df = (spark.read.option("header", "true").option("mode", "PERMISSIVE").option("multiLine", str(not no_line_breaks).lower())
-          .option("sep", sep).option("encoding", encoding).option("inferSchema", "false")
+          .option("sep", sep).option("encoding", encoding).option("inferSchema", "false").option("escape", '"')
           .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
           .csv(path))
     return df.toDF(*clean_header(df.columns))

@@ -136,3 +136,20 @@ def test_the_documented_layout_of_row_ids(spark):
     df = spark.range(0, 50, 1, 4).select("id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
     for p in {r.p for r in df.collect()}:
         assert [r.m for r in df.where(F.col("p") == p).orderBy("id").collect()] == [(p << 33) + i for i in range(sum(r.p == p for r in df.collect()))]
+
+
+def test_sketches_screen_relationships(spark):
+    a, b, c = spark.range(20_000).select(F.col("id").alias("k")), spark.range(10_000, 40_000).select(F.col("id").alias("k")), spark.range(90_000, 99_000).select(F.col("id").alias("k"))
+    pairs = [("ab", a, "k", b, "k"), ("ac", a, "k", c, "k"), ("small", spark.range(50).toDF("k"), "k", spark.range(40).toDF("k"), "k")]
+    est = {r["pair"]: r for r in rows(Cat.estimate_relationships(pairs))}
+    assert abs(est["ab"]["left_distinct"] - 20_000) < 1_000 and abs(est["ab"]["score"] - 0.5) < est["ab"]["score_error"] < 0.2
+    assert est["ac"]["matching_values"] < 100 and (est["small"]["score"], est["small"]["score_error"]) == (1.0, 0.0)
+    kept = {r["pair"]: r["matching_values"] for r in rows(Cat.screen_relationships(pairs))}
+    assert kept == {"ab": 10_000, "small": 40}
+    assert rows(Cat.screen_relationships(pairs[1:2])) == []
+
+
+def test_columns_with_values_needs_no_scan(spark):
+    t = spark.createDataFrame([(i, None, "x" if i == 4_000 else None) for i in range(5_000)], "id long, none string, late string")
+    got = rows(Cat.columns_with_values(spark, {"t": t, "empty": t.limit(0)}))
+    assert [(r["table_name"], r["column_name"], r["position"]) for r in got] == [("t", "id", 1), ("t", "late", 3)]

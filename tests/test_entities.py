@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from conftest import metrics_df, rows
 from funnelyard.operators import compare as C
 from funnelyard.operators import entities as H
@@ -105,3 +107,52 @@ def test_fuzzy_query_matches_brute_force_on_small_fixture(spark):
         if len(best[first]) == 1:
             assert (got[name]["dimension"], got[name]["value"]) == next(iter(best[first]))
     assert 7 in tiers and None in tiers
+
+
+def _edit(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+        last = now
+    return last[-1]
+
+
+def test_a_common_stem_brings_few_candidates(spark):
+    members = [f"Counselor {i:04d}" for i in range(1000)]
+    mem = spark.createDataFrame([("owner", m) for m in members], "dimension string, member string")
+    asked = ["Counsellor 0042", "Counselor 99x7", "Counselor 0123", "unselor 0777", "conselor 0500x"]
+    got = {r["name"]: r for r in rows(H.resolve_members(_names(spark, asked), mem))}
+
+    def norm(x):
+        return "".join(c for c in x.lower() if c.isalnum())
+    for name in asked[:2] + asked[4:]:
+        shares = {m: _edit(norm(name), norm(m)) * 1_000_000 // max(len(norm(name)), len(norm(m))) for m in members}
+        best = min(shares.values())
+        hits = [m for m in members if shares[m] == best]
+        assert (got[name]["tier"], got[name]["candidate_count"]) == (7, len(hits)) and (len(hits) > 1 or got[name]["value"] == hits[0])
+    assert got["Counselor 0123"]["tier"] == 1 and got["unselor 0777"]["value"] == "Counselor 0777"
+    rest = spark.createDataFrame([("Counsellor 0042", norm("Counsellor 0042"))], "name string, norm string")
+    m = mem.select("dimension", "member", H.alnum("member").alias("mnorm"))
+    index = (m.select("*", F.length("mnorm").alias("mlen"), F.explode(F.array(F.lit(2), F.lit(3))).alias("q"))
+             .select("*", F.explode(H._grams(F.col("mnorm"), F.col("q"))).alias("gram")))
+    counts = index.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("members"))
+    assert 1 <= H.similar_candidates(rest, index, counts, 1).count() <= 30
+
+
+def test_similar_members_equal_brute_force(spark):
+    import random
+    rng = random.Random(9)
+    members = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(3, 12))) for _ in range(150)})
+    asked = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(3, 14))) for _ in range(120)})
+    mem = spark.createDataFrame([("owner", m) for m in members], "dimension string, member string")
+    got = {r["name"]: r for r in rows(H.resolve_members(_names(spark, asked), mem))}
+    for name in asked:
+        if any(name in m for m in members):
+            assert got[name]["tier"] < 7
+            continue
+        shares = {m: d * 1_000_000 // max(len(m), len(name)) for m in members if min(len(m), len(name)) >= 4 and (d := _edit(m, name)) * 3 <= max(len(m), len(name))}
+        best = [m for m, s in shares.items() if s == min(shares.values())]
+        assert got[name]["candidate_count"] == len(best), name
+        assert len(best) != 1 or got[name]["value"] == best[0]
