@@ -186,8 +186,7 @@ def _tier_hits(names: DataFrame, members: DataFrame, fuzzy: bool) -> DataFrame:
     n = (names.select("name", strip_ws("name").alias("clean")).filter(F.col("clean") != "").distinct()
          .select("name", "clean", F.lower("clean").alias("low"), alnum("clean").alias("norm")))
     m = members.select("dimension", "member", F.lower("member").alias("mlow"), alnum("member").alias("mnorm"))
-    if fuzzy:
-        n, m = derived_once(n), derived_once(m)
+    n, m = derived_once(n), derived_once(m)  # every tier reads them
     hits = (_equal_hits(n, m).unionByName(_inside_hits(n, m, 4, "norm", "mnorm")).unionByName(_inside_hits(n, m, 6, "low", "mlow"))
             .withColumn("share", F.lit(0).cast("long")))
     if fuzzy:
