@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelyard.llm.common import key128, stage
-from funnelyard.llm.words import LOWER, NON_WORD, chunks, column_bytes, digest_spans, find_words, whole, windows
+from funnelyard.llm.words import LOWER, NON_WORD, chunks, column_bytes, digest_spans, find_words, releasing, whole, windows
 
 #: Bits of the filter of benchmark shingles that goes to every task: 8 MB, whatever the benchmark's size.
 FILTER_BITS = 26
@@ -55,7 +55,7 @@ def item_windows(items: DataFrame, window: int, id_col: str = "item_id", text_co
                                                  names=["item_id", "win", "n"])
 
     ids = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id")
-    return items.select(ids, F.col(text_col).alias("text")).mapInArrow(cut, _WINDOW_ROWS).distinct()
+    return items.select(ids, F.col(text_col).alias("text")).mapInArrow(releasing(cut), _WINDOW_ROWS).distinct()
 
 
 def window_shingles(wins: DataFrame, shingle: int) -> DataFrame:
@@ -76,7 +76,7 @@ def window_shingles(wins: DataFrame, shingle: int) -> DataFrame:
                          pa.array(np.full(len(at), size), pa.int32()), pa.array(h[at].view(np.int64), pa.int64())],
                         names=["win", "n", "at", "size", "h"])
 
-    return wins.select("win", "n").mapInArrow(cut, _SHINGLE_ROWS)
+    return wins.select("win", "n").mapInArrow(releasing(cut), _SHINGLE_ROWS)
 
 
 def _filter(shingles: DataFrame) -> np.ndarray:
@@ -115,7 +115,7 @@ def shingle_hits(docs: DataFrame, passing, sizes: list[int], window: int, id_col
     t1, t2 = key128(F.col(text_col))
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                        t1.alias("t1"), t2.alias("t2"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(scan, _HIT_ROWS)
+    return slim.mapInArrow(releasing(scan), _HIT_ROWS)
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5,

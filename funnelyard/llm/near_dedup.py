@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelyard.llm.common import components, discard, key128, stage
-from funnelyard.llm.words import LOWER, SPACES, chunks, column_bytes, digest_spans, find_words, mix, whole, windows
+from funnelyard.llm.words import LOWER, SPACES, chunks, column_bytes, digest_spans, find_words, mix, releasing, whole, windows
 
 #: Orders of the forest, signature values that start each, and the depths at which regions are formed; the first one
 #: depends on the threshold.
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Dat
 
     t1, t2 = key128(F.col(text_col))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(scan, _SIGNED)
+    return slim.mapInArrow(releasing(scan), _SIGNED)
 
 
 def _region(tree: Column, signature: Column, depth: int) -> Column:
@@ -159,7 +159,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     left = size.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
     right = size.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
     sized = once.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return sized.select("a", "b", "pivot", "sa", "sb").mapInArrow(compare, "a long, b long, pivot boolean")
+    return sized.select("a", "b", "pivot", "sa", "sb").mapInArrow(releasing(compare), "a long, b long, pivot boolean")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -174,7 +174,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int, id_col: str, text
     t1, t2 = key128(F.col(text_col))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), t1.alias("t1"), t2.alias("t2"), F.col(text_col).alias("text"))
     texts = texts.withColumn("rep", F.coalesce("rep", F.lit(_NO_ID)))
-    return texts.join(nodes.select("rep", "t1", "t2", "node"), ["rep", "t1", "t2"]).select("node", "text").mapInArrow(scan, "node long, shingles binary").dropDuplicates(["node"])
+    return texts.join(nodes.select("rep", "t1", "t2", "node"), ["rep", "t1", "t2"]).select("node", "text").mapInArrow(releasing(scan), "node long, shingles binary").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -191,7 +191,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(releasing(compare), "a long, b long")
 
 
 def _linked(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:

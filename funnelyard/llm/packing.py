@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelyard.llm.common import rank_within, stage
-from funnelyard.llm.words import LOWER, chunks, column_bytes, digest_spans
+from funnelyard.llm.words import LOWER, chunks, column_bytes, digest_spans, releasing
 
 #: Distinct units whose token ids a Python worker remembers; the memory is emptied when it is full.
 KNOWN_UNITS = 1_500_000
@@ -161,7 +161,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
 
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).alias("text"))
-    return slim.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return slim.mapInArrow(releasing(cut), PIECES + ", ids binary" * with_ids)
 
 
 class Runs:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelyard.llm.common import key128, stage
-from funnelyard.llm.words import SPACES, byte_set, chunks, column_bytes, covered, digest_spans, find_words, whole, windows
+from funnelyard.llm.words import SPACES, byte_set, chunks, column_bytes, covered, digest_spans, find_words, releasing, whole, windows
 
 #: Fixed values of the base rules: symbol characters `#*$%&|<>`, shortest text, window, percent of repeated words.
 SYMBOLS = byte_set(*[(ord(c), ord(c)) for c in "#*$%&|<>"])
@@ -77,7 +77,7 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     k1, k2 = key128(F.col(lang_col), F.col(source_col), F.col(text_col))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
                        k1.alias("k1"), k2.alias("k2"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(scan, _STATS)
+    return slim.mapInArrow(releasing(scan), _STATS)
 
 
 def vector() -> list[Column]:
