@@ -63,14 +63,16 @@ def _layouts(spark, sf_dir):
 
 
 @register("ingest_layouts_quality", with_views(f"""
-select dataset_id, rows, columns, blank as missing_values, 0::bigint as duplicate_rows, cast(m as double) / 100 as missing_percentage, 0.0::double as duplicate_percentage,
-  cast(10000 - m as double) / 100 as quality_score, rows_with_issues, blank + padded + mail as issues_found, blank as missing_value, padded as whitespace_normalized, mail as invalid_email
-from (select *, (blank * 20000 + rows * columns) // (2 * rows * columns) as m from (select ds as dataset_id, count(*) as rows, max(case when b then 4 else 5 end)::int as columns,
-        count(*) filter (where blank or padded or mail) as rows_with_issues, count(*) filter (where blank) as blank,
-        count(*) filter (where padded) as padded, count(*) filter (where mail) as mail
-      from (select {_DS} as ds, {_LAYOUT_B} as b, trim(segment) = '' as blank, trim(segment) <> '' and trim(segment) <> segment as padded,
-              not ({_LAYOUT_B}) and not regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') as mail from C) x
-      group by ds) y) z""", "C"))
+select dataset_id, n_rows as rows, n_cols as columns, blank as missing_values, 0::bigint as duplicate_rows, cast(m as double) / 100 as missing_percentage,
+  0.0::double as duplicate_percentage, cast(10000 - m as double) / 100 as quality_score, rows_with_issues, blank + padded + mail as issues_found,
+  blank as missing_value, padded as whitespace_normalized, mail as invalid_email
+from (select *, (blank * 20000 + n_rows * n_cols) // (2 * n_rows * n_cols) as m
+      from (select ds as dataset_id, count(*) as n_rows, max(case when b then 4 else 5 end)::int as n_cols,
+              count(*) filter (where is_blank or is_padded or bad_mail) as rows_with_issues, count(*) filter (where is_blank) as blank,
+              count(*) filter (where is_padded) as padded, count(*) filter (where bad_mail) as mail
+            from (select {_DS} as ds, {_LAYOUT_B} as b, trim(segment) = '' as is_blank, trim(segment) <> '' and trim(segment) <> segment as is_padded,
+                    not ({_LAYOUT_B}) and not regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') as bad_mail from C) x
+            group by ds) y) z""", "C"))
 def q_layouts_quality(spark, sf_dir):
     """Quality per dataset of one batch with files of two layouts: each by its own columns; blank cells are read as null."""
     return spark.read.parquet(f"{_layouts(spark, sf_dir)}/reports/quality").withColumn("dataset_id", F.col("dataset_id").cast("string"))
