@@ -174,20 +174,3 @@ def reconcile_load(staged: DataFrame, metrics: DataFrame) -> DataFrame:
         "counts_match", F.col("staged_rows") == F.col("normalised_rows")).withColumn(
         "may_clear", F.col("counts_match") & (F.col("duplicate_keys") == 0))
 
-
-def profile_by(df: DataFrame, group_col: str) -> DataFrame:
-    """B1 per group (e.g. per uploaded dataset): rows, missing cells,
-    duplicate rows, percentages and score — one ``groupBy(group, row
-    digest)`` and one ``groupBy(group)``, both map-side combined."""
-    cols = [c for c in df.columns if c != group_col]
-    ncols = len(cols)
-    missing = sum((F.col(c).isNull().cast("long") for c in cols), F.lit(0).cast("long"))
-    g = df.groupBy(group_col, _row_digest(cols)).agg(F.count(F.lit(1)).alias("_n"), F.sum(missing).alias("_m"))
-    s = g.groupBy(group_col).agg(F.sum("_n").cast("long").alias("rows"),
-                                 F.sum(F.col("_n") - 1).cast("long").alias("duplicate_rows"),
-                                 F.sum("_m").cast("long").alias("missing_values"))
-    m_h = F.coalesce(pct_h("missing_values", F.col("rows") * ncols), F.lit(0).cast("long"))
-    d_h = F.coalesce(pct_h("duplicate_rows", "rows"), F.lit(0).cast("long"))
-    return s.select(group_col, "rows", F.lit(ncols).alias("columns"), "missing_values", "duplicate_rows",
-                    from_h(m_h).alias("missing_percentage"), from_h(d_h).alias("duplicate_percentage"),
-                    from_h(F.greatest(F.lit(0).cast("long"), F.lit(10000) - m_h - d_h)).alias("quality_score"))
