@@ -107,7 +107,8 @@ def cells(record: Column, width: int, sep: str = ",") -> Column:
     schema = ", ".join(f"{n} string" for n in names)
     parsed = F.from_csv(record, F.lit(schema), {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
                                                 "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
-    return F.array(*[parsed.getField(n) for n in names])
+    # the parsed record is bound once: a field taken from the parser itself would parse the record again for each cell
+    return F.transform(F.array(parsed), lambda row: F.array(*[row.getField(n) for n in names]))[0]
 
 
 def cell_count(record: Column, sep: str = ",") -> Column:

@@ -109,10 +109,12 @@ def header_fields(headers: DataFrame, mapping: Mapping[str, str] | None) -> Data
 
 def stage_rows(records: DataFrame, headers: DataFrame, width: int, sep: str = ",") -> DataFrame:
     """Rows ``(dataset_id, file_key, source_file, file_row, raw_data)``; ``file_row`` counts from 1 in file order."""
-    rows = records.where("record_no > 0").join(headers, "source_file")
+    path = F.col("source_file")
+    # what a path says is worked out once for each file, not for each of its rows
+    files = headers.select("source_file", "header", dataset_of(path).alias("dataset_id"), file_key(path).alias("file_key"))
+    rows = records.where("record_no > 0").join(files, "source_file")
     values = F.slice(R.cells(F.col("record"), width, sep), 1, F.size("header"))
-    return rows.select(dataset_of(F.col("source_file")).alias("dataset_id"), file_key(F.col("source_file")).alias("file_key"), "source_file",
-                       F.col("record_no").alias("file_row"),
+    return rows.select("dataset_id", "file_key", "source_file", F.col("record_no").alias("file_row"),
                        F.to_json(F.map_from_arrays("header", values), {"ignoreNullFields": "false"}).alias("raw_data"))
 
 

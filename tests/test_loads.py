@@ -14,7 +14,7 @@ from funnelyard.operators import profiles as P
 from funnelyard.sources import records as R
 from funnelyard.sources.delimited import read_delimited
 from funnelyard.streaming import ledger as L
-from funnelyard.streaming.ingest_stream import ingest_files, ingest_stream, load_progress, read_loaded
+from funnelyard.streaming.ingest_stream import ingest_files, ingest_stream, load_progress, read_loaded, stage_rows
 
 
 def _tmp():
@@ -242,3 +242,15 @@ def test_a_merge_rewrites_the_touched_partitions_only(spark):
     again = A.merge_stored(spark, path, updates, ["id"], "seq", buckets=16, keep_old_if_null=True)
     assert again == touched and {r.id: (r.v, r.w) for r in A.read_stored(spark, path).collect()} == got
     assert A.merge_stored(spark, path, updates.limit(0), ["id"], "seq", buckets=16) == []
+
+
+def test_a_record_is_parsed_once_and_a_path_once_for_each_file(spark):
+    records = spark.createDataFrame([("file:/in/a.csv", n, f'"x,{n}",,z') for n in range(3)] + [("file:/in/a.csv", 3, None)], "source_file string, record_no long, record string")
+    found = records.select(R.cells(F.col("record"), 4).alias("c"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1  # it was one for each cell
+    assert [r.c for r in found.collect()] == [[f"x,{n}", None, "z", None] for n in range(3)] + [[None] * 4]
+    headers = spark.createDataFrame([("file:/in/a.csv", ["p", "q", "r", "s"])], "source_file string, header array<string>")
+    staged = stage_rows(records.where("record_no < 3"), headers, 4)
+    plan = staged._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan[:plan.index("Join")]  # datasets and file keys stand below the join
+    assert {r.raw_data for r in staged.collect()} == {'{"p":"x,%d","q":null,"r":"z","s":null}' % n for n in (1, 2)}
