@@ -84,14 +84,22 @@ def parse_number(c: Column) -> Column:
 
     Plain decimals are rounded by their first fraction digit, at any length;
     other notations (``1e3``) go through the widest decimal."""
-    s = F.regexp_replace(F.trim(c), ",", "")
+    return _number(_bare(c))
+
+
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(F.trim(c), ",", "")
+
+
+def _number(s: Column) -> Column:
     plain = s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$")
     digits = F.regexp_extract(s, "^[+-]?([0-9]*)", 1)
     whole = F.when(digits == "", F.lit("0")).otherwise(digits).try_cast("decimal(38,0)")
     size = F.try_add(whole, (F.regexp_extract(s, r"\.([0-9])", 1) >= "5").cast("decimal(1,0)"))
     signed = F.when(s.startswith("-"), -size).otherwise(size)
     other = F.round(s.try_cast("decimal(38,18)"), 0)
-    return F.when(plain, signed.try_cast("long")).otherwise(other.try_cast("long"))
+    # whole numbers of up to 18 digits always fit a long
+    return F.when(s.rlike("^[+-]?[0-9]{1,18}$"), s.try_cast("long")).when(plain, signed.try_cast("long")).otherwise(other.try_cast("long"))
 
 
 def normalise_metrics(staged: DataFrame, mapping: Mapping[str, str | Column],
@@ -102,20 +110,20 @@ def normalise_metrics(staged: DataFrame, mapping: Mapping[str, str | Column],
     null.  Numbers: thousands separators removed, missing -> 0; a value that
     is present but not a number becomes 0 and is listed in ``rejects`` (the
     row is kept and flagged ``rejected``)."""
-    m = F.from_json("raw_data", "map<string,string>")
-    texts = [F.nullif(F.trim(m[mapping[t]]), F.lit("")).alias(t) if t in mapping
-             else F.lit(None).cast("string").alias(t) for t in TEXT_FIELDS]
-    nums, bad = [], []
-    for n in NUMBER_FIELDS:
-        if n in mapping:
-            raw = F.nullif(F.trim(m[mapping[n]]), F.lit(""))
-            parsed = parse_number(raw)
-            nums.append(F.coalesce(parsed, F.lit(0).cast("long")).alias(n))
-            bad.append(F.when(raw.isNotNull() & parsed.isNull(), F.lit(n)))
-        else:
-            nums.append(F.lit(0).cast("long").alias(n))
+    mapped = [f for f in (*TEXT_FIELDS, *NUMBER_FIELDS) if f in mapping]
+    numbers = [n for n in NUMBER_FIELDS if n in mapping]
+    key = {f: mapping[f] if isinstance(mapping[f], Column) else F.lit(mapping[f]) for f in mapped}
+    # a select for each step: a record is parsed once, not once for each use of its cells
+    parsed = staged.select(*keep, F.from_json("raw_data", "map<string,string>").alias("__cells"), *[key[f].alias(f"__{f}") for f in mapped])
+    trimmed = parsed.select(*keep, *[F.trim(F.col("__cells")[F.col(f"__{f}")]).alias(f"__{f}") for f in mapped])
+    raw = trimmed.select(*keep, *[F.nullif(F.col(f"__{f}"), F.lit("")).alias(f"__{f}") for f in mapped])
+    bare = raw.select("*", *[_bare(F.col(f"__{n}")).alias(f"__b_{n}") for n in numbers])
+    read = bare.select("*", *[_number(F.col(f"__b_{n}")).alias(f"__n_{n}") for n in numbers])
+    texts = [(F.col(f"__{t}") if t in mapping else F.lit(None).cast("string")).alias(t) for t in TEXT_FIELDS]
+    nums = [(F.coalesce(F.col(f"__n_{n}"), F.lit(0).cast("long")) if n in mapping else F.lit(0).cast("long")).alias(n) for n in NUMBER_FIELDS]
+    bad = [F.when(F.col(f"__{n}").isNotNull() & F.col(f"__n_{n}").isNull(), F.lit(n)) for n in numbers]
     rejects = F.filter(F.array(*bad), lambda x: x.isNotNull()) if bad else F.array().cast("array<string>")
-    return staged.select(*keep, *texts, *nums, rejects.alias("rejects")).withColumn(
+    return read.select(*keep, *texts, *nums, rejects.alias("rejects")).withColumn(
         "rejected", F.size("rejects") > 0)
 
 

@@ -25,9 +25,9 @@ FILE = ("dataset_id", "file_key")
 ISSUES = ("missing_value", "whitespace_normalized", "invalid_email")
 
 
-def cell_issues(name: Column, value: Column) -> dict[str, Column]:
-    """The issues of one cell, by the rules of B4."""
-    stripped = strip_ws(value)
+def cell_issues(name: Column, value: Column, stripped: Column | None = None) -> dict[str, Column]:
+    """The issues of one cell, by the rules of B4; ``stripped`` is its value without outer white space, if known."""
+    stripped = strip_ws(value) if stripped is None else stripped
     missing = value.isNull() | (stripped == "")
     return {"missing_value": missing, "whitespace_normalized": ~missing & (stripped != value),
             "invalid_email": ~missing & F.lower(name).contains("email") & ~stripped.rlike(EMAIL_PATTERN)}
@@ -44,9 +44,10 @@ def _n(condition: Column) -> Column:
 def file_summaries(staged: DataFrame) -> DataFrame:
     """``files``: one row per file of ``staged`` (dataset_id, file_key, raw_data), in one pass."""
     def count(kind: str) -> Column:
-        return F.size(F.filter("cells", lambda c: F.coalesce(cell_issues(c["key"], c["value"])[kind], F.lit(False)))).cast("long")
+        return F.size(F.filter("cells", lambda c: F.coalesce(cell_issues(c["key"], c["value"], c["stripped"])[kind], F.lit(False)))).cast("long")
 
-    e = _entries(FILE, staged).select(*FILE, F.size("cells").cast("long").alias("cells"),
+    stripped = F.transform("cells", lambda c: F.struct(c["key"].alias("key"), c["value"].alias("value"), strip_ws(c["value"]).alias("stripped")))
+    e = _entries(FILE, staged).select(*FILE, stripped.alias("cells")).select(*FILE, F.size("cells").cast("long").alias("cells"),
                                       F.size(F.filter("cells", lambda c: c["value"].isNull())).cast("long").alias("nulls"),
                                       *[count(k).alias(k) for k in ISSUES])
     total = F.col(ISSUES[0]) + F.col(ISSUES[1]) + F.col(ISSUES[2])

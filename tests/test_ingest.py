@@ -38,6 +38,14 @@ def test_stage_and_normalise_with_rejects(spark):
                                                                          (0, "Web", False)]
 
 
+def test_normalising_parses_each_record_once(spark):
+    st = spark.createDataFrame([("d", 1, '{"o": " a ", "n": "1,234.5", "m": "x"}'), ("d", 2, '{"o": " "}'), ("d", 3, None)], "dataset_id string, row_number long, raw_data string")
+    n = A.normalise_metrics(st, {"owner": "o", "source": "o", "cy_leads": "n", "py_leads": "m", "cy_admission": F.lit("n")})
+    assert n._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1  # it was one for each use of a cell
+    assert [(r.owner, r.source, r.cy_leads, r.py_leads, r.cy_admission, r.rejects) for r in n.orderBy("row_number").collect()] == [
+        ("a", "a", 1235, 0, 1235, ["py_leads"]), (None, None, 0, 0, 0, []), (None, None, 0, 0, 0, [])]
+
+
 def test_reconcile_load(spark):
     st = A.stage_records(spark.range(100).select(F.col("id").cast("string").alias("v")), "ds", ["v"])
     norm = A.normalise_metrics(st, {"cy_leads": "v"})
