@@ -125,7 +125,7 @@ def forest_pairs(nodes: DataFrame, leaf: int, percent: int) -> tuple[DataFrame,
                  .where("n > 1").select("region", "n", F.col("first.node").alias("first")))
         sizes = stage(sizes, "regions")
         placed = stage(rows.join(sizes, "region"), "forest")
-        discard(sizes)
+        discard(sizes, *([deeper] if i == 1 else []))
         used.append(placed)
         own = placed.where("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"), F.lit(True).alias("pivot"))
         # a leaf region has `leaf` members at most
@@ -137,8 +137,12 @@ def forest_pairs(nodes: DataFrame, leaf: int, percent: int) -> tuple[DataFrame,
             whole_regions = stage(crowded.select("node", "tree", "region"), "crowded")
         if i + 1 == len(depths) or crowded.isEmpty():
             break
-        rows = (crowded.select("node", "rep", "tree").join(nodes.select("node", "signature"), "node")
-                .select("node", "rep", "tree", _region(F.col("tree"), F.col("signature"), depths[i + 1]).alias("region")))
+        later = [f"r{k}" for k in range(i, len(DEPTHS))]
+        if i == 0:  # the signatures are met once: what is followed carries its regions of all greater depths
+            deeper = (crowded.select("node", "rep", "tree").join(nodes.select("node", "signature"), "node")
+                      .select("node", "rep", "tree", *[_region(F.col("tree"), F.col("signature"), d).alias(r) for r, d in zip(later, DEPTHS)]))
+            crowded = deeper = stage(deeper, "deeper")
+        rows = crowded.select("node", "rep", "tree", F.col(later[0]).alias("region"), *later[1:])
     return pairs, whole_regions, used
 
 

@@ -97,3 +97,13 @@ def test_a_star_whose_centre_is_not_the_least_id(spark, variants):
                 text[20 + 70 * k + rng.randrange(60)] = f"e{rng.randrange(10**9)}"
             rows.append((i, " ".join(text)))
     assert {r[2] for r in result(made(spark, rows))} == {0}
+
+
+def test_the_deeper_levels_of_the_forest_dont_meet_the_signatures_again(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    docs = made(spark, [(i, edited(rng, base, 1)) for i in range(40)])
+    signed = N.signatures(docs, 5, "doc_id", "text")
+    nodes = N.stage(signed.selectExpr("doc_id as node", "doc_id as rep", "signature"), "nodes")
+    _, _, used = N.forest_pairs(nodes, 3, 85)
+    assert len(used) > 2 and {f"r{k}" for k in range(1, len(N.DEPTHS))} <= set(used[1].columns)  # regions of the levels below come along
