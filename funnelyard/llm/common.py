@@ -97,26 +97,30 @@ def rank_within(df: DataFrame, groups: list[str], order: list[str], n_groups: in
             .select(*[F.col(c) for c in df.columns], (F.col("__start") + F.col("__i")).cast("long").alias(out)))
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Count and order-free digest of the edges, to see whether a round changed them."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """Count of the distinct edges (a > b), and of the nodes that keep them from being stars around their least nodes: those
+    with two lesser neighbours, or with lesser and greater ones."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("less"), F.lit(0).alias("more")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("less").alias("less"), F.max("more").alias("more"))
+    counts = nodes.agg(F.sum("less").alias("edges"), F.count_if((F.col("less") > 1) | ((F.col("less") > 0) & (F.col("more") > 0))).alias("loose"))
+    return tuple(counts.select(F.coalesce("edges", F.lit(0)), "loose").first())
 
 
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of undirected `edges` (a long, b long): rows (node, root), root the least node.
 
-    Alternates the large-star and small-star steps until a round changes nothing; every round is one pair of shuffles
-    over the current edges and is written to the shared folder, and the tables of the round before are removed; the
-    least neighbours are stored before they are joined back, so that a node with very many edges can be split. Links
-    never reach the driver, only their count and digest do. Nodes without an edge are not returned. The result is a
-    stored table.
+    Alternates the large-star and small-star steps until the edges are stars around their least nodes, which a further
+    round would leave as they are; edges that are stars from the start need none. Every round is written to the shared
+    folder, and the tables of the round before are removed; the least neighbours are stored before they are joined back,
+    so that a node with very many edges can be split. Links never reach the driver, only two counts do. Nodes without an
+    edge are not returned. The result is a stored table.
     """
     e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
               f"{label}-edges")
-    now, seen = _state(e), None
-    while now != seen:
+    edges_now, loose = _state(e)
+    while loose:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        most = 2 * now[0]  # a step makes no more than two edges of one
+        most = 2 * edges_now  # a step makes no more than two edges of one
         low = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{label}-low", most)
         large = stage(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                       .where("a <> b").distinct(), f"{label}-large", most)
@@ -127,9 +131,9 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
                  .select("s.a", "s.b").where("a <> b").distinct())
         new = stage(small, f"{label}-round", most)
         discard(e, low, large, low2)
-        seen, now = now, _state(new)
         e = new
+        edges_now, loose = _state(e)
     found = stage(e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-        e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), f"{label}-roots", 2 * now[0])
+        e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), f"{label}-roots", 2 * edges_now)
     discard(e)
     return found
