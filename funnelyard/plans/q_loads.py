@@ -9,6 +9,7 @@ from funnelyard.plans.oracle_views import with_views
 from funnelyard.plans.q_ingest import _DS, _MAP, _li, _num, _scratch, _upsert_sql
 from funnelyard.plans.registry import register
 from funnelyard.plans.sqlfrag import lsum
+from funnelyard.session import setting
 from funnelyard.sources import bindings as B
 from funnelyard.sources.tables import read_table
 
@@ -25,21 +26,30 @@ def _once(spark, sf_dir, name, make):
     return _DONE[key]
 
 
-def _write_csv(df, path):
-    df.write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").option("escape", '"').csv(path)
+def _write_parts(df, order, path):
+    """One folder of CSV parts without header for each value of ``upload``, sorted by many tasks: the rows of a part, and the
+    parts by their names, stand in the given order."""
+    (df.orderBy("upload", *order).write.partitionBy("upload").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+     .option("escape", '"').csv(path))
 
 
-def _place(spark, folder, name, copy_of=None):
-    """Give the one part file of a written folder (or a copy of a placed file) a name; returns its path."""
+def _place(spark, name, columns=(), parts=None, copy_of=None):
+    """Make a file from a header and a folder's parts (or from a placed file); returns its path.  Bytes go from file to file."""
     jvm = spark.sparkContext._jvm
     path, conf = jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
     to = path(name)
     fs = to.getFileSystem(conf)
-    fs.mkdirs(to.getParent())
-    if copy_of:
-        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, path(copy_of), fs, to, False, conf)
-    else:
-        fs.rename(fs.globStatus(path(f"{folder}/part-*"))[0].getPath(), to)
+    found = [path(copy_of)] if copy_of else sorted((s.getPath() for s in fs.globStatus(path(f"{parts}/part-*")) or ()), key=lambda p: p.getName())
+    out = fs.create(to)
+    try:
+        if columns:
+            out.write(bytearray((",".join(columns) + "\n").encode()))
+        for part in found:
+            part = fs.open(part)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            part.close()
+    finally:
+        out.close()
     return name
 
 
@@ -99,24 +109,28 @@ def _uploads(spark, sf_dir):
     from funnelyard.streaming.ingest_stream import ingest_stream
 
     def make(root):
-        grain = _GRAIN.split(", ")
-        m = (B.metrics(spark, sf_dir).groupBy("dataset_id", *grain)
-             .agg(*[F.sum(c).alias(c) for c in ("cy_leads", "cy_admission", "py_leads", "py_admission")]).checkpoint())
-
-        def upload(df, name):
-            _write_csv(df.drop("dataset_id").coalesce(1).sortWithinPartitions(*grain), f"{root}/made/{name}")
-            return _place(spark, f"{root}/made/{name}", f"{root}/in/{name}.csv")
+        grain, sums = _GRAIN.split(", "), ["cy_leads", "cy_admission", "py_leads", "py_admission"]
+        m = B.metrics(spark, sf_dir).where(F.col("dataset_id").isin(*_SESSIONS)).groupBy("dataset_id", *grain).agg(*[F.sum(c).alias(c) for c in sums])
+        with setting(spark, "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m"):  # dimension tables needn't be sorted
+            m.write.parquet(f"{root}/made/rows")
+        m = spark.read.parquet(f"{root}/made/rows")
+        of = F.col("dataset_id")
+        name = F.create_map(*[F.lit(x) for ds, label in _SESSIONS.items() for x in (ds, f"Admissions_{label}")])[of]
+        again = [F.when((of == "ds2022") & (F.col(c) > 0), F.lit(x)) for c, x in (("cy_leads", "Revised_2021-22"), ("py_leads", "Moved_2020-21"))]
+        _write_parts(m.select(*grain, *sums, F.explode(F.array_compact(F.array(name, *again))).alias("upload")), grain, f"{root}/made/parts")
+
+        def upload(name):
+            return _place(spark, f"{root}/in/{name}.csv", (*grain, *sums), f"{root}/made/parts/upload={name}")
 
         def run(checkpoint):
-            ingest_stream(spark, f"{root}/in", f"{root}/out", f"{root}/{checkpoint}", {c: c for c in (*grain, "cy_leads", "cy_admission", "py_leads", "py_admission")}).awaitTermination()
+            ingest_stream(spark, f"{root}/in", f"{root}/out", f"{root}/{checkpoint}", {c: c for c in (*grain, *sums)}).awaitTermination()
 
-        placed = [upload(m.where(F.col("dataset_id") == ds), f"Admissions_{label}") for ds, label in _SESSIONS.items()]
+        placed = [upload(f"Admissions_{label}") for label in _SESSIONS.values()]
         run("first")
         for path, label in zip(placed, _SESSIONS.values()):
-            _place(spark, None, f"{root}/in/again/Copy_{label}.csv", copy_of=path)
-        of_2022 = m.where(F.col("dataset_id") == "ds2022")
-        upload(of_2022.where("cy_leads > 0"), "Revised_2021-22")
-        upload(of_2022.where("py_leads > 0"), "Moved_2020-21")
+            _place(spark, f"{root}/in/again/Copy_{label}.csv", copy_of=path)
+        upload("Revised_2021-22")
+        upload("Moved_2020-21")
         run("first")
         run("second")
     return _once(spark, sf_dir, "uploads", make) + "/out"

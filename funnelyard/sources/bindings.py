@@ -40,8 +40,11 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finished = F.col("l_linestatus") == "F"
+    # the year and the flags go through the joins, not what they are made from
     li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag", "l_shipdate")
+        "l_orderkey", "l_partkey", "l_suppkey", (F.year("l_shipdate") + YEAR_SHIFT).alias("yr"),
+        finished.cast("int").alias("registration"), (finished & (F.col("l_returnflag") == "R")).cast("int").alias("admission"))
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -54,9 +57,8 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = (li.join(oc, li.l_orderkey == oc.o_orderkey)
          .join(part, F.col("l_partkey") == F.col("p_partkey"))
          .join(supp, F.col("l_suppkey") == F.col("s_suppkey")))
-    finished = F.col("l_linestatus") == "F"
     return j.select(
-        (F.year("l_shipdate") + YEAR_SHIFT).alias("yr"),
+        "yr",
         F.col("o_orderstatus").alias("lead_type"),
         F.col("o_orderpriority").alias("main_source"),
         F.col("c_mktsegment").alias("source"),
@@ -65,9 +67,7 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("program_name"),
         F.col("p_type").alias("cluster"),
         F.col("s_name").alias("owner"),
-        F.lit(1).alias("leads"),
-        finished.cast("int").alias("registration"),
-        (finished & (F.col("l_returnflag") == "R")).cast("int").alias("admission"),
+        F.lit(1).alias("leads"), "registration", "admission",
     )
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from funnelyard.operators import clean as Cl
 from funnelyard.operators import ingest as A
 from funnelyard.operators import profiles as P
+from funnelyard.plans import q_loads
+from funnelyard.session import setting
 from funnelyard.sources import records as R
 from funnelyard.sources.delimited import read_delimited
 from funnelyard.streaming import ledger as L
@@ -213,6 +215,26 @@ def test_merged_profiles_equal_a_full_recompute(spark):
     assert all(merged[c] == cleaned[c] for c in ("issues_found", "rows_with_issues", "missing_value", "whitespace_normalized", "invalid_email"))
 
 
+# ---------------------------------------------------------------- uploads of the queries
+def test_uploads_are_sorted_by_many_tasks_and_joined_to_one_file(spark):
+    root = _tmp()
+    made = [("one" if i % 3 else "two", f"k{i:04d}", v) for i in range(2000) for v in [(None, "", 'a "b", c', "two\nlines")[i % 4]]]
+    df = spark.createDataFrame(made, "upload string, k string, v string").repartition(3)
+    with setting(spark, "spark.sql.adaptive.enabled", "false"):
+        q_loads._write_parts(df, ["k"], f"{root}/parts")
+    for name in ("one", "two", "none"):
+        parts = f"{root}/parts/upload={name}"
+        path = q_loads._place(spark, f"{root}/in/{name}.csv", ("k", "v"), parts)
+        with open(path, newline="") as f:
+            got = list(csv.reader(f))
+        assert got == [["k", "v"], *sorted([k, v or ""] for u, k, v in made if u == name)]
+        if name != "none":
+            assert len([n for n in os.listdir(parts) if n.startswith("part-")]) > 1
+    copy = q_loads._place(spark, f"{root}/in/copy.csv", copy_of=f"{root}/in/one.csv")
+    with open(copy, "rb") as a, open(f"{root}/in/one.csv", "rb") as b:
+        assert a.read() == b.read()
+
+
 # ---------------------------------------------------------------- A2, A6
 def test_numbers_in_the_inputs_own_order(spark):
     path = f"{_tmp()}/t"
