@@ -24,6 +24,7 @@ TEXT_FIELDS = ("owner", "cluster", "lead_type", "main_source", "source", "campus
                "program_name")
 NUMBER_FIELDS = ("cy_leads", "cy_registration", "cy_admission", "py_leads", "py_registration",
                  "py_admission")
+_WHOLE = "^[+-]?[0-9]{1,18}$"
 # ---------------------------------------------------------------------------
 
 
@@ -77,6 +78,11 @@ def expand_staged(staged: DataFrame, mapping: Mapping[str, str],
     return staged.select(*keep, *[m.getItem(k).alias(t) for t, k in mapping.items()])
 
 
+def cells_of(staged: DataFrame) -> Column:
+    """The cells of staged rows by their column's name, read from ``raw_data``; rows without it carry them as ``cells``."""
+    return F.from_json("raw_data", "map<string,string>") if "raw_data" in staged.columns else F.col("cells")
+
+
 # ---------------------------------------------------------------------- A4
 def parse_number(c: Column) -> Column:
     """``"1,234"`` -> 1234, fractions rounded once, half away from zero; null
@@ -88,7 +94,13 @@ def parse_number(c: Column) -> Column:
 
 
 def _bare(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c), ",", "")
+    return F.replace(F.trim(c), F.lit(","), F.lit(""))
+
+
+def _cell_number(s: Column) -> Column:
+    """As :func:`_number`, for many columns of a row: whole numbers of up to 18 digits, which always fit a long, are read by the row's
+    own code; the other rules are called where they are needed, since code that holds them for each column is too long for the JVM to compile."""
+    return F.when(s.rlike(_WHOLE), s.try_cast("long")).when(s.isNotNull(), F.transform(F.array(s), _number)[0])
 
 
 def _number(s: Column) -> Column:
@@ -99,7 +111,7 @@ def _number(s: Column) -> Column:
     signed = F.when(s.startswith("-"), -size).otherwise(size)
     other = F.round(s.try_cast("decimal(38,18)"), 0)
     # whole numbers of up to 18 digits always fit a long
-    return F.when(s.rlike("^[+-]?[0-9]{1,18}$"), s.try_cast("long")).when(plain, signed.try_cast("long")).otherwise(other.try_cast("long"))
+    return F.when(s.rlike(_WHOLE), s.try_cast("long")).when(plain, signed.try_cast("long")).otherwise(other.try_cast("long"))
 
 
 def normalise_metrics(staged: DataFrame, mapping: Mapping[str, str | Column],
@@ -114,11 +126,11 @@ def normalise_metrics(staged: DataFrame, mapping: Mapping[str, str | Column],
     numbers = [n for n in NUMBER_FIELDS if n in mapping]
     key = {f: mapping[f] if isinstance(mapping[f], Column) else F.lit(mapping[f]) for f in mapped}
     # a select for each step: a record is parsed once, not once for each use of its cells
-    parsed = staged.select(*keep, F.from_json("raw_data", "map<string,string>").alias("__cells"), *[key[f].alias(f"__{f}") for f in mapped])
+    parsed = staged.select(*keep, cells_of(staged).alias("__cells"), *[key[f].alias(f"__{f}") for f in mapped])
     trimmed = parsed.select(*keep, *[F.trim(F.col("__cells")[F.col(f"__{f}")]).alias(f"__{f}") for f in mapped])
     raw = trimmed.select(*keep, *[F.nullif(F.col(f"__{f}"), F.lit("")).alias(f"__{f}") for f in mapped])
     bare = raw.select("*", *[_bare(F.col(f"__{n}")).alias(f"__b_{n}") for n in numbers])
-    read = bare.select("*", *[_number(F.col(f"__b_{n}")).alias(f"__n_{n}") for n in numbers])
+    read = bare.select("*", *[_cell_number(F.col(f"__b_{n}")).alias(f"__n_{n}") for n in numbers])
     texts = [(F.col(f"__{t}") if t in mapping else F.lit(None).cast("string")).alias(t) for t in TEXT_FIELDS]
     nums = [(F.coalesce(F.col(f"__n_{n}"), F.lit(0).cast("long")) if n in mapping else F.lit(0).cast("long")).alias(n) for n in NUMBER_FIELDS]
     bad = [F.when(F.col(f"__{n}").isNotNull() & F.col(f"__n_{n}").isNull(), F.lit(n)) for n in numbers]

@@ -12,17 +12,18 @@ by ``(dataset_id, file_key)``, and a dataset's report reads these tables only, n
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelyard.functions.core import from_h, pct_h, strip_ws
 from funnelyard.operators.clean import EMAIL_PATTERN
+from funnelyard.operators.ingest import cells_of
 from funnelyard.operators.periods import HEADER_YEAR, detect_from_signals
 
 FILE = ("dataset_id", "file_key")
 ISSUES = ("missing_value", "whitespace_normalized", "invalid_email")
+#: Characters at a value's end that the pattern of ``strip_ws`` looks at: white space, and line ends that it may stand before.
+_LAST = (" ", "\t", "\n", "\v", "\f", "\r", "\x85", "\u2028", "\u2029")
 
 
 def cell_issues(name: Column, value: Column, stripped: Column | None = None) -> dict[str, Column]:
@@ -33,49 +34,62 @@ def cell_issues(name: Column, value: Column, stripped: Column | None = None) ->
             "invalid_email": ~missing & F.lower(name).contains("email") & ~stripped.rlike(EMAIL_PATTERN)}
 
 
-def _entries(keep: Sequence[str], staged: DataFrame) -> DataFrame:
-    return staged.select(*keep, F.map_entries(F.from_json("raw_data", "map<string,string>")).alias("cells"))
-
-
 def _n(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("long")
 
 
-def file_summaries(staged: DataFrame) -> DataFrame:
-    """``files``: one row per file of ``staged`` (dataset_id, file_key, raw_data), in one pass."""
-    def count(kind: str) -> Column:
-        return F.size(F.filter("cells", lambda c: F.coalesce(cell_issues(c["key"], c["value"], c["stripped"])[kind], F.lit(False)))).cast("long")
-
-    stripped = F.transform("cells", lambda c: F.struct(c["key"].alias("key"), c["value"].alias("value"), strip_ws(c["value"]).alias("stripped")))
-    e = _entries(FILE, staged).select(*FILE, stripped.alias("cells")).select(*FILE, F.size("cells").cast("long").alias("cells"),
-                                      F.size(F.filter("cells", lambda c: c["value"].isNull())).cast("long").alias("nulls"),
-                                      *[count(k).alias(k) for k in ISSUES])
-    total = F.col(ISSUES[0]) + F.col(ISSUES[1]) + F.col(ISSUES[2])
-    return e.groupBy(*FILE).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("cells").alias("cells"), F.sum("nulls").alias("nulls"),
-        F.sum((total > 0).cast("long")).alias("rows_with_issues"), *[F.sum(k).alias(k) for k in ISSUES])
+def _is_bare(value: Column) -> Column:
+    """True for values that neither are blank nor have white space at an end, told by their first and last bytes; where it
+    isn't true, :func:`strip_ws` has to look."""
+    bare = value >= F.lit("!")  # white space and the empty string are less
+    for c in _LAST:
+        bare = bare & ~F.endswith(value, F.lit(c))
+    return F.coalesce(bare, F.lit(False))
 
 
 def column_summaries(staged: DataFrame) -> DataFrame:
-    """``columns``: one row per file and column."""
-    e = _entries(FILE, staged).select(*FILE, F.explode("cells").alias("c")).select(*FILE, F.col("c.key").alias("column"), F.col("c.value").alias("value"))
-    kinds = cell_issues(F.col("column"), F.col("value"))
+    """``columns``: one row per file and column of ``staged`` (dataset_id, file_key, raw_data or cells)."""
+    e = staged.select(*FILE, F.explode(cells_of(staged)).alias("column", "value"))
+    e = e.select("*", F.when(_is_bare(F.col("value")), F.col("value")).otherwise(strip_ws("value")).alias("stripped"))
+    kinds = cell_issues(F.col("column"), F.col("value"), F.col("stripped"))
     return e.groupBy(*FILE, "column").agg(
         F.count(F.lit(1)).alias("cells"), F.sum(_n(F.col("value").isNull())).alias("nulls"), *[F.sum(_n(kinds[k])).alias(k) for k in ISSUES],
         F.hll_sketch_agg(F.coalesce("value", F.lit("")), 12).alias("sketch"))
 
 
+def file_summaries(staged: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """``files``: one row per file of ``staged``.  ``columns`` are its :func:`column_summaries`, if they are stored: cells and
+    issues add up from them, and only rows are counted here."""
+    columns = column_summaries(staged) if columns is None else columns
+
+    def off(value: Column) -> Column:  # missing, or with white space at an end
+        return F.when(_is_bare(value), F.lit(False)).otherwise(value.isNull() | (value == "") | (strip_ws(value) != value))
+
+    def mail(c: Column) -> Column:
+        return F.coalesce(cell_issues(c["key"], c["value"])["invalid_email"], F.lit(False))
+
+    rows = staged.select(*FILE, cells_of(staged).alias("cells"))
+    may_mail = F.lower(F.array_join(F.map_keys("cells"), "\n")).contains("email")
+    bad = F.exists(F.map_values("cells"), off) | F.when(may_mail, F.exists(F.map_entries("cells"), mail)).otherwise(F.lit(False))
+    counted = rows.select(*FILE, bad.alias("bad")).groupBy(*FILE).agg(F.count(F.lit(1)).alias("rows"), F.count_if("bad").alias("rows_with_issues"))
+    sums = columns.groupBy(*FILE).agg(*[F.sum(c).alias(c) for c in ("cells", "nulls", *ISSUES)])
+    return counted.join(sums, list(FILE), "left").select(*FILE, "rows", "cells", "nulls", "rows_with_issues", *ISSUES)
+
+
 def digest_counts(staged: DataFrame) -> DataFrame:
     """``digests``: one row per file and distinct row; equal rows have equal cells by name."""
-    cells = F.array_sort(F.map_entries(F.from_json("raw_data", "map<string,string>")))
+    cells = F.sort_array(F.map_entries(cells_of(staged)))
     digest = F.unhex(F.substring(F.sha2(F.to_json(cells, {"ignoreNullFields": "false"}), 256), 1, 32))
     return staged.groupBy(*FILE, digest.alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def year_counts(staged: DataFrame) -> DataFrame:
     """``years``: one row per file and year that stands in its values."""
-    e = _entries(FILE, staged).select(*FILE, F.explode("cells").alias("c"))
-    found = e.select(*FILE, F.regexp_extract("c.value", HEADER_YEAR, 1).alias("y")).where("y <> ''")
+    # most rows have no year: their values are looked through at once, not one by one
+    rows = staged.select(*FILE, cells_of(staged).alias("cells")).select("*", F.array_join(F.map_values("cells"), "\n").alias("all"))
+    some = rows.where(F.contains("all", F.lit("20")) & F.col("all").rlike(HEADER_YEAR))
+    e = some.select(*FILE, F.explode("cells").alias("column", "value"))
+    found = e.select(*FILE, F.regexp_extract("value", HEADER_YEAR, 1).alias("y")).where("y <> ''")
     return found.groupBy(*FILE, F.col("y").cast("int").alias("yr")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -31,11 +31,11 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _is_blank(line: Column) -> Column:
-    return F.rtrim(F.ltrim(F.regexp_replace(line, "[\t\r]", ""))) == ""
+    return F.ltrim(line, F.lit(" \t\r")) == ""  # looks no further than the first other character
 
 
 def _is_odd(line: Column) -> Column:
-    return F.pmod(F.regexp_count(line, F.lit('"')), F.lit(2)) == 1
+    return F.pmod(F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit(""))), F.lit(2)) == 1
 
 
 def split_table(lines: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def split_table(lines: DataFrame) -> DataFrame:
 def number_lines(lines: DataFrame, splits: DataFrame) -> DataFrame:
     """Adds ``line_no``, from 0 along the file."""
     slim = splits.select("source_file", "split", "first_pos", "lines_before")
-    return lines.join(slim, ["source_file", "split"]).withColumn(
+    return lines.join(F.broadcast(slim), ["source_file", "split"]).withColumn(  # a row per split
         "line_no", (F.col("lines_before") + F.col("pos") - F.col("first_pos")).cast("long")).drop("first_pos", "lines_before")
 
 
@@ -76,21 +76,24 @@ def file_digests(numbered: DataFrame) -> DataFrame:
 
 def join_records(lines: DataFrame, splits: DataFrame) -> DataFrame:
     """(source_file, record_no, record): the records of each file, numbered from 0 (the header), line breaks kept."""
-    flagged = lines.join(splits.select("source_file", "split", "first_pos", "texts_before", "parity", "broken", "looked_at"), ["source_file", "split"])
-    plain = flagged.where("not looked_at").select(
+    def of(which: str) -> DataFrame:  # a row per split; if there is none, the lines aren't read
+        some = splits.where(which).select("source_file", "split", "first_pos", "texts_before", "parity", "broken")
+        return lines.join(F.broadcast(some), ["source_file", "split"])
+
+    plain = of("not looked_at").select(
         "source_file", (F.col("texts_before") + F.col("pos") - F.col("first_pos")).cast("long").alias("record_no"), F.col("line").alias("record"))
 
     inside = Window.partitionBy("source_file", "split").orderBy("pos")
     so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
     odd = _is_odd(F.col("line")).cast("int")
-    other = flagged.where("looked_at").select("source_file", "split", "pos", "line", "parity", "broken", "texts_before", odd.alias("odd"))
+    other = of("looked_at").select("source_file", "split", "pos", "line", "parity", "broken", "texts_before", odd.alias("odd"))
     other = other.withColumn("open", F.pmod(F.col("parity") + F.coalesce(F.sum("odd").over(so_far), F.lit(0)), F.lit(2)) == 1)
     other = other.where(F.col("open") | ~_is_blank(F.col("line"))).withColumn("starts", (~F.col("open")).cast("int"))
     other = other.withColumn("nth", F.sum("starts").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     starts = other.groupBy("source_file", "split").agg(F.sum("starts").alias("n"))
     before = Window.partitionBy("source_file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
     starts = starts.select("source_file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("records_before"))
-    numbered = other.join(starts, ["source_file", "split"]).select(
+    numbered = other.join(F.broadcast(starts), ["source_file", "split"]).select(
         "source_file", "split", "pos", "line",
         (F.when(F.col("broken"), F.col("records_before")).otherwise(F.col("texts_before")) + F.col("nth") - 1).cast("long").alias("record_no"),
         (F.col("open") | (F.col("odd") == 1)).alias("part"))
@@ -98,7 +101,7 @@ def join_records(lines: DataFrame, splits: DataFrame) -> DataFrame:
     spanning = (numbered.where("part").groupBy("source_file", "record_no").agg(F.array_sort(F.collect_list(F.struct("split", "pos", "line"))).alias("x"))
                 .select("source_file", "record_no", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("record")))
     records = plain.unionByName(single).unionByName(spanning)
-    return records.withColumn("record", F.regexp_replace("record", "\r$", ""))
+    return records.withColumn("record", F.when(F.contains("record", F.lit("\r")), F.regexp_replace("record", "\r$", "")).otherwise(F.col("record")))
 
 
 def cells(record: Column, width: int, sep: str = ",") -> Column:

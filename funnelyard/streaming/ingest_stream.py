@@ -109,13 +109,22 @@ def header_fields(headers: DataFrame, mapping: Mapping[str, str] | None) -> Data
 
 def stage_rows(records: DataFrame, headers: DataFrame, width: int, sep: str = ",") -> DataFrame:
     """Rows ``(dataset_id, file_key, source_file, file_row, raw_data)``; ``file_row`` counts from 1 in file order."""
+    return as_documents(cell_rows(records, headers, width, sep))
+
+
+def as_documents(rows: DataFrame) -> DataFrame:
+    """The rows of :func:`cell_rows` with their cells as a JSON document."""
+    return rows.select("dataset_id", "file_key", "source_file", "file_row", F.to_json("cells", {"ignoreNullFields": "false"}).alias("raw_data"))
+
+
+def cell_rows(records: DataFrame, headers: DataFrame, width: int, sep: str = ",") -> DataFrame:
+    """Rows ``(dataset_id, file_key, source_file, file_row, cells)``: the cells by their column's name."""
     path = F.col("source_file")
     # what a path says is worked out once for each file, not for each of its rows
     files = headers.select("source_file", "header", dataset_of(path).alias("dataset_id"), file_key(path).alias("file_key"))
-    rows = records.where("record_no > 0").join(files, "source_file")
+    rows = records.where("record_no > 0").join(F.broadcast(files), "source_file")  # a row per file
     values = F.slice(R.cells(F.col("record"), width, sep), 1, F.size("header"))
-    return rows.select("dataset_id", "file_key", "source_file", F.col("record_no").alias("file_row"),
-                       F.to_json(F.map_from_arrays("header", values), {"ignoreNullFields": "false"}).alias("raw_data"))
+    return rows.select("dataset_id", "file_key", "source_file", F.col("record_no").alias("file_row"), F.map_from_arrays("header", values).alias("cells"))
 
 
 class _Work:
@@ -167,16 +176,16 @@ def _ingest(spark, work, paths, out_dir, mapping, run, batch_id, on_conflict, sk
     if chosen:
         own = F.col("dataset_id").isin(datasets) & F.col("file_key").isin(*[r.file_key for r in chosen])
         taken = spark.createDataFrame([(r.source_file,) for r in chosen], "source_file string")
-        records = R.join_records(lines.join(taken, "source_file", "left_semi"), splits)
+        records = R.join_records(lines.join(F.broadcast(taken), "source_file", "left_semi"), splits)
         headers, width = R.file_headers(work.store(R.header_records(records, sep), "headers"), sep)
         seen = Observation()
-        write_metrics(stage_rows(records, headers, width, sep).observe(seen, F.count(F.lit(1)).alias("rows_staged")), f"{out_dir}/staged", PARTITIONS)
+        cells = work.store(cell_rows(records, headers, width, sep), "cells")  # the only parse; all that follows reads these rows
+        write_metrics(as_documents(cells).observe(seen, F.count(F.lit(1)).alias("rows_staged")), f"{out_dir}/staged", PARTITIONS)
         counts |= seen.get
     if counts["rows_staged"]:
-        stored = _as_text(spark.read.parquet(f"{out_dir}/staged")).where(own)
-        fields = header_fields(headers, mapping).select(file_key(path).alias("file_key"), "fields")
-        every = {f: F.col("fields")[f] for f in (*TEXT_FIELDS, *NUMBER_FIELDS)}
-        metrics = normalise_metrics(stored.join(fields, "file_key"), every, keep=("dataset_id", "file_key", "source_file", "file_row"))
+        every = {f: F.col(f"key_{f}") for f in (*TEXT_FIELDS, *NUMBER_FIELDS) if mapping is None or f in mapping}
+        fields = header_fields(headers, mapping).select(file_key(path).alias("file_key"), *[F.col("fields")[f].alias(f"key_{f}") for f in every])
+        metrics = normalise_metrics(cells.join(F.broadcast(fields), "file_key"), every, keep=("dataset_id", "file_key", "source_file", "file_row"))  # a row per file
         seen = Observation()
         write_metrics(metrics.observe(seen, F.count(F.lit(1)).alias("rows_loaded"), F.count_if(F.col("rejected")).alias("rows_rejected")),
                       f"{out_dir}/metrics", PARTITIONS)
@@ -184,10 +193,13 @@ def _ingest(spark, work, paths, out_dir, mapping, run, batch_id, on_conflict, sk
         loaded = _as_text(spark.read.parquet(f"{out_dir}/metrics").select("file_row", *PARTITIONS)).where(own)
         keys = (loaded.groupBy(*PARTITIONS, "file_row").agg(F.count(F.lit(1)).alias("n")).groupBy(*PARTITIONS)
                 .agg(F.sum("n").alias("normalised_rows"), F.sum(F.col("n") - 1).alias("duplicate_keys")))
-        write_metrics(P.file_summaries(stored).join(keys, list(PARTITIONS), "left"), f"{out_dir}/profiles/files", PARTITIONS)
-        write_metrics(P.column_summaries(stored), f"{out_dir}/profiles/columns", PARTITIONS)
-        write_metrics(P.digest_counts(stored), f"{out_dir}/profiles/digests", PARTITIONS)
-        if (years := P.year_counts(stored)).head(1):
+        staged = _as_text(spark.read.parquet(f"{out_dir}/staged").select(*PARTITIONS)).where(own).groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("rows"))
+        columns = work.store(P.column_summaries(cells), "columns")
+        files = P.file_summaries(cells, columns).drop("rows").join(staged, list(PARTITIONS))  # rows as they stand in the stored table
+        write_metrics(files.join(keys, list(PARTITIONS), "left"), f"{out_dir}/profiles/files", PARTITIONS)
+        write_metrics(columns, f"{out_dir}/profiles/columns", PARTITIONS)
+        write_metrics(P.digest_counts(cells), f"{out_dir}/profiles/digests", PARTITIONS)
+        if (years := work.store(P.year_counts(cells), "years")).head(1):
             write_metrics(years, f"{out_dir}/profiles/years", PARTITIONS)
         write_reports(spark, datasets, out_dir, decided, prior)
     if listed:

@@ -215,6 +215,60 @@ def test_merged_profiles_equal_a_full_recompute(spark):
     assert all(merged[c] == cleaned[c] for c in ("issues_found", "rows_with_issues", "missing_value", "whitespace_normalized", "invalid_email"))
 
 
+def _method_sizes(df):
+    """Bytes of the longest method of each generated stage."""
+    q = df._jdf.queryExecution()
+    found = df.sparkSession._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(q.executedPlan())
+    return [found.apply(i)._3().maxMethodCodeSize() for i in range(found.size())]
+
+
+def test_the_code_that_normalises_a_row_is_short_enough_to_be_compiled(spark):
+    fields = (*A.TEXT_FIELDS, *A.NUMBER_FIELDS)
+    values = {"owner": " a ", "cy_leads": "1,234", "cy_admission": "-12", "cy_registration": "2.5", "py_leads": "1e3", "py_admission": "x", "py_registration": " "}
+    made = [("d", 1, {f: values.get(f) for f in fields}, {f: f for f in fields})]
+    keyed = spark.createDataFrame(made, "dataset_id string, row_number long, m map<string,string>, k map<string,string>").select(
+        "dataset_id", "row_number", F.to_json("m", {"ignoreNullFields": "false"}).alias("raw_data"), *[F.col("k")[f].alias(f"key_{f}") for f in fields])
+    got = A.normalise_metrics(keyed, {f: F.col(f"key_{f}") for f in fields})
+    assert max(_method_sizes(got)) <= 8000  # the JVM interprets longer ones
+    r = got.first()
+    assert [r[f] for f in ("owner", "cluster", "cy_leads", "cy_admission", "cy_registration", "py_leads", "py_admission", "py_registration")] == ["a", None, 1234, -12, 3, 1000, 0, 0]
+    assert r.rejects == ["py_admission"] and r.rejected
+
+
+def test_profiles_of_parsed_cells_equal_those_of_documents(spark):
+    ends = ["", " ", "\t", "\n", "\x0b", "\f", "\r", "\x85", "\u2028", "\u2029", "\x01", "\xa0", " \x85", "\n\n", " \u2028 "]
+    texts = [a + m + b for a in ends for m in ("", "x", "é y", "in 2024", "2031x", "a@b.c") for b in ends] + [None, "2019\n2020"]
+    rows_ = [(f"d{i % 2}", f"f{i % 4}", {"k": v, "e mail": texts[-i], "Email": texts[i // 2]}) for i, v in enumerate(texts)]
+    parsed = spark.createDataFrame(rows_, "dataset_id string, file_key string, cells map<string,string>").coalesce(1)
+    staged = parsed.select("dataset_id", "file_key", F.to_json("cells", {"ignoreNullFields": "false"}).alias("raw_data"))
+    for summary in (P.file_summaries, P.column_summaries, P.digest_counts, P.year_counts):
+        found = summary(parsed)
+        assert "from_json" not in found._jdf.queryExecution().optimizedPlan().toString()  # parsed once, by the one who staged the rows
+        plain = [c for c in found.columns if c != "sketch"]
+        assert sorted(map(repr, found.select(plain).collect())) == sorted(map(repr, summary(staged).select(plain).collect()))
+    # each cell by the rules of B4 on its own
+    each = parsed.select(F.posexplode(F.map_entries("cells")).alias("i", "c"), *P.FILE).select(*P.FILE, "c.*")
+    kinds = P.cell_issues(F.col("key"), F.col("value"))
+    want = each.groupBy(*P.FILE, "key").agg(*[F.sum(F.coalesce(kinds[k], F.lit(False)).cast("long")).alias(k) for k in P.ISSUES])
+    got = P.column_summaries(parsed).select(*P.FILE, F.col("column").alias("key"), *P.ISSUES)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    numbered = parsed.withColumn("n", F.monotonically_increasing_id()).select("n", *P.FILE, F.explode("cells").alias("key", "value"))
+    bad = numbered.where(kinds[P.ISSUES[0]] | kinds[P.ISSUES[1]] | F.coalesce(kinds[P.ISSUES[2]], F.lit(False))).groupBy(*P.FILE).agg(F.count_distinct("n").alias("n"))
+    assert sorted(map(tuple, P.file_summaries(parsed).select(*P.FILE, "rows_with_issues").collect())) == sorted(map(tuple, bad.collect()))
+
+
+def test_lines_are_not_shuffled_for_their_records(spark):
+    path = _file(_tmp(), "a.csv", "x,y\n" + "1,2\n" * 100)
+    lines = _stored_lines(spark, path)
+    splits = f"{path}.splits"
+    R.split_table(lines).write.parquet(splits)
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        found = R.join_records(lines, spark.read.parquet(splits))
+        assert found.count() == 101
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 # ---------------------------------------------------------------- uploads of the queries
 def test_uploads_are_sorted_by_many_tasks_and_joined_to_one_file(spark):
     root = _tmp()
